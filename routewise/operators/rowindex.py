@@ -5,11 +5,12 @@ no implicit order, so every table carries a unique ``row_idx`` and position is
 the rank of ``row_idx``.  Ranks and order statistics are computed without a
 global (unpartitioned) window and without collecting a column:
 
-* ``kth_smallest`` finds an exact order statistic by histogram narrowing: each
-  pass is one scan (the range predicate reaches the parquet reader) plus an
-  aggregate of at most ``buckets`` rows; once the candidate range holds few
-  rows, an exact ``ORDER BY .. LIMIT`` finishes.  Ties are handled because a
-  bucket whose min equals its max is resolved at once.
+* ``order_statistics`` finds exact order statistics by histogram narrowing:
+  each pass is one scan plus an aggregate of at most ``buckets`` rows per open
+  range (all requested ranks share the pass); once a candidate range holds
+  few rows, ``row_number`` over a window partitioned by range finishes it.
+  Ties are handled because a bucket whose min equals its max is resolved at
+  once.  Quantiles, the quantile filter and the ordered split build on it.
 * ``with_row_number`` ranks every row: approximate range boundaries
   (``percentile_approx``, a bounded sketch) cut the key into buckets, bucket
   counts become offsets, and ``row_number`` runs per bucket.
@@ -27,62 +28,127 @@ from ..functions.text import col_
 _FINISH_ROWS = 200_000
 
 
-def _count_min_max(df: DataFrame, c: Column):
+def _stats(df: DataFrame, c: Column):
     r = df.agg(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).first()
     return r["n"], r["lo"], r["hi"]
 
 
-def kth_smallest(df: DataFrame, column, k: int, buckets: int = 1024, finish_rows: int = _FINISH_ROWS,
-                 max_passes: int = 16):
-    """Exact k-th smallest (1-based) non-null value of ``column``."""
-    c = col_(column)
-    vals = df.select(c.alias("v")).where(F.col("v").isNotNull())
-    n, lo, hi = _count_min_max(vals, F.col("v"))
-    if k < 1 or k > n:
-        raise ValueError(f"k={k} outside 1..{n}")
-    rng = F.col("v").between(F.lit(lo), F.lit(hi))
-    cnt = n
+def grouped_order_statistics(df: DataFrame, group, column, ks_by_group: dict | None = None, qs=None,
+                             buckets: int = 1024, finish_rows: int = _FINISH_ROWS, max_passes: int = 16):
+    """Exact order statistics per group.
+
+    Either ``ks_by_group`` ({group value: [1-based ranks]}) or ``qs``
+    (quantiles, ranks derived from each group's count) is given.  Returns
+    ``{(g, k): value}`` and the per-group counts.  Job count: one statistics
+    job, one histogram job per narrowing pass (all groups and ranks share it),
+    one final ranking job over the small candidate ranges."""
+    g_col = F.lit(0) if group is None else col_(group)
+    vals = df.select(g_col.alias("g"), col_(column).alias("v")).where(F.col("v").isNotNull())
+    stats = {r["g"]: (r["n"], r["lo"], r["hi"]) for r in
+             vals.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+    if ks_by_group is None:
+        ks_by_group = {}
+        for gv, (n, _, _) in stats.items():
+            ks = set()
+            for q in qs:
+                j = math.floor((n - 1) * q)
+                ks.update({j + 1, min(j + 2, n)})
+            ks_by_group[gv] = sorted(ks)
+    state = {}
+    for gv, ks in ks_by_group.items():
+        n, lo, hi = stats[gv]
+        for k in ks:
+            if k < 1 or k > n:
+                raise ValueError(f"k={k} outside 1..{n} for group {gv!r}")
+            state[(gv, int(k))] = (int(k), n, lo, hi)
+
+    def band(gv, a, b):
+        return (F.col("g").eqNullSafe(F.lit(gv))) & F.col("v").between(F.lit(a), F.lit(b))
+
     for _ in range(max_passes):
-        if lo == hi:
-            return lo
-        if cnt <= finish_rows:
+        open_ranges = sorted({(key[0], s[2], s[3]) for key, s in state.items() if s[2] != s[3] and s[1] > finish_rows},
+                             key=lambda r: (str(r[0]), r[1]))
+        if not open_ranges:
             break
-        width = float(hi) - float(lo)
-        b = F.least(F.floor((F.col("v").cast("double") - F.lit(float(lo))) / F.lit(width) * F.lit(buckets)),
-                    F.lit(buckets - 1)).cast("int")
-        rows = (vals.where(rng).groupBy(b.alias("b"))
+        bucket = None
+        for i, (gv, a, b) in enumerate(open_ranges):
+            width = float(b) - float(a)
+            inner = F.least(F.floor((F.col("v").cast("double") - F.lit(float(a))) / F.lit(width) * F.lit(buckets)),
+                            F.lit(buckets - 1)).cast("bigint") + F.lit(i * buckets)
+            bucket = F.when(band(gv, a, b), inner) if bucket is None else bucket.when(band(gv, a, b), inner)
+        rows = (vals.select(bucket.alias("b"), "v").where(F.col("b").isNotNull()).groupBy("b")
                 .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
                 .orderBy("b").collect())
-        acc = 0
+        per_range: dict[int, list] = {}
         for r in rows:
-            if acc + r["n"] >= k:
-                k, cnt, lo, hi = k - acc, r["n"], r["lo"], r["hi"]
-                break
-            acc += r["n"]
-        rng = F.col("v").between(F.lit(lo), F.lit(hi))
-    if lo == hi:
-        return lo
-    last = vals.where(rng).orderBy("v").limit(k).agg(F.max("v")).first()[0]
-    return last
+            per_range.setdefault(r["b"] // buckets, []).append(r)
+        index = {rng: i for i, rng in enumerate(open_ranges)}
+        for key, (rel, cnt, a, b) in list(state.items()):
+            i = index.get((key[0], a, b))
+            if i is None or cnt <= finish_rows:
+                continue
+            acc = 0
+            for r in per_range[i]:
+                if acc + r["n"] >= rel:
+                    state[key] = (rel - acc, r["n"], r["lo"], r["hi"])
+                    break
+                acc += r["n"]
+    out = {key: s[2] for key, s in state.items() if s[2] == s[3]}
+    pending = {key: s for key, s in state.items() if key not in out}
+    if pending:
+        ranges = sorted({(key[0], s[2], s[3]) for key, s in pending.items()}, key=lambda r: (str(r[0]), r[1]))
+        rid = None
+        for i, (gv, a, b) in enumerate(ranges):
+            rid = F.when(band(gv, a, b), F.lit(i)) if rid is None else rid.when(band(gv, a, b), F.lit(i))
+        want = {(ranges.index((key[0], s[2], s[3])), s[0]): key for key, s in pending.items()}
+        w = Window.partitionBy("rid").orderBy("v")
+        ranked = (vals.select(rid.alias("rid"), "v").where(F.col("rid").isNotNull())
+                  .withColumn("rn", F.row_number().over(w)))
+        pick = F.lit(False)
+        for (i, rel) in want:
+            pick = pick | ((F.col("rid") == i) & (F.col("rn") == rel))
+        for r in ranked.where(pick).collect():
+            out[want[(r["rid"], r["rn"])]] = r["v"]
+    return out, {gv: st[0] for gv, st in stats.items()}
+
+
+def order_statistics(df: DataFrame, column, ks, **kw) -> dict:
+    """Exact k-th smallest non-null values of ``column`` for every 1-based ``k`` in ``ks``."""
+    out, counts = grouped_order_statistics(df.select(col_(column).alias("v")), None, "v",
+                                           ks_by_group={0: sorted(set(int(k) for k in ks))}, **kw)
+    return {k: v for (_, k), v in out.items()}
+
+
+def grouped_quantiles(df: DataFrame, group, column, qs) -> dict:
+    """Exact linear-interpolated quantiles per group: ``{(g, q): value}``."""
+    vals, counts = grouped_order_statistics(df, group, column, qs=qs)
+    out = {}
+    for gv, n in counts.items():
+        for q in qs:
+            h = (n - 1) * q
+            j = math.floor(h)
+            frac = h - j
+            va, vb = vals[(gv, j + 1)], vals[(gv, min(j + 2, n))]
+            out[(gv, q)] = float(va) if (frac == 0 or va == vb) else float(va) + (float(vb) - float(va)) * frac
+    return out
+
+
+def kth_smallest(df: DataFrame, column, k: int, **kw):
+    """Exact k-th smallest (1-based) non-null value of ``column``."""
+    return order_statistics(df, column, [k], **kw)[k]
+
+
+def exact_quantiles(df: DataFrame, column, qs) -> dict:
+    """Exact quantiles with linear interpolation (pandas ``linear``, DuckDB
+    ``quantile_cont``): ``v[j] + (v[j+1] - v[j]) * frac`` at ``h = (n-1) q``."""
+    if df.select(col_(column).alias("v")).where(F.col("v").isNotNull()).isEmpty():
+        return {q: None for q in qs}
+    res = grouped_quantiles(df, None, column, qs)
+    return {q: v for (_, q), v in res.items()}
 
 
 def exact_quantile(df: DataFrame, column, q: float) -> float | None:
-    """Exact quantile with linear interpolation (pandas ``linear``,
-    DuckDB ``quantile_cont``): ``v[lo] + (v[hi] - v[lo]) * frac``."""
-    c = col_(column)
-    n = df.where(c.isNotNull()).count()
-    if n == 0:
-        return None
-    h = (n - 1) * q
-    j = math.floor(h)
-    frac = h - j
-    v_lo = kth_smallest(df, c, j + 1)
-    if frac == 0 or j + 2 > n:
-        return float(v_lo)
-    v_hi = kth_smallest(df, c, j + 2)
-    if v_hi == v_lo:
-        return float(v_lo)
-    return float(v_lo) + (float(v_hi) - float(v_lo)) * frac
+    return exact_quantiles(df, column, [q])[q]
 
 
 def quantile_filter(df: DataFrame, column, percentile: float, approx: bool = False) -> DataFrame:
@@ -109,7 +175,7 @@ def split_boundary(df: DataFrame, key: str, ratio: float):
     k = python_round(n * ratio)
     if k <= 0:
         return n, 0, None
-    return n, k, kth_smallest(df, key, k)
+    return n, k, order_statistics(df, key, [k])[k]
 
 
 def ordered_split(df: DataFrame, key: str = "row_idx", ratio: float = 0.9):

@@ -134,3 +134,68 @@ fc AS (SELECT ff.*, round(
          + 1.5e0 * {minmax('query_keywords_count', 'kmin', 'kmax')}
          + 1.0e0 * query_contains_url, 4) AS query_complexity_score
        FROM ff CROSS JOIN fstats)"""
+
+
+def pick(label: str, cols) -> str:
+    return f"(CASE {label} WHEN 1 THEN {cols[0]} WHEN 2 THEN {cols[1]} WHEN 3 THEN {cols[2]} END)"
+
+
+SCORE_COLS = [f"avg_normalized_score_{m}" for m in config.MODELS]
+
+
+def scorecard(src: str, keys=(), label: str = "evaluation_model_label", routed: str = "routed_to") -> str:
+    """SQL twin of ``operators.routing.scorecard`` (values rounded to 6)."""
+    k = ", ".join(keys)
+    kk = (k + ", ") if k else ""
+    u = config.COMPUTE_UNITS
+    return f"""SELECT {kk}n::BIGINT AS n, n_base::BIGINT AS n_base, n_large::BIGINT AS n_large, n_xl::BIGINT AS n_xl,
+  round(n_correct / n::DOUBLE * 100e0, 6) AS routing_accuracy,
+  round((s_router / n::DOUBLE - s_gt / n::DOUBLE) / (s_gt / n::DOUBLE) * 100e0, 6) AS quality_loss_gt,
+  round((s_router / n::DOUBLE - s_xl / n::DOUBLE) / (s_xl / n::DOUBLE) * 100e0, 6) AS quality_loss_xl,
+  round(n_base * {u[0]!r}e0 + n_large * {u[1]!r}e0 + n_xl * {u[2]!r}e0, 6) AS compute_units,
+  round(((gt_base * {u[0]!r}e0 + gt_large * {u[1]!r}e0 + gt_xl * {u[2]!r}e0) - (n_base * {u[0]!r}e0 + n_large * {u[1]!r}e0 + n_xl * {u[2]!r}e0))
+        / (gt_base * {u[0]!r}e0 + gt_large * {u[1]!r}e0 + gt_xl * {u[2]!r}e0) * 100e0, 6) AS compute_savings_gt,
+  round((n::DOUBLE * {u[2]!r}e0 - (n_base * {u[0]!r}e0 + n_large * {u[1]!r}e0 + n_xl * {u[2]!r}e0)) / (n::DOUBLE * {u[2]!r}e0) * 100e0, 6)
+        AS compute_savings_xl
+FROM (SELECT {kk}count(*) AS n,
+        count(*) FILTER (WHERE {routed} = 1) AS n_base, count(*) FILTER (WHERE {routed} = 2) AS n_large,
+        count(*) FILTER (WHERE {routed} = 3) AS n_xl,
+        count(*) FILTER (WHERE {label} = 1) AS gt_base, count(*) FILTER (WHERE {label} = 2) AS gt_large,
+        count(*) FILTER (WHERE {label} = 3) AS gt_xl,
+        count(*) FILTER (WHERE {label} = {routed}) AS n_correct,
+        sum({pick(label, SCORE_COLS)}) AS s_gt, sum({pick(routed, SCORE_COLS)}) AS s_router,
+        sum({SCORE_COLS[2]}) AS s_xl
+      FROM {src} {"GROUP BY " + k if k else ""}) agg"""
+
+
+ARGMAX = "(CASE WHEN proba_base >= proba_large AND proba_base >= proba_xl THEN 1 WHEN proba_large >= proba_xl THEN 2 ELSE 3 END)"
+
+
+def label_wide_cte(src: str = "fx_label_input") -> str:
+    """Pivot of the per-model label inputs to the study's wide names + discrepancies."""
+    cols = []
+    for m in config.MODELS:
+        cols += [f"max(CASE WHEN model = '{m}' THEN avg_normalized_score END) AS avg_normalized_score_{m}",
+                 f"max(CASE WHEN model = '{m}' THEN trash_count END) AS r_{m}_trash_count",
+                 f"max(CASE WHEN model = '{m}' THEN query_repetition_count END) AS r_{m}_query_repetition_count",
+                 f"max(CASE WHEN model = '{m}' THEN rt_avg END) AS rt_{m}_avg",
+                 f"max(CASE WHEN model = '{m}' THEN length_avg END) AS r_{m}_length_avg"]
+    return f""",
+lw0 AS (SELECT id, {", ".join(cols)} FROM {src} GROUP BY id),
+lw AS (SELECT *, round(avg_normalized_score_t5_base - avg_normalized_score_t5_large, 4) AS discrepancy_base_vs_large,
+              round(avg_normalized_score_t5_large - avg_normalized_score_t5_xl, 4) AS discrepancy_large_vs_xl,
+              round(avg_normalized_score_t5_base - avg_normalized_score_t5_xl, 4) AS discrepancy_base_vs_xl FROM lw0)"""
+
+
+def split_ctes(base: str = "base", pct: float = 80.0, ratio: float = 0.9, key: str = "doc_id") -> str:
+    """B6 quantile filter + B7 ordered split (``filt``, ``train``, ``test``)."""
+    return f""",
+thr AS (SELECT quantile_cont(query_complexity_score, {pct / 100!r}e0) AS t FROM {base}),
+filt AS (SELECT {base}.* FROM {base}, thr WHERE query_complexity_score <= t),
+ranked AS (SELECT *, row_number() OVER (ORDER BY {key}) AS rn, count(*) OVER () AS n_filt FROM filt),
+train AS (SELECT * EXCLUDE (rn, n_filt) FROM ranked WHERE rn <= round_even(n_filt * {ratio!r}e0, 0)),
+test AS (SELECT * EXCLUDE (rn, n_filt) FROM ranked WHERE rn > round_even(n_filt * {ratio!r}e0, 0))"""
+
+
+def grid_values(name: str, cols: str, rows) -> str:
+    return f"{name} AS (SELECT * FROM (VALUES {', '.join(rows)}) AS g({cols}))"

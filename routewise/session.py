@@ -68,3 +68,18 @@ def local_fs_path(path: str) -> str:
 
 
 __all__ = ["build_session", "ensure_checkpoint_dir", "scratch_path", "local_fs_path", "os"]
+
+
+def materialize(df, mode: str = "checkpoint"):
+    """Cut the lineage of a frame that several actions reuse.
+
+    ``checkpoint`` writes it to the shared ``spark.checkpoint.dir`` (survives
+    executor loss, never a node-local folder); ``persist`` keeps it in
+    executor memory/disk and recomputes lost blocks from lineage."""
+    if mode == "persist":
+        from pyspark import StorageLevel
+        out = df.persist(StorageLevel.MEMORY_AND_DISK)
+        out.count()
+        return out
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
