@@ -1 +1,141 @@
-"""Queries (to be filled)."""
+"""Queries for sources and sinks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import config
+from ..functions.numeric import category_name
+from ..operators import rowindex as RI
+from ..session import scratch_path
+from ..sources import batches as BT
+from ..sources import fixtures as FX
+from ..sources import jsonl as JL
+from ..sources import reports as RP
+from ..sources import templates as TP
+from . import sqlfrag as Q
+from .catalog import register
+from .flagship import routing_sweep
+from .q_routing import _SWEEP
+
+
+def _written_queries(spark, sf_dir):
+    q = FX.fx_queries(spark, sf_dir)
+    out = q.select("id", "instruction", "input", "output", category_name("category_no").alias("category"))
+    path = scratch_path(spark, "jsonl")
+    JL.write_jsonl(out, path)
+    return path
+
+
+@register("A1_jsonl_scan", sql=Q.FIXTURE_SQL.rstrip() + f"""
+SELECT id, instruction, input, output, {Q.category_name('category_no')} AS category FROM fx_queries""")
+def a1(spark, sf_dir):
+    """Write the query table as JSON lines, read it back with an explicit schema."""
+    path = _written_queries(spark, sf_dir)
+    schema = JL.SOURCE_QUERY_SCHEMA.add("category", "string")
+    return JL.read_jsonl(spark, path, schema)
+
+
+@register("A2_jsonl_sink", sql=Q.FIXTURE_SQL.rstrip() + f"""
+SELECT id, {Q.category_name('category_no')} IS NULL AS has_explicit_null, 5::BIGINT AS n_fields FROM fx_queries""")
+def a2(spark, sf_dir):
+    """The written lines keep NULL fields as explicit ``null`` (5 keys on every line)."""
+    path = _written_queries(spark, sf_dir)
+    lines = spark.read.text(path)
+    return lines.select(F.get_json_object("value", "$.id").alias("id"),
+                        F.col("value").contains('"category":null').alias("has_explicit_null"),
+                        F.size(F.json_object_keys("value")).cast("bigint").alias("n_fields"))
+
+
+@register("A4_row_range", sql=Q.FIXTURE_SQL.rstrip() + """
+SELECT id FROM (SELECT id, row_number() OVER (ORDER BY doc_id) AS rn FROM fx_queries) z WHERE rn BETWEEN 101 AND 330""")
+def a4(spark, sf_dir):
+    """Rows [100, 330) by position (``doc_id`` order)."""
+    return RI.row_range(FX.fx_queries(spark, sf_dir), "doc_id", 100, 230).select("id")
+
+
+_BATCH_SQL = Q.FIXTURE_SQL.rstrip() + f""",
+pos AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS row_no FROM fx_queries),
+lines AS (SELECT ((row_no - 1) // {config.PROMPT_BATCH_SIZE})::BIGINT AS batch_no, row_no,
+                 to_json({{'id': id, 'instruction': instruction, 'input': input, 'output': output}})::VARCHAR AS line FROM pos),
+batches AS (SELECT batch_no, count(*)::BIGINT AS n_rows,
+                   concat({Q.lit(config.CATEGORY_PROMPT + chr(10))}, string_agg(line, chr(10) ORDER BY row_no)) AS prompt
+            FROM lines GROUP BY batch_no)"""
+
+
+@register("A5_prompt_batches", sql=_BATCH_SQL + "\nSELECT batch_no, n_rows, prompt FROM batches")
+def a5(spark, sf_dir):
+    q = FX.fx_queries(spark, sf_dir)
+    return BT.prompt_batches(q, key="doc_id")
+
+
+_REPLY = """concat('Here are the categories: ', string_agg(CASE WHEN doc_id % 50 = 7 THEN concat('{"id":"', id, '","category":}')
+                 ELSE concat('{"id":"', id, '","category":', category_no::VARCHAR, '}') END, ', ' ORDER BY doc_id), ' Thanks.')"""
+
+
+@register("A6_reply_parser", sql=Q.FIXTURE_SQL.rstrip() + f""",
+rep AS (SELECT doc_id // {config.PROMPT_BATCH_SIZE} AS batch_no, {_REPLY} AS reply FROM fx_queries GROUP BY 1),
+objs AS (SELECT batch_no, unnest(regexp_extract_all(reply, '\\{{[^{{}}]*\\}}')) AS obj FROM rep)
+SELECT batch_no, obj, id, category, coalesce(id IS NOT NULL AND category IS NOT NULL, false) AS is_valid FROM (
+  SELECT batch_no, obj,
+         CASE WHEN json_valid(obj) THEN nullif(regexp_extract(obj, '"id":"([^"]*)"', 1), '') END AS id,
+         CASE WHEN json_valid(obj) THEN TRY_CAST(regexp_extract(obj, '"category":(-?[0-9]+)', 1) AS INTEGER) END AS category
+  FROM objs) z""")
+def a6(spark, sf_dir):
+    """Replies built per request batch from the queries (every 50th object is
+    malformed), parsed back into rows; malformed objects stay as rejects."""
+    q = FX.fx_queries(spark, sf_dir)
+    obj = F.when(F.col("doc_id") % 50 == 7, F.concat(F.lit('{"id":"'), "id", F.lit('","category":}'))) \
+           .otherwise(F.concat(F.lit('{"id":"'), "id", F.lit('","category":'), F.col("category_no").cast("string"),
+                               F.lit("}")))
+    rep = (q.groupBy(F.floor(F.col("doc_id") / config.PROMPT_BATCH_SIZE).cast("bigint").alias("batch_no"))
+             .agg(F.array_sort(F.collect_list(F.struct("doc_id", obj.alias("o")))).alias("objs"))
+             .select("batch_no", F.concat(F.lit("Here are the categories: "),
+                                         F.array_join(F.transform("objs", lambda x: x["o"]), ", "),
+                                         F.lit(" Thanks.")).alias("reply")))
+    return BT.parse_category_replies(rep).select("batch_no", "obj", "id", "category", "is_valid")
+
+
+_A8_SQL = _SWEEP + f""",
+card AS ({Q.scorecard("routed", ("t_threshold", "prob_threshold"))}),
+body AS (SELECT t_threshold, (round(prob_threshold * 10)::INTEGER * 100 + k + 10) AS line_no, line FROM (
+   SELECT t_threshold, prob_threshold, unnest(range(0, 10)) AS k, unnest([
+     printf('Evaluating Probability Threshold: %.1f', prob_threshold),
+     printf('Quality Loss compared to GT: %.2f%%', round(quality_loss_gt, 2)),
+     printf('Quality Loss compared to XL: %.2f%%', round(quality_loss_xl, 2)),
+     printf('Compute Savings compared to GT: %.2f%%', round(compute_savings_gt, 2)),
+     printf('Compute Savings compared to XL: %.2f%%', round(compute_savings_xl, 2)),
+     printf('Routing Accuracy: %.2f%%', round(routing_accuracy, 2)),
+     printf('Total Compute Units Used: %.2f CUs', round(compute_units, 2)),
+     printf('Number of queries routed to Base: %d', n_base),
+     printf('Number of queries routed to Large: %d', n_large),
+     printf('Number of queries routed to XL: %d', n_xl)]) AS line FROM card) z)
+SELECT t_threshold, 0 AS line_no, printf('--- Evaluating Model for t-threshold: %s ---', t_threshold) AS line
+FROM (SELECT DISTINCT t_threshold FROM card) h
+UNION ALL SELECT t_threshold, line_no, line FROM body"""
+
+
+@register("A8_sweep_report", sql=_A8_SQL)
+def a8(spark, sf_dir):
+    return RP.render_sweep_report(routing_sweep(spark, sf_dir))
+
+
+@register("A7_report_parser", sql=_SWEEP + f""",
+card AS ({Q.scorecard("routed", ("t_threshold", "prob_threshold"))})
+SELECT t_threshold, prob_threshold, n_base, n_large, n_xl, round(compute_units, 2) AS compute_units FROM card""")
+def a7(spark, sf_dir):
+    """Render the sweep report as text files, read them back, parse to the grid."""
+    path = scratch_path(spark, "report")
+    RP.render_sweep_report(routing_sweep(spark, sf_dir)).write.mode("overwrite").partitionBy("t_threshold").json(path)
+    lines = spark.read.json(path, schema="line_no int, line string, t_threshold string")
+    parsed = RP.parse_sweep_report(lines)
+    return parsed.select("t_threshold", "prob_threshold", "n_base", "n_large", "n_xl", "compute_units")
+
+
+@register("A9_feature_template", sql=Q.FIXTURE_SQL.rstrip() + """
+SELECT id, '' AS instruction, '' AS input, '' AS query, '' AS category, '' AS output,
+       0::BIGINT AS query_chars_count, 0::BIGINT AS query_words_count, 0::BIGINT AS query_unique_word_count,
+       0::BIGINT AS query_special_tokens_count, 0::BIGINT AS query_keywords_count, 0::BIGINT AS query_contains_url,
+       0e0 AS query_readability_score, 0e0 AS query_complexity_score FROM fx_queries""")
+def a9(spark, sf_dir):
+    return TP.feature_template(FX.fx_queries(spark, sf_dir).select("id"))
