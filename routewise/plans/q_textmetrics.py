@@ -1 +1,124 @@
-"""Queries (to be filled)."""
+"""Queries for text-pair metrics (B9, B10, M1-M7): candidate = sampled response,
+reference = the query's answer; M6 pairs consecutive embeddings."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.text import is_blank
+from ..operators import textmetrics as TM
+from ..sources import fixtures as FX
+from ..sources.tables import load
+from . import sqlfrag as Q
+from .catalog import register
+
+KEYS = ["id", "model", "resp_no"]
+
+
+def pairs(spark, sf_dir):
+    r = FX.fx_responses(spark, sf_dir)
+    q = FX.fx_queries(spark, sf_dir).select("id", F.col("output").alias("reference"))
+    return r.join(q, "id").select(*KEYS, F.col("response").alias("candidate"), "reference")
+
+
+_BLEU_P = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+_PAIRS = Q.FIXTURE_SQL.rstrip() + f""",
+pairs AS (SELECT r.id, r.model, r.resp_no, r.response AS candidate, q.output AS reference,
+                 (NOT {Q.blank('r.response')} AND {Q.has('q.output')}) AS ok
+          FROM fx_responses r JOIN fx_queries q USING (id))"""
+
+
+def _overlap_sql(tok_c: str, tok_r: str, orders) -> str:
+    per = ", ".join(f"coalesce(sum(least(cc, rc)) FILTER (WHERE n = {n}), 0) AS c{n}" for n in orders)
+    vals = ", ".join(f"({n})" for n in orders)
+    gram = "unnest(list_transform(range(1, len({t}) - n + 2), lambda i: array_to_string(list_slice({t}, i, i + n - 1), chr(1))))"
+    return f""",
+toks AS (SELECT id, model, resp_no, ok, CASE WHEN ok THEN {tok_c} ELSE []::VARCHAR[] END AS c,
+                CASE WHEN ok THEN {tok_r} ELSE []::VARCHAR[] END AS r FROM pairs),
+grams AS (SELECT id, model, resp_no, 0 AS side, n, {gram.format(t='c')} AS g FROM toks, (VALUES {vals}) o(n)
+          UNION ALL
+          SELECT id, model, resp_no, 1 AS side, n, {gram.format(t='r')} AS g FROM toks, (VALUES {vals}) o(n)),
+cnt AS (SELECT id, model, resp_no, n, g, count(*) FILTER (WHERE side = 0) AS cc, count(*) FILTER (WHERE side = 1) AS rc
+        FROM grams GROUP BY id, model, resp_no, n, g),
+per AS (SELECT id, model, resp_no, {per} FROM cnt GROUP BY id, model, resp_no),
+ov AS (SELECT t.id, t.model, t.resp_no, t.ok, len(t.c) AS len_c, len(t.r) AS len_r,
+              {", ".join(f"coalesce(per.c{n}, 0) AS c{n}" for n in orders)}
+       FROM toks t LEFT JOIN per USING (id, model, resp_no))"""
+
+
+def _bleu_sql() -> str:
+    ps, z = [], []
+    for n in (1, 2, 3, 4):
+        z.append(f"(CASE WHEN c{n} = 0 THEN 1 ELSE 0 END)")
+        zn = " + ".join(z)
+        ps.append(f"ln(CASE WHEN c{n} = 0 THEN 100e0 / (pow(2e0, {zn}) * (len_c - {n - 1})::DOUBLE) "
+                  f"ELSE 100e0 * c{n} / (len_c - {n - 1})::DOUBLE END)")
+    return (f"CASE WHEN NOT ok THEN NULL WHEN len_c < 4 OR c1 + c2 + c3 + c4 = 0 THEN 0e0 ELSE "
+            f"(CASE WHEN len_c >= len_r THEN 1e0 ELSE exp(1e0 - len_r::DOUBLE / len_c::DOUBLE) END) * "
+            f"exp(({' + '.join(ps)}) / 4e0) END")
+
+
+def _rouge_sql(n: int) -> str:
+    prec = f"(c{n}::DOUBLE / greatest(greatest(len_c - {n - 1}, 0), 1))"
+    rec = f"(c{n}::DOUBLE / greatest(greatest(len_r - {n - 1}, 0), 1))"
+    return (f"CASE WHEN NOT ok THEN NULL WHEN {prec} + {rec} > 0 THEN 2e0 * {prec} * {rec} / ({prec} + {rec}) "
+            "ELSE 0e0 END")
+
+
+@register("M1_bleu", sql=_PAIRS + _overlap_sql(f"regexp_extract_all(candidate, '{_BLEU_P}')",
+                                              f"regexp_extract_all(reference, '{_BLEU_P}')", (1, 2, 3, 4)) + f"""
+SELECT id, model, resp_no, round({_bleu_sql()}, 6) AS bleu FROM ov""")
+def m1(spark, sf_dir):
+    b = TM.bleu_scores(pairs(spark, sf_dir), KEYS)
+    return b.select(*KEYS, F.round("bleu", 6).alias("bleu"))
+
+
+@register("M2_M3_rouge_n", sql=_PAIRS + _overlap_sql("regexp_extract_all(lower(candidate), '[a-z0-9]+')",
+                                                   "regexp_extract_all(lower(reference), '[a-z0-9]+')", (1, 2)) + f"""
+SELECT id, model, resp_no, round({_rouge_sql(1)}, 6) AS rouge1, round({_rouge_sql(2)}, 6) AS rouge2 FROM ov""")
+def m23(spark, sf_dir):
+    r = TM.rouge_n_scores(pairs(spark, sf_dir), KEYS)
+    return r.select(*KEYS, F.round("rouge1", 6).alias("rouge1"), F.round("rouge2", 6).alias("rouge2"))
+
+
+@register("M4_M5_rouge_l")
+def m45(spark, sf_dir):
+    """ROUGE-L and ROUGE-Lsum (LCS in Arrow batches; rows-only check + property tests)."""
+    r = TM.rouge_l_scores(pairs(spark, sf_dir), KEYS)
+    return r.select(*KEYS, F.round("rougeL", 6).alias("rougeL"), F.round("rougeLsum", 6).alias("rougeLsum"))
+
+
+@register("M6_embedding_cosine", sql="""
+SELECT a.vec_id, b.vec_id AS next_vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)
+       AS bert FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def m6(spark, sf_dir):
+    e = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("next_vec_id"),
+                   F.col("embedding").alias("next_embedding"))
+    return e.join(nxt, "vec_id").select("vec_id", "next_vec_id",
+                                        F.round(TM.cosine("embedding", "next_embedding"), 6).alias("bert"))
+
+
+@register("M7_pluggable_scorer", sql=_PAIRS + """
+SELECT id, model, resp_no, CASE WHEN ok THEN round(CASE WHEN len(list_distinct(a || b)) = 0 THEN 0e0
+         ELSE len(list_intersect(a, b))::DOUBLE / len(list_distinct(a || b)) END, 6) END AS jaccard
+FROM (SELECT *, list_distinct(regexp_extract_all(lower(candidate), '[a-z0-9]+')) AS a,
+             list_distinct(regexp_extract_all(lower(reference), '[a-z0-9]+')) AS b FROM pairs) z""")
+def m7(spark, sf_dir):
+    s = TM.score_pairs(pairs(spark, sf_dir), KEYS, TM.jaccard_scorer_factory, "jaccard")
+    return s.select(*KEYS, F.round("jaccard", 6).alias("jaccard"))
+
+
+@register("B9_mask_guard", sql=_PAIRS + """
+SELECT id, model, resp_no, (contains(CASE WHEN resp_no = 7 THEN concat(candidate, ' <mask>') ELSE candidate END, '<mask>')
+       OR contains(coalesce(reference, ''), '<mask>')) AS masked FROM pairs""")
+def b9(spark, sf_dir):
+    p = pairs(spark, sf_dir)
+    cand = F.when(F.col("resp_no") == 7, F.concat("candidate", F.lit(" <mask>"))).otherwise(F.col("candidate"))
+    return p.select(*KEYS, TM.mask_guard(cand, "reference").alias("masked"))
+
+
+@register("B10_scoring_gate", sql=_PAIRS + "\nSELECT id, model, resp_no, ok FROM pairs")
+def b10(spark, sf_dir):
+    p = pairs(spark, sf_dir)
+    return p.select(*KEYS, TM.scoring_gate("candidate", "reference").alias("ok"))

@@ -100,8 +100,9 @@ def fx_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instruction queries: ``doc_id, id, instruction, input, output, category_no``.
 
     Hash-partitioned by ``id`` right after the narrow projection (short texts
-    only): every later per-query aggregate, pivot and join on ``id`` of the
-    tables fanned out from here reuses this partitioning without a shuffle.
+    only), with an explicit partition count: every later per-query aggregate,
+    pivot and join on ``id`` of the tables fanned out from here reuses this
+    partitioning without a shuffle.
     """
     d = load(spark, sf_dir, "documents").select("doc_id", "text")
     return d.select(
@@ -110,7 +111,14 @@ def fx_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr(_Q_INSTRUCTION).alias("instruction"),
         F.expr(_Q_INPUT).alias("input"),
         F.expr("substr(text, 61, 160)").alias("output"),
-        (F.lit(1) + F.col("doc_id") % 15).alias("category_no")).repartition("id")
+        (F.lit(1) + F.col("doc_id") % 15).alias("category_no")).repartition(fanout_partitions(spark), "id")
+
+
+def fanout_partitions(spark: SparkSession) -> int:
+    """Explicit partition count for the query table: every row fans out 30x
+    (responses) to 270x (scores) afterwards, so AQE must not coalesce this
+    exchange by its (small) size."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
 def _per_model(q: DataFrame) -> DataFrame:
