@@ -1 +1,67 @@
-"""Queries (to be filled)."""
+"""Queries for leaderboard tables (G1-G4) over the sampled candidates' scores."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import config
+from ..operators import leaderboard as LBD
+from ..sources import fixtures as FX
+from . import sqlfrag as Q
+from .catalog import register
+from .flagship import label_inputs_wide
+
+_MEANS = Q.FIXTURE_SQL.rstrip() + """,
+means AS (SELECT model, metric, avg(score) AS mean_score FROM fx_scores GROUP BY model, metric),
+best AS (SELECT metric, model AS best_model, mean_score AS best_mean FROM means
+         QUALIFY row_number() OVER (PARTITION BY metric ORDER BY mean_score DESC, model ASC) = 1)"""
+
+
+def _r6(c):
+    return F.round(c, 6).alias(c)
+
+
+@register("G1_metric_means", sql=_MEANS + "\nSELECT model, metric, round(mean_score, 6) AS mean_score FROM means")
+def g1(spark, sf_dir):
+    return LBD.metric_means(FX.fx_scores(spark, sf_dir)).select("model", "metric", _r6("mean_score"))
+
+
+@register("G2_best_model", sql=_MEANS + "\nSELECT metric, best_model, round(best_mean, 6) AS best_mean FROM best")
+def g2(spark, sf_dir):
+    b = LBD.best_models(LBD.metric_means(FX.fx_scores(spark, sf_dir)))
+    return b.select("metric", "best_model", _r6("best_mean"))
+
+
+@register("G3_oracle_gap", sql=_MEANS + """,
+orc AS (SELECT metric, avg(bc) AS oracle_mean FROM (SELECT id, metric, max(score) AS bc FROM fx_scores GROUP BY id, metric) z
+        GROUP BY metric)
+SELECT metric, round(oracle_mean, 6) AS oracle_mean, round(oracle_mean - best_mean, 6) AS gap FROM orc JOIN best USING (metric)""")
+def g3(spark, sf_dir):
+    s = FX.fx_scores(spark, sf_dir)
+    o = LBD.oracle_scores(s, LBD.best_models(LBD.metric_means(s)))
+    return o.select("metric", _r6("oracle_mean"), _r6("gap"))
+
+
+def _outcome_sql(a: str, b: str) -> str:
+    va, vb = f"avg_normalized_score_{a}", f"avg_normalized_score_{b}"
+    return (f"CASE WHEN {va} > {vb} THEN 'A is better' WHEN {va} < {vb} THEN 'B is better' "
+            f"WHEN {va} >= 0.5e0 THEN 'Same good' ELSE 'Same bad' END")
+
+
+_PAIRS = [(a, b) for i, a in enumerate(config.MODELS) for b in config.MODELS[i + 1:]]
+
+
+@register("G4_pairwise_win_rates", sql=Q.FIXTURE_SQL.rstrip() + Q.label_wide_cte() + """,
+kv AS (""" + "\nUNION ALL ".join(f"SELECT '{a}' AS model_a, '{b}' AS model_b, {_outcome_sql(a, b)} AS outcome FROM lw"
+                                  for a, b in _PAIRS) + """)
+SELECT model_a, model_b, count(*)::BIGINT AS n,
+       round(avg(CASE WHEN outcome = 'A is better' THEN 1e0 ELSE 0e0 END), 6) AS a_win_rate,
+       round(avg(CASE WHEN outcome = 'B is better' THEN 1e0 ELSE 0e0 END), 6) AS b_win_rate,
+       round(avg(CASE WHEN outcome = 'Same good' THEN 1e0 ELSE 0e0 END), 6) AS same_good_rate,
+       round(avg(CASE WHEN outcome = 'Same bad' THEN 1e0 ELSE 0e0 END), 6) AS same_bad_rate
+FROM kv GROUP BY model_a, model_b""")
+def g4(spark, sf_dir):
+    cmp = LBD.encode_comparisons(label_inputs_wide(spark, sf_dir), list(config.MODELS))
+    r = LBD.pairwise_win_rates(cmp)
+    return r.select("model_a", "model_b", "n", *[_r6(c) for c in ("a_win_rate", "b_win_rate", "same_good_rate",
+                                                                   "same_bad_rate")])
