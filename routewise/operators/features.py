@@ -1,10 +1,10 @@
 """Query features and the complexity score.
 
 Per-row work is native projections (no shuffle).  The two-pass pattern
-"global min/max, then scale every row" keeps the statistics as scalar
-subqueries (``DataFrame.scalar()``): Catalyst merges them into one aggregate
-over the statistics source and inlines the values, so no join and no driver
-round trip is needed.  For streams, pass a fixed ``dict`` of statistics.
+"global min/max, then scale every row" runs the statistics as one global
+aggregate (partial per task, one row out), fetches that single row and
+inlines the values as literals: no join, no per-row lookup.  For streams,
+pass a fixed ``dict`` of statistics.
 """
 
 from __future__ import annotations
@@ -64,9 +64,11 @@ def feature_stats(df: DataFrame) -> DataFrame:
 
 
 def _stat_columns(stats) -> dict[str, Column]:
-    if isinstance(stats, dict):
-        return {k: F.lit(v) for k, v in stats.items()}
-    return {c: stats.select(c).scalar() for c in stats.columns}
+    """Statistics as literals: a fixed ``dict``, or the single row of a stats
+    aggregate fetched once (one small job; the row size is fixed)."""
+    if not isinstance(stats, dict):
+        stats = stats.first().asDict()
+    return {k: F.lit(v) for k, v in stats.items()}
 
 
 def with_complexity(df: DataFrame, stats_from: DataFrame | dict | None = None, guard: bool = True,

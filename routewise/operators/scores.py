@@ -58,9 +58,10 @@ def metric_ranges(avgs: DataFrame, metrics=config.METRICS) -> DataFrame:
 
 def normalized_scores(avgs: DataFrame, ranges: DataFrame | None = None, metrics=config.METRICS) -> DataFrame:
     """Normalized average per (id, model, metric).  The 18 range values
-    enter as scalar subqueries (one merged aggregate), not as a join."""
+    come from one global aggregate (a single row, fetched once) and enter the
+    projection as literals, not as a join."""
     ranges = ranges if ranges is not None else metric_ranges(avgs, metrics)
-    r = {c: ranges.select(c).scalar() for c in ranges.columns}
+    r = {k: F.lit(v) for k, v in ranges.first().asDict().items()}
     expr: Column | None = None
     for m in metrics:
         branch = normalize_metric(F.col("avg_score"), m, r[f"{m}_min"], r[f"{m}_max"])

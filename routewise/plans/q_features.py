@@ -119,8 +119,9 @@ def s9(spark, sf_dir):
     from ..functions.numeric import minmax
     df = FT.with_query_features(FT.with_query(FX.fx_queries(spark, sf_dir)))
     st = FT.feature_stats(df)
-    s = {c: st.select(c).scalar() for c in ("query_chars_count_min", "query_chars_count_max",
-                                             "query_keywords_count_min", "query_keywords_count_max")}
+    row = st.first()
+    s = {c: F.lit(row[c]) for c in ("query_chars_count_min", "query_chars_count_max",
+                                     "query_keywords_count_min", "query_keywords_count_max")}
     return df.select("id",
                      r6(minmax("query_chars_count", s["query_chars_count_min"], s["query_chars_count_max"])).alias("chars_scaled"),
                      r6(minmax("query_keywords_count", s["query_keywords_count_min"],

@@ -239,8 +239,8 @@ FROM (SELECT test.*, query_complexity_score * 0.5e0 + (query_chars_count - cmin)
 def e5(spark, sf_dir):
     """E5 on a prediction that uses train-split statistics (the K11 pattern)."""
     _, train, test = test_split(spark, sf_dir)
-    st = train.agg(F.min("query_chars_count").alias("a"), F.max("query_chars_count").alias("b"))
-    a, b = st.select("a").scalar(), st.select("b").scalar()
+    st = train.agg(F.min("query_chars_count").alias("a"), F.max("query_chars_count").alias("b")).first()
+    a, b = F.lit(st["a"]), F.lit(st["b"])
     pred = test.withColumn("p", F.col("query_complexity_score") * F.lit(0.5)
                            + (F.col("query_chars_count") - a).cast("double") / (b - a).cast("double"))
     m = RT.regression_metrics(pred, "query_complexity_score", "p")

@@ -105,13 +105,18 @@ def fx_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     partitioning without a shuffle.
     """
     d = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return queries_from_documents(d).repartition(fanout_partitions(spark), "id")
+
+
+def queries_from_documents(d: DataFrame) -> DataFrame:
+    """The per-row projection behind ``fx_queries`` (also usable on a stream)."""
     return d.select(
         "doc_id",
         F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("id"),
         F.expr(_Q_INSTRUCTION).alias("instruction"),
         F.expr(_Q_INPUT).alias("input"),
         F.expr("substr(text, 61, 160)").alias("output"),
-        (F.lit(1) + F.col("doc_id") % 15).alias("category_no")).repartition(fanout_partitions(spark), "id")
+        (F.lit(1) + F.col("doc_id") % 15).alias("category_no"))
 
 
 def fanout_partitions(spark: SparkSession) -> int:
@@ -161,8 +166,16 @@ def fx_label_input(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fx_proba(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Router class probabilities per query."""
-    q = fx_queries(spark, sf_dir).select("doc_id", "id")
-    z = q.select("id", "doc_id", F.expr(_P_A).alias("a"), F.expr(_P_B).alias("b"), F.expr(_P_C).alias("c"))
-    tot = F.col("a") + F.col("b") + F.col("c")
-    return z.select("id", "doc_id", (F.col("a") / tot).alias("proba_base"),
-                    (F.col("b") / tot).alias("proba_large"), (F.col("c") / tot).alias("proba_xl"))
+    return proba_from_queries(fx_queries(spark, sf_dir).select("doc_id", "id"))
+
+
+def proba_columns() -> dict:
+    """Router probability columns computed from ``doc_id`` (batch or stream)."""
+    a, b, c = F.expr(_P_A), F.expr(_P_B), F.expr(_P_C)
+    tot = a + b + c
+    return {"proba_base": a / tot, "proba_large": b / tot, "proba_xl": c / tot}
+
+
+def proba_from_queries(q: DataFrame) -> DataFrame:
+    """Per-row router probabilities ``id, doc_id, proba_*``."""
+    return q.select("id", "doc_id", *[v.alias(k) for k, v in proba_columns().items()])
