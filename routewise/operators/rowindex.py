@@ -34,11 +34,13 @@ def _stats(df: DataFrame, c: Column):
 
 
 def grouped_order_statistics(df: DataFrame, group, column, ks_by_group: dict | None = None, qs=None,
-                             buckets: int = 1024, finish_rows: int = _FINISH_ROWS, max_passes: int = 16):
+                             buckets: int = 1024, finish_rows: int = _FINISH_ROWS, max_passes: int = 16,
+                             ks_fn=None):
     """Exact order statistics per group.
 
-    Either ``ks_by_group`` ({group value: [1-based ranks]}) or ``qs``
-    (quantiles, ranks derived from each group's count) is given.  Returns
+    Either ``ks_by_group`` ({group value: [1-based ranks]}), ``qs``
+    (quantiles, ranks derived from each group's count) or ``ks_fn`` (count ->
+    ranks) is given.  Returns
     ``{(g, k): value}`` and the per-group counts.  Job count: one statistics
     job, one histogram job per narrowing pass (all groups and ranks share it),
     one final ranking job over the small candidate ranges."""
@@ -46,6 +48,8 @@ def grouped_order_statistics(df: DataFrame, group, column, ks_by_group: dict | N
     vals = df.select(g_col.alias("g"), col_(column).alias("v")).where(F.col("v").isNotNull())
     stats = {r["g"]: (r["n"], r["lo"], r["hi"]) for r in
              vals.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+    if ks_by_group is None and ks_fn is not None:
+        ks_by_group = {gv: [k for k in ks_fn(n) if 1 <= k <= n] for gv, (n, _, _) in stats.items()}
     if ks_by_group is None:
         ks_by_group = {}
         for gv, (n, _, _) in stats.items():
@@ -141,9 +145,9 @@ def kth_smallest(df: DataFrame, column, k: int, **kw):
 def exact_quantiles(df: DataFrame, column, qs) -> dict:
     """Exact quantiles with linear interpolation (pandas ``linear``, DuckDB
     ``quantile_cont``): ``v[j] + (v[j+1] - v[j]) * frac`` at ``h = (n-1) q``."""
-    if df.select(col_(column).alias("v")).where(F.col("v").isNotNull()).isEmpty():
-        return {q: None for q in qs}
     res = grouped_quantiles(df, None, column, qs)
+    if not res:
+        return {q: None for q in qs}
     return {q: v for (_, q), v in res.items()}
 
 
@@ -171,11 +175,14 @@ def python_round(x: float) -> int:
 
 def split_boundary(df: DataFrame, key: str, ratio: float):
     """(n, n_train, last train key): the first ``round(n * ratio)`` rows by ``key`` train."""
-    n = df.count()
+    # one statistics job gives n; the boundary rank is then resolved in the same
+    # narrowing machinery (ks_by_group is built from the per-group count)
+    vals, counts = grouped_order_statistics(df, None, key, qs=None, ks_fn=lambda n: [python_round(n * ratio)])
+    n = counts.get(0, 0)
     k = python_round(n * ratio)
     if k <= 0:
         return n, 0, None
-    return n, k, order_statistics(df, key, [k])[k]
+    return n, k, vals[(0, k)]
 
 
 def ordered_split(df: DataFrame, key: str = "row_idx", ratio: float = 0.9):

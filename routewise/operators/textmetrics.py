@@ -23,6 +23,7 @@ lowercase ``[a-z0-9]+`` runs; F = 2PR / (P + R) (Lin 2004).
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import pandas as pd
@@ -34,6 +35,7 @@ from ..functions.text import has_text, is_blank, nz
 
 BLEU_TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 ROUGE_TOKEN = r"[a-z0-9]+"
+_TOK = re.compile(ROUGE_TOKEN)
 _SEP = "\u0001"
 
 
@@ -55,14 +57,23 @@ def mask_guard(candidate, reference) -> Column:
     return nz(candidate).contains("<mask>") | nz(reference).contains("<mask>")
 
 
-_GRAM_T = "array<struct<side:int,n:int,g:string>>"
+def _with_ngram_arrays(df: DataFrame, tokens: str, prefix: str, max_order: int) -> DataFrame:
+    """Columns ``<prefix>1..<prefix>max_order``: the n-gram strings of ``tokens``.
+
+    Order n is built from order n-1 with one ``zip_with`` against the tokens
+    shifted by n-1 (both sides trimmed to ``len - n + 1``, since ``zip_with``
+    pads the shorter side with NULL); each order is its own projection so it
+    is computed once."""
+    out = df.withColumn(f"{prefix}1", F.col(tokens))
+    for n in range(2, max_order + 1):
+        k = F.greatest(F.size(tokens) - F.lit(n - 1), F.lit(0))
+        out = out.withColumn(f"{prefix}{n}", F.zip_with(F.slice(f"{prefix}{n - 1}", 1, k), F.slice(tokens, n, k),
+                                                        lambda a, b: F.concat(a, F.lit(_SEP), b)))
+    return out
 
 
-def _grams(tokens: Column, side: int, n: int) -> Column:
-    body = F.transform(F.sequence(F.lit(1), F.size(tokens) - F.lit(n - 1)),
-                       lambda i: F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"),
-                                          F.array_join(F.slice(tokens, i, n), _SEP).alias("g")))
-    return F.when(F.size(tokens) >= n, body).otherwise(F.array().cast(_GRAM_T))
+def _tagger(side: int, n: int):
+    return lambda g: F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"), g.alias("g"))
 
 
 def ngram_overlap(pairs: DataFrame, keys, cand_tokens: Column, ref_tokens: Column, orders=(1, 2, 3, 4),
@@ -74,8 +85,13 @@ def ngram_overlap(pairs: DataFrame, keys, cand_tokens: Column, ref_tokens: Colum
     keys = list(keys)
     p = pairs.repartition(keys[0]) if prepartition else pairs
     p = p.select(*keys, cand_tokens.alias("_c"), ref_tokens.alias("_r"))
+    top = max(orders)
+    p = _with_ngram_arrays(_with_ngram_arrays(p, "_c", "_gc", top), "_r", "_gr", top)
     sentinel = F.array(F.struct(F.lit(0).alias("side"), F.lit(0).alias("n"), F.lit("").alias("g")))
-    parts = [sentinel] + [_grams(F.col("_c"), 0, n) for n in orders] + [_grams(F.col("_r"), 1, n) for n in orders]
+    parts = [sentinel]
+    for side, prefix in ((0, "_gc"), (1, "_gr")):
+        for n in orders:
+            parts.append(F.transform(f"{prefix}{n}", _tagger(side, n)))
     ex = p.select(*keys, F.size("_c").alias("len_c"), F.size("_r").alias("len_r"), F.inline(F.flatten(F.array(*parts))))
     counts = (ex.groupBy(*keys, "len_c", "len_r", "n", "g")
                 .agg(F.count_if((F.col("side") == 0) & (F.col("n") > 0)).alias("cc"),
@@ -214,27 +230,28 @@ def rouge_lsum(cand_sents, ref_sents) -> float:
     return _f(hits / n, hits / m)
 
 
-@F.pandas_udf(T.DoubleType())
-def _rouge_l_udf(cand: pd.Series, ref: pd.Series) -> pd.Series:
-    return pd.Series([rouge_l(c, r) for c, r in zip(cand, ref)], dtype="float64")
-
-
-@F.pandas_udf(T.DoubleType())
-def _rouge_lsum_udf(cand: pd.Series, ref: pd.Series) -> pd.Series:
-    return pd.Series([rouge_lsum(c, r) for c, r in zip(cand, ref)], dtype="float64")
+def rouge_lcs_pair(candidate: str | None, reference: str | None):
+    """(ROUGE-L, ROUGE-Lsum) of one pair from raw text; ``None`` for a gated pair."""
+    if candidate is None or reference is None:
+        return None, None
+    c, r = candidate.lower(), reference.lower()
+    return (rouge_l(_TOK.findall(c), _TOK.findall(r)),
+            rouge_lsum([_TOK.findall(x) for x in c.split("\n")], [_TOK.findall(x) for x in r.split("\n")]))
 
 
-def _sentences(c) -> Column:
-    return F.transform(F.split(nz(c), "\n"), lambda s: F.regexp_extract_all(F.lower(s), F.lit(ROUGE_TOKEN), 0))
+@F.pandas_udf(T.StructType([T.StructField("rougeL", T.DoubleType()), T.StructField("rougeLsum", T.DoubleType())]))
+def _rouge_lcs_udf(cand: pd.Series, ref: pd.Series) -> pd.DataFrame:
+    res = [rouge_lcs_pair(c, r) for c, r in zip(cand, ref)]
+    return pd.DataFrame(res, columns=["rougeL", "rougeLsum"], dtype="float64")
 
 
 def rouge_l_scores(pairs: DataFrame, keys, candidate: str = "candidate", reference: str = "reference") -> DataFrame:
-    """M4 + M5 per pair (tokens built natively, LCS in Arrow batches); NULL where the gate fails."""
+    """M4 + M5 per pair: one Arrow-batched UDF over the raw texts (tokenized
+    with the same lowercase ``[a-z0-9]+`` rule); pairs failing the gate are
+    sent as NULL and come back NULL."""
     gate = scoring_gate(candidate, reference)
-    return pairs.select(
-        *keys,
-        F.when(gate, _rouge_l_udf(rouge_tokens(candidate), rouge_tokens(reference))).alias("rougeL"),
-        F.when(gate, _rouge_lsum_udf(_sentences(candidate), _sentences(reference))).alias("rougeLsum"))
+    r = pairs.select(*keys, _rouge_lcs_udf(F.when(gate, F.col(candidate)), F.when(gate, F.col(reference))).alias("_r"))
+    return r.select(*keys, F.col("_r.rougeL").alias("rougeL"), F.col("_r.rougeLsum").alias("rougeLsum"))
 
 
 # ---------------------------------------------------------------------------
