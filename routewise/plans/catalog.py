@@ -31,7 +31,7 @@ def register(name: str, sql: str | None = None):
 def _load_all() -> None:
     # Importing the modules registers their queries.
     from . import q_features, q_responses, q_scores, q_labels, q_routing, q_sources, q_textmetrics  # noqa: F401
-    from . import q_models, q_leaderboard  # noqa: F401
+    from . import q_models, q_leaderboard, q_misc  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
