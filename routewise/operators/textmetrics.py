@@ -27,7 +27,7 @@ import re
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,6 +102,39 @@ def ngram_overlap(pairs: DataFrame, keys, cand_tokens: Column, ref_tokens: Colum
           for n in orders])
 
 
+def shared_ref_overlap(pairs: DataFrame, keys, ref_key: str, cand_tokens: Column, ref_tokens: Column,
+                       orders=(1, 2, 3, 4)) -> DataFrame:
+    """``ngram_overlap`` when many candidates share one reference (``ref_key``
+    determines the reference): reference n-grams are generated once per
+    ``ref_key`` instead of once per pair.  Candidate and reference gram counts
+    are one union + one aggregate; the reference count reaches each candidate
+    gram through a window partitioned by (ref_key, n, gram), which a table
+    hash-partitioned by ``ref_key`` satisfies without a shuffle."""
+    keys = list(keys)
+    top = max(orders)
+    p = pairs.select(*keys, cand_tokens.alias("_c"), ref_tokens.alias("_r"))
+    pc = _with_ngram_arrays(p, "_c", "_gc", top)
+    sentinel = F.array(F.struct(F.lit(0).alias("side"), F.lit(0).alias("n"), F.lit("").alias("g")))
+    cand_parts = [sentinel] + [F.transform(f"_gc{n}", _tagger(0, n)) for n in orders]
+    ex_c = pc.select(*keys, F.size("_c").alias("len_c"), F.size("_r").alias("len_r"),
+                     F.inline(F.flatten(F.array(*cand_parts))))
+    refs = p.select(ref_key, "_r").dropDuplicates([ref_key])
+    pr = _with_ngram_arrays(refs, "_r", "_gr", top)
+    types = dict((f.name, f.dataType) for f in p.schema.fields)
+    ex_r = pr.select(*[F.col(k) if k == ref_key else F.lit(None).cast(types[k]).alias(k) for k in keys],
+                     F.lit(None).cast("int").alias("len_c"), F.lit(None).cast("int").alias("len_r"),
+                     F.inline(F.flatten(F.array(*[F.transform(f"_gr{n}", _tagger(1, n)) for n in orders]))))
+    counts = (ex_c.unionByName(ex_r).groupBy(*keys, "len_c", "len_r", "side", "n", "g")
+                  .agg(F.count(F.lit(1)).alias("cnt")))
+    w = Window.partitionBy(ref_key, "n", "g")
+    cand = (counts.withColumn("rc", F.max(F.when(F.col("side") == 1, F.col("cnt"))).over(w))
+                  .where(F.col("side") == 0))
+    clipped = F.least(F.col("cnt"), F.coalesce(F.col("rc"), F.lit(0)))
+    return cand.groupBy(*keys, "len_c", "len_r").agg(
+        *[F.coalesce(F.sum(F.when(F.col("n") == n, clipped)), F.lit(0)).cast("bigint").alias(f"correct_{n}")
+          for n in orders])
+
+
 def bleu_from_counts(max_order: int = 4) -> Column:
     """M1 from ``correct_1..4``, ``len_c``, ``len_r`` (0..100)."""
     lc, lr = F.col("len_c"), F.col("len_r")
@@ -128,27 +161,33 @@ def rouge_n_from_counts(n: int) -> Column:
     return F.when(prec + rec > 0, F.lit(2.0) * prec * rec / (prec + rec)).otherwise(F.lit(0.0))
 
 
-def _gated_overlap(pairs: DataFrame, keys, tokenizer, candidate: str, reference: str, orders, prepartition: bool):
-    """Overlap counts for every pair; gated-out pairs get empty token lists and
-    ``_ok = false`` (kept as a key, so no pair is dropped and no join is needed)."""
+def _gated_overlap(pairs: DataFrame, keys, tokenizer, candidate: str, reference: str, orders, prepartition: bool,
+                   ref_key: str | None = None):
+    """Overlap counts for every pair; gated-out pairs get an empty candidate
+    and ``_ok = false`` (kept as a key, so no pair is dropped and no join is
+    needed).  With ``ref_key`` the reference n-grams are shared per key."""
     empty = F.array().cast("array<string>")
     p = pairs.withColumn("_ok", scoring_gate(candidate, reference))
     c_tok = F.when(F.col("_ok"), tokenizer(candidate)).otherwise(empty)
+    if ref_key is not None:
+        r_tok = F.when(has_text(reference), tokenizer(reference)).otherwise(empty)
+        return shared_ref_overlap(p, list(keys) + ["_ok"], ref_key, c_tok, r_tok, orders)
     r_tok = F.when(F.col("_ok"), tokenizer(reference)).otherwise(empty)
     return ngram_overlap(p, list(keys) + ["_ok"], c_tok, r_tok, orders, prepartition)
 
 
 def bleu_scores(pairs: DataFrame, keys, candidate: str = "candidate", reference: str = "reference",
-                prepartition: bool = False) -> DataFrame:
-    """M1 per pair; NULL where the gate fails."""
-    c = _gated_overlap(pairs, keys, bleu_tokens, candidate, reference, (1, 2, 3, 4), prepartition)
+                prepartition: bool = False, ref_key: str | None = None) -> DataFrame:
+    """M1 per pair; NULL where the gate fails (B10).  ``ref_key``: a key column
+    that determines the reference (e.g. the query id), to share its n-grams."""
+    c = _gated_overlap(pairs, keys, bleu_tokens, candidate, reference, (1, 2, 3, 4), prepartition, ref_key)
     return c.select(*keys, F.when(F.col("_ok"), bleu_from_counts()).alias("bleu"))
 
 
 def rouge_n_scores(pairs: DataFrame, keys, candidate: str = "candidate", reference: str = "reference",
-                   prepartition: bool = False) -> DataFrame:
+                   prepartition: bool = False, ref_key: str | None = None) -> DataFrame:
     """M2 + M3 per pair; NULL where the gate fails."""
-    c = _gated_overlap(pairs, keys, rouge_tokens, candidate, reference, (1, 2), prepartition)
+    c = _gated_overlap(pairs, keys, rouge_tokens, candidate, reference, (1, 2), prepartition, ref_key)
     return c.select(*keys, F.when(F.col("_ok"), rouge_n_from_counts(1)).alias("rouge1"),
                     F.when(F.col("_ok"), rouge_n_from_counts(2)).alias("rouge2"))
 

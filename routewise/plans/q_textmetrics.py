@@ -69,7 +69,7 @@ def _rouge_sql(n: int) -> str:
                                               f"regexp_extract_all(reference, '{_BLEU_P}')", (1, 2, 3, 4)) + f"""
 SELECT id, model, resp_no, round({_bleu_sql()}, 6) AS bleu FROM ov""")
 def m1(spark, sf_dir):
-    b = TM.bleu_scores(pairs(spark, sf_dir), KEYS)
+    b = TM.bleu_scores(pairs(spark, sf_dir), KEYS, ref_key="id")
     return b.select(*KEYS, F.round("bleu", 6).alias("bleu"))
 
 
@@ -77,7 +77,7 @@ def m1(spark, sf_dir):
                                                    "regexp_extract_all(lower(reference), '[a-z0-9]+')", (1, 2)) + f"""
 SELECT id, model, resp_no, round({_rouge_sql(1)}, 6) AS rouge1, round({_rouge_sql(2)}, 6) AS rouge2 FROM ov""")
 def m23(spark, sf_dir):
-    r = TM.rouge_n_scores(pairs(spark, sf_dir), KEYS)
+    r = TM.rouge_n_scores(pairs(spark, sf_dir), KEYS, ref_key="id")
     return r.select(*KEYS, F.round("rouge1", 6).alias("rouge1"), F.round("rouge2", 6).alias("rouge2"))
 
 

@@ -29,6 +29,9 @@ def build_session(master: str | None = None, app: str = "routewise", shuffle_par
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
+    if master and master.startswith("local"):
+        # local mode: the driver JVM is the executor; give it a real heap
+        conf["spark.driver.memory"] = "16g"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
