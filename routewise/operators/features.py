@@ -99,10 +99,17 @@ def with_complexity(df: DataFrame, stats_from: DataFrame | dict | None = None, g
     return df.withColumn(name, F.round(score, 4))
 
 
-def query_feature_table(queries: DataFrame, keywords=None) -> DataFrame:
-    """Steps 5-6: query text, category, S1-S8 and the complexity score."""
+def query_feature_table(queries: DataFrame, keywords=None, materialize_features: bool = True) -> DataFrame:
+    """Steps 5-6: query text, category, S1-S8 and the complexity score.
+
+    The feature table is read twice (global min/max, then every row), so it is
+    materialized once in the shared checkpoint folder before the statistics
+    pass instead of re-running the text expressions."""
     df = with_category(with_query(queries))
     df = with_query_features(df, keywords)
+    if materialize_features:
+        from ..session import materialize
+        df = materialize(df)
     return with_complexity(df)
 
 
