@@ -28,6 +28,8 @@ def build_session(master: str | None = None, app: str = "routewise", shuffle_par
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # checkpoint files of frames that went out of scope are removed
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     if master and master.startswith("local"):
         # local mode: the driver JVM is the executor; give it a real heap

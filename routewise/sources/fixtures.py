@@ -96,16 +96,30 @@ def _metrics_col():
                               F.lit(mu).alias("mult")) for n, lo, hi, mu in FX_METRICS])
 
 
-def fx_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fx_queries(spark: SparkSession, sf_dir: str, by_id: bool = True) -> DataFrame:
     """Instruction queries: ``doc_id, id, instruction, input, output, category_no``.
 
-    Hash-partitioned by ``id`` right after the narrow projection (short texts
-    only), with an explicit partition count: every later per-query aggregate,
-    pivot and join on ``id`` of the tables fanned out from here reuses this
-    partitioning without a shuffle.
+    ``by_id=True``: hash-partitioned by ``id`` right after the narrow projection
+    (short texts only), with an explicit partition count: every later
+    per-query aggregate, pivot and join on ``id`` of the tables fanned out from
+    here reuses this partitioning without a shuffle.  ``by_id=False`` is for
+    per-row consumers, which need no co-location.
     """
     d = load(spark, sf_dir, "documents").select("doc_id", "text")
-    return queries_from_documents(d).repartition(fanout_partitions(spark), "id")
+    q = queries_from_documents(d)
+    if by_id:
+        return q.repartition(fanout_partitions(spark), "id")
+    return ensure_parallelism(q)
+
+
+def ensure_parallelism(df: DataFrame) -> DataFrame:
+    """For per-row work with no key to co-locate: keep the scan's partitions,
+    unless the input offers fewer than the cluster's parallelism (a single
+    large file); then spread the rows round-robin."""
+    spark = df.sparkSession
+    if df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        return df.repartition(fanout_partitions(spark))
+    return df
 
 
 def queries_from_documents(d: DataFrame) -> DataFrame:
