@@ -108,7 +108,7 @@ def fx_queries(spark: SparkSession, sf_dir: str, by_id: bool = True) -> DataFram
     d = load(spark, sf_dir, "documents").select("doc_id", "text")
     q = queries_from_documents(d)
     if by_id:
-        return q.repartition(fanout_partitions(spark), "id")
+        return q.repartition(fanout_partitions(spark, _documents_rows(spark, sf_dir)), "id")
     return ensure_parallelism(q)
 
 
@@ -117,8 +117,9 @@ def ensure_parallelism(df: DataFrame) -> DataFrame:
     unless the input offers fewer than the cluster's parallelism (a single
     large file); then spread the rows round-robin."""
     spark = df.sparkSession
-    if df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
-        return df.repartition(fanout_partitions(spark))
+    par = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
     return df
 
 
@@ -133,11 +134,30 @@ def queries_from_documents(d: DataFrame) -> DataFrame:
         (F.lit(1) + F.col("doc_id") % 15).alias("category_no"))
 
 
-def fanout_partitions(spark: SparkSession) -> int:
+#: Queries per partition of the fanned-out tables (30 responses, 270 scores each).
+QUERIES_PER_PARTITION = 10_000
+_ROW_COUNTS: dict = {}
+
+
+def fanout_partitions(spark: SparkSession, n_rows: int | None = None) -> int:
     """Explicit partition count for the query table: every row fans out 30x
     (responses) to 270x (scores) afterwards, so AQE must not coalesce this
-    exchange by its (small) size."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    exchange by its (small) input size.  About ``QUERIES_PER_PARTITION``
+    queries per partition, at least the cluster's parallelism, at most
+    ``spark.sql.shuffle.partitions``."""
+    par = spark.sparkContext.defaultParallelism
+    cap = max(int(spark.conf.get("spark.sql.shuffle.partitions")), par)
+    if n_rows is None:
+        return cap
+    return max(par, min(cap, -(-n_rows // QUERIES_PER_PARTITION)))
+
+
+def _documents_rows(spark: SparkSession, sf_dir: str) -> int:
+    """Row count of ``documents`` (parquet footers), once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ROW_COUNTS:
+        _ROW_COUNTS[key] = load(spark, sf_dir, "documents").count()
+    return _ROW_COUNTS[key]
 
 
 def _per_model(q: DataFrame) -> DataFrame:
