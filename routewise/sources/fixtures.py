@@ -143,13 +143,13 @@ def fanout_partitions(spark: SparkSession, n_rows: int | None = None) -> int:
     """Explicit partition count for the query table: every row fans out 30x
     (responses) to 270x (scores) afterwards, so AQE must not coalesce this
     exchange by its (small) input size.  About ``QUERIES_PER_PARTITION``
-    queries per partition, at least the cluster's parallelism, at most
-    ``spark.sql.shuffle.partitions``."""
+    queries per partition, at least two tasks per core (balanced stages), at
+    most ``spark.sql.shuffle.partitions``."""
     par = spark.sparkContext.defaultParallelism
     cap = max(int(spark.conf.get("spark.sql.shuffle.partitions")), par)
     if n_rows is None:
         return cap
-    return max(par, min(cap, -(-n_rows // QUERIES_PER_PARTITION)))
+    return min(cap, max(2 * par, -(-n_rows // QUERIES_PER_PARTITION)))
 
 
 def _documents_rows(spark: SparkSession, sf_dir: str) -> int:
