@@ -16,9 +16,10 @@ KEYS = ["id", "model", "resp_no"]
 
 
 def pairs(spark, sf_dir):
-    r = FX.fx_responses(spark, sf_dir)
-    q = FX.fx_queries(spark, sf_dir).select("id", F.col("output").alias("reference"))
-    return r.join(q, "id").select(*KEYS, F.col("response").alias("candidate"), "reference")
+    """(response, the query's answer) pairs; the fan-out carries the answer
+    along, so no join back to the query table is needed."""
+    r = FX.fx_responses(spark, sf_dir, with_text=True)
+    return r.select(*KEYS, F.col("response").alias("candidate"), F.col("output").alias("reference"))
 
 
 _BLEU_P = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"

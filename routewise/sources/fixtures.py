@@ -170,7 +170,7 @@ def fx_responses(spark: SparkSession, sf_dir: str, with_text: bool = False) -> D
     r = _per_model(q).select("*", F.inline(_slots_col()))
     cols = ["id", "model", F.col("i").alias("resp_no"), F.expr(_R_RESPONSE).alias("response")]
     if with_text:
-        cols += ["doc_id", "instruction", "input", "output"]
+        cols += ["doc_id", "instruction", "input", "output", "category_no"]
     return r.select(*cols)
 
 
