@@ -174,11 +174,12 @@ def fx_responses(spark: SparkSession, sf_dir: str, with_text: bool = False) -> D
     return r.select(*cols)
 
 
-def fx_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fx_scores(spark: SparkSession, sf_dir: str, with_doc: bool = False) -> DataFrame:
     """Long metric scores ``id, model, resp_no, metric, score`` (a complete grid)."""
     q = fx_queries(spark, sf_dir).select("doc_id", "id")
     s = _per_model(q).select("*", F.inline(_slots_col())).select("*", F.inline(_metrics_col()))
-    return s.select("id", "model", F.col("i").alias("resp_no"), "metric", F.expr(_S_SCORE).alias("score"))
+    cols = ["id", "model", F.col("i").alias("resp_no"), "metric", F.expr(_S_SCORE).alias("score")]
+    return s.select(*cols, "doc_id") if with_doc else s.select(*cols)
 
 
 def fx_runtimes(spark: SparkSession, sf_dir: str) -> DataFrame:
