@@ -274,8 +274,12 @@ def rouge_lcs_pair(candidate: str | None, reference: str | None):
     if candidate is None or reference is None:
         return None, None
     c, r = candidate.lower(), reference.lower()
-    return (rouge_l(_TOK.findall(c), _TOK.findall(r)),
-            rouge_lsum([_TOK.findall(x) for x in c.split("\n")], [_TOK.findall(x) for x in r.split("\n")]))
+    lcs_f = rouge_l(_TOK.findall(c), _TOK.findall(r))
+    if "\n" not in c and "\n" not in r:
+        # one sentence each: the union LCS is the LCS itself, and every LCS token
+        # is within both token counts, so ROUGE-Lsum equals ROUGE-L exactly
+        return lcs_f, lcs_f
+    return lcs_f, rouge_lsum([_TOK.findall(x) for x in c.split("\n")], [_TOK.findall(x) for x in r.split("\n")])
 
 
 @F.pandas_udf(T.StructType([T.StructField("rougeL", T.DoubleType()), T.StructField("rougeLsum", T.DoubleType())]))

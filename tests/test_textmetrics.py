@@ -74,3 +74,44 @@ def test_cosine(spark):
     df = spark.createDataFrame([([1.0, 0.0], [0.0, 1.0]), ([1.0, 2.0], [2.0, 4.0])], "a array<double>, b array<double>")
     got = [r["c"] for r in df.select(TM.cosine("a", "b").alias("c")).collect()]
     assert got[0] == pytest.approx(0.0) and got[1] == pytest.approx(1.0)
+
+
+@given(st.lists(st.sampled_from(["a", "b", "c", "dd"]), max_size=30),
+       st.lists(st.sampled_from(["a", "b", "c", "dd"]), max_size=30))
+@settings(max_examples=200, deadline=None)
+def test_single_line_lsum_shortcut_is_exact(a, b):
+    c, r = " ".join(a), " ".join(b)
+    fast = TM.rouge_lcs_pair(c, r)
+    slow = TM.rouge_lsum([TM._TOK.findall(c)], [TM._TOK.findall(r)])
+    assert fast[1] == pytest.approx(slow) and fast[0] == pytest.approx(TM.rouge_l(TM._TOK.findall(c), TM._TOK.findall(r)))
+
+
+def test_rouge_l_query_matches_brute_force(spark):
+    """M4/M5 have no SQL oracle: check the registered query against a plain
+    Python computation over every pair of the sf0.001 fixture."""
+    import re
+
+    import __spark_entry__ as E
+    from routewise.plans.q_textmetrics import pairs
+    from tests.conftest import SF001
+    got = {(r["id"], r["model"], r["resp_no"]): (r["rougeL"], r["rougeLsum"])
+           for r in E.queries()["M4_M5_rouge_l"](spark, SF001).collect()}
+    tok = re.compile("[a-z0-9]+")
+
+    def f(p, r):
+        return 2 * p * r / (p + r) if p + r > 0 else 0.0
+
+    n = 0
+    for row in pairs(spark, SF001).toPandas().itertuples():
+        key = (row.id, row.model, row.resp_no)
+        if not (row.candidate or "").strip() or not row.reference:
+            assert got[key] == (None, None)
+            continue
+        c, r = tok.findall(row.candidate.lower()), tok.findall(row.reference.lower())
+        lcs = lcs_brute(c, r)
+        exp_l = f(lcs / len(c), lcs / len(r)) if c and r else 0.0
+        exp_s = TM.rouge_lsum([tok.findall(x) for x in row.candidate.lower().split("\n")],
+                              [tok.findall(x) for x in row.reference.lower().split("\n")])
+        assert got[key][0] == pytest.approx(exp_l, abs=6e-7) and got[key][1] == pytest.approx(exp_s, abs=6e-7)
+        n += 1
+    assert n > 1000
