@@ -33,6 +33,16 @@ from pyspark.sql import types as T
 
 from ..functions.text import has_text, is_blank, nz
 
+# The UDF / mapInPandas code of this module runs in Python workers: ship it by
+# value so executors do not need the package installed.
+try:
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cp
+    _cp.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001 - older cloudpickle: fall back to import by name
+    pass
+
 BLEU_TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 ROUGE_TOKEN = r"[a-z0-9]+"
 _TOK = re.compile(ROUGE_TOKEN)
