@@ -7,13 +7,15 @@ Zhang, Chang, "Leveraging set relations in exact set similarity join", 2017):
 
 1. ``sets``: one pass over the texts writes size, fingerprint, a sketch of
    ``SKETCH`` minimum hashes and, once per set and batch, the text.  It also
-   reports shingles frequent within a batch.
+   reports shingles that several sets of the batch hold.
 2. Highly similar sets share sketch values; each meets only the least set with
    that value (its hub), so a group of m copies makes O(m) pairs.  Verified
    pairs label every set with a hub.
 3. Prefix index: any two linked sets share a shingle among the first
-   ``n - ceil(0.75 n) + 1`` of each, in one global order (hash order, with the
-   ``HOT_TOKENS`` most frequent shingles last, which is only a matter of speed).
+   ``n - ceil(0.75 n) + 1`` of each, in one global order: hash order, with
+   shingles marked in a bitmap last.  The bitmap (``MARK_BITS`` bits whatever the
+   corpus) holds the reported shingles, so prefixes consist of shingles that few
+   sets have; which shingles are marked only changes the speed.
    Prefixes are dealt by shingle to buckets as packed arrays.  In a shingle's
    list, rows of one hub need no pair; the list is ordered by set size and
    position, and blocks whose size or position cannot reach the overlap are
@@ -48,10 +50,9 @@ SHINGLE = 5
 #: Jaccard threshold as a fraction: 100 * intersection >= 75 * union.
 NUM, DEN = 75, 100
 SKETCH = 6
-#: Shingles put last in the global order, at most (broadcast: 8 bytes each).
-HOT_TOKENS = 100_000
-#: A shingle is reported as frequent from this count in one batch, and used from this sum.
-HOT_IN_BATCH, HOT_IN_ALL = 4, 64
+#: The bitmap of shingles put last has ``2 ** MARK_BITS`` bits (broadcast: 16 MB).
+MARK_BITS = 27
+_BLOCK_BITS = 15  # bits of one row of Spark's bitmap aggregate
 #: Prefix shingles per bucket aimed at.
 BUCKET_TOKENS = 1 << 20
 #: Pairs per verification block aimed at.
@@ -141,20 +142,20 @@ def _sets(docs: DataFrame, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(lo, hi - lo), pa.array(size), pa.array(ids, pa.binary()), sketch,
                      column,
-                     pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.int64())],
-                    names=["doc_id", "n", "sid", "sketch", "text", "token", "count"])
+                     pa.nulls(len(sets), pa.int64())],
+                    names=["doc_id", "n", "sid", "sketch", "text", "token"])
             if held:
-                token, count = np.unique(np.concatenate(held), return_counts=True)
-                often = count >= HOT_IN_BATCH
-                token, count = token[often].view(np.int64), count[often]
+                token = np.sort(np.concatenate(held))
+                again = token[1:] == token[:-1]
+                token = np.unique(token[1:][again] & np.uint64((1 << MARK_BITS) - 1)).view(np.int64)
                 k = len(token)
                 yield pa.RecordBatch.from_arrays(
                     [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.int64())),
-                     pa.nulls(k, b.schema.field(1).type), pa.array(token), pa.array(count.astype(np.int64))],
-                    names=["doc_id", "n", "sid", "sketch", "text", "token", "count"])
+                     pa.nulls(k, b.schema.field(1).type), pa.array(token)],
+                    names=["doc_id", "n", "sid", "sketch", "text", "token"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    ddl = "doc_id long, n long, sid binary, sketch array<long>, text string, token long, count long"
+    ddl = "doc_id long, n long, sid binary, sketch array<long>, text string, token long"
     return write_shared(src.mapInArrow(run, ddl), "jaccard-sets")
 
 
@@ -271,13 +272,31 @@ def list_pairs(size: np.ndarray, pos: np.ndarray, hub: np.ndarray) -> tuple[np.n
     return order[np.concatenate(left)], order[np.concatenate(right)]
 
 
-def _candidates(labelled: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
+def _marks(sets: DataFrame) -> np.ndarray:
+    """Bitmap of the reported shingles: one row of 4 KB per block, merged by Spark."""
+    block = F.shiftright("token", _BLOCK_BITS)
+    bit = F.col("token").bitwiseAND((1 << _BLOCK_BITS) - 1)
+    rows = sets.where("token is not null").groupBy(block.alias("block")).agg(F.bitmap_construct_agg(bit).alias("bits")).collect()
+    out = np.zeros(1 << (MARK_BITS - 3), np.uint8)
+    size = 1 << (_BLOCK_BITS - 3)
+    for r in rows:  # at most 2 ** (MARK_BITS - _BLOCK_BITS) of them
+        part = np.frombuffer(bytes(r["bits"]), np.uint8)[:size]
+        out[r["block"] * size: r["block"] * size + len(part)] = part
+    return out
+
+
+def marked(bitmap: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    at = tokens & np.uint64(8 * len(bitmap) - 1)
+    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+
+
+def _candidates(labelled: DataFrame, buckets: int, bitmap: np.ndarray) -> DataFrame:
     """Candidate pairs ``(a, b, hub, other)`` from the prefix index over ``labelled(sid, hub, text)``."""
     spark = labelled.sparkSession
-    late = spark.sparkContext.broadcast(np.sort(hot))
+    late = spark.sparkContext.broadcast(bitmap)
 
     def index(batches):
-        hot = late.value
+        bits = late.value
         for b in batches:
             token, owner, pos, names, hubs, sizes = [], [], [], [], [], []
             sid, hub = b.column(0).to_pylist(), b.column(1).to_pylist()
@@ -285,12 +304,8 @@ def _candidates(labelled: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame
                 for i, s in enumerate(shingle_sets(data, offs), lo):
                     if not len(s):
                         continue
-                    if len(hot):
-                        at = np.searchsorted(hot, s)
-                        at[at == len(hot)] = 0
-                        last = hot[at] == s
-                        if last.any():
-                            s = np.concatenate([s[~last], s[last]])
+                    last = marked(bits, s)
+                    s = np.concatenate([s[~last], s[last]])
                     k = prefix_length(len(s))
                     token.append(s[:k])
                     owner.append(np.full(k, len(names)))
@@ -377,12 +392,8 @@ def _candidates(labelled: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame
 
 def join(docs: DataFrame, text: str = "text") -> DataFrame:
     """Per document: ``doc_id, n_shingles, component_id`` (least id reachable by links)."""
-    spark = docs.sparkSession
     sets = _sets(docs, text)
     rows = sets.where("token is null").select("doc_id", "n", "sid")
-    hot = (sets.where("token is not null").groupBy("token").agg(F.sum("count").alias("c")).where(F.col("c") >= HOT_IN_ALL)
-           .orderBy(F.desc("c"), "token").limit(HOT_TOKENS).select("token").toPandas())
-    hot = hot["token"].to_numpy(np.int64).view(np.uint64)
     texts = sets.where("text is not null and sid is not null").select("sid", "text")
     # texts of one set may come once per batch: any of them will do, the set is the same
     stars = write_shared(verify(_hub_pairs(sets), texts), "jaccard-stars")
@@ -392,7 +403,7 @@ def join(docs: DataFrame, text: str = "text") -> DataFrame:
     labelled = texts.join(hubs, "sid", "left").select("sid", F.coalesce("hub", "sid").alias("hub"), "text")
     total = rows.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-total // (BUCKET_TOKENS * DEN // (DEN - NUM))))
-    links = verify(write_shared(_candidates(labelled, buckets, hot), "jaccard-candidates"), texts)
+    links = verify(write_shared(_candidates(labelled, buckets, _marks(sets)), "jaccard-candidates"), texts)
     roots = components(stars.unionByName(links))
     least = rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("low"))
     named = least.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select("sid", "low", F.coalesce("root", "sid").alias("root"))
