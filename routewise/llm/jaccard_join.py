@@ -5,29 +5,30 @@ identified by a 128-bit fingerprint, so exact copies are one set.  The join
 finds the connected components of "Jaccard >= THRESHOLD" (Wang, Qin, Lin,
 Zhang, Chang, "Leveraging set relations in exact set similarity join", 2017):
 
-1. ``sets``: one pass over the texts writes size, fingerprint, a sketch of
-   ``SKETCH`` minimum hashes and, once per set and batch, the text.  It also
-   reports shingles that several sets of the batch hold.
-2. Highly similar sets share sketch values; each meets only the least set with
-   that value (its hub), so a group of m copies makes O(m) pairs.  Verified
-   pairs label every set with a hub.
+1. ``sets``: one pass over the texts writes size, fingerprint, a sketch (the least
+   shingle hash in each of ``SKETCH`` ranges) and, once per set and batch, the text.
+   It also reports shingles that several sets of the batch hold.
+2. Highly similar sets share sketch values; each meets only the hub of that value,
+   the set whose values are the most widespread (the text that others were
+   edited from), so a group of m copies makes O(m) pairs.  Verified pairs label
+   every set with a hub.
 3. Prefix index: any two linked sets share a shingle among the first
    ``n - ceil(0.75 n) + 1`` of each, in one global order: hash order, with
    shingles marked in a bitmap last.  The bitmap (``MARK_BITS`` bits whatever the
    corpus) holds the reported shingles, so prefixes consist of shingles that few
    sets have; which shingles are marked only changes the speed.
-   Prefixes are dealt by shingle to buckets as packed arrays.  In a shingle's
-   list, rows of one hub need no pair; the list is ordered by set size and
+   Prefixes are dealt by shingle to buckets as packed arrays.  A shingle's list
+   keeps, per hub and set size, the first position; it is ordered by size and
    position, and blocks whose size or position cannot reach the overlap are
-   skipped whole.
-4. Verification: pairs are blocked by hub.  The hub's overlap with a set z is
-   computed once; every other member y of the hub derives its own from it by
-   the few shingles in which y and hub differ.  Once two hubs are linked, their
-   other pairs are skipped.
+   skipped whole.  What remains are pairs of hubs with possibly linked members.
+4. Verification: blocks hold members of one hub, and the sets of its partner hubs
+   stream past.  A set's overlap with the hub is computed once; all members
+   derive theirs from it by the few shingles in which they differ from the hub.
+   Once two hubs are linked, their other members are skipped.
 
-All true links between different sets either join sets with one label (already
-connected by verified links) or are candidates of step 3, so components are
-exact; no list, bucket or partner is capped.
+A link between different sets joins two sets with one label (already connected by
+verified links) or two hubs that step 3 pairs, so components are exact; no list,
+bucket or partner is capped, and the pairs of a group are never written out.
 
 Defined results: a set with no words (null or empty text) has size 0, links
 with nothing and is its own component; fewer words than ``SHINGLE`` make one
@@ -49,14 +50,15 @@ ship(__name__)
 SHINGLE = 5
 #: Jaccard threshold as a fraction: 100 * intersection >= 75 * union.
 NUM, DEN = 75, 100
-SKETCH = 6
+SKETCH = 16
+_SKETCH_BITS = 4
 #: The bitmap of shingles put last has ``2 ** MARK_BITS`` bits (broadcast: 16 MB).
 MARK_BITS = 27
 _BLOCK_BITS = 15  # bits of one row of Spark's bitmap aggregate
 #: Prefix shingles per bucket aimed at.
 BUCKET_TOKENS = 1 << 20
-#: Pairs per verification block aimed at.
-BLOCK_PAIRS = 256
+#: Members of a hub, and partner hubs, per verification block aimed at.
+BLOCK_MEMBERS, BLOCK_PARTNERS = 512, 256
 
 
 def _multipliers() -> np.ndarray:
@@ -109,7 +111,7 @@ def _fingerprint(tokens: np.ndarray) -> bytes:
 
 
 def _sets(docs: DataFrame, text: str) -> DataFrame:
-    seeds = splitmix(np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+    edges = np.arange(SKETCH, dtype=np.uint64) << np.uint64(64 - _SKETCH_BITS)
 
     def run(batches):
         for b in batches:
@@ -118,13 +120,12 @@ def _sets(docs: DataFrame, text: str) -> DataFrame:
             for lo, hi, data, offs in string_chunks(b.column(1)):
                 sets = shingle_sets(data, offs)
                 size = np.fromiter(map(len, sets), np.int64, len(sets))
-                some = np.flatnonzero(size)
-                mins = np.zeros((SKETCH, len(sets)), np.uint64)
-                if len(some):
-                    flat = np.concatenate([sets[i] for i in some])
-                    at = np.cumsum(size[some]) - size[some]
-                    for k in range(SKETCH):
-                        mins[k, some] = np.minimum.reduceat(splitmix(flat ^ seeds[k]), at)
+                mins, empty = np.zeros((len(sets), SKETCH), np.uint64), np.ones((len(sets), SKETCH), bool)
+                for i in np.flatnonzero(size).tolist():
+                    at = np.searchsorted(sets[i], edges)
+                    inside = at < size[i]
+                    mins[i, inside] = sets[i][at[inside]]
+                    empty[i] = ~inside | (mins[i] >> np.uint64(64 - _SKETCH_BITS) != np.arange(SKETCH, dtype=np.uint64))
                 ids, first = [], np.zeros(len(sets), bool)
                 for i, s in enumerate(sets):
                     if not len(s):
@@ -138,7 +139,7 @@ def _sets(docs: DataFrame, text: str) -> DataFrame:
                         held.append(s)
                 column = b.column(1).take(pa.array(np.arange(lo, hi), mask=~first))
                 sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, SKETCH * len(sets) + 1, SKETCH, dtype=np.int32)),
-                                                  pa.array(mins.T.ravel().view(np.int64)))
+                                                  pa.array(mins.ravel().view(np.int64), mask=empty.ravel()))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(lo, hi - lo), pa.array(size), pa.array(ids, pa.binary()), sketch,
                      column,
@@ -160,84 +161,101 @@ def _sets(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _hub_pairs(sets: DataFrame) -> DataFrame:
-    """Pairs ``(a = hub, b)`` of sets that share two or more sketch values with b's hub for that value."""
+    """Pairs ``(a = hub, b)`` of sets that share two or more sketch values with the hub of those values."""
     one = sets.where("text is not null").groupBy("sid").agg(F.first("sketch").alias("sketch"), F.first("n").alias("n"))
-    keys = one.select("sid", "n", F.posexplode("sketch").alias("k", "value"))
-    hubs = keys.groupBy("k", "value").agg(F.min(F.struct("sid", "n")).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    return (keys.join(hubs, ["k", "value"]).where((F.col("sid") != F.col("hub.sid"))
-                                                  & (DEN * F.least("n", "hub.n") >= NUM * F.greatest("n", "hub.n")))
-            .groupBy(F.col("hub.sid").alias("a"), F.col("sid").alias("b")).agg(F.count(F.lit(1)).alias("shared")).where("shared > 1")
-            .select(F.col("a").alias("hub"), "a", "b", F.col("b").alias("other")))
-
-
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links among ``pairs(hub, a, b, other)``: ``a`` is a set of ``hub``, ``b`` one of ``other``.
-
-    Returns linked ``(u, v)``, at least one for every linked (hub, other)."""
-    size = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("m"))
-    chunks = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK_PAIRS))
-    block = (pairs.join(size, "hub").withColumn("chunk", F.pmod(F.xxhash64("other"), chunks)).drop("m"))
-    block = write_shared(block, "jaccard-pairs")
-    need = (block.select("hub", "chunk", F.col("hub").alias("sid"), F.lit(None).cast("binary").alias("mate"), F.lit(None).cast("binary").alias("other"))
-            .unionByName(block.select("hub", "chunk", F.col("a").alias("sid"), F.lit(None).cast("binary").alias("mate"), F.lit(None).cast("binary").alias("other")))
-            .distinct()
-            .unionByName(block.select("hub", "chunk", F.col("b").alias("sid"), F.col("a").alias("mate"), "other")))
-    need = need.groupBy("hub", "chunk", "sid").agg(F.collect_list(F.struct("mate", "other")).alias("mates"))
-    rows = texts.select("sid", "text").join(need, "sid").select("hub", "chunk", "sid", "mates", "text")
-    rows = rows.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk")
+    keys = one.select("sid", "n", F.explode("sketch").alias("value")).where("value is not null")
+    shared = keys.groupBy("value").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    keys = write_shared(keys.join(shared, "value"), "jaccard-keys")
+    spread = keys.groupBy("sid").agg(F.sum("m").alias("spread"))
+    keys = keys.join(spread, "sid")
+    hubs = keys.groupBy("value").agg(F.max(F.struct("spread", "sid", "n")).alias("hub"))
+    return (keys.join(hubs, "value").where((F.col("sid") != F.col("hub.sid"))
+                                           & (DEN * F.least("n", "hub.n") >= NUM * F.greatest("n", "hub.n")))
+            .groupBy(F.col("hub.sid").alias("hub"), F.col("sid").alias("other")).agg(F.count(F.lit(1)).alias("shared"))
+            .where("shared > 1").select("hub", "other"))
+
+
+class Family:
+    """A hub's set and, for some of its members, what they lack and add."""
+
+    def __init__(self, hub: np.ndarray, members: list[np.ndarray]):
+        self.hub = hub
+        self.size = np.fromiter(map(len, members), np.int64, len(members))
+        lack, add = [], []
+        for y in members:
+            at = np.searchsorted(hub, y)
+            at[at == len(hub)] = 0
+            same = hub[at] == y if len(hub) else np.zeros(len(y), bool)
+            gone = np.ones(len(hub), bool)
+            gone[at[same]] = False
+            lack.append(np.flatnonzero(gone))
+            add.append(y[~same])
+        row = np.arange(len(members))
+        self.lack, self.lack_row = np.concatenate(lack), np.repeat(row, [len(x) for x in lack])
+        self.add, self.add_row = np.concatenate(add), np.repeat(row, [len(x) for x in add])
+
+    def overlaps(self, z: np.ndarray) -> np.ndarray:
+        """Intersection size of ``z`` with every member, derived from its intersection with the hub."""
+        in_z = _contains(z, self.hub)
+        n = len(self.size)
+        return (in_z.sum() - np.bincount(self.lack_row[in_z[self.lack]], minlength=n)
+                + np.bincount(self.add_row[_contains(z, self.add)], minlength=n))
+
+
+def verify(pairs: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links ``(u, v)`` between members of paired hubs, at least one for each ``pairs(hub, other)``
+    that has a link; ``members(sid, hub)`` names every set's hub."""
+    sizes = (pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("q"))
+             .join(members.groupBy("hub").agg(F.count(F.lit(1)).alias("m")), "hub")
+             .select("hub", F.ceil(F.col("q") / BLOCK_PARTNERS).alias("zs"), F.ceil(F.col("m") / BLOCK_MEMBERS).alias("ms")))
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    none = F.lit(None).cast("binary").alias("other")
+    own = (members.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("sid"), "ms").alias("mc"), "zs", "sid")
+           .select("hub", "mc", upto("zs").alias("zc"), "sid", none))
+    centre = sizes.select("hub", upto("ms").alias("mc"), "zs").select("hub", "mc", upto("zs").alias("zc"), F.col("hub").alias("sid"), none)
+    partner = (pairs.join(sizes, "hub").select("hub", "other", F.pmod(F.xxhash64("other"), "zs").alias("zc"), "ms")
+               .join(members.select("sid", F.col("hub").alias("other")), "other")
+               .select("hub", upto("ms").alias("mc"), "zc", "sid", "other"))
+    rows = own.unionByName(centre).unionByName(partner).join(texts.select("sid", "text"), "sid")
+    rows = (rows.select("hub", "mc", "zc", "sid", "other", "text").repartition("hub", "mc", "zc")
+            .sortWithinPartitions("hub", "mc", "zc", F.col("other").isNotNull(), "other", "sid"))
 
     def run(batches):
-        key, held = None, {}
-
-        def close(hub):
-            links, done, diff = [], set(), {}
-            centre = held[hub][0]
-            for z, (tokens, mates) in held.items():
-                of_hub = None
-                for mate, other in mates:
-                    if mate is None or other in done:
-                        continue
-                    if of_hub is None:
-                        of_hub = _overlap(centre, tokens)
-                    got = of_hub
-                    if mate != hub:
-                        if mate not in diff:
-                            y = held[mate][0]
-                            diff[mate] = np.setdiff1d(y, centre, assume_unique=True), np.setdiff1d(centre, y, assume_unique=True)
-                        more, less = diff[mate]
-                        got = of_hub + _overlap(more, tokens) - _overlap(less, tokens)
-                    if got >= needed_overlap(len(held[mate][0]), len(tokens)):
-                        links.append((mate, z))
-                        done.add(other)
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.binary()), pa.array([x[1] for x in links], pa.binary())], names=["u", "v"])
-
+        key, held, family, names, done = None, {}, None, [], set()
         for b in batches:
+            u, v = [], []
             tokens = []
-            for _, _, data, offs in string_chunks(b.column(4)):
+            for _, _, data, offs in string_chunks(b.column(5)):
                 tokens += shingle_sets(data, offs)
-            hub, chunk, sid = (b.column(c).to_pylist() for c in range(3))
-            mates = b.column(3).to_pylist()
-            for i, t in enumerate(tokens):
-                if (hub[i], chunk[i]) != key:
-                    if held:
-                        yield close(key[0])
-                    key, held = (hub[i], chunk[i]), {}
-                held[sid[i]] = (t, [(m["mate"], m["other"]) for m in mates[i]])
-        if held:
-            yield close(key[0])
+            hub, mc, zc, sid, other = (b.column(c).to_pylist() for c in range(5))
+            for i, z in enumerate(tokens):
+                if (hub[i], mc[i], zc[i]) != key:
+                    key, held, family, done = (hub[i], mc[i], zc[i]), {}, None, set()
+                if other[i] is None:
+                    held[sid[i]] = z
+                    continue
+                if family is None:
+                    names = list(held)
+                    family = Family(held[key[0]], list(held.values()))
+                if other[i] in done:
+                    continue
+                hit = np.flatnonzero(family.overlaps(z) >= needed_overlap(family.size, len(z)))
+                if len(hit):
+                    u.append(names[hit[0]])
+                    v.append(sid[i])
+                    done.add(other[i])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
 
     return rows.mapInArrow(run, "u binary, v binary")
 
 
-def _overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection of two sorted distinct arrays."""
-    if not len(a) or not len(b):
-        return 0
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int((b[at] == a).sum())
+def _contains(a: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which ``values`` the sorted distinct array ``a`` holds."""
+    if not len(a) or not len(values):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(a, values)
+    at[at == len(a)] = 0
+    return a[at] == values
 
 
 def list_pairs(size: np.ndarray, pos: np.ndarray, hub: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -291,16 +309,16 @@ def marked(bitmap: np.ndarray, tokens: np.ndarray) -> np.ndarray:
 
 
 def _candidates(labelled: DataFrame, buckets: int, bitmap: np.ndarray) -> DataFrame:
-    """Candidate pairs ``(a, b, hub, other)`` from the prefix index over ``labelled(sid, hub, text)``."""
+    """Pairs ``(hub, other)`` of hubs that may have linked members, from the prefix index over ``labelled(hub, text)``."""
     spark = labelled.sparkSession
     late = spark.sparkContext.broadcast(bitmap)
 
     def index(batches):
         bits = late.value
         for b in batches:
-            token, owner, pos, names, hubs, sizes = [], [], [], [], [], []
-            sid, hub = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo, _, data, offs in string_chunks(b.column(2)):
+            token, owner, pos, hubs, sizes = [], [], [], [], []
+            hub = b.column(0).to_pylist()
+            for lo, _, data, offs in string_chunks(b.column(1)):
                 for i, s in enumerate(shingle_sets(data, offs), lo):
                     if not len(s):
                         continue
@@ -308,15 +326,14 @@ def _candidates(labelled: DataFrame, buckets: int, bitmap: np.ndarray) -> DataFr
                     s = np.concatenate([s[~last], s[last]])
                     k = prefix_length(len(s))
                     token.append(s[:k])
-                    owner.append(np.full(k, len(names)))
+                    owner.append(np.full(k, len(hubs)))
                     pos.append(np.arange(k))
-                    names.append(sid[i])
                     hubs.append(hub[i])
                     sizes.append(len(s))
-            if not names:
+            if not hubs:
                 continue
             token, owner, pos = np.concatenate(token), np.concatenate(owner).astype(np.uint32), np.concatenate(pos).astype(np.uint32)
-            names, hubs = np.array(names, "V16"), np.array(hubs, "V16")
+            hubs = np.array(hubs, "V16")
             sizes = np.array(sizes, np.uint32)
             bucket = ((token >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -326,10 +343,10 @@ def _candidates(labelled: DataFrame, buckets: int, bitmap: np.ndarray) -> DataFr
                 at = order[cut[k]:cut[k + 1]]
                 own, back = np.unique(owner[at], return_inverse=True)
                 out.append((k, (token[at] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), back.astype("<u2" if len(own) <= 1 << 16 else "<u4").tobytes(),
-                            pos[at].tobytes(), names[own].tobytes(), hubs[own].tobytes(), sizes[own].tobytes()))
+                            pos[at].tobytes(), hubs[own].tobytes(), sizes[own].tobytes()))
             cols = list(zip(*out))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]],
-                                             names=["bucket", "token", "owner", "pos", "names", "hubs", "sizes"])
+                                             names=["bucket", "token", "owner", "pos", "hubs", "sizes"])
 
     def meet(batches):
         key, held = None, []
@@ -337,9 +354,8 @@ def _candidates(labelled: DataFrame, buckets: int, bitmap: np.ndarray) -> DataFr
         def close():
             parts = list(zip(*held))
             token = np.concatenate([np.frombuffer(x, "<u4") for x in parts[0]])
-            names = np.frombuffer(b"".join(parts[3]), "V16")
-            hubs = np.frombuffer(b"".join(parts[4]), "V16")
-            sizes = np.frombuffer(b"".join(parts[5]), np.uint32).astype(np.int64)
+            hubs = np.frombuffer(b"".join(parts[3]), "V16")
+            sizes = np.frombuffer(b"".join(parts[4]), np.uint32).astype(np.int64)
             count = [len(x) // 16 for x in parts[3]]
             shift = np.cumsum(count) - count
             owner = np.concatenate([np.frombuffer(x, "<u2" if c <= 1 << 16 else "<u4").astype(np.int64) + s
@@ -349,32 +365,30 @@ def _candidates(labelled: DataFrame, buckets: int, bitmap: np.ndarray) -> DataFr
             token, owner, pos = token[order], owner[order], pos[order]
             head = np.flatnonzero(np.diff(token.astype(np.int64), prepend=-1))
             tail = np.append(head[1:], len(token))
-            # one number per name and per hub
-            name_no = np.unique(names.view([("a", "<u8"), ("b", "<u8")]), return_inverse=True)[1]
-            hub_no = np.unique(hubs.view([("a", "<u8"), ("b", "<u8")]), return_inverse=True)[1]
-            own_hub = hub_no[owner]
+            label, hub_no = np.unique(hubs.view([("a", "<u8"), ("b", "<u8")]), return_inverse=True)
+            own_hub, own_size = hub_no[owner], sizes[owner]
             mixed = np.flatnonzero(np.maximum.reduceat(own_hub, head) != np.minimum.reduceat(own_hub, head))
-            pairs: set[tuple[int, int]] = set()
-            where = np.zeros(int(name_no.max()) + 1, np.int64)
-            where[name_no] = np.arange(len(names))
+            found, waiting, width = np.zeros(0, np.int64), [], len(label)
             for lo, hi in zip(head[mixed].tolist(), tail[mixed].tolist()):
-                own = owner[lo:hi]
-                _, one = np.unique(name_no[own], return_index=True)  # batches may repeat a set
-                own, p = own[one], pos[lo:hi][one]
-                a, b = list_pairs(sizes[own], p, hub_no[own])
-                x, y = name_no[own[a]], name_no[own[b]]
-                pairs.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist()))
-            if not pairs:
+                h, n, p = own_hub[lo:hi], own_size[lo:hi], pos[lo:hi]
+                order = np.lexsort((p, n, h))  # the first position per hub and size decides
+                h, n, p = h[order], n[order], p[order]
+                keep = np.append(True, (h[1:] != h[:-1]) | (n[1:] != n[:-1]))
+                h = h[keep]
+                a, b = list_pairs(n[keep], p[keep], h)
+                waiting.append(np.minimum(h[a], h[b]) * width + np.maximum(h[a], h[b]))
+                if sum(map(len, waiting)) > 1 << 20:
+                    found, waiting = np.unique(np.concatenate([found, *waiting])), []
+            found = np.unique(np.concatenate([found, *waiting]))
+            if not len(found):
                 return None
-            a, b = (where[list(c)] for c in zip(*pairs))
-            flip = hub_no[a] > hub_no[b]
-            a, b = np.where(flip, b, a), np.where(flip, a, b)
-            return pa.RecordBatch.from_arrays([pa.array([bytes(z) for z in x], pa.binary()) for x in (hubs[a], names[a], names[b], hubs[b])],
-                                              names=["hub", "a", "b", "other"])
+            label = label.view("V16").ravel()
+            return pa.RecordBatch.from_arrays([pa.array([bytes(z) for z in label[k]], pa.binary()) for k in (found // width, found % width)],
+                                              names=["hub", "other"])
 
         for b in batches:
             bucket = b.column(0).to_pylist()
-            cols = [b.column(c) for c in range(1, 7)]
+            cols = [b.column(c) for c in range(1, 6)]
             for i, k in enumerate(bucket):
                 if k != key:
                     if held and (done := close()) is not None:
@@ -384,10 +398,15 @@ def _candidates(labelled: DataFrame, buckets: int, bitmap: np.ndarray) -> DataFr
         if held and (done := close()) is not None:
             yield done
 
-    ddl = "bucket long, token binary, owner binary, pos binary, names binary, hubs binary, sizes binary"
-    lists = labelled.select("sid", "hub", "text").mapInArrow(index, ddl)
+    ddl = "bucket long, token binary, owner binary, pos binary, hubs binary, sizes binary"
+    lists = labelled.select("hub", "text").mapInArrow(index, ddl)
     dealt = lists.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(meet, "hub binary, a binary, b binary, other binary").distinct()
+    return dealt.mapInArrow(meet, "hub binary, other binary").distinct()
+
+
+def least_ids(rows: DataFrame) -> DataFrame:
+    """Every set with the least id of its documents."""
+    return rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("low"))
 
 
 def join(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -396,17 +415,18 @@ def join(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = sets.where("token is null").select("doc_id", "n", "sid")
     texts = sets.where("text is not null and sid is not null").select("sid", "text")
     # texts of one set may come once per batch: any of them will do, the set is the same
-    stars = write_shared(verify(_hub_pairs(sets), texts), "jaccard-stars")
+    alone = least_ids(rows).select("sid", F.col("sid").alias("hub"))
+    stars = write_shared(verify(write_shared(_hub_pairs(sets), "jaccard-hubs"), alone, texts), "jaccard-stars")
     hubs = stars.groupBy(F.col("v").alias("sid")).agg(F.min("u").alias("hub"))
     up = hubs.select(F.col("sid").alias("hub"), F.col("hub").alias("top"))
     hubs = hubs.join(up, "hub", "left").select("sid", F.coalesce("top", "hub").alias("hub"))
-    labelled = texts.join(hubs, "sid", "left").select("sid", F.coalesce("hub", "sid").alias("hub"), "text")
+    members = write_shared(least_ids(rows).join(hubs, "sid", "left").select("sid", F.coalesce("hub", "sid").alias("hub"), "low"), "jaccard-members")
+    labelled = texts.join(members, "sid").select("hub", "text")
     total = rows.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-total // (BUCKET_TOKENS * DEN // (DEN - NUM))))
-    links = verify(write_shared(_candidates(labelled, buckets, _marks(sets)), "jaccard-candidates"), texts)
+    links = verify(write_shared(_candidates(labelled, buckets, _marks(sets)), "jaccard-candidates"), members, texts)
     roots = components(stars.unionByName(links))
-    least = rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("low"))
-    named = least.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select("sid", "low", F.coalesce("root", "sid").alias("root"))
+    named = members.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select("sid", "low", F.coalesce("root", "sid").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     named = write_shared(named.join(lowest, "root").select("sid", "component_id"), "jaccard-components")
     return (rows.where("sid is not null").join(named, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")

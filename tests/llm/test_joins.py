@@ -71,7 +71,8 @@ def _corpus(seed, families=6, passages=2):
 def test_jaccard_equals_all_pairs(spark, seed, monkeypatch):
     monkeypatch.setattr(jaccard_join, "MARK_BITS", 18)
     monkeypatch.setattr(jaccard_join, "BUCKET_TOKENS", 256)
-    monkeypatch.setattr(jaccard_join, "BLOCK_PAIRS", 4)
+    monkeypatch.setattr(jaccard_join, "BLOCK_MEMBERS", 3)
+    monkeypatch.setattr(jaccard_join, "BLOCK_PARTNERS", 2)
     rows = _corpus(seed, families=14)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert _joined(df) == _plain_components(rows)
