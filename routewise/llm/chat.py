@@ -85,6 +85,10 @@ def _canonical(role: Column) -> Column:
     return F.coalesce(F.try_element_at(names, out), role)
 
 
+def _message(role: str, text: str):
+    return lambda m: _turn(_canonical(m[role]), m[text])
+
+
 def turns_from_json(df: DataFrame, record: str = "record") -> DataFrame:
     """Adds ``layout`` (fingerprint) and ``turns`` to rows holding one JSON record each."""
     j = F.col(record)
@@ -96,8 +100,7 @@ def turns_from_json(df: DataFrame, record: str = "record") -> DataFrame:
                             for names, role in how["fields"]])
         elif "list" in how:
             top, role, text = how["list"]
-            got = F.transform(F.from_json(field(top), f"array<struct<`{role}`:string,`{text}`:string>>"),
-                              lambda m, role=role, text=text: _turn(_canonical(m[role]), m[text]))
+            got = F.transform(F.from_json(field(top), f"array<struct<`{role}`:string,`{text}`:string>>"), _message(role, text))
         else:
             continue
         turns = F.when(F.col("layout") == _layout(paths), got).otherwise(turns)

@@ -36,7 +36,7 @@ from .common import ship
 ship(__name__)
 
 SAMPLE_PAGES = 2000
-#: Cost of a tag never seen on a labelled page.
+#: Cost of a block tag never seen on a labelled page (outside a marked article).
 UNSEEN_COST = 1.0
 LEAST_COST = 1e-3
 
@@ -158,7 +158,7 @@ def extract(page: str | None, weights: dict) -> str:
     # one linear scan: best sum of any contiguous run (the earliest, longest of equals)
     best, best_lo, best_hi, run, lo = 0.0, 0, 0, 0.0, 0
     parts: list[str | None] = []
-    for i, (kind, value, _) in enumerate(seq):
+    for i, (kind, value, inside) in enumerate(seq):
         if kind == "text":
             value = _html.unescape(value)
             parts.append(value)
@@ -166,7 +166,7 @@ def extract(page: str | None, weights: dict) -> str:
         else:
             parts.append(None)
             if kind == "tag":
-                run -= weights.get(value, UNSEEN_COST if value.lstrip("/") not in _INLINE else LEAST_COST)
+                run -= weights.get(value, LEAST_COST if inside or value.lstrip("/") in _INLINE else UNSEEN_COST)
         if run <= 0:
             run, lo = 0.0, i + 1
         elif run > best:

@@ -70,7 +70,7 @@ class ShardIndex:
             return []
         terms, gain = self.doc_term[lo:hi], self.doc_gain[lo:hi]
         if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-gain, QUERY_TERMS)[:QUERY_TERMS]]
+            terms = terms[np.lexsort((terms, -gain))[:QUERY_TERMS]]
         at, size = self.by_term[terms], self.by_term[terms + 1] - self.by_term[terms]
         take = np.arange(size.sum()) + np.repeat(at - (np.cumsum(size) - size), size)
         score = np.bincount(self.post_doc[take], self.post_gain[take], self.n) * unused

@@ -41,15 +41,14 @@ DEFAULT_KEY = b"routewise-demo-key"
 _LETTERS = string.ascii_lowercase
 _FIND = re.compile(
     r"(?P<email>(?<![\w.+%-])[A-Za-z0-9][\w.+%-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-]))"
-    r"|(?P<secret>(?<=[=:\"' ])(?=[0-9a-zA-Z_-]*[0-9])[0-9a-zA-Z_-]{12,}(?![\w-]))"
+    r"|(?<![A-Za-z])(?:[Tt]oken|[Pp]assword|passwd|[Ss]ecret|api[_-]?key|API[_-]?KEY)[\"']?[ ]?[=:][ ]?[\"']?(?P<secret>[0-9a-zA-Z_-]{6,})(?![\w-])"
     r"|(?P<date>(?<![\w/.-])(?:\d{4}-\d\d-\d\d|\d\d/\d\d/\d{4}|\d\d\.\d\d\.\d{4})(?![\w/-]|\.\d))"
     r"|(?P<ipv4>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d))"
     r"|(?P<phone>(?<![\w+.-])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}(?![\w-]|\.\d))"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d\d(?: ?[A-Z0-9]){11,30}(?!\w))", re.ASCII)
-_HINT = re.compile(r"[0-9@]")
-_ASSIGNED = re.compile(r"(?:token|password|passwd|secret|api[_-]?key|key)[\"']?\s*[=:]\s*[\"']?$", re.I)
+_HINT = re.compile(r"[0-9@=:]")
 _HEX = re.compile(r"[0-9a-f]+")
 _FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2100, 1, 1).toordinal() - _FIRST_DAY
@@ -199,7 +198,7 @@ def _email(v, key, back):
     return _symbols(local, "email@" + domain.lower(), key, back) + "@" + domain
 
 
-_RULES = {"email": _email, "date": _date, "ipv4": _ipv4, "ssn": _ssn, "card": _card, "phone": _phone, "iban": _iban}
+_RULES = {"secret": _secret, "email": _email, "date": _date, "ipv4": _ipv4, "ssn": _ssn, "card": _card, "phone": _phone, "iban": _iban}
 
 
 def pseudonymize(text: str | None, key: bytes = DEFAULT_KEY, decrypt: bool = False) -> tuple[str | None, list]:
@@ -208,29 +207,20 @@ def pseudonymize(text: str | None, key: bytes = DEFAULT_KEY, decrypt: bool = Fal
         return text, []
     out, spans, at, size = [], [], 0, 0
     for m in _FIND.finditer(text):
-        kind, v = m.lastgroup, m[0]
-        if kind == "secret":
-            hit = _ASSIGNED.search(text, max(0, m.start() - 40), m.start())
-            new = _secret(v, key, decrypt) if hit else None
-            if not hit:  # the run may still be a plain number
-                again = _CARD_AT.match(text, m.start())
-                if again and again.end() == m.end():
-                    kind, new = "card", _card(v, key, decrypt)
-        else:
-            new = _RULES[kind](v, key, decrypt)
+        kind = m.lastgroup
+        v = m[kind]
+        new = _RULES[kind](v, key, decrypt)
         if new is None:
             continue
-        out += [text[at:m.start()], new]
-        size += m.start() - at
+        start, end = m.span(kind)
+        out += [text[at:start], new]
+        size += start - at
         spans.append((size, size + len(new), kind))
         size += len(new)
-        at = m.end()
+        at = end
     return "".join([*out, text[at:]]), spans
 
 
-_CARD_AT = re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)", re.ASCII)
-
-
 def replace(docs: DataFrame, keep: list, text: str = "text", key: bytes = DEFAULT_KEY, decrypt: bool = False) -> DataFrame:
     """``keep`` columns of every row with ``text`` replaced, plus ``n_pii`` and ``pii``
     (spans: start, end in the new text, kind)."""
@@ -242,7 +232,7 @@ def replace(docs: DataFrame, keep: list, text: str = "text", key: bytes = DEFAUL
     def run(batches):
         for b in batches:
             col = b.column(b.num_columns - 1)
-            hit = pc.fill_null(pc.match_substring_regex(col, "[0-9@]"), False).to_numpy(zero_copy_only=False)
+            hit = pc.fill_null(pc.match_substring_regex(col, "[0-9@=:]"), False).to_numpy(zero_copy_only=False)
             texts, spans = col.to_pylist(), [[]] * len(col)
             for i in hit.nonzero()[0]:
                 texts[i], found = pseudonymize(texts[i], key, decrypt)

@@ -83,7 +83,7 @@ def test_langid_matches_plain_bayes(spark):
         for lang, c in counts.items():
             p = c + langid.SMOOTHING
             total = [p[:langid.BUCKETS].sum(), p[langid.BUCKETS:].sum()]
-            score[lang] = np.log(0.5) + sum(np.log(p[k] / total[k >= langid.BUCKETS]) for k in langid.ngram_buckets([text])[0])
+            score[lang] = np.log(0.5) + sum(np.log(p[k] / total[int(k >= langid.BUCKETS)]) for k in langid.ngram_buckets([text])[0])
         best = max(score, key=score.get)
         post = 1 / sum(np.exp(s - score[best]) for s in score.values())
         (got,), (value,) = langid.score_texts(model, [text])
@@ -121,7 +121,7 @@ def test_pii_replaces_and_restores():
 
 
 @pytest.mark.parametrize("text", ["4041894974608796", "300.1.1.1", "1.2.3.4.5", "2023-02-30", "000-12-3456", "DE89370400440532013001", "+1 (188) 555-2485",
-                                  "1111111111111117", "version 12.5", "a@b", "token one", "Plain words 499 only."])
+                                  "0000000000000000", "version 12.5", "a@b", "token one", "Plain words 499 only."])
 def test_pii_leaves_clean_text(text):
     assert pii.pseudonymize(text) == (text, [])
 

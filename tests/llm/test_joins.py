@@ -179,7 +179,7 @@ def test_packing_neighbours_match_plain_bm25():
         return np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(docs[d]) / mean)) if tf else 0.0
 
     for seed in range(5):
-        terms = sorted((t for t in set(docs[seed].tolist()) if 1 < df[t] <= n // 2), key=lambda t: -gain(t, seed))[:packing.QUERY_TERMS]
+        terms = sorted((t for t in set(docs[seed].tolist()) if 1 < df[t] <= n // 2), key=lambda t: (-round(gain(t, seed), 9), t))[:packing.QUERY_TERMS]
         unused = np.ones(n, bool)
         unused[[seed, 7, 8]] = False
         score = {d: sum(gain(t, d) for t in terms) for d in range(n) if unused[d]}
