@@ -57,6 +57,8 @@ MARK_BITS = 27
 _BLOCK_BITS = 15  # bits of one row of Spark's bitmap aggregate
 #: Prefix shingles per bucket aimed at.
 BUCKET_TOKENS = 1 << 20
+#: Lists up to this length are paired together in arrays, longer ones block by block.
+SHORT_LIST = 32
 #: Members of a hub, and partner hubs, per verification block aimed at.
 BLOCK_MEMBERS, BLOCK_PARTNERS = 512, 256
 
@@ -361,24 +363,40 @@ def _candidates(labelled: DataFrame, buckets: int, bitmap: np.ndarray) -> DataFr
             owner = np.concatenate([np.frombuffer(x, "<u2" if c <= 1 << 16 else "<u4").astype(np.int64) + s
                                     for x, c, s in zip(parts[1], count, shift)])
             pos = np.concatenate([np.frombuffer(x, np.uint32) for x in parts[2]]).astype(np.int64)
+            label, hub_no = np.unique(hubs.view([("a", "<u8"), ("b", "<u8")]), return_inverse=True)
+            hub, size = hub_no[owner], sizes[owner]
             order = np.argsort(token, kind="stable")
-            token, owner, pos = token[order], owner[order], pos[order]
+            token, hub, size, pos = token[order], hub[order], size[order], pos[order]
             head = np.flatnonzero(np.diff(token.astype(np.int64), prepend=-1))
-            tail = np.append(head[1:], len(token))
-            label, hub_no = np.unique(hubs.view([("a", "<u8"), ("b", "<u8")]), return_inverse=True)
-            own_hub, own_size = hub_no[owner], sizes[owner]
-            mixed = np.flatnonzero(np.maximum.reduceat(own_hub, head) != np.minimum.reduceat(own_hub, head))
-            found, waiting, width = np.zeros(0, np.int64), [], len(label)
-            for lo, hi in zip(head[mixed].tolist(), tail[mixed].tolist()):
-                h, n, p = own_hub[lo:hi], own_size[lo:hi], pos[lo:hi]
-                order = np.lexsort((p, n, h))  # the first position per hub and size decides
-                h, n, p = h[order], n[order], p[order]
-                keep = np.append(True, (h[1:] != h[:-1]) | (n[1:] != n[:-1]))
-                h = h[keep]
-                a, b = list_pairs(n[keep], p[keep], h)
-                waiting.append(np.minimum(h[a], h[b]) * width + np.maximum(h[a], h[b]))
-                if sum(map(len, waiting)) > 1 << 20:
-                    found, waiting = np.unique(np.concatenate([found, *waiting])), []
+            mixed = np.maximum.reduceat(hub, head) != np.minimum.reduceat(hub, head)
+            at = np.flatnonzero(np.repeat(mixed, np.diff(np.append(head, len(token)))))
+            # the first position per shingle, hub and size decides
+            at = at[np.lexsort((pos[at], size[at], hub[at], token[at]))]
+            token, hub, size, pos = token[at], hub[at], size[at], pos[at]
+            same = (token[1:] == token[:-1]) & (hub[1:] == hub[:-1]) & (size[1:] == size[:-1])
+            at = np.flatnonzero(np.append(True, ~same)[: len(token)])
+            token, hub, size, pos = token[at], hub[at], size[at], pos[at]
+            head = np.flatnonzero(np.diff(token.astype(np.int64), prepend=-1))
+            length = np.diff(np.append(head, len(token)))
+            short = np.repeat(length <= SHORT_LIST, length)
+            found, width = np.zeros(0, np.int64), len(label)
+            for step in range(1, min(SHORT_LIST, int(length.max(initial=0)))):
+                i = np.flatnonzero(short[:-step] & (token[:-step] == token[step:]))
+                j = i + step
+                low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+                reach = np.minimum(size[i] - pos[i], size[j] - pos[j])
+                ok = (hub[i] != hub[j]) & (DEN * low >= NUM * high) & (reach >= needed_overlap(low, high))
+                i, j = i[ok], j[ok]
+                found = np.unique(np.concatenate([found, np.minimum(hub[i], hub[j]) * width + np.maximum(hub[i], hub[j])]))
+            waiting, held_back = [], 0
+            for k in np.flatnonzero(length > SHORT_LIST).tolist():
+                part = slice(head[k], head[k] + length[k])
+                h = hub[part]
+                a, b = list_pairs(size[part], pos[part], h)
+                waiting.append(np.unique(np.minimum(h[a], h[b]) * width + np.maximum(h[a], h[b])))
+                held_back += len(waiting[-1])
+                if held_back > 1 << 20:
+                    found, waiting, held_back = np.unique(np.concatenate([found, *waiting])), [], 0
             found = np.unique(np.concatenate([found, *waiting]))
             if not len(found):
                 return None
