@@ -105,6 +105,7 @@ def label_distribution(labelled: DataFrame, value: str = "query_complexity_score
         return stats.join(labelled.groupBy(label).agg(F.percentile_approx(value, 0.5).alias("median_value")), label)
     meds = rowindex.grouped_quantiles(labelled, label, value, [0.5])
     spark = labelled.sparkSession
-    med_df = spark.createDataFrame([(int(g), float(v)) for (g, _), v in meds.items()],
-                                   f"{label} int, median_value double")
-    return stats.join(F.broadcast(med_df), label).orderBy(label)
+    med_df = spark.createDataFrame([(g if g is None else int(g), float(v)) for (g, _), v in meds.items()],
+                                   "_label int, median_value double")
+    # null-safe: rows without a label form a group of their own
+    return (stats.join(F.broadcast(med_df), stats[label].eqNullSafe(med_df["_label"]), "left").drop("_label").orderBy(label))

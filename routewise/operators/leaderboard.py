@@ -13,9 +13,15 @@ from pyspark.sql import functions as F
 OUTCOMES = ("A is better", "B is better", "Same good", "Same bad")
 
 
-def metric_means(scores: DataFrame) -> DataFrame:
-    """G1: mean score per (model, metric) over all candidates (NULL skipped)."""
-    return scores.groupBy("model", "metric").agg(F.avg("score").alias("mean_score"))
+def candidate_scores(rows: DataFrame, keys=("id", "split")) -> DataFrame:
+    """Source rows with ``candidates`` exploded to ``keys, model, metric, score`` (one row per candidate and metric)."""
+    one = rows.select(*keys, F.explode("candidates").alias("c"))
+    return one.select(*keys, F.col("c.model").alias("model"), F.explode("c.scores").alias("metric", "score"))
+
+
+def metric_means(scores: DataFrame, by=()) -> DataFrame:
+    """G1: mean score per (model, metric) and ``by`` (e.g. the split) over all candidates (NULL skipped)."""
+    return scores.groupBy(*by, "model", "metric").agg(F.avg("score").alias("mean_score"))
 
 
 def best_models(means: DataFrame) -> DataFrame:
@@ -47,7 +53,7 @@ def encode_comparisons(wide: DataFrame, models, value_fmt: str = "avg_normalized
 
 
 def pairwise_win_rates(cmp: DataFrame, col: str = "cmp_results") -> DataFrame:
-    """Decode the JSON map and aggregate outcome rates per model pair."""
+    """Decode the JSON map and aggregate outcome rates per model pair (rows without comparisons count nowhere)."""
     kv = cmp.select(F.explode(F.from_json(F.col(col), "map<string,string>")).alias("pair", "outcome"))
     parts = F.split("pair", ",")
     return (kv.groupBy(parts.getItem(0).alias("model_a"), parts.getItem(1).alias("model_b"))

@@ -1,19 +1,21 @@
 """Row order, exact quantiles, quantile filters and ordered splits.
 
 The study aligns tables and splits train/test by file position.  Spark has
-no implicit order, so every table carries a unique ``row_idx`` and position is
-the rank of ``row_idx``.  Ranks and order statistics are computed without a
-global (unpartitioned) window and without collecting a column:
+no implicit order, so every table carries a ``row_idx`` and position is the rank
+of ``row_idx`` (NULLs first; rows of equal key in the order of their place in
+the materialized table).  Nothing sorts a whole column in one task:
 
 * ``order_statistics`` finds exact order statistics by histogram narrowing:
   each pass is one scan plus an aggregate of at most ``buckets`` rows per open
-  range (all requested ranks share the pass); once a candidate range holds
-  few rows, ``row_number`` over a window partitioned by range finishes it.
-  Ties are handled because a bucket whose min equals its max is resolved at
-  once.  Quantiles, the quantile filter and the ordered split build on it.
-* ``with_row_number`` ranks every row: approximate range boundaries
-  (``percentile_approx``, a bounded sketch) cut the key into buckets, bucket
-  counts become offsets, and ``row_number`` runs per bucket.
+  range (all requested ranks share the pass) and repeats until every range
+  holds few rows, which ``row_number`` over a window partitioned by range
+  finishes.  A bucket whose min equals its max is resolved at once, so a hot
+  value costs nothing.  Quantiles and the quantile filter build on it.
+* ``among_first`` turns "the first k rows" into a row predicate: the k-th key,
+  then, only among rows of that key, the k'-th place.  Splits, heads and row
+  ranges are filters by it: exact sizes, no ranking, one path for every size.
+* ``with_row_number`` range-partitions by the key, counts each partition and adds
+  the offsets to the ranks within partitions.
 """
 
 from __future__ import annotations
@@ -22,20 +24,19 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import col_
+from ..session import materialize
 
 _FINISH_ROWS = 200_000
-
-
-def _stats(df: DataFrame, c: Column):
-    r = df.agg(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).first()
-    return r["n"], r["lo"], r["hi"]
+#: Groups whose order statistics may be asked for at once (one driver row each).
+MAX_GROUPS = 10_000
+PLACE = "__place"
 
 
 def grouped_order_statistics(df: DataFrame, group, column, ks_by_group: dict | None = None, qs=None,
-                             buckets: int = 1024, finish_rows: int = _FINISH_ROWS, max_passes: int = 16,
-                             ks_fn=None):
+                             buckets: int = 1024, finish_rows: int = _FINISH_ROWS, ks_fn=None):
     """Exact order statistics per group.
 
     Either ``ks_by_group`` ({group value: [1-based ranks]}), ``qs``
@@ -43,41 +44,58 @@ def grouped_order_statistics(df: DataFrame, group, column, ks_by_group: dict | N
     ranks) is given.  Returns
     ``{(g, k): value}`` and the per-group counts.  Job count: one statistics
     job, one histogram job per narrowing pass (all groups and ranks share it),
-    one final ranking job over the small candidate ranges."""
+    one final ranking job over the small candidate ranges.  Infinities and NaN
+    (ordered last) are counted apart, so every pass narrows a finite range."""
     g_col = F.lit(0) if group is None else col_(group)
     vals = df.select(g_col.alias("g"), col_(column).alias("v")).where(F.col("v").isNotNull())
-    stats = {r["g"]: (r["n"], r["lo"], r["hi"]) for r in
-             vals.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+    floating = isinstance(vals.schema["v"].dataType, (T.DoubleType, T.FloatType))
+    inf = float("inf")
+    low, high, odd = ((F.col("v") == F.lit(-inf), F.col("v") == F.lit(inf), F.isnan("v")) if floating else [F.lit(False)] * 3)
+    finite = F.when(~(low | high | odd), F.col("v"))
+    got = (vals.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min(finite).alias("lo"), F.max(finite).alias("hi"),
+                                 F.count_if(low).alias("n_low"), F.count_if(high).alias("n_high"), F.count_if(odd).alias("n_odd"))
+           .limit(MAX_GROUPS + 1).collect())
+    if len(got) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups")
+    stats = {r["g"]: r for r in got}
     if ks_by_group is None and ks_fn is not None:
-        ks_by_group = {gv: [k for k in ks_fn(n) if 1 <= k <= n] for gv, (n, _, _) in stats.items()}
+        ks_by_group = {gv: [k for k in ks_fn(r["n"]) if 1 <= k <= r["n"]] for gv, r in stats.items()}
     if ks_by_group is None:
         ks_by_group = {}
-        for gv, (n, _, _) in stats.items():
+        for gv, r in stats.items():
             ks = set()
             for q in qs:
-                j = math.floor((n - 1) * q)
-                ks.update({j + 1, min(j + 2, n)})
+                j = math.floor((r["n"] - 1) * q)
+                ks.update({j + 1, min(j + 2, r["n"])})
             ks_by_group[gv] = sorted(ks)
-    state = {}
+    out, state = {}, {}
     for gv, ks in ks_by_group.items():
-        n, lo, hi = stats[gv]
-        for k in ks:
-            if k < 1 or k > n:
-                raise ValueError(f"k={k} outside 1..{n} for group {gv!r}")
-            state[(gv, int(k))] = (int(k), n, lo, hi)
+        for k in map(int, ks):
+            r = stats.get(gv)
+            if r is None or k < 1 or k > r["n"]:
+                raise ValueError(f"k={k} outside 1..{r['n'] if r else 0} for group {gv!r}")
+            inner = r["n"] - r["n_low"] - r["n_high"] - r["n_odd"]
+            if k <= r["n_low"]:
+                out[(gv, k)] = -inf
+            elif k <= r["n_low"] + inner:
+                state[(gv, k)] = (k - r["n_low"], inner, r["lo"], r["hi"])
+            else:
+                out[(gv, k)] = inf if k <= r["n"] - r["n_odd"] else float("nan")
 
     def band(gv, a, b):
         return (F.col("g").eqNullSafe(F.lit(gv))) & F.col("v").between(F.lit(a), F.lit(b))
 
-    for _ in range(max_passes):
+    while True:
         open_ranges = sorted({(key[0], s[2], s[3]) for key, s in state.items() if s[2] != s[3] and s[1] > finish_rows},
                              key=lambda r: (str(r[0]), r[1]))
         if not open_ranges:
             break
         bucket = None
         for i, (gv, a, b) in enumerate(open_ranges):
-            width = float(b) - float(a)
-            inner = F.least(F.floor((F.col("v").cast("double") - F.lit(float(a))) / F.lit(width) * F.lit(buckets)),
+            # halves keep the width of any finite range finite; the least value falls in the
+            # first bucket and the largest in the last, so every pass narrows the range
+            half = float(b) / 2 - float(a) / 2
+            inner = F.least(F.floor((F.col("v").cast("double") / F.lit(2.0) - F.lit(float(a) / 2)) / F.lit(half) * F.lit(buckets)),
                             F.lit(buckets - 1)).cast("bigint") + F.lit(i * buckets)
             bucket = F.when(band(gv, a, b), inner) if bucket is None else bucket.when(band(gv, a, b), inner)
         rows = (vals.select(bucket.alias("b"), "v").where(F.col("b").isNotNull()).groupBy("b")
@@ -87,6 +105,7 @@ def grouped_order_statistics(df: DataFrame, group, column, ks_by_group: dict | N
         for r in rows:
             per_range.setdefault(r["b"] // buckets, []).append(r)
         index = {rng: i for i, rng in enumerate(open_ranges)}
+        moved = False
         for key, (rel, cnt, a, b) in list(state.items()):
             i = index.get((key[0], a, b))
             if i is None or cnt <= finish_rows:
@@ -95,9 +114,12 @@ def grouped_order_statistics(df: DataFrame, group, column, ks_by_group: dict | N
             for r in per_range[i]:
                 if acc + r["n"] >= rel:
                     state[key] = (rel - acc, r["n"], r["lo"], r["hi"])
+                    moved = moved or r["n"] < cnt
                     break
                 acc += r["n"]
-    out = {key: s[2] for key, s in state.items() if s[2] == s[3]}
+        if not moved:  # neighbouring doubles that share a bucket: nothing lies between them
+            break
+    out |= {key: s[2] for key, s in state.items() if s[2] == s[3]}
     pending = {key: s for key, s in state.items() if key not in out}
     if pending:
         ranges = sorted({(key[0], s[2], s[3]) for key, s in pending.items()}, key=lambda r: (str(r[0]), r[1]))
@@ -105,21 +127,24 @@ def grouped_order_statistics(df: DataFrame, group, column, ks_by_group: dict | N
         for i, (gv, a, b) in enumerate(ranges):
             rid = F.when(band(gv, a, b), F.lit(i)) if rid is None else rid.when(band(gv, a, b), F.lit(i))
         want = {(ranges.index((key[0], s[2], s[3])), s[0]): key for key, s in pending.items()}
-        w = Window.partitionBy("rid").orderBy("v")
-        ranked = (vals.select(rid.alias("rid"), "v").where(F.col("rid").isNotNull())
-                  .withColumn("rn", F.row_number().over(w)))
+        # distinct values with counts: a range of few rows, whatever its ties
+        counts = (vals.select(rid.alias("rid"), "v").where(F.col("rid").isNotNull()).groupBy("rid", "v")
+                  .agg(F.count(F.lit(1)).alias("n")))
+        upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("rid").orderBy("v")))
         pick = F.lit(False)
         for (i, rel) in want:
-            pick = pick | ((F.col("rid") == i) & (F.col("rn") == rel))
-        for r in ranked.where(pick).collect():
-            out[want[(r["rid"], r["rn"])]] = r["v"]
-    return out, {gv: st[0] for gv, st in stats.items()}
+            pick = pick | ((F.col("rid") == i) & (F.col("upto") >= rel) & (F.col("upto") - F.col("n") < rel))
+        for r in upto.where(pick).collect():
+            for (i, rel), key in want.items():
+                if i == r["rid"] and r["upto"] - r["n"] < rel <= r["upto"]:
+                    out[key] = r["v"]
+    return out, {gv: r["n"] for gv, r in stats.items()}
 
 
 def order_statistics(df: DataFrame, column, ks, **kw) -> dict:
     """Exact k-th smallest non-null values of ``column`` for every 1-based ``k`` in ``ks``."""
-    out, counts = grouped_order_statistics(df.select(col_(column).alias("v")), None, "v",
-                                           ks_by_group={0: sorted(set(int(k) for k in ks))}, **kw)
+    out, _ = grouped_order_statistics(df.select(col_(column).alias("v")), None, "v",
+                                      ks_by_group={0: sorted(set(int(k) for k in ks))}, **kw)
     return {k: v for (_, k), v in out.items()}
 
 
@@ -173,90 +198,83 @@ def python_round(x: float) -> int:
     return round(x)
 
 
-def split_boundary(df: DataFrame, key: str, ratio: float):
-    """(n, n_train, last train key): the first ``round(n * ratio)`` rows by ``key`` train."""
-    # one statistics job gives n; the boundary rank is then resolved in the same
-    # narrowing machinery (ks_by_group is built from the per-group count)
-    vals, counts = grouped_order_statistics(df, None, key, qs=None, ks_fn=lambda n: [python_round(n * ratio)])
-    n = counts.get(0, 0)
-    k = python_round(n * ratio)
-    if k <= 0:
-        return n, 0, None
-    return n, k, vals[(0, k)]
-
-
-def ordered_split(df: DataFrame, key: str = "row_idx", ratio: float = 0.9):
-    """train = first ``round(n * ratio)`` rows in ``key`` order, test = the rest.
-
-    Returns ``(train, test)``; only one boundary value is computed, no ranking."""
-    n, k, boundary = split_boundary(df, key, ratio)
-    if boundary is None:
-        return df.where(F.lit(False)), df
-    if k >= n:
-        return df, df.where(F.lit(False))
-    return df.where(F.col(key) <= F.lit(boundary)), df.where(F.col(key) > F.lit(boundary))
+def with_place(df: DataFrame) -> DataFrame:
+    """The table written once with each row's place in it (the order of equal keys)."""
+    return materialize(df.withColumn(PLACE, F.monotonically_increasing_id()))
+
+
+def among_first(df: DataFrame, key: str, ks) -> dict:
+    """Per requested size k, a never-null predicate that holds for the first k
+    rows of ``df`` by (``key`` NULLs first, place); ``df`` comes from ``with_place``."""
+    c, place = F.col(key), F.col(PLACE)
+    head = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(c.isNull()).alias("nulls")).first()
+    n, nulls = head["n"], head["nulls"]
+    out = {k: F.lit(k >= n) for k in ks if k <= 0 or k >= n}
+    inner = sorted({k - nulls for k in ks if k not in out and k > nulls})
+    keys = order_statistics(df, key, inner) if inner else {}
+    cuts = sorted(set(keys.values()))
+    if cuts:
+        aggs = [F.struct(F.count_if(c < F.lit(v)).alias("below"), F.count_if(c == F.lit(v)).alias("ties")).alias(f"c{i}")
+                for i, v in enumerate(cuts)]
+        got = df.agg(*aggs).first()
+        ties = {v: got[f"c{i}"] for i, v in enumerate(cuts)}
+    for k in ks:
+        if k in out:
+            continue
+        if k <= nulls:
+            edge = kth_smallest(df.where(c.isNull()), PLACE, k) if k < nulls else None
+            here = c.isNull() if edge is None else c.isNull() & (place <= F.lit(edge))
+            out[k] = F.coalesce(here, F.lit(False))
+            continue
+        v = keys[k - nulls]
+        rest = k - nulls - ties[v]["below"]
+        at = c == F.lit(v)
+        if rest < ties[v]["ties"]:
+            at = at & (place <= F.lit(kth_smallest(df.where(c == F.lit(v)), PLACE, rest)))
+        out[k] = c.isNull() | F.coalesce((c < F.lit(v)) | at, F.lit(False))
+    return out
 
 
 def mark_split(df: DataFrame, key: str = "row_idx", ratio: float = 0.9) -> DataFrame:
     """B7 as a column: ``is_train`` true for the first ``round(n * ratio)`` rows."""
-    n, k, boundary = split_boundary(df, key, ratio)
-    if boundary is None:
-        return df.withColumn("is_train", F.lit(False))
-    return df.withColumn("is_train", F.col(key) <= F.lit(boundary))
+    df = with_place(df)
+    k = python_round(df.count() * ratio)
+    return df.withColumn("is_train", among_first(df, key, [k])[k]).drop(PLACE)
+
+
+def ordered_split(df: DataFrame, key: str = "row_idx", ratio: float = 0.9):
+    """train = first ``round(n * ratio)`` rows in ``key`` order, test = the rest; every row is in one of them."""
+    marked = mark_split(df, key, ratio)
+    return marked.where("is_train").drop("is_train"), marked.where("NOT is_train").drop("is_train")
 
 
 def row_range(df: DataFrame, key: str, start: int, num: int) -> DataFrame:
-    """A4: rows ``[start, start + num)`` by 0-based position in ``key`` order."""
-    n = df.count()
-    first, last = start + 1, min(start + num, n)
-    if num <= 0 or first > n:
-        return df.where(F.lit(False))
-    lo = kth_smallest(df, key, first)
-    hi = kth_smallest(df, key, last)
-    return df.where(F.col(key).between(F.lit(lo), F.lit(hi)))
-
-
-def _bucket_expr(c: Column, bounds: list) -> Column:
-    """Balanced CASE tree: number of bounds strictly below ``c`` (log depth)."""
-    def build(lo_i: int, hi_i: int) -> Column:
-        if lo_i == hi_i:
-            return F.lit(lo_i)
-        mid = (lo_i + hi_i) // 2
-        return F.when(c <= F.lit(bounds[mid]), build(lo_i, mid)).otherwise(build(mid + 1, hi_i))
-    return build(0, len(bounds))
-
-
-def with_row_number(df: DataFrame, key: str = "row_idx", name: str = "row_no", rows_per_bucket: int = 1_000_000,
-                    max_buckets: int = 512) -> DataFrame:
-    """1-based position of each row in ``key`` order (``key`` must be unique).
-
-    Work per task is one bucket of about ``rows_per_bucket`` rows; nothing
-    moves to a single partition."""
-    n = df.count()
-    nb = max(1, min(max_buckets, math.ceil(n / rows_per_bucket)))
-    if nb == 1:
-        bucket = F.lit(0)
-        offsets = {0: 0}
-    else:
-        qs = [i / nb for i in range(1, nb)]
-        bounds = df.select(F.percentile_approx(key, qs, 10000)).first()[0]
-        bounds = sorted(set(bounds))
-        bucket = _bucket_expr(F.col(key), bounds)
-        counts = df.groupBy(bucket.alias("b")).count().orderBy("b").collect()
-        offsets, acc = {}, 0
-        for r in counts:
-            offsets[r["b"]] = acc
-            acc += r["count"]
-    off_map = F.create_map(*[x for b, o in offsets.items() for x in (F.lit(b), F.lit(o).cast("bigint"))])
-    w = Window.partitionBy("__b").orderBy(F.col(key))
-    return (df.withColumn("__b", bucket)
-            .withColumn(name, F.element_at(off_map, F.col("__b")) + F.row_number().over(w))
-            .drop("__b"))
+    """A4: rows ``[start, start + num)`` by 0-based position in ``key`` order (both ends in one search)."""
+    start, num = max(start, 0), max(num, 0)
+    df = with_place(df)
+    first = among_first(df, key, [start, start + num])
+    return df.where(first[start + num] & ~first[start]).drop(PLACE)
 
 
 def first_rows(df: DataFrame, key: str, n: int) -> DataFrame:
-    """R2: the first ``n`` rows in ``key`` order (a bounded top-k; large ``n``
-    goes through ``row_range``)."""
-    if n <= _FINISH_ROWS:
-        return df.orderBy(key).limit(n)
+    """R2: the first ``n`` rows in ``key`` order."""
     return row_range(df, key, 0, n)
+
+
+def with_row_number(df: DataFrame, key: str = "row_idx", name: str = "row_no", rows_per_partition: int = 1_000_000) -> DataFrame:
+    """1-based position of each row in ``key`` order (NULLs first).
+
+    The rows are range-partitioned by ``key`` (about ``rows_per_partition`` each, at
+    least one partition per core) and written; partition counts become offsets
+    (one driver row per partition), ranks run within partitions."""
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, math.ceil(df.count() / rows_per_partition))
+    ranged = materialize(df.repartitionByRange(parts, F.col(key).asc_nulls_first()).withColumn("__part", F.spark_partition_id()))
+    counts = {r["__part"]: r["count"] for r in ranged.groupBy("__part").count().collect()}
+    offsets, acc = [], 0
+    for p in range(parts):
+        offsets.append(acc)
+        acc += counts.get(p, 0)
+    before = F.element_at(F.lit(offsets).cast("array<bigint>"), F.col("__part") + 1)
+    rank = F.row_number().over(Window.partitionBy("__part").orderBy(F.col(key).asc_nulls_first()))
+    return ranged.withColumn(name, before + rank).drop("__part")

@@ -1,14 +1,13 @@
 """Candidate-vs-reference text metrics.
 
-* BLEU (M1) and ROUGE-1/2 (M2, M3) are n-gram overlap jobs in native Spark:
-  each pair explodes its n-grams (both sides, plus one sentinel row so no pair
-  vanishes), one ``groupBy(pair, n, gram)`` clips candidate counts by
-  reference counts, one ``groupBy(pair)`` sums per order.  Both aggregations
-  are keyed by the pair key, so a pair table hash-partitioned by its first key
-  (as the study tables are, by ``id``) runs them without any further shuffle.
-* ROUGE-L / ROUGE-Lsum (M4, M5) need a longest common subsequence per pair:
-  an Arrow-batched ``pandas_udf`` (bit-parallel LCS length; a small DP with
-  backtracking for the summary-level union LCS).
+A pair stays one row from beginning to end: BLEU, ROUGE-1/2 and
+ROUGE-L/Lsum of a batch of pairs come from one Arrow-batched function that
+tokenizes each text once (a reference shared by neighbouring pairs only once
+for all of them), so nothing is exploded and nothing is shuffled.
+
+* BLEU and ROUGE-N clip n-gram counts (M1-M3).
+* ROUGE-L uses a bit-parallel longest common subsequence; ROUGE-Lsum keeps
+  one integer of bits per reference word and walks them back (M4, M5).
 * The neural scores (bart, bleurt, logprobs) are a pluggable per-pair scorer
   run with ``mapInPandas`` (M7); the scorer is built once per partition.
 * "bert" (M6) is the cosine similarity of two embedding arrays.
@@ -23,11 +22,12 @@ lowercase ``[a-z0-9]+`` runs; F = 2PR / (P + R) (Lin 2004).
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,18 +43,11 @@ try:
 except Exception:  # noqa: BLE001 - older cloudpickle: fall back to import by name
     pass
 
-BLEU_TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 ROUGE_TOKEN = r"[a-z0-9]+"
 _TOK = re.compile(ROUGE_TOKEN)
-_SEP = "\u0001"
-
-
-def bleu_tokens(c) -> Column:
-    return F.regexp_extract_all(nz(c), F.lit(BLEU_TOKEN), 0)
-
-
-def rouge_tokens(c) -> Column:
-    return F.regexp_extract_all(F.lower(nz(c)), F.lit(ROUGE_TOKEN), 0)
+# \w are letters, numbers and the underscore; white space is ASCII, as in the SQL engines' patterns
+_BLEU_TOK = re.compile(r"\w+|[^\w \t\n\f\r]")
+METRICS = ("bleu", "rouge1", "rouge2", "rougeL", "rougeLsum")
 
 
 def scoring_gate(candidate, reference) -> Column:
@@ -67,139 +60,38 @@ def mask_guard(candidate, reference) -> Column:
     return nz(candidate).contains("<mask>") | nz(reference).contains("<mask>")
 
 
-def _with_ngram_arrays(df: DataFrame, tokens: str, prefix: str, max_order: int) -> DataFrame:
-    """Columns ``<prefix>1..<prefix>max_order``: the n-gram strings of ``tokens``.
+def _grams(tokens: list, n: int) -> Counter:
+    return Counter(tokens) if n == 1 else Counter(zip(*(tokens[i:] for i in range(n))))
 
-    Order n is built from order n-1 with one ``zip_with`` against the tokens
-    shifted by n-1 (both sides trimmed to ``len - n + 1``, since ``zip_with``
-    pads the shorter side with NULL); each order is its own projection so it
-    is computed once."""
-    out = df.withColumn(f"{prefix}1", F.col(tokens))
-    for n in range(2, max_order + 1):
-        k = F.greatest(F.size(tokens) - F.lit(n - 1), F.lit(0))
-        out = out.withColumn(f"{prefix}{n}", F.zip_with(F.slice(f"{prefix}{n - 1}", 1, k), F.slice(tokens, n, k),
-                                                        lambda a, b: F.concat(a, F.lit(_SEP), b)))
-    return out
 
+def _matches(cand: Counter, ref: Counter) -> int:
+    """Clipped n-gram matches."""
+    if len(ref) < len(cand):
+        cand, ref = ref, cand
+    return sum(min(k, ref[g]) for g, k in cand.items() if g in ref)
 
-def _tagger(side: int, n: int):
-    return lambda g: F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"), g.alias("g"))
 
+def bleu(cand: list, ref: list, ref_grams: list | None = None, top: int = 4) -> float:
+    """M1 (0..100) of two token lists; ``ref_grams``: the reference's counts of order 1..top, if known."""
+    if len(cand) < top:
+        return 0.0
+    ref_grams = ref_grams or [_grams(ref, n) for n in range(1, top + 1)]
+    total, zeros, logs = 0, 0, 0.0
+    for n in range(1, top + 1):
+        hit, of = _matches(_grams(cand, n), ref_grams[n - 1]), len(cand) - n + 1
+        total += hit
+        zeros += not hit
+        logs += math.log(100.0 * hit / of if hit else 100.0 / (2.0 ** zeros * of))
+    if not total:
+        return 0.0
+    brevity = 1.0 if len(cand) >= len(ref) else math.exp(1.0 - len(ref) / len(cand))
+    return brevity * math.exp(logs / top)
 
-def ngram_overlap(pairs: DataFrame, keys, cand_tokens: Column, ref_tokens: Column, orders=(1, 2, 3, 4),
-                  prepartition: bool = False) -> DataFrame:
-    """Per pair: ``len_c``, ``len_r`` and clipped matches ``correct_<n>`` per order.
 
-    ``prepartition=True`` hash-partitions the pair rows by the first key before
-    exploding, so the n-gram rows never cross the network."""
-    keys = list(keys)
-    p = pairs.repartition(keys[0]) if prepartition else pairs
-    p = p.select(*keys, cand_tokens.alias("_c"), ref_tokens.alias("_r"))
-    top = max(orders)
-    p = _with_ngram_arrays(_with_ngram_arrays(p, "_c", "_gc", top), "_r", "_gr", top)
-    sentinel = F.array(F.struct(F.lit(0).alias("side"), F.lit(0).alias("n"), F.lit("").alias("g")))
-    parts = [sentinel]
-    for side, prefix in ((0, "_gc"), (1, "_gr")):
-        for n in orders:
-            parts.append(F.transform(f"{prefix}{n}", _tagger(side, n)))
-    ex = p.select(*keys, F.size("_c").alias("len_c"), F.size("_r").alias("len_r"), F.inline(F.flatten(F.array(*parts))))
-    counts = (ex.groupBy(*keys, "len_c", "len_r", "n", "g")
-                .agg(F.count_if((F.col("side") == 0) & (F.col("n") > 0)).alias("cc"),
-                     F.count_if(F.col("side") == 1).alias("rc")))
-    clipped = F.least(F.col("cc"), F.col("rc"))
-    return counts.groupBy(*keys, "len_c", "len_r").agg(
-        *[F.coalesce(F.sum(F.when(F.col("n") == n, clipped)), F.lit(0)).cast("bigint").alias(f"correct_{n}")
-          for n in orders])
-
-
-def shared_ref_overlap(pairs: DataFrame, keys, ref_key: str, cand_tokens: Column, ref_tokens: Column,
-                       orders=(1, 2, 3, 4)) -> DataFrame:
-    """``ngram_overlap`` when many candidates share one reference (``ref_key``
-    determines the reference): reference n-grams are generated once per
-    ``ref_key`` instead of once per pair.  Candidate and reference gram counts
-    are one union + one aggregate; the reference count reaches each candidate
-    gram through a window partitioned by (ref_key, n, gram), which a table
-    hash-partitioned by ``ref_key`` satisfies without a shuffle."""
-    keys = list(keys)
-    top = max(orders)
-    p = pairs.select(*keys, cand_tokens.alias("_c"), ref_tokens.alias("_r"))
-    pc = _with_ngram_arrays(p, "_c", "_gc", top)
-    sentinel = F.array(F.struct(F.lit(0).alias("side"), F.lit(0).alias("n"), F.lit("").alias("g")))
-    cand_parts = [sentinel] + [F.transform(f"_gc{n}", _tagger(0, n)) for n in orders]
-    ex_c = pc.select(*keys, F.size("_c").alias("len_c"), F.size("_r").alias("len_r"),
-                     F.inline(F.flatten(F.array(*cand_parts))))
-    refs = p.select(ref_key, "_r").dropDuplicates([ref_key])
-    pr = _with_ngram_arrays(refs, "_r", "_gr", top)
-    types = dict((f.name, f.dataType) for f in p.schema.fields)
-    ex_r = pr.select(*[F.col(k) if k == ref_key else F.lit(None).cast(types[k]).alias(k) for k in keys],
-                     F.lit(None).cast("int").alias("len_c"), F.lit(None).cast("int").alias("len_r"),
-                     F.inline(F.flatten(F.array(*[F.transform(f"_gr{n}", _tagger(1, n)) for n in orders]))))
-    counts = (ex_c.unionByName(ex_r).groupBy(*keys, "len_c", "len_r", "side", "n", "g")
-                  .agg(F.count(F.lit(1)).alias("cnt")))
-    w = Window.partitionBy(ref_key, "n", "g")
-    cand = (counts.withColumn("rc", F.max(F.when(F.col("side") == 1, F.col("cnt"))).over(w))
-                  .where(F.col("side") == 0))
-    clipped = F.least(F.col("cnt"), F.coalesce(F.col("rc"), F.lit(0)))
-    return cand.groupBy(*keys, "len_c", "len_r").agg(
-        *[F.coalesce(F.sum(F.when(F.col("n") == n, clipped)), F.lit(0)).cast("bigint").alias(f"correct_{n}")
-          for n in orders])
-
-
-def bleu_from_counts(max_order: int = 4) -> Column:
-    """M1 from ``correct_1..4``, ``len_c``, ``len_r`` (0..100)."""
-    lc, lr = F.col("len_c"), F.col("len_r")
-    logs, zeros = [], F.lit(0)
-    for n in range(1, max_order + 1):
-        corr = F.col(f"correct_{n}")
-        total = (lc - F.lit(n - 1)).cast("double")
-        zeros = zeros + F.when(corr == 0, F.lit(1)).otherwise(F.lit(0))
-        p = F.when(corr == 0, F.lit(100.0) / (F.pow(F.lit(2.0), zeros) * total)).otherwise(F.lit(100.0) * corr / total)
-        logs.append(F.ln(p))
-    any_match = sum((F.col(f"correct_{n}") for n in range(2, max_order + 1)), F.col("correct_1")) > 0
-    bp = F.when(lc >= lr, F.lit(1.0)).otherwise(F.exp(F.lit(1.0) - lr.cast("double") / lc.cast("double")))
-    score = bp * F.exp(sum(logs[1:], logs[0]) / F.lit(float(max_order)))
-    return F.when((lc < max_order) | ~any_match, F.lit(0.0)).otherwise(score)
-
-
-def rouge_n_from_counts(n: int) -> Column:
-    """M2/M3: ROUGE-N F-measure from the clipped overlap."""
-    ov = F.col(f"correct_{n}").cast("double")
-    cand = F.greatest(F.col("len_c") - F.lit(n - 1), F.lit(0))
-    ref = F.greatest(F.col("len_r") - F.lit(n - 1), F.lit(0))
-    prec = ov / F.greatest(cand, F.lit(1))
-    rec = ov / F.greatest(ref, F.lit(1))
-    return F.when(prec + rec > 0, F.lit(2.0) * prec * rec / (prec + rec)).otherwise(F.lit(0.0))
-
-
-def _gated_overlap(pairs: DataFrame, keys, tokenizer, candidate: str, reference: str, orders, prepartition: bool,
-                   ref_key: str | None = None):
-    """Overlap counts for every pair; gated-out pairs get an empty candidate
-    and ``_ok = false`` (kept as a key, so no pair is dropped and no join is
-    needed).  With ``ref_key`` the reference n-grams are shared per key."""
-    empty = F.array().cast("array<string>")
-    p = pairs.withColumn("_ok", scoring_gate(candidate, reference))
-    c_tok = F.when(F.col("_ok"), tokenizer(candidate)).otherwise(empty)
-    if ref_key is not None:
-        r_tok = F.when(has_text(reference), tokenizer(reference)).otherwise(empty)
-        return shared_ref_overlap(p, list(keys) + ["_ok"], ref_key, c_tok, r_tok, orders)
-    r_tok = F.when(F.col("_ok"), tokenizer(reference)).otherwise(empty)
-    return ngram_overlap(p, list(keys) + ["_ok"], c_tok, r_tok, orders, prepartition)
-
-
-def bleu_scores(pairs: DataFrame, keys, candidate: str = "candidate", reference: str = "reference",
-                prepartition: bool = False, ref_key: str | None = None) -> DataFrame:
-    """M1 per pair; NULL where the gate fails (B10).  ``ref_key``: a key column
-    that determines the reference (e.g. the query id), to share its n-grams."""
-    c = _gated_overlap(pairs, keys, bleu_tokens, candidate, reference, (1, 2, 3, 4), prepartition, ref_key)
-    return c.select(*keys, F.when(F.col("_ok"), bleu_from_counts()).alias("bleu"))
-
-
-def rouge_n_scores(pairs: DataFrame, keys, candidate: str = "candidate", reference: str = "reference",
-                   prepartition: bool = False, ref_key: str | None = None) -> DataFrame:
-    """M2 + M3 per pair; NULL where the gate fails."""
-    c = _gated_overlap(pairs, keys, rouge_tokens, candidate, reference, (1, 2), prepartition, ref_key)
-    return c.select(*keys, F.when(F.col("_ok"), rouge_n_from_counts(1)).alias("rouge1"),
-                    F.when(F.col("_ok"), rouge_n_from_counts(2)).alias("rouge2"))
+def rouge_n(cand: list, ref: list, n: int, ref_grams: Counter | None = None) -> float:
+    """M2/M3: ROUGE-N F-measure."""
+    hit = _matches(_grams(cand, n), ref_grams if ref_grams is not None else _grams(ref, n))
+    return _f(hit / max(len(cand) - n + 1, 1), hit / max(len(ref) - n + 1, 1))
 
 
 # ---------------------------------------------------------------------------
@@ -222,20 +114,29 @@ def lcs_length(a, b) -> int:
 
 
 def lcs_indices(ref, cand) -> list:
-    """Indices into ``ref`` of one LCS (DP table + backtracking)."""
-    rows, cols = len(ref), len(cand)
-    t = [[0] * (cols + 1) for _ in range(rows + 1)]
-    for i in range(1, rows + 1):
-        ri, prev, cur = ref[i - 1], t[i - 1], t[i]
-        for j in range(1, cols + 1):
-            cur[j] = prev[j - 1] + 1 if ri == cand[j - 1] else max(prev[j], cur[j - 1])
-    i, j, out = rows, cols, []
+    """Indices into ``ref`` of one LCS: a row of bits per reference token (zeros mark
+    where the table grows along ``cand``), then backtracking over the rows."""
+    masks: dict = {}
+    for j, t in enumerate(cand):
+        masks[t] = masks.get(t, 0) | (1 << j)
+    full = (1 << len(cand)) - 1
+    rows = [full]
+    for t in ref:
+        v = rows[-1]
+        u = v & masks.get(t, 0)
+        rows.append(((v + u) | (v - u)) & full)
+
+    def table(i: int, j: int) -> int:
+        low = (1 << j) - 1
+        return (~rows[i] & low).bit_count()
+
+    i, j, out = len(ref), len(cand), []
     while i > 0 and j > 0:
         if ref[i - 1] == cand[j - 1]:
             out.append(i - 1)
             i -= 1
             j -= 1
-        elif t[i][j - 1] > t[i - 1][j]:
+        elif table(i, j - 1) > table(i - 1, j):
             j -= 1
         else:
             i -= 1
@@ -279,32 +180,57 @@ def rouge_lsum(cand_sents, ref_sents) -> float:
     return _f(hits / n, hits / m)
 
 
-def rouge_lcs_pair(candidate: str | None, reference: str | None):
-    """(ROUGE-L, ROUGE-Lsum) of one pair from raw text; ``None`` for a gated pair."""
-    if candidate is None or reference is None:
-        return None, None
-    c, r = candidate.lower(), reference.lower()
-    lcs_f = rouge_l(_TOK.findall(c), _TOK.findall(r))
-    if "\n" not in c and "\n" not in r:
+class _Reference:
+    """A reference's tokens and n-gram counts, made once for all its candidates."""
+
+    def __init__(self, text: str, metrics):
+        self.text = text
+        self.low = text.lower()
+        if "bleu" in metrics:
+            self.words = _BLEU_TOK.findall(text)
+            self.grams = [_grams(self.words, n) for n in range(1, 5)]
+        self.tokens = _TOK.findall(self.low)
+        self.counts = {n: _grams(self.tokens, n) for n, name in ((1, "rouge1"), (2, "rouge2")) if name in metrics}
+
+
+def pair_scores(candidate: str, ref: _Reference, metrics) -> list:
+    """The asked metrics of one pair."""
+    out: dict = {}
+    if "bleu" in metrics:
+        out["bleu"] = bleu(_BLEU_TOK.findall(candidate), ref.words, ref.grams)
+    low = candidate.lower()
+    tokens = _TOK.findall(low)
+    for n in ref.counts:
+        out[f"rouge{n}"] = rouge_n(tokens, ref.tokens, n, ref.counts[n])
+    if "rougeL" in metrics or "rougeLsum" in metrics:
+        out["rougeL"] = out["rougeLsum"] = rouge_l(tokens, ref.tokens)
         # one sentence each: the union LCS is the LCS itself, and every LCS token
         # is within both token counts, so ROUGE-Lsum equals ROUGE-L exactly
-        return lcs_f, lcs_f
-    return lcs_f, rouge_lsum([_TOK.findall(x) for x in c.split("\n")], [_TOK.findall(x) for x in r.split("\n")])
-
-
-@F.pandas_udf(T.StructType([T.StructField("rougeL", T.DoubleType()), T.StructField("rougeLsum", T.DoubleType())]))
-def _rouge_lcs_udf(cand: pd.Series, ref: pd.Series) -> pd.DataFrame:
-    res = [rouge_lcs_pair(c, r) for c, r in zip(cand, ref)]
-    return pd.DataFrame(res, columns=["rougeL", "rougeLsum"], dtype="float64")
-
+        if "rougeLsum" in metrics and ("\n" in low or "\n" in ref.low):
+            out["rougeLsum"] = rouge_lsum([_TOK.findall(x) for x in low.split("\n")], [_TOK.findall(x) for x in ref.low.split("\n")])
+    return [out[m] for m in metrics]
+
+
+def pair_metrics(pairs: DataFrame, keys, metrics=METRICS, candidate: str = "candidate", reference: str = "reference") -> DataFrame:
+    """M1-M5 of every pair in one pass; NULL where the gate fails."""
+    metrics = list(metrics)
+    out = T.StructType([T.StructField(m, T.DoubleType()) for m in metrics])
+
+    @F.pandas_udf(out)
+    def score(cand: pd.Series, ref: pd.Series) -> pd.DataFrame:
+        last, rows = None, []
+        for c, r in zip(cand, ref):
+            if c is None or r is None:
+                rows.append([None] * len(metrics))
+                continue
+            if last is None or last.text != r:
+                last = _Reference(r, metrics)
+            rows.append(pair_scores(c, last, metrics))
+        return pd.DataFrame(rows, columns=metrics, dtype="float64")
 
-def rouge_l_scores(pairs: DataFrame, keys, candidate: str = "candidate", reference: str = "reference") -> DataFrame:
-    """M4 + M5 per pair: one Arrow-batched UDF over the raw texts (tokenized
-    with the same lowercase ``[a-z0-9]+`` rule); pairs failing the gate are
-    sent as NULL and come back NULL."""
     gate = scoring_gate(candidate, reference)
-    r = pairs.select(*keys, _rouge_lcs_udf(F.when(gate, F.col(candidate)), F.when(gate, F.col(reference))).alias("_r"))
-    return r.select(*keys, F.col("_r.rougeL").alias("rougeL"), F.col("_r.rougeLsum").alias("rougeLsum"))
+    r = pairs.select(*keys, score(F.when(gate, F.col(candidate)), F.when(gate, F.col(reference))).alias("_r"))
+    return r.select(*keys, *[F.col(f"_r.{m}").alias(m) for m in metrics])
 
 
 # ---------------------------------------------------------------------------
@@ -325,15 +251,19 @@ def cosine(a, b) -> Column:
 
 
 def score_pairs(pairs: DataFrame, keys, scorer_factory, metric: str, candidate: str = "candidate",
-                reference: str = "reference", batch_size: int = 256) -> DataFrame:
+                reference: str = "reference", batch_size: int = 256, guard_masks: bool = False) -> DataFrame:
     """M7: run a per-pair scorer over Arrow batches.
 
     ``scorer_factory()`` is called once per partition (model load amortized)
     and returns ``f(list[str], list[str]) -> list[float | None]``.  Pairs failing
-    the gate (B10) get NULL; a scorer error on one pair gives NULL for that
+    the gate (B10) get NULL, and with ``guard_masks`` pairs with a ``<mask>`` token
+    too (B9; the scorer never sees them); a scorer error on one pair gives NULL for that
     pair only."""
     keys = list(keys)
-    src = pairs.select(*keys, candidate, reference, scoring_gate(candidate, reference).alias("_ok"))
+    ok = scoring_gate(candidate, reference)
+    if guard_masks:
+        ok = ok & ~mask_guard(candidate, reference)
+    src = pairs.select(*keys, candidate, reference, ok.alias("_ok"))
     out_schema = T.StructType([f for f in src.schema.fields if f.name in keys] + [T.StructField(metric, T.DoubleType())])
 
     def run(it):

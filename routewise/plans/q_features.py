@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import config
 from ..operators import features as FT
 from ..sources import fixtures as FX
 from ..sources.tables import load
@@ -16,7 +17,7 @@ def r6(c):
 
 
 def _feature_table(spark, sf_dir):
-    return FT.query_feature_table(FX.fx_queries(spark, sf_dir, by_id=False))
+    return FT.query_feature_table(FX.fx_queries(spark, sf_dir), FX.KEYWORDS)
 
 
 @register("A3_parquet_scan", sql="SELECT doc_id, lang, source, n_chars FROM documents WHERE n_chars > 1000")
@@ -26,31 +27,31 @@ def a3(spark, sf_dir):
 
 @register("B1_projection", sql=Q.with_fixtures("SELECT id, instruction, input FROM fx_queries"))
 def b1(spark, sf_dir):
-    return FX.fx_queries(spark, sf_dir, by_id=False).drop("output", "category_no", "doc_id", "not_a_column")
+    return FX.fx_queries(spark, sf_dir).drop("output", "category_no", "doc_id", "not_a_column")
 
 
 @register("B2_query_construction", sql=Q.with_fixtures(
     f"SELECT id, {Q.build_query('instruction', 'input')} AS query FROM fx_queries"))
 def b2(spark, sf_dir):
-    return FT.with_query(FX.fx_queries(spark, sf_dir, by_id=False)).select("id", "query")
+    return FT.with_query(FX.fx_queries(spark, sf_dir)).select("id", "query")
 
 
 @register("B3_category_lookup", sql=Q.with_fixtures(
     f"SELECT id, category_no, {Q.category_name('category_no')} AS category FROM fx_queries"))
 def b3(spark, sf_dir):
-    return FT.with_category(FX.fx_queries(spark, sf_dir, by_id=False)).select("id", "category_no", "category")
+    return FT.with_category(FX.fx_queries(spark, sf_dir)).select("id", "category_no", "category")
 
 
 @register("B4_category_weight", sql=Q.with_fixtures(
     f"SELECT id, {Q.category_weight(Q.category_name('category_no'))} AS category_weight FROM fx_queries"))
 def b4(spark, sf_dir):
-    return FT.with_category(FX.fx_queries(spark, sf_dir, by_id=False)).select("id", "category_weight")
+    return FT.with_category(FX.fx_queries(spark, sf_dir)).select("id", "category_weight")
 
 
 @register("B5_float_columns", sql=Q.with_fixtures(
     "SELECT id, category_no::DOUBLE AS category_no, doc_id::DOUBLE AS doc_id FROM fx_queries"))
 def b5(spark, sf_dir):
-    q = FX.fx_queries(spark, sf_dir, by_id=False).select("id", "category_no", "doc_id")
+    q = FX.fx_queries(spark, sf_dir).select("id", "category_no", "doc_id")
     return FT.ensure_float_columns(q, ["category_no", "doc_id", "absent_column"])
 
 
@@ -60,7 +61,7 @@ def _feature_query(name, col, sql_expr, is_double=False):
 
     @register(name, sql=sql)
     def _q(spark, sf_dir):
-        df = FT.with_query_features(FT.with_query(FX.fx_queries(spark, sf_dir, by_id=False)))
+        df = FT.with_query_features(FT.with_query(FX.fx_queries(spark, sf_dir)), FX.KEYWORDS)
         return df.select("id", r6(col).alias(col) if is_double else F.col(col))
     return _q
 
@@ -79,21 +80,29 @@ _feature_query("S8_query_contains_url", "query_contains_url", Q.contains_url("qu
     f"length({Q.remove_urls('query')})::BIGINT AS clean_chars FROM fq"))
 def s4(spark, sf_dir):
     from ..functions.text import remove_urls
-    df = FT.with_query(FX.fx_queries(spark, sf_dir, by_id=False))
+    df = FT.with_query(FX.fx_queries(spark, sf_dir))
     clean = remove_urls("query")
     return df.select("id", clean.alias("clean_query"), F.length(clean).cast("bigint").alias("clean_chars"))
 
 
-@register("S7b_keywords_common_words", sql=Q.with_fixtures(
-    "SELECT id, len(list_filter(regexp_split_to_array(lower(CASE WHEN coalesce(instruction, '') <> '' THEN instruction "
-    r"ELSE coalesce(input, '') END), '[^\p{L}\p{M}\p{N}_]+'), lambda t: t IN ('the', 'and', 'of', 'que', 'und')))::BIGINT "
-    "AS query_keywords_count FROM fx_queries"))
+@register("S7b_study_keywords", sql=Q.with_fixtures(
+    f"SELECT id, {Q.keyword_count('instruction', 'input', config.KEYWORDS)}::BIGINT AS query_keywords_count FROM fx_queries"))
 def s7b(spark, sf_dir):
-    """S7 with a word list that occurs in the driver text (the default list never does)."""
+    """S7 with the study's own list, which the invented driver texts never hold."""
     from ..functions.text import keyword_count
-    q = FX.fx_queries(spark, sf_dir, by_id=False)
-    return q.select("id", keyword_count("instruction", "input", ["the", "and", "of", "que", "und"])
-                    .cast("bigint").alias("query_keywords_count"))
+    q = FX.fx_queries(spark, sf_dir)
+    return q.select("id", keyword_count("instruction", "input").cast("bigint").alias("query_keywords_count"))
+
+
+@register("S4_S8_page_urls", sql=f"""
+SELECT page_id, {Q.contains_url('url')}::BIGINT AS contains_url, length({Q.remove_urls("concat('see ', url, ' for more')")})::BIGINT AS clean_chars
+FROM pages""")
+def s4_pages(spark, sf_dir):
+    """URL detection and removal on the real page addresses."""
+    from ..functions.text import contains_url, remove_urls
+    clean = remove_urls(F.concat(F.lit("see "), F.col("url"), F.lit(" for more")))
+    return load(spark, sf_dir, "pages").select("page_id", contains_url("url").cast("bigint").alias("contains_url"),
+                                               F.length(clean).cast("bigint").alias("clean_chars"))
 
 
 _D1_SQL = Q.with_fixtures(Q.QUERY_FEATURES_CTE + """
@@ -106,7 +115,7 @@ SELECT cmin AS query_chars_count_min, cmax AS query_chars_count_max, wmin AS que
 
 @register("D1_feature_ranges", sql=_D1_SQL)
 def d1(spark, sf_dir):
-    df = FT.with_query_features(FT.with_query(FX.fx_queries(spark, sf_dir, by_id=False)))
+    df = FT.with_query_features(FT.with_query(FX.fx_queries(spark, sf_dir)), FX.KEYWORDS)
     st = FT.feature_stats(df)
     return st.withColumn("query_readability_score_min", r6("query_readability_score_min"))
 
@@ -117,7 +126,7 @@ SELECT id, round({Q.minmax('query_chars_count', 'cmin', 'cmax')}, 6) AS chars_sc
 FROM ff CROSS JOIN fstats"""))
 def s9(spark, sf_dir):
     from ..functions.numeric import minmax
-    df = FT.with_query_features(FT.with_query(FX.fx_queries(spark, sf_dir, by_id=False)))
+    df = FT.with_query_features(FT.with_query(FX.fx_queries(spark, sf_dir)), FX.KEYWORDS)
     st = FT.feature_stats(df)
     row = st.first()
     s = {c: F.lit(row[c]) for c in ("query_chars_count_min", "query_chars_count_max",
@@ -152,6 +161,6 @@ def d12(spark, sf_dir):
     f"len({Q.words('output')})::BIGINT AS words FROM fx_queries"))
 def d13(spark, sf_dir):
     from ..functions.text import words
-    q = FX.fx_queries(spark, sf_dir, by_id=False)
+    q = FX.fx_queries(spark, sf_dir)
     return q.select("id", F.size(F.array_distinct(words("output"))).cast("bigint").alias("distinct_words"),
                     F.size(words("output")).cast("bigint").alias("words"))

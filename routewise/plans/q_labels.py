@@ -11,9 +11,7 @@ from .catalog import register
 from .flagship import label_inputs_wide, router_base
 
 _WIDE = Q.FIXTURE_SQL.rstrip() + Q.label_wide_cte()
-_DT_ROWS = [f"('{LB.threshold_name(t)}', ({t!r}e0))" if "e" not in repr(t) else f"('{LB.threshold_name(t)}', {t!r})"
-            for t in config.DISCREPANCY_THRESHOLDS]
-_GRID = ",\n" + Q.grid_values("dtg", "t_threshold, dt", _DT_ROWS)
+_GRID = ",\n" + Q.grid_values("dtg", "t_threshold, dt", Q.DT_ROWS)
 
 
 @register("S17_discrepancies", sql=_WIDE + """
@@ -33,15 +31,15 @@ def f2(spark, sf_dir):
 
 
 @register("L1_label_cases", sql=_WIDE + f"""
-SELECT id, label_case, {LB.label_sql()}::INTEGER AS evaluation_model_label
-FROM (SELECT id, {LB.case_sql(-0.03)} AS label_case FROM lw) z""")
+SELECT id, label_case, {Q.label_number()}::INTEGER AS evaluation_model_label
+FROM (SELECT id, {Q.label_case('(-0.03e0)')} AS label_case FROM lw) z""")
 def l1(spark, sf_dir):
     return LB.with_label(label_inputs_wide(spark, sf_dir), -0.03).select("id", "label_case", "evaluation_model_label")
 
 
 @register("L2_label_sweep", sql=_WIDE + _GRID + f"""
-SELECT id, t_threshold, label_case, {LB.label_sql()}::INTEGER AS evaluation_model_label
-FROM (SELECT id, t_threshold, {LB.case_sql('dt')} AS label_case FROM lw CROSS JOIN dtg) z""")
+SELECT id, t_threshold, label_case, {Q.label_number()}::INTEGER AS evaluation_model_label
+FROM (SELECT id, t_threshold, {Q.label_case('dt')} AS label_case FROM lw CROSS JOIN dtg) z""")
 def l2(spark, sf_dir):
     return LB.with_label_sweep(label_inputs_wide(spark, sf_dir)).select(
         "id", "t_threshold", "label_case", "evaluation_model_label")
@@ -49,7 +47,7 @@ def l2(spark, sf_dir):
 
 @register("D7_case_distribution", sql=_WIDE + _GRID + f"""
 SELECT t_threshold, label_case, count(*)::BIGINT AS n
-FROM (SELECT t_threshold, {LB.case_sql('dt')} AS label_case FROM lw CROSS JOIN dtg) z GROUP BY ALL""")
+FROM (SELECT t_threshold, {Q.label_case('dt')} AS label_case FROM lw CROSS JOIN dtg) z GROUP BY ALL""")
 def d7(spark, sf_dir):
     return LB.case_distribution(LB.with_label_sweep(label_inputs_wide(spark, sf_dir)))
 
@@ -57,8 +55,8 @@ def d7(spark, sf_dir):
 @register("D8_label_distribution", sql=Q.FIXTURE_SQL.rstrip() + Q.QUERY_FEATURES_CTE + Q.label_wide_cte() + f"""
 SELECT evaluation_model_label, count(*)::BIGINT AS n, round(avg(query_complexity_score), 6) AS avg_value,
        round(median(query_complexity_score), 6) AS median_value
-FROM (SELECT fc.query_complexity_score, {LB.label_sql()}::INTEGER AS evaluation_model_label
-      FROM (SELECT id, {LB.case_sql(0.0)} AS label_case FROM lw) z JOIN fc USING (id)) y
+FROM (SELECT fc.query_complexity_score, {Q.label_number()}::INTEGER AS evaluation_model_label
+      FROM (SELECT id, {Q.label_case('0e0')} AS label_case FROM lw) z JOIN fc USING (id)) y
 GROUP BY evaluation_model_label""")
 def d8(spark, sf_dir):
     from ..session import materialize

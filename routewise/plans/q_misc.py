@@ -30,12 +30,12 @@ def b13(spark, sf_dir):
 
 @register("C6_label_restore", sql=_BASE + _TEST0 + f"""
 SELECT t.id, t.evaluation_model_label, {Q.ARGMAX} AS predicted_model_label
-FROM test0 t JOIN fx_proba p USING (id)""")
+FROM test0 t JOIN (SELECT * FROM fx_proba WHERE t_threshold = 't0') p USING (id)""")
 def c6(spark, sf_dir):
     """Predictions re-attached to the actual labels by id (the study does it by position)."""
     _, _, test = test_split(spark, sf_dir)
     lab = LB.with_label(test, 0.0).select("id", "evaluation_model_label")
-    p = FX.fx_proba(spark, sf_dir)
+    p = FX.fx_proba(spark, sf_dir).where("t_threshold = 't0'")
     pred = p.select("id", RT.argmax_label(*RT.PROBA_COLS).alias("predicted_model_label"))
     return lab.join(pred, "id")
 
@@ -44,13 +44,11 @@ _FILES = [(LB.threshold_name(t), f"evaluation_model_{LB.threshold_name(t)}_p80_r
            f"labels_dt{t:g}_tt3_rt3") for t in config.DISCREPANCY_THRESHOLDS]
 
 
-_DT_ROWS = [f"('{LB.threshold_name(t)}', ({t!r}e0))" if "e" not in repr(t) else f"('{LB.threshold_name(t)}', {t!r})"
-            for t in config.DISCREPANCY_THRESHOLDS]
 _C8_SQL = (Q.FIXTURE_SQL.rstrip() + Q.label_wide_cte() + ",\n"
            + Q.grid_values("files", "t_threshold, model_name, dataset_name", [f"('{a}', '{b}', '{c}')" for a, b, c in _FILES])
-           + ",\n" + Q.grid_values("dtg", "t_threshold, dt", _DT_ROWS) + f""",
-lab AS (SELECT t_threshold, {LB.label_sql()}::INTEGER AS evaluation_model_label
-        FROM (SELECT t_threshold, {LB.case_sql('dt')} AS label_case FROM lw CROSS JOIN dtg) z)
+           + ",\n" + Q.grid_values("dtg", "t_threshold, dt", Q.DT_ROWS) + f""",
+lab AS (SELECT t_threshold, {Q.label_number()}::INTEGER AS evaluation_model_label
+        FROM (SELECT t_threshold, {Q.label_case('dt')} AS label_case FROM lw CROSS JOIN dtg) z)
 SELECT t_threshold, model_name, dataset_name, count(*) FILTER (WHERE evaluation_model_label = 3)::BIGINT AS n_xl
 FROM files JOIN lab USING (t_threshold) GROUP BY ALL""")
 
@@ -68,16 +66,16 @@ def c8(spark, sf_dir):
 @register("R1_row_number", sql=Q.FIXTURE_SQL.rstrip() + """
 SELECT id, row_number() OVER (ORDER BY doc_id)::BIGINT AS row_no FROM fx_queries""")
 def r1(spark, sf_dir):
-    """Distributed row position (buckets from an approximate sketch, exact ranks per bucket)."""
+    """Distributed row position (range partitions, offsets, ranks within partitions)."""
     q = FX.fx_queries(spark, sf_dir)
-    return RI.with_row_number(q, "doc_id", "row_no", rows_per_bucket=200).select("id", F.col("row_no").cast("bigint"))
+    return RI.with_row_number(q.select("id", "doc_id"), "doc_id", "row_no").select("id", F.col("row_no").cast("bigint"))
 
 
 @register("R2_first_rows", sql=Q.FIXTURE_SQL.rstrip() + """
 SELECT id FROM fx_queries ORDER BY doc_id LIMIT 500""")
 def r2(spark, sf_dir):
     """``head(n)`` in file order (a top-k by position; the limit is the feature)."""
-    return RI.first_rows(FX.fx_queries(spark, sf_dir), "doc_id", 500).select("id")
+    return RI.first_rows(FX.fx_queries(spark, sf_dir).select("id", "doc_id"), "doc_id", 500).select("id")
 
 
 @register("R5_top_k_vocabulary", sql=Q.FIXTURE_SQL.rstrip() + Q.QUERY_FEATURES_CTE + f""",
@@ -88,7 +86,7 @@ ORDER BY total DESC, term ASC LIMIT 500""")
 def r5(spark, sf_dir):
     """The k most frequent terms (ties by term): a bounded top-k."""
     q = FT.with_query(FX.fx_queries(spark, sf_dir)).withColumn("_doc", F.col("id"))
-    v = MD.vocabulary(q, "query", 500)
+    v = MD.vocabulary(MD.term_counts(q, "_doc", "query"), 500)
     return v.select("term", F.col("total").cast("bigint"), F.col("df").cast("bigint"))
 
 

@@ -14,22 +14,20 @@ from ..operators import rowindex as RI
 from ..sources import fixtures as FX
 from . import sqlfrag as Q
 from .catalog import register
-from .flagship import router_base, routing_sweep, test_split
+from .flagship import calculated_complexity, routing_sweep, split_marks, test_split
 
 _BASE = (Q.FIXTURE_SQL.rstrip() + Q.QUERY_FEATURES_CTE + Q.label_wide_cte() + """,
 base AS (SELECT fc.id, fc.doc_id, fc.query_chars_count, fc.query_complexity_score, lw.* EXCLUDE (id)
          FROM fc JOIN lw USING (id))""" + Q.split_ctes())
-_DT_ROWS = [f"('{LB.threshold_name(t)}', ({t!r}e0))" if "e" not in repr(t) else f"('{LB.threshold_name(t)}', {t!r})"
-            for t in config.DISCREPANCY_THRESHOLDS]
 _P_ROWS = [f"({p!r}e0)" for p in config.PROBABILITY_THRESHOLDS]
 _TEST0 = f""",
-test0 AS (SELECT *, {LB.label_sql()}::INTEGER AS evaluation_model_label
-          FROM (SELECT test.*, {LB.case_sql(0.0)} AS label_case FROM test) z)"""
-_SWEEP = _BASE + ",\n" + Q.grid_values("dtg", "t_threshold, dt", _DT_ROWS) + ",\n" + Q.grid_values(
+test0 AS (SELECT *, {Q.label_number()}::INTEGER AS evaluation_model_label
+          FROM (SELECT test.*, {Q.label_case('0e0')} AS label_case FROM test) z)"""
+_SWEEP = _BASE + ",\n" + Q.grid_values("dtg", "t_threshold, dt", Q.DT_ROWS) + ",\n" + Q.grid_values(
     "pg", "prob_threshold", _P_ROWS) + f""",
-lab AS (SELECT *, {LB.label_sql()}::INTEGER AS evaluation_model_label
-        FROM (SELECT test.*, dtg.*, {LB.case_sql('dt')} AS label_case FROM test CROSS JOIN dtg) z),
-pj AS (SELECT lab.*, p.proba_base, p.proba_large, p.proba_xl FROM lab LEFT JOIN fx_proba p USING (id)),
+lab AS (SELECT *, {Q.label_number()}::INTEGER AS evaluation_model_label
+        FROM (SELECT test.*, dtg.*, {Q.label_case('dt')} AS label_case FROM test CROSS JOIN dtg) z),
+pj AS (SELECT lab.*, p.proba_base, p.proba_large, p.proba_xl FROM lab LEFT JOIN fx_proba p USING (id, t_threshold)),
 routed AS (SELECT pj.*, pg.prob_threshold,
              CASE WHEN greatest(proba_base, proba_large, proba_xl) < prob_threshold THEN 3 ELSE {Q.ARGMAX} END AS routed_to
            FROM pj CROSS JOIN pg)
@@ -45,6 +43,11 @@ def _test0(spark, sf_dir):
     return LB.with_label(test, 0.0)
 
 
+def _proba0(spark, sf_dir):
+    """The predictions trained for discrepancy threshold 0."""
+    return FX.fx_proba(spark, sf_dir).where("t_threshold = 't0'").select("id", *RT.PROBA_COLS)
+
+
 @register("F7_confidence_sweep", sql=_SWEEP + Q.scorecard("routed", ("t_threshold", "prob_threshold")))
 def f7(spark, sf_dir):
     return routing_sweep(spark, sf_dir)
@@ -94,19 +97,16 @@ def b6(spark, sf_dir):
 @register("B7_ordered_split", sql=_BASE + """
 SELECT id, true AS is_train FROM train UNION ALL SELECT id, false AS is_train FROM test""")
 def b7(spark, sf_dir):
-    _, train, test = test_split(spark, sf_dir)
-    return train.select("id", F.lit(True).alias("is_train")).unionByName(test.select("id", F.lit(False).alias("is_train")))
+    return split_marks(spark, sf_dir).where("is_kept").select("id", "is_train")
 
 
 @register("D10_row_counts", sql=_BASE + """
 SELECT (SELECT count(*) FROM base)::BIGINT AS n_total, ((SELECT count(*) FROM base) - (SELECT count(*) FROM filt))::BIGINT AS n_removed,
        (SELECT count(*) FROM train)::BIGINT AS n_train, (SELECT count(*) FROM test)::BIGINT AS n_test""")
 def d10(spark, sf_dir):
-    filtered, train, test = test_split(spark, sf_dir)
-    n_total = router_base(spark, sf_dir).count()
-    n_f, n_tr, n_te = filtered.count(), train.count(), test.count()
-    return spark.createDataFrame([(n_total, n_total - n_f, n_tr, n_te)],
-                                 "n_total bigint, n_removed bigint, n_train bigint, n_test bigint")
+    m = split_marks(spark, sf_dir)
+    return m.agg(F.count(F.lit(1)).alias("n_total"), F.count_if(~F.col("is_kept")).alias("n_removed"),
+                 F.count_if("is_train").alias("n_train"), F.count_if(F.col("is_kept") & ~F.col("is_train")).alias("n_test"))
 
 
 _QS = [0.1, 0.25, 0.33, 0.5, 0.66, 0.8, 0.9]
@@ -116,7 +116,7 @@ _QS = [0.1, 0.25, 0.33, 0.5, 0.66, 0.8, 0.9]
     f"SELECT {q!r}e0 AS q, round(quantile_cont(query_complexity_score, {q!r}e0), 6) AS value FROM fc" for q in _QS))
 def d2(spark, sf_dir):
     from ..session import materialize
-    feats = materialize(FT.query_feature_table(FX.fx_queries(spark, sf_dir)).select("id", "query_complexity_score"))
+    feats = materialize(FT.query_feature_table(FX.fx_queries(spark, sf_dir), FX.KEYWORDS).select("id", "query_complexity_score"))
     qv = RI.exact_quantiles(feats, "query_complexity_score", _QS)
     rows = [(q, round(qv[q], 6)) for q in _QS]
     return spark.createDataFrame(rows, "q double, value double")
@@ -165,36 +165,56 @@ def q3(spark, sf_dir):
     return _quantile_router(spark, sf_dir, "query_chars_count")
 
 
-@register("Q4_complexity_quantile_router", sql=_quantile_router_sql("query_complexity_score"))
+_CALC = f""",
+calc AS (SELECT test.id, {Q.complexity('', 'trs', 'f', Q.category_name('f.category_no'))} AS calculated_complexity_score
+         FROM test JOIN ff f USING (id), trs)"""
+_TRAIN_STATS = """,
+trs AS (SELECT min(f.query_chars_count) AS cmin, max(f.query_chars_count) AS cmax, min(query_words_count) AS wmin,
+          max(query_words_count) AS wmax, min(query_unique_word_count) AS umin, max(query_unique_word_count) AS umax,
+          min(query_special_tokens_count) AS smin, max(query_special_tokens_count) AS smax, min(query_keywords_count) AS kmin,
+          max(query_keywords_count) AS kmax, min(query_readability_score) AS rmin, 20e0 AS rmax
+        FROM train JOIN ff f USING (id))"""
+
+
+@register("Q4_complexity_quantile_router", sql=_quantile_router_sql("calculated_complexity_score").replace(
+    _TEST0, _TRAIN_STATS + _CALC + _TEST0.replace("FROM test)", "FROM test JOIN calc USING (id))").replace("SELECT test.*,", "SELECT test.*, calculated_complexity_score,")))
 def q4(spark, sf_dir):
-    return _quantile_router(spark, sf_dir, "query_complexity_score")
+    """Routes on the calculated complexity, joined by id; a test row without one is an error."""
+    from ..session import materialize
+    calc = materialize(calculated_complexity(spark, sf_dir))
+    t = materialize(RT.join_predictions(_test0(spark, sf_dir), calc.select("id", "calculated_complexity_score")))
+    missing = t.where(F.col("calculated_complexity_score").isNull()).count()
+    if missing:
+        raise ValueError(f"{missing} test rows have no calculated complexity")
+    return RT.scorecard(RT.route_by_quantiles(t, "calculated_complexity_score"), ("setting",)).select(
+        "setting", "n", "n_base", "n_large", "n_xl", *[_r6(c) for c in RT_METRICS])
 
 
 @register("Q5_confidence_router", sql=_BASE + _TEST0 + ",\n" + Q.grid_values("pg", "prob_threshold", _P_ROWS) + f""",
 r AS (SELECT t.*, pg.prob_threshold,
         CASE WHEN greatest(proba_base, proba_large, proba_xl) < prob_threshold THEN 3 ELSE {Q.ARGMAX} END AS routed_to
-      FROM (SELECT test0.*, p.proba_base, p.proba_large, p.proba_xl FROM test0 LEFT JOIN fx_proba p USING (id)) t
+      FROM (SELECT test0.*, p.proba_base, p.proba_large, p.proba_xl FROM test0 LEFT JOIN (SELECT * FROM fx_proba WHERE t_threshold = 't0') p USING (id)) t
       CROSS JOIN pg)
 SELECT id, prob_threshold, routed_to FROM r""")
 def q5(spark, sf_dir):
-    t = RT.join_predictions(_test0(spark, sf_dir), FX.fx_proba(spark, sf_dir).select("id", *RT.PROBA_COLS))
+    t = RT.join_predictions(_test0(spark, sf_dir), _proba0(spark, sf_dir))
     return RT.with_confidence_grid(t).select("id", "prob_threshold", "routed_to")
 
 
 @register("Q6_predicted_label_router", sql=_BASE + _TEST0 + f""",
 r AS (SELECT t.*, {Q.ARGMAX} AS routed_to
-      FROM (SELECT test0.*, p.proba_base, p.proba_large, p.proba_xl FROM test0 LEFT JOIN fx_proba p USING (id)) t)
+      FROM (SELECT test0.*, p.proba_base, p.proba_large, p.proba_xl FROM test0 LEFT JOIN (SELECT * FROM fx_proba WHERE t_threshold = 't0') p USING (id)) t)
 """ + Q.scorecard("r"))
 def q6(spark, sf_dir):
-    t = RT.join_predictions(_test0(spark, sf_dir), FX.fx_proba(spark, sf_dir).select("id", *RT.PROBA_COLS))
+    t = RT.join_predictions(_test0(spark, sf_dir), _proba0(spark, sf_dir))
     t = t.withColumn("routed_to", argmax_label(*RT.PROBA_COLS))
     return RT.scorecard(t).select("n", "n_base", "n_large", "n_xl", *[_r6(c) for c in RT_METRICS])
 
 
-@register("R4_argmax_label", sql=Q.FIXTURE_SQL.rstrip() + f"\nSELECT id, {Q.ARGMAX} AS predicted_model_label FROM fx_proba")
+@register("R4_argmax_label", sql=Q.FIXTURE_SQL.rstrip() + f"\nSELECT id, t_threshold, {Q.ARGMAX} AS predicted_model_label FROM fx_proba")
 def r4(spark, sf_dir):
     p = FX.fx_proba(spark, sf_dir)
-    return p.select("id", argmax_label(*RT.PROBA_COLS).alias("predicted_model_label"))
+    return p.select("id", "t_threshold", argmax_label(*RT.PROBA_COLS).alias("predicted_model_label"))
 
 
 @register("E4_classification_report", sql=_SWEEP + """,
@@ -222,8 +242,8 @@ def e4(spark, sf_dir):
     """Per discrepancy threshold: true label vs the router's arg-max prediction."""
     _, _, test = test_split(spark, sf_dir)
     lab = LB.with_label_sweep(test)
-    p = FX.fx_proba(spark, sf_dir).select("id", *RT.PROBA_COLS)
-    routed = RT.with_confidence_grid(RT.join_predictions(lab, p), [0.1])
+    p = FX.fx_proba(spark, sf_dir).select("id", "t_threshold", *RT.PROBA_COLS)
+    routed = RT.join_predictions(lab, p, ["id", "t_threshold"]).withColumn("routed_to", argmax_label(*RT.PROBA_COLS))
     rep = RT.classification_report(routed, keys=("t_threshold",))
     return rep.select("t_threshold", "class", _r6("precision"), _r6("recall"), _r6("f1"), "support")
 
@@ -248,12 +268,13 @@ def e5(spark, sf_dir):
 
 
 @register("D11_avg_max_probability", sql=_BASE + """
-SELECT round(avg(greatest(proba_base, proba_large, proba_xl)), 6) AS avg_max_proba
-FROM test LEFT JOIN fx_proba p USING (id)""")
+SELECT t_threshold, round(avg(greatest(proba_base, proba_large, proba_xl)), 6) AS avg_max_proba
+FROM test JOIN fx_proba p USING (id) GROUP BY t_threshold""")
 def d11(spark, sf_dir):
+    """Per discrepancy threshold, as published."""
     _, _, test = test_split(spark, sf_dir)
-    t = RT.join_predictions(test, FX.fx_proba(spark, sf_dir).select("id", *RT.PROBA_COLS))
-    return RT.avg_max_probability(t).select(_r6("avg_max_proba"))
+    t = test.select("id").join(FX.fx_proba(spark, sf_dir).select("id", "t_threshold", *RT.PROBA_COLS), "id")
+    return RT.avg_max_probability(t, keys=("t_threshold",)).select("t_threshold", _r6("avg_max_proba"))
 
 
 @register("B11_label_score_pick", sql=_BASE + _TEST0 + f"""
@@ -273,12 +294,34 @@ def b12(spark, sf_dir):
 
 @register("C5_prediction_join", sql=_BASE + """
 SELECT count(*)::BIGINT AS n_test, count(p.id)::BIGINT AS n_matched, (count(*) - count(p.id))::BIGINT AS n_unmatched
-FROM test LEFT JOIN (SELECT id FROM fx_proba WHERE doc_id % 37 <> 0) p USING (id)""")
+FROM test LEFT JOIN (SELECT id FROM fx_proba WHERE t_threshold = 't0' AND doc_id % 37 <> 0) p USING (id)""")
 def c5(spark, sf_dir):
     """C5 with predictions missing for some ids: the unmatched guard counts them."""
     _, _, test = test_split(spark, sf_dir)
-    preds = FX.fx_proba(spark, sf_dir).where(F.col("doc_id") % 37 != 0).select("id", F.lit(1).alias("_m"))
+    preds = FX.fx_proba(spark, sf_dir).where((F.col("t_threshold") == "t0") & (F.col("doc_id") % 37 != 0)).select("id", F.lit(1).alias("_m"))
     j = RT.join_predictions(test.select("id"), preds)
     n_unmatched = RT.unmatched_predictions(test.select("id"), preds).count()
     return j.agg(F.count(F.lit(1)).cast("bigint").alias("n_test"), F.count("_m").cast("bigint").alias("n_matched"),
                  F.lit(n_unmatched).cast("bigint").alias("n_unmatched"))
+
+
+@register("E4_quality_report", sql="""
+WITH r AS (SELECT l.quality AS y, CASE WHEN d.text LIKE '% | %' OR d.text LIKE '%!! %' THEN 0 ELSE 1 END AS p
+           FROM labels l JOIN documents d USING (doc_id)),
+c AS (SELECT c, count(*) FILTER (WHERE y = c) AS support, count(*) FILTER (WHERE p = c) AS predicted,
+             count(*) FILTER (WHERE y = c AND p = c) AS tp FROM r, (SELECT y AS c FROM r UNION SELECT p FROM r) u GROUP BY c),
+pr AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted::DOUBLE ELSE 0e0 END AS precision,
+                 CASE WHEN support > 0 THEN tp / support::DOUBLE ELSE 0e0 END AS recall FROM c),
+f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2e0 * precision * recall / (precision + recall) ELSE 0e0 END AS f1 FROM pr)
+SELECT c::VARCHAR AS class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support::BIGINT AS support FROM f
+UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), sum(support)::BIGINT FROM f
+UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
+       round(sum(f1 * support) / sum(support), 6), sum(support)::BIGINT FROM f
+UNION ALL SELECT 'accuracy', NULL, NULL, round(sum(tp) / sum(support)::DOUBLE, 6), sum(support)::BIGINT FROM f""")
+def e4_quality(spark, sf_dir):
+    """The report over the given labels: quality against a rule on the whole text."""
+    from ..sources.tables import load
+    text = F.col("text")
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.when(text.contains(" | ") | text.contains("!! "), 0).otherwise(1).alias("p"))
+    rows = load(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y")).join(docs, "doc_id")
+    return RT.classification_report(rows, (), "y", "p").select("class", _r6("precision"), _r6("recall"), _r6("f1"), "support")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import config
 from ..functions.numeric import category_name
+from ..operators import labels as LB
 from ..operators import rowindex as RI
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import batches as BT
 from ..sources import fixtures as FX
 from ..sources import jsonl as JL
@@ -15,8 +17,8 @@ from ..sources import reports as RP
 from ..sources import templates as TP
 from . import sqlfrag as Q
 from .catalog import register
-from .flagship import routing_sweep
-from .q_routing import _SWEEP
+from .flagship import router_base, routing_sweep
+from .q_routing import _BASE, _SWEEP
 
 
 def _written_queries(spark, sf_dir):
@@ -32,7 +34,7 @@ SELECT id, instruction, input, output, {Q.category_name('category_no')} AS categ
 def a1(spark, sf_dir):
     """Write the query table as JSON lines, read it back with an explicit schema."""
     path = _written_queries(spark, sf_dir)
-    schema = JL.SOURCE_QUERY_SCHEMA.add("category", "string")
+    schema = T.StructType([*JL.SOURCE_QUERY_SCHEMA.fields, T.StructField("category", T.StringType())])
     return JL.read_jsonl(spark, path, schema)
 
 
@@ -51,7 +53,7 @@ def a2(spark, sf_dir):
 SELECT id FROM (SELECT id, row_number() OVER (ORDER BY doc_id) AS rn FROM fx_queries) z WHERE rn BETWEEN 101 AND 330""")
 def a4(spark, sf_dir):
     """Rows [100, 330) by position (``doc_id`` order)."""
-    return RI.row_range(FX.fx_queries(spark, sf_dir), "doc_id", 100, 230).select("id")
+    return RI.row_range(FX.fx_queries(spark, sf_dir).select("id", "doc_id"), "doc_id", 100, 230).select("id")
 
 
 _BATCH_SQL = Q.FIXTURE_SQL.rstrip() + f""",
@@ -124,14 +126,36 @@ def a8(spark, sf_dir):
 card AS ({Q.scorecard("routed", ("t_threshold", "prob_threshold"))})
 SELECT t_threshold, prob_threshold, n_base, n_large, n_xl, round(compute_units, 2) AS compute_units FROM card""")
 def a7(spark, sf_dir):
-    """Render the sweep report as text files, read them back, parse to the grid."""
+    """The sweep report written as text files, read back as plain lines and parsed;
+    thresholds come from the header lines."""
     path = scratch_path(spark, "report")
-    RP.render_sweep_report(routing_sweep(spark, sf_dir)).write.mode("overwrite").partitionBy("t_threshold").json(path)
-    lines = spark.read.json(path, schema="line_no int, line string, t_threshold string")
-    parsed = RP.parse_sweep_report(lines)
+    RP.write_report(RP.render_sweep_report(routing_sweep(spark, sf_dir)), path)
+    parsed = RP.parse_sweep_report(RP.read_report(spark, path))
     return parsed.select("t_threshold", "prob_threshold", "n_base", "n_large", "n_xl", "compute_units")
 
 
+@register("A8_case_report", sql=_BASE + ",\n" + Q.grid_values("dtg", "t_threshold, dt", Q.DT_ROWS) + f""",
+lab AS (SELECT *, {Q.label_number()}::INTEGER AS label FROM (
+  SELECT base.query_complexity_score, t_threshold, {Q.label_case('dt')} AS label_case FROM base CROSS JOIN dtg) z),
+lines AS (
+  SELECT t_threshold AS report, 0 AS part, 0 AS o, 0 AS k, printf('%s: %d', label_case, count(*)) AS line FROM lab GROUP BY t_threshold, label_case
+  UNION ALL SELECT DISTINCT t_threshold, 1, 0, 0, 'Total Label Counts and Complexity Scores:' FROM lab
+  UNION ALL SELECT t_threshold, 2, label, unnest([0, 1, 2]), unnest([printf('Label %d: %d', label, count(*)),
+     printf('Average complexity score: %.4f', round(avg(query_complexity_score), 4)),
+     printf('Median complexity score: %.4f', round(median(query_complexity_score), 4))]) FROM lab GROUP BY t_threshold, label)
+SELECT report, (row_number() OVER (PARTITION BY report ORDER BY part, o, k, line))::INTEGER AS line_no, line FROM lines""")
+def a8_cases(spark, sf_dir):
+    """The labelling report per discrepancy threshold: cases, then label counts with mean and median complexity."""
+    lab = materialize(LB.with_label_sweep(router_base(spark, sf_dir)).select(
+        "t_threshold", "label_case", "evaluation_model_label", "query_complexity_score"))
+    stats = lab.groupBy("t_threshold", "evaluation_model_label").agg(F.count(F.lit(1)).alias("n"), F.avg("query_complexity_score").alias("avg_value"))
+    name = F.concat_ws("|", "t_threshold", F.col("evaluation_model_label").cast("string"))
+    meds = RI.grouped_quantiles(lab, name, "query_complexity_score", [0.5])  # one row per threshold and label
+    med = spark.createDataFrame([(*g.split("|"), v) for (g, _), v in meds.items()], "t_threshold string, l string, median_value double")
+    med = med.select("t_threshold", F.col("l").cast("int").alias("evaluation_model_label"), "median_value")
+    return RP.render_case_report(LB.case_distribution(lab), stats.join(F.broadcast(med), ["t_threshold", "evaluation_model_label"]))
+
+
 @register("A9_feature_template", sql=Q.FIXTURE_SQL.rstrip() + """
 SELECT id, '' AS instruction, '' AS input, '' AS query, '' AS category, '' AS output,
        0::BIGINT AS query_chars_count, 0::BIGINT AS query_words_count, 0::BIGINT AS query_unique_word_count,
@@ -139,3 +163,17 @@ SELECT id, '' AS instruction, '' AS input, '' AS query, '' AS category, '' AS ou
        0e0 AS query_readability_score, 0e0 AS query_complexity_score FROM fx_queries""")
 def a9(spark, sf_dir):
     return TP.feature_template(FX.fx_queries(spark, sf_dir).select("id"))
+
+
+@register("A9_response_template", sql=Q.FIXTURE_SQL.rstrip() + """
+SELECT id, 30::BIGINT AS n_responses, 30::BIGINT AS n_score_maps, 270::BIGINT AS n_zero_scores, 0e0 AS rt_sum FROM fx_queries""")
+def a9_response(spark, sf_dir):
+    """The wide response template: 30 empty responses, 30 score maps of nine zeros, three runtimes."""
+    t = TP.response_template(FX.fx_queries(spark, sf_dir).select("id"))
+    resp = [c for c in t.columns if c.startswith("r_")]
+    maps = [c for c in t.columns if c.startswith("scores_")]
+    empty = sum((F.when(F.col(c) == "", 1).otherwise(0) for c in resp), F.lit(0))
+    zeros = sum((F.size(F.filter(F.map_values(c), lambda x: x == 0.0)) for c in maps), F.lit(0))
+    return t.select("id", empty.cast("bigint").alias("n_responses"), F.lit(len(maps)).cast("bigint").alias("n_score_maps"),
+                    zeros.cast("bigint").alias("n_zero_scores"),
+                    sum((F.col(f"rt_{m}_avg") for m in config.MODELS), F.lit(0.0)).alias("rt_sum"))

@@ -7,7 +7,7 @@ The driver tables contain no non-ASCII whitespace, so the two agree on them.
 from __future__ import annotations
 
 from .. import config
-from ..sources.fixtures import FIXTURE_SQL
+from ..sources.fixtures import FIXTURE_SQL, KEYWORDS
 
 
 def lit(s: str) -> str:
@@ -43,8 +43,8 @@ def special_count(t: str) -> str:
     return f"(length({nz(t)}) - length(translate({nz(t)}, {chars}, '')))"
 
 
-def keyword_count(instr: str, inp: str) -> str:
-    kws = ", ".join(lit(k) for k in config.KEYWORDS)
+def keyword_count(instr: str, inp: str, keywords=KEYWORDS) -> str:
+    kws = ", ".join(lit(k) for k in keywords)
     src = f"lower(CASE WHEN {has(instr)} THEN {nz(instr)} ELSE {nz(inp)} END)"
     return rf"len(list_filter(regexp_split_to_array({src}, '[^\p{{L}}\p{{M}}\p{{N}}_]+'), lambda t: t IN ({kws})))"
 
@@ -100,12 +100,68 @@ def compute_units(label: str) -> str:
 
 def with_fixtures(body: str) -> str:
     """Prefix the fixture CTEs; ``body`` continues the WITH list (starts with ``,``) or is a SELECT."""
-    body = body.strip()
-    if body.startswith(","):
-        return FIXTURE_SQL.rstrip() + "\n" + body
-    return FIXTURE_SQL.rstrip() + "\n" + body
+    return FIXTURE_SQL.rstrip() + "\n" + body.strip()
 
 
+def complexity(prefix: str, stats: str, row: str, category: str) -> str:
+    """S10 over feature columns of ``row`` and the ranges in ``stats``; a zero range scales to 0."""
+    r, t = (f"{x}." if x else "" for x in (row, stats))
+    scaled = lambda c, k: minmax(f"{r}{c}", f"{t}{k}min", f"{t}{k}max")
+    return f"""round(
+         2.5e0 * {category_weight(category)}
+         + 1.0e0 * (({scaled('query_chars_count', 'c')} + {scaled('query_words_count', 'w')}) / 2.0e0)
+         + 0.4e0 * {scaled('query_unique_word_count', 'u')}
+         + 1.2e0 * {minmax(f'least({r}query_readability_score, {t}rmax)', f'{t}rmin', f'{t}rmax')}
+         + 0.9e0 * {scaled('query_special_tokens_count', 's')}
+         + 1.5e0 * {scaled('query_keywords_count', 'k')}
+         + 1.0e0 * {r}query_contains_url, 4)"""
+
+
+def _bad(m: str) -> str:
+    return f"r_t5_{m}_trash_count >= 3"
+
+
+def _repeats(m: str) -> str:
+    return f"r_t5_{m}_query_repetition_count >= 3"
+
+
+def _cheap(small: str, big: str) -> str:
+    return (f"rt_t5_{small}_avg <= rt_t5_{big}_avg * 1.5e0 AND r_t5_{small}_length_avg <= r_t5_{big}_length_avg * 1.5e0")
+
+
+def label_case(dt: str) -> str:
+    """The labelling rules, written for the oracle alone as a tree of nested
+    decisions (which model fails, which gap opens, which cheaper model is close enough)."""
+    bl, lx, bx = "discrepancy_base_vs_large", "discrepancy_large_vs_xl", "discrepancy_base_vs_xl"
+    base_wins = f"NOT ({_bad('base')}) AND {bl} >= 0 AND {bx} >= 0 AND NOT ({_repeats('base')})"
+    mid = (f"CASE WHEN {bl} >= {dt} AND NOT ({_repeats('base')}) THEN "
+           f"CASE WHEN {_cheap('base', 'large')} THEN 'case_5' ELSE 'case_default' END ELSE 'case_6' END")
+    top = (f"CASE WHEN {bx} >= {dt} THEN CASE WHEN {_cheap('base', 'xl')} THEN 'case_7' ELSE 'case_default' END "
+           f"WHEN {lx} >= {dt} THEN CASE WHEN {_cheap('large', 'xl')} THEN 'case_8' ELSE 'case_default' END ELSE 'case_default' END")
+    return f"""(CASE WHEN {_bad('xl')} OR {_bad('large')} THEN
+    CASE WHEN {_bad('base')} AND {_bad('large')} AND {_bad('xl')} THEN 'case_1' ELSE 'case_2' END
+  ELSE CASE
+    WHEN {bl} = 0 AND {lx} = 0 AND {bx} = 0 AND NOT ({_bad('base')}) THEN 'case_3'
+    WHEN {base_wins} THEN 'case_4'
+    WHEN {_bad('base')} OR NOT ({bl} < 0) THEN 'case_default'
+    WHEN {lx} >= 0 THEN CASE WHEN {_repeats('large')} THEN 'case_default' ELSE {mid} END
+    WHEN {_repeats('xl')} OR {_repeats('large')} OR {_repeats('base')} THEN 'case_default'
+    ELSE {top} END END)"""
+
+
+def label_number(case_col: str = "label_case") -> str:
+    """Model label of a case, for the oracle."""
+    return (f"(CASE WHEN {case_col} IN ('case_3', 'case_4', 'case_5', 'case_7') THEN 1 "
+            f"WHEN {case_col} IN ('case_6', 'case_8') THEN 2 ELSE 3 END)")
+
+
+def _double(t: float) -> str:
+    return f"({t!r}e0)" if "e" not in repr(t) else f"({t!r})"
+
+
+#: Rows (name, value) of the discrepancy thresholds.
+DT_ROWS = [f"('t{t:g}', {_double(t)})" for t in config.DISCREPANCY_THRESHOLDS]
+
 QUERY_FEATURES_CTE = f""",
 fq AS (SELECT doc_id, id, instruction, input, output, category_no,
               {build_query('instruction', 'input')} AS query,
@@ -125,14 +181,7 @@ fstats AS (SELECT min(query_chars_count) AS cmin, max(query_chars_count) AS cmax
                   min(query_special_tokens_count) AS smin, max(query_special_tokens_count) AS smax,
                   min(query_keywords_count) AS kmin, max(query_keywords_count) AS kmax,
                   min(query_readability_score) AS rmin, 20e0 AS rmax FROM ff),
-fc AS (SELECT ff.*, round(
-         2.5e0 * {category_weight('category')}
-         + 1.0e0 * (({minmax('query_chars_count', 'cmin', 'cmax')} + {minmax('query_words_count', 'wmin', 'wmax')}) / 2.0e0)
-         + 0.4e0 * {minmax('query_unique_word_count', 'umin', 'umax')}
-         + 1.2e0 * {minmax('least(query_readability_score, rmax)', 'rmin', 'rmax')}
-         + 0.9e0 * {minmax('query_special_tokens_count', 'smin', 'smax')}
-         + 1.5e0 * {minmax('query_keywords_count', 'kmin', 'kmax')}
-         + 1.0e0 * query_contains_url, 4) AS query_complexity_score
+fc AS (SELECT ff.*, {complexity('', '', '', 'category')} AS query_complexity_score
        FROM ff CROSS JOIN fstats)"""
 
 

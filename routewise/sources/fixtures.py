@@ -10,6 +10,8 @@ uses, so both engines see identical inputs.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,16 +28,21 @@ _FX_METRICS_SQL = ("('bart',-6e0,-1e0,13), ('rouge1',0e0,9e-1,17), ('rouge2',0e0
                    "('rougeLsum',0e0,8e-1,29), ('bleu',0e0,1e2,31), ('bert',-2e-1,1e0,37), ('bleurt',-2e0,1e0,41), "
                    "('logprobs',-1.2e1,-1e0,43)")
 
-_Q_INSTRUCTION = "CASE WHEN doc_id % 10 = 0 THEN '' ELSE substr(text, 1, 120) END"
-_Q_INPUT = """CASE WHEN doc_id % 10 IN (1, 2) THEN ''
-         WHEN doc_id % 13 = 0 THEN concat(substr(text, 121, 200), ' see https://example.org/p/', CAST(doc_id AS VARCHAR(20)))
-         WHEN doc_id % 17 = 0 THEN concat(substr(text, 121, 200), ' ![fig](img.png)')
-         ELSE substr(text, 121, 200) END"""
+# A query is a whole document: its first line is the instruction and all that
+# follows the input; every tenth has only an input, two of ten only an instruction.
+_FIRST_LINE = "split_part(text, chr(10), 1)"
+_REST = "CASE WHEN contains(text, chr(10)) THEN regexp_replace(text, '^[^\\n]*\\n', '') ELSE '' END"
+_Q_INSTRUCTION = f"CASE WHEN doc_id % 10 = 0 THEN '' WHEN doc_id % 10 IN (1, 2) THEN text ELSE {_FIRST_LINE} END"
+_Q_BODY = f"CASE WHEN doc_id % 10 = 0 THEN text WHEN doc_id % 10 IN (1, 2) THEN '' ELSE {_REST} END"
+_Q_INPUT = f"""CASE WHEN doc_id % 10 IN (1, 2) THEN ''
+         WHEN doc_id % 13 = 0 THEN concat({_Q_BODY}, ' see https://example.org/p/', CAST(doc_id AS VARCHAR(20)))
+         WHEN doc_id % 17 = 0 THEN concat({_Q_BODY}, ' ![fig](img.png)')
+         ELSE {_Q_BODY} END"""
 _R_RESPONSE = """CASE WHEN (doc_id + 3*m + i) % 29 = 0 THEN ''
          WHEN (doc_id + 5*m + i) % 31 = 0 THEN '   '
          WHEN (doc_id + m) % 23 = 0 THEN instruction
          WHEN (doc_id + m) % 19 = 0 AND i <= 5 THEN repeat('na ', 150)
-         ELSE substr(output, 1 + (7*i) % 40, 30 + 30*m + 5*i) END"""
+         ELSE replace(output, chr(96 + 3*m + i), 'z') END"""
 _S_SCORE = """CASE WHEN (doc_id + 3*m + i) % 29 = 0 OR (doc_id + 5*m + i) % 31 = 0 THEN NULL
          WHEN doc_id % 43 = 0 AND m = 2 AND metric IN ('bart', 'logprobs') THEN NULL
          ELSE lo + (hi - lo) * ((doc_id*mult + 31*m + 17*i) % 997) / 996e0 END"""
@@ -46,15 +53,28 @@ _L_TRASH = "CASE WHEN doc_id % 41 = 0 OR (doc_id*(m+4) + m) % 11 = 0 THEN 4 ELSE
 _L_REP = "CASE WHEN (doc_id + m) % 9 = 0 THEN 5 ELSE 0 END"
 _L_RT = "CAST(100*m*m + (doc_id*37*m) % 900 AS DOUBLE)"
 _L_LEN = "CAST(10 + (doc_id*m*13) % 60 AS DOUBLE)"
-_P_A = "(1 + (doc_id*17) % 50)/1e0"
-_P_B = "(1 + (doc_id*23) % 60)/1e0"
-_P_C = "(1 + (doc_id*31) % 140)/1e0"
+# One prediction table per discrepancy threshold (k = 0..6).
+_P_A = "(1 + (doc_id*17 + 5*k) % 50)/1e0"
+_P_B = "(1 + (doc_id*23 + 7*k) % 60)/1e0"
+_P_C = "(1 + (doc_id*31 + 11*k) % 140)/1e0"
+_THRESHOLDS = [(k, f"t{t:g}") for k, t in enumerate(config.DISCREPANCY_THRESHOLDS)]
+
+# Text pairs: every conversation turn is a reference, its variants are the candidates.
+_TURN_KEY = "(conv_id * 100 + turn)"
+_PAIR_CANDIDATE = f"""CASE WHEN ({_TURN_KEY} + 3*m + i) % 29 = 0 THEN ''
+         WHEN ({_TURN_KEY} + 5*m + i) % 31 = 0 THEN '   '
+         ELSE replace(text, chr(96 + 3*m + i), 'z') END"""
+
+_SPLIT = "CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'val' ELSE 'test' END"
+
+#: Words that occur in the driver texts, for keyword features (the study's own list never does there).
+KEYWORDS = ["the", "and", "of", "que", "und"]
 
 FIXTURE_SQL = f"""WITH fx_queries AS (
   SELECT doc_id, concat('doc/', CAST(doc_id AS VARCHAR(20))) AS id,
     {_Q_INSTRUCTION} AS instruction,
     {_Q_INPUT} AS input,
-    substr(text, 61, 160) AS output, 1 + doc_id % 15 AS category_no
+    text AS output, 1 + doc_id % 15 AS category_no
   FROM documents),
 fx_models AS (SELECT * FROM (VALUES (1,'t5_base'),(2,'t5_large'),(3,'t5_xl')) AS m(m, model)),
 fx_slots AS (SELECT * FROM (VALUES (1),(2),(3),(4),(5),(6),(7),(8),(9),(10)) AS s(i)),
@@ -63,7 +83,7 @@ fx_responses AS (
   FROM fx_queries tq CROSS JOIN fx_models tm CROSS JOIN fx_slots ts),
 fx_metrics AS (SELECT * FROM (VALUES {_FX_METRICS_SQL}) AS k(metric, lo, hi, mult)),
 fx_scores AS (
-  SELECT id, model, i AS resp_no, metric, {_S_SCORE} AS score
+  SELECT doc_id, id, model, i AS resp_no, metric, {_S_SCORE} AS score
   FROM fx_queries tq CROSS JOIN fx_models tm CROSS JOIN fx_slots ts CROSS JOIN fx_metrics tk),
 fx_runtimes AS (
   SELECT id, model, {_RT} AS rt_avg
@@ -76,9 +96,14 @@ fx_label_input AS (
     {_L_RT} AS rt_avg,
     {_L_LEN} AS length_avg
   FROM fx_queries tq CROSS JOIN fx_models tm),
+fx_thresholds AS (SELECT * FROM (VALUES {", ".join(f"({k},'{n}')" for k, n in _THRESHOLDS)}) AS h(k, t_threshold)),
 fx_proba AS (
-  SELECT id, doc_id, a/(a+b+c) AS proba_base, b/(a+b+c) AS proba_large, c/(a+b+c) AS proba_xl FROM (
-   SELECT id, doc_id, {_P_A} AS a, {_P_B} AS b, {_P_C} AS c FROM fx_queries) z)
+  SELECT id, doc_id, t_threshold, a/(a+b+c) AS proba_base, b/(a+b+c) AS proba_large, c/(a+b+c) AS proba_xl FROM (
+   SELECT id, doc_id, t_threshold, {_P_A} AS a, {_P_B} AS b, {_P_C} AS c FROM fx_queries CROSS JOIN fx_thresholds) z),
+fx_pairs AS (
+  SELECT concat('conv/', CAST(conv_id AS VARCHAR(20)), '/', CAST(turn AS VARCHAR(20))) AS id, model, i AS resp_no,
+    {_PAIR_CANDIDATE} AS candidate, text AS reference
+  FROM conversations CROSS JOIN fx_models CROSS JOIN fx_slots)
 """
 
 
@@ -96,31 +121,20 @@ def _metrics_col():
                               F.lit(mu).alias("mult")) for n, lo, hi, mu in FX_METRICS])
 
 
-def fx_queries(spark: SparkSession, sf_dir: str, by_id: bool = True) -> DataFrame:
-    """Instruction queries: ``doc_id, id, instruction, input, output, category_no``.
+def fx_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instruction queries over the whole texts: ``doc_id, id, instruction, input, output, category_no``.
 
-    ``by_id=True``: hash-partitioned by ``id`` right after the narrow projection
-    (short texts only), with an explicit partition count: every later
-    per-query aggregate, pivot and join on ``id`` of the tables fanned out from
-    here reuses this partitioning without a shuffle.  ``by_id=False`` is for
-    per-row consumers, which need no co-location.
-    """
-    d = load(spark, sf_dir, "documents").select("doc_id", "text")
-    q = queries_from_documents(d)
-    if by_id:
-        return q.repartition(fanout_partitions(spark, _documents_rows(spark, sf_dir)), "id")
-    return ensure_parallelism(q)
+    Rows stay where the scan put them: whole texts are never shuffled.  All
+    rows fanned out of one query leave one partition, so the partial
+    aggregation by id collapses them before the (narrow) exchange."""
+    return queries_from_documents(spread(load(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-def ensure_parallelism(df: DataFrame) -> DataFrame:
-    """For per-row work with no key to co-locate: keep the scan's partitions,
-    unless the input offers fewer than the cluster's parallelism (a single
-    large file); then spread the rows round-robin."""
-    spark = df.sparkSession
-    par = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        return df.repartition(par)
-    return df
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan that has fewer partitions than the cluster has cores (one
+    small file), dealt round-robin; results do not depend on it."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
 
 
 def queries_from_documents(d: DataFrame) -> DataFrame:
@@ -130,36 +144,10 @@ def queries_from_documents(d: DataFrame) -> DataFrame:
         F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("id"),
         F.expr(_Q_INSTRUCTION).alias("instruction"),
         F.expr(_Q_INPUT).alias("input"),
-        F.expr("substr(text, 61, 160)").alias("output"),
+        F.col("text").alias("output"),
         (F.lit(1) + F.col("doc_id") % 15).alias("category_no"))
 
 
-#: Queries per partition of the fanned-out tables (30 responses, 270 scores each).
-QUERIES_PER_PARTITION = 10_000
-_ROW_COUNTS: dict = {}
-
-
-def fanout_partitions(spark: SparkSession, n_rows: int | None = None) -> int:
-    """Explicit partition count for the query table: every row fans out 30x
-    (responses) to 270x (scores) afterwards, so AQE must not coalesce this
-    exchange by its (small) input size.  About ``QUERIES_PER_PARTITION``
-    queries per partition, at least two tasks per core (balanced stages), at
-    most ``spark.sql.shuffle.partitions``."""
-    par = spark.sparkContext.defaultParallelism
-    cap = max(int(spark.conf.get("spark.sql.shuffle.partitions")), par)
-    if n_rows is None:
-        return cap
-    return min(cap, max(2 * par, -(-n_rows // QUERIES_PER_PARTITION)))
-
-
-def _documents_rows(spark: SparkSession, sf_dir: str) -> int:
-    """Row count of ``documents`` (parquet footers), once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _ROW_COUNTS:
-        _ROW_COUNTS[key] = load(spark, sf_dir, "documents").count()
-    return _ROW_COUNTS[key]
-
-
 def _per_model(q: DataFrame) -> DataFrame:
     return q.select("*", F.inline(_models_col()))
 
@@ -174,12 +162,19 @@ def fx_responses(spark: SparkSession, sf_dir: str, with_text: bool = False) -> D
     return r.select(*cols)
 
 
-def fx_scores(spark: SparkSession, sf_dir: str, with_doc: bool = False) -> DataFrame:
-    """Long metric scores ``id, model, resp_no, metric, score`` (a complete grid)."""
+def fx_responses_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per query with a column ``r_<model>_<i>`` per response."""
+    q = fx_queries(spark, sf_dir)
+    at = lambda m, i: F.expr(re.sub(r"\bi\b", str(i), re.sub(r"\bm\b", str(m), _R_RESPONSE)))
+    return q.select("id", *[at(m, i).alias(f"r_{name}_{i}") for m, name in enumerate(config.MODELS, 1)
+                            for i in range(1, config.RESPONSES_PER_MODEL + 1)])
+
+
+def fx_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long metric scores ``doc_id, id, model, resp_no, metric, score`` (a complete grid)."""
     q = fx_queries(spark, sf_dir).select("doc_id", "id")
     s = _per_model(q).select("*", F.inline(_slots_col())).select("*", F.inline(_metrics_col()))
-    cols = ["id", "model", F.col("i").alias("resp_no"), "metric", F.expr(_S_SCORE).alias("score")]
-    return s.select(*cols, "doc_id") if with_doc else s.select(*cols)
+    return s.select("doc_id", "id", "model", F.col("i").alias("resp_no"), "metric", F.expr(_S_SCORE).alias("score"))
 
 
 def fx_runtimes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,17 +195,41 @@ def fx_label_input(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_proba(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Router class probabilities per query."""
+    """Router class probabilities per query and discrepancy threshold."""
     return proba_from_queries(fx_queries(spark, sf_dir).select("doc_id", "id"))
 
 
-def proba_columns() -> dict:
-    """Router probability columns computed from ``doc_id`` (batch or stream)."""
-    a, b, c = F.expr(_P_A), F.expr(_P_B), F.expr(_P_C)
+def proba_columns(k: int | None = None) -> dict:
+    """Router probability columns computed from ``doc_id`` and the threshold's
+    number ``k`` (a column, or a fixed number, e.g. on a stream)."""
+    fixed = (lambda e: e) if k is None else (lambda e: e.replace("*k)", f"*{int(k)})"))
+    a, b, c = (F.expr(fixed(e)) for e in (_P_A, _P_B, _P_C))
     tot = a + b + c
     return {"proba_base": a / tot, "proba_large": b / tot, "proba_xl": c / tot}
 
 
 def proba_from_queries(q: DataFrame) -> DataFrame:
-    """Per-row router probabilities ``id, doc_id, proba_*``."""
-    return q.select("id", "doc_id", *[v.alias(k) for k, v in proba_columns().items()])
+    """``id, doc_id, t_threshold, proba_*``: one row per query and threshold."""
+    grid = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("t_threshold")) for k, n in _THRESHOLDS])
+    return q.select("id", "doc_id", F.inline(grid)).select("id", "doc_id", "t_threshold",
+                                                           *[v.alias(n) for n, v in proba_columns().items()])
+
+
+def fx_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text pairs ``id, model, resp_no, candidate, reference``: 30 variants of every conversation turn."""
+    c = spread(load(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
+    p = _per_model(c).select("*", F.inline(_slots_col()))
+    return p.select(F.concat(F.lit("conv/"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")).alias("id"),
+                    "model", F.col("i").alias("resp_no"), F.expr(_PAIR_CANDIDATE).alias("candidate"),
+                    F.col("text").alias("reference"))
+
+
+def fx_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw source rows ``id, split, candidates``: per response its model, decoding
+    method and score map (lists bounded by 9 metrics and 30 responses)."""
+    s = fx_scores(spark, sf_dir)
+    per = s.groupBy("doc_id", "id", "model", "resp_no").agg(
+        F.map_from_entries(F.collect_list(F.struct("metric", "score"))).alias("scores"))
+    one = F.struct(F.lit("sampling").alias("decoding_method"), F.col("model"), F.lit("").alias("text"), F.col("scores"))
+    return (per.groupBy("doc_id", "id").agg(F.collect_list(one).alias("candidates"))
+            .select("id", F.expr(_SPLIT).alias("split"), "candidates"))

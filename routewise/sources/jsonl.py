@@ -33,15 +33,6 @@ CANDIDATE_SCHEMA = T.StructType([
     T.StructField("cmp_results", T.StringType()),
 ])
 
-#: Router predictions with class probabilities.
-PREDICTION_SCHEMA = T.StructType([
-    T.StructField("id", T.StringType()),
-    T.StructField("predicted_model_label", T.IntegerType()),
-    T.StructField("proba_base", T.DoubleType()),
-    T.StructField("proba_large", T.DoubleType()),
-    T.StructField("proba_xl", T.DoubleType()),
-])
-
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, permissive: bool = False) -> DataFrame:
     """A1: one JSON object per line into a typed table."""

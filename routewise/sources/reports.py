@@ -10,7 +10,7 @@ comes out of a single aggregate.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Metric line labels of the evaluation report, in report order.
@@ -44,14 +44,44 @@ def render_sweep_report(card: DataFrame) -> DataFrame:
     return heads.unionByName(body)
 
 
+def write_report(lines: DataFrame, path: str, report: str = "t_threshold") -> None:
+    """One text file per report, lines in order (a report is a few dozen lines)."""
+    (lines.withColumn("__r", F.col(report)).repartition("__r").sortWithinPartitions("__r", "line_no")
+          .select("__r", "line").write.mode("overwrite").partitionBy("__r").text(path))
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """Report files as ``(report, line_no, line)``: whole files, so their lines keep their order."""
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("report"), "value")
+    return files.select("report", F.posexplode(F.split("value", "\n")).alias("line_no", "line")).where("line <> ''")
+
+
+def render_case_report(cases: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(report, line_no, line)`` of the labelling report: count per case (the id
+    lists stay a table), then count, mean and median complexity per label."""
+    head = cases.select(F.col("t_threshold").alias("report"), F.lit(0).cast("bigint").alias("_o"), F.lit(0).alias("_k"),
+                        F.format_string("%s: %d", "label_case", "n").alias("line"), F.lit(0).alias("_part"))
+    mid = cases.select(F.col("t_threshold").alias("report")).distinct().select(
+        "report", F.lit(0).cast("bigint").alias("_o"), F.lit(0).alias("_k"), F.lit("Total Label Counts and Complexity Scores:").alias("line"),
+        F.lit(1).alias("_part"))
+    texts = F.array(F.format_string("Label %d: %d", "evaluation_model_label", "n"),
+                    F.format_string("Average complexity score: %.4f", F.round("avg_value", 4)),
+                    F.format_string("Median complexity score: %.4f", F.round("median_value", 4)))
+    tail = labels.select(F.col("t_threshold").alias("report"), F.col("evaluation_model_label").cast("bigint").alias("_o"),
+                         F.posexplode(texts).alias("_k", "line")).withColumn("_part", F.lit(2))
+    every = head.unionByName(mid).unionByName(tail)
+    place = Window.partitionBy("report").orderBy("_part", "_o", "_k", "line")
+    return every.select("report", F.row_number().over(place).alias("line_no"), "line")
+
+
 def parse_sweep_report(lines: DataFrame) -> DataFrame:
-    """Report lines -> one row per (t_threshold, prob_threshold)."""
+    """Report lines ``(report, line_no, line)`` -> one row per (t_threshold, prob_threshold);
+    both thresholds come from the header lines alone."""
     num = r"(-?[0-9]+(?:\.[0-9]+)?)"
     w = Window.partitionBy("report").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     t = F.nullif(F.regexp_extract("line", r"^--- Evaluating Model for t-threshold: (\S+) ---$", 1), F.lit(""))
     p = F.nullif(F.regexp_extract("line", r"^Evaluating Probability Threshold: " + num + "$", 1), F.lit(""))
-    filled = (lines.withColumn("report", F.col("t_threshold"))
-                   .withColumn("t_cur", F.last(t, ignorenulls=True).over(w))
+    filled = (lines.withColumn("t_cur", F.last(t, ignorenulls=True).over(w))
                    .withColumn("p_cur", F.last(p, ignorenulls=True).over(w)))
     aggs = []
     for c, tpl in REPORT_LINES + COUNT_LINES:

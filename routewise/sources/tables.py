@@ -12,9 +12,3 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
-    """Expose the tables to ``spark.sql`` under their own names."""
-    for n in names:
-        load(spark, sf_dir, n).createOrReplaceTempView(n)

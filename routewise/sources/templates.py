@@ -18,6 +18,17 @@ def feature_template(ids: DataFrame) -> DataFrame:
         *[F.lit(0.0).alias(c) for c in ("query_readability_score", "query_complexity_score")])
 
 
+def response_template(ids: DataFrame, n: int = config.RESPONSES_PER_MODEL) -> DataFrame:
+    """One wide row per id: ten empty responses with zero scores per model, and its mean runtime."""
+    zero = F.map_from_arrays(F.array(*[F.lit(m) for m in config.METRICS]), F.array(*[F.lit(0.0) for _ in config.METRICS]))
+    cols = []
+    for m in config.MODELS:
+        for i in range(1, n + 1):
+            cols += [F.lit("").alias(f"r_{m}_{i}"), zero.alias(f"scores_{m}_{i}")]
+        cols.append(F.lit(0.0).alias(f"rt_{m}_avg"))
+    return ids.select("id", *cols)
+
+
 def score_template(ids: DataFrame, n: int = config.RESPONSES_PER_MODEL) -> DataFrame:
     """Long score template: every (id, model, response, metric) with default 0.0."""
     models = F.array(*[F.lit(m) for m in config.MODELS])

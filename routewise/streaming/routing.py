@@ -31,7 +31,7 @@ def route_queries(queries: DataFrame, stats: dict, probability_threshold: float
     fixed statistics, probabilities, confidence rule."""
     f = FT.with_query_features(FT.with_category(FT.with_query(queries)))
     f = FT.with_complexity(f, stats_from=stats)
-    f = f.withColumns(proba_columns())
+    f = f.withColumns(proba_columns(k=0))
     return f.withColumn("routed_to", RT.route_by_confidence(threshold=probability_threshold))
 
 

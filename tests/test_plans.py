@@ -35,13 +35,26 @@ def test_sweep_plan_has_no_global_window_or_cartesian(spark):
     assert df.count() == 70
 
 
-def test_fanout_reuses_id_partitioning(spark):
-    """Per-(id, model) aggregation over the 30x response fan-out needs no new shuffle."""
+def test_texts_are_never_shuffled(spark):
+    """Whole texts stay in their scan partition: after the fan-out only the partial
+    per-(id, model) sums cross the exchange."""
     from routewise.operators.responses import response_rows, response_summary
-    q = FT.with_query(FX.fx_queries(spark, SF001))
-    s = response_summary(response_rows(FX.fx_responses(spark, SF001), q))
-    p = s._jdf.queryExecution().executedPlan().toString()
-    # the only exchanges are the explicit id repartitions of the query table; the
-    # join and the (id, model) aggregate add none (no ENSURE_REQUIREMENTS shuffle)
-    assert "hashpartitioning(id" in p and "REPARTITION_BY_NUM" in p
-    assert "ENSURE_REQUIREMENTS" not in p, p
+    s = response_summary(response_rows(FT.with_query(FX.fx_responses(spark, SF001, with_text=True))))
+    p = plan(s)
+    for line in p.splitlines():
+        if "hashpartitioning" in line:
+            assert "text" not in line and "response" not in line
+    assert "REPARTITION_BY_NUM" not in p.replace("RoundRobinPartitioning", "") or "RoundRobin" in p
+    assert "partial_sum" in p and "CartesianProduct" not in p
+
+
+def test_metrics_keep_one_row_per_pair(spark):
+    from routewise.operators import textmetrics as TM
+    p = plan(TM.pair_metrics(FX.fx_pairs(spark, SF001), ["id", "model", "resp_no"]))
+    assert p.count("ArrowEvalPython") == 1 and "hashpartitioning" not in p and "Window" not in p
+
+
+def test_prompt_batches_use_no_single_partition(spark):
+    import __spark_entry__ as E
+    p = plan(E.queries()["A5_prompt_batches"](spark, SF001))
+    assert "SinglePartition" not in p

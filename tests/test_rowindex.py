@@ -60,7 +60,7 @@ def test_ordered_split(values):
 
 def test_row_number_multi_bucket(values):
     pdf, df = values
-    got = RI.with_row_number(df, "row_idx", rows_per_bucket=300).select("row_idx", "row_no").toPandas()
+    got = RI.with_row_number(df, "row_idx", rows_per_partition=300).select("row_idx", "row_no").toPandas()
     assert (got.sort_values("row_idx")["row_no"].to_numpy() == np.arange(1, 5001)).all()
 
 
@@ -68,3 +68,57 @@ def test_row_range(values):
     pdf, df = values
     got = sorted(r["row_idx"] for r in RI.row_range(df, "row_idx", 100, 50).collect())
     assert got == sorted(pdf["row_idx"])[100:150]
+
+
+@pytest.fixture(scope="module")
+def tied(spark):
+    """Keys with NULLs, long ties and repeated rows."""
+    keys = [None] * 7 + [3] * 40 + [1] * 5 + [2] + [9] * 20
+    return keys, spark.createDataFrame([(k, i % 3) for i, k in enumerate(keys)], "row_idx long, x int").repartition(5)
+
+
+@pytest.mark.parametrize("n", [0, 1, 4, 7, 8, 12, 13, 30, 53, 72, 73, 100])
+def test_first_rows_are_exact_with_ties_and_nulls(tied, n):
+    keys, df = tied
+    got = sorted(-1 if r["row_idx"] is None else r["row_idx"] for r in RI.first_rows(df, "row_idx", n).collect())
+    assert got == sorted(-1 if k is None else k for k in keys)[:n]
+
+
+def test_row_range_and_split_with_ties_and_nulls(tied):
+    keys, df = tied
+    want = sorted(-1 if k is None else k for k in keys)
+    got = sorted(-1 if r["row_idx"] is None else r["row_idx"] for r in RI.row_range(df, "row_idx", 5, 30).collect())
+    assert got == want[5:35]
+    for ratio in (0.0, 0.05, 0.5, 0.9, 1.0):
+        train, test = RI.ordered_split(df, "row_idx", ratio)
+        a, b = train.count(), test.count()
+        assert a == round(len(keys) * ratio) and a + b == len(keys)
+
+
+def test_row_number_with_ties_and_nulls(tied):
+    keys, df = tied
+    rows = sorted((r["row_no"], -1 if r["row_idx"] is None else r["row_idx"]) for r in RI.with_row_number(df, "row_idx", rows_per_partition=5).collect())
+    assert [n for n, _ in rows] == list(range(1, len(keys) + 1))
+    assert [k for _, k in rows] == sorted(-1 if k is None else k for k in keys)
+
+
+def test_order_statistics_of_odd_values(spark):
+    inf, nan = float("inf"), float("nan")
+    v = [-inf, -inf, -1e308, -1.0, 0.0, 1e-300, 2e-300, 5.0, 1e308, inf, nan, nan] + [7.0] * 30
+    df = spark.createDataFrame([(x,) for x in v], "v double")
+    want = sorted(v, key=lambda x: (x != x, x))
+    got = RI.order_statistics(df, "v", range(1, len(v) + 1), buckets=4, finish_rows=2)
+    assert all(got[k] == want[k - 1] or (got[k] != got[k] and want[k - 1] != want[k - 1]) for k in got)
+
+
+def test_too_many_groups_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(RI, "MAX_GROUPS", 5)
+    with pytest.raises(ValueError):
+        RI.grouped_quantiles(spark.range(20).selectExpr("id AS g", "id AS v"), "g", "v", [0.5])
+
+
+def test_empty_table(spark):
+    df = spark.createDataFrame([], "row_idx long")
+    assert RI.first_rows(df, "row_idx", 3).count() == 0
+    assert [t.count() for t in RI.ordered_split(df)] == [0, 0]
+    assert RI.with_row_number(df, "row_idx").count() == 0

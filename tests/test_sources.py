@@ -54,7 +54,10 @@ def test_report_roundtrip(spark):
     text = [r["line"] for r in lines.orderBy("line_no").collect()]
     assert text[0] == "--- Evaluating Model for t-threshold: t0 ---"
     assert "Quality Loss compared to GT: -2.31%" in text and "Total Compute Units Used: 43459.92 CUs" in text
-    back = RP.parse_sweep_report(lines).first()
+    path = scratch_path(spark, "t-report")
+    RP.write_report(lines, path)
+    back = RP.parse_sweep_report(RP.read_report(spark, path)).first()
+    assert back["t_threshold"] == "t0"
     assert back["n_xl"] == 3536 and back["compute_units"] == pytest.approx(43459.92)
     assert back["quality_loss_gt"] == pytest.approx(-2.31) and back["prob_threshold"] == pytest.approx(0.1)
 
@@ -68,3 +71,50 @@ def test_score_merge_rules(spark):
                                   key + ", score double, row_idx long")
     got = {r["id"]: r["score"] for r in merge_scores(tpl, files).collect()}
     assert got == {"a": 2.0, "b": None, "c": 0.0}
+
+
+def test_fixtures_use_whole_texts(spark):
+    from routewise.sources import fixtures as FX
+    from routewise.sources.tables import load
+    from tests.conftest import SF001
+    docs = load(spark, SF001, "documents").agg(F.sum(F.length("text"))).first()[0]
+    q = FX.fx_queries(spark, SF001)
+    tail = F.when(F.col("doc_id") % 10 > 2, F.when(F.col("output").contains("\n"), 1).otherwise(0)).otherwise(0)  # the line break between the parts
+    extra = (F.when(F.col("doc_id") % 10 == 1, 0).when(F.col("doc_id") % 10 == 2, 0)
+             .when(F.col("doc_id") % 13 == 0, F.length(F.concat(F.lit(" see https://example.org/p/"), F.col("doc_id").cast("string"))))
+             .when(F.col("doc_id") % 17 == 0, len(" ![fig](img.png)")).otherwise(0))
+    got = q.agg(F.sum(F.length("instruction") + F.length("input") + tail - extra), F.sum(F.length("output"))).first()
+    assert tuple(got) == (docs, docs)
+    source = open(FX.__file__).read()
+    assert "substr(" not in source and ".limit(" not in source
+
+
+def test_every_query_runs_twice(spark):
+    """Calling a query must not change what the next call sees."""
+    import __spark_entry__ as E
+    from tests.conftest import SF001
+    qs = E.queries()
+    for name in ("A1_jsonl_scan", "A2_jsonl_sink", "A7_report_parser", "C1_score_merge", "F1_fan_out_responses"):
+        first, second = (qs[name](spark, SF001) for _ in range(2))
+        assert first.columns == second.columns and first.count() == second.count()
+
+
+def test_misaligned_tables_raise(spark):
+    from routewise.operators.scores import assert_aligned
+    a = spark.createDataFrame([(0, "a"), (1, "b")], "row_idx int, id string")
+    assert_aligned(a, a)
+    with pytest.raises(ValueError, match="1 positions"):
+        assert_aligned(a, spark.createDataFrame([(0, "a"), (1, "x")], "row_idx int, id string"))
+
+
+def test_checkpoint_folder_must_be_named_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from routewise import session
+
+    class Conf(dict):
+        def get(self, k, d=None):
+            return d
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, getConf=Conf, master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=Conf()))

@@ -40,7 +40,7 @@ def pairs(spark):
 
 
 def test_bleu_identity_and_gate(pairs):
-    got = {r["pid"]: r["bleu"] for r in TM.bleu_scores(pairs, ["pid"]).collect()}
+    got = {r["pid"]: r["bleu"] for r in TM.pair_metrics(pairs, ["pid"], ["bleu"]).collect()}
     assert got["p1"] == pytest.approx(100.0)
     assert got["p3"] is None and got["p4"] is None
     assert got["p2"] == 0.0
@@ -48,8 +48,8 @@ def test_bleu_identity_and_gate(pairs):
 
 
 def test_rouge_properties(pairs):
-    n = {r["pid"]: r for r in TM.rouge_n_scores(pairs, ["pid"]).collect()}
-    l = {r["pid"]: r for r in TM.rouge_l_scores(pairs, ["pid"]).collect()}
+    n = {r["pid"]: r for r in TM.pair_metrics(pairs, ["pid"], ["rouge1", "rouge2"]).collect()}
+    l = {r["pid"]: r for r in TM.pair_metrics(pairs, ["pid"], ["rougeL", "rougeLsum"]).collect()}
     assert n["p1"]["rouge1"] == pytest.approx(1.0) and l["p1"]["rougeL"] == pytest.approx(1.0)
     for pid in ("p1", "p2", "p5", "p6"):
         assert l[pid]["rougeL"] <= n[pid]["rouge1"] + 1e-12
@@ -81,7 +81,7 @@ def test_cosine(spark):
 @settings(max_examples=200, deadline=None)
 def test_single_line_lsum_shortcut_is_exact(a, b):
     c, r = " ".join(a), " ".join(b)
-    fast = TM.rouge_lcs_pair(c, r)
+    fast = TM.pair_scores(c, TM._Reference(r, ["rougeL", "rougeLsum"]), ["rougeL", "rougeLsum"])
     slow = TM.rouge_lsum([TM._TOK.findall(c)], [TM._TOK.findall(r)])
     assert fast[1] == pytest.approx(slow) and fast[0] == pytest.approx(TM.rouge_l(TM._TOK.findall(c), TM._TOK.findall(r)))
 
@@ -115,3 +115,50 @@ def test_rouge_l_query_matches_brute_force(spark):
         assert got[key][0] == pytest.approx(exp_l, abs=6e-7) and got[key][1] == pytest.approx(exp_s, abs=6e-7)
         n += 1
     assert n > 1000
+
+
+def _table_indices(ref, cand):
+    """The full table and the same tie rule."""
+    t = [[0] * (len(cand) + 1) for _ in range(len(ref) + 1)]
+    for i in range(1, len(ref) + 1):
+        for j in range(1, len(cand) + 1):
+            t[i][j] = t[i - 1][j - 1] + 1 if ref[i - 1] == cand[j - 1] else max(t[i - 1][j], t[i][j - 1])
+    i, j, out = len(ref), len(cand), []
+    while i and j:
+        if ref[i - 1] == cand[j - 1]:
+            out.append(i - 1)
+            i, j = i - 1, j - 1
+        elif t[i][j - 1] > t[i - 1][j]:
+            j -= 1
+        else:
+            i -= 1
+    return out[::-1]
+
+
+@given(st.lists(st.sampled_from("abcd"), max_size=40), st.lists(st.sampled_from("abcd"), max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_lcs_indices_equal_the_full_table(a, b):
+    assert TM.lcs_indices(a, b) == _table_indices(a, b)
+
+
+def test_long_lines_are_quick():
+    import time
+    import random
+    rng = random.Random(1)
+    a, b = ([rng.choice("abcdefgh") for _ in range(3000)] for _ in range(2))
+    t = time.time()
+    assert len(TM.lcs_indices(a, b)) == TM.lcs_length(a, b)
+    assert time.time() - t < 5
+
+
+def test_masked_pairs_never_reach_the_scorer(spark):
+    rows = [("a", "x <mask> y", "x"), ("b", "x", "x <mask>"), ("c", "x", "x"), ("d", " ", "x")]
+    df = spark.createDataFrame(rows, "k string, candidate string, reference string")
+
+    def factory():
+        def score(c, r):
+            assert not any("<mask>" in t for t in [*c, *r])
+            return [1.0] * len(c)
+        return score
+    got = {r["k"]: r["s"] for r in TM.score_pairs(df, ["k"], factory, "s", guard_masks=True).collect()}
+    assert got == {"a": None, "b": None, "c": 1.0, "d": None}
