@@ -42,7 +42,7 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write to the cluster's shared folder and read back (survives lost executors)."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -131,8 +131,10 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
 
 def fit_weights(pages: DataFrame, html: str = "html") -> dict:
     """Cost of every tag type from labelled pages (see the module's first lines)."""
-    src = (pages.select(F.col(html).alias("html")).where(F.col("html").rlike("(?i)<(article|main)[\\s>]"))
-           .orderBy(F.xxhash64("html")).limit(SAMPLE_PAGES))
+    marked = pages.select(F.col(html).alias("html")).where(F.col("html").rlike("(?i)<(article|main)[\\s>]")).withColumn("h", F.xxhash64("html"))
+    # only hashes are gathered: the sample is the distinct pages up to the SAMPLE_PAGES-th hash
+    last = marked.select("h").distinct().orderBy("h").limit(SAMPLE_PAGES).agg(F.max("h")).first()[0]
+    src = marked.where(F.col("h") <= F.lit(last)).select("html")
 
     def count(batches):
         seen: dict[str, list[int]] = {}

@@ -12,15 +12,17 @@ Zhang, Chang, "Leveraging set relations in exact set similarity join", 2017):
    the set whose values are the most widespread (the text that others were
    edited from), so a group of m copies makes O(m) pairs.  Verified pairs label
    every set with a hub.
-3. Prefix index: any two linked sets share a shingle among the first
-   ``n - ceil(0.75 n) + 1`` of each, in one global order: hash order, with
+3. Prefix index: two linked sets share ``l`` shingles among the first
+   ``n - ceil(0.75 n) + l`` of each (``l`` is that of the smaller set, about a
+   fortieth of its size), in one global order: hash order, with
    shingles marked in a bitmap last.  The bitmap (``MARK_BITS`` bits whatever the
    corpus) holds the reported shingles, so prefixes consist of shingles that few
    sets have; which shingles are marked only changes the speed.
    Prefixes are dealt by shingle to buckets as packed arrays.  A shingle's list
    keeps, per hub and set size, the first position; it is ordered by size and
    position, and blocks whose size or position cannot reach the overlap are
-   skipped whole.  What remains are pairs of hubs with possibly linked members.
+   skipped whole.  What remains are pairs of hubs, counted over all shingles, and
+   those with the ``l`` shared shingles may have linked members.
 4. Verification: blocks hold members of one hub, and the sets of its partner hubs
    stream past.  A set's overlap with the hub is computed once; all members
    derive theirs from it by the few shingles in which they differ from the hub.
@@ -97,8 +99,13 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def shared_shingles(n):
+    """Shingles that a set of this size must share, within the prefixes, with any linked set not smaller."""
+    return 1 + n // 40
+
+
 def prefix_length(n):
-    return n - -(-NUM * n // DEN) + 1
+    return min(n, n - -(-NUM * n // DEN) + shared_shingles(n))
 
 
 def needed_overlap(a, b):
@@ -275,7 +282,8 @@ def list_pairs(size: np.ndarray, pos: np.ndarray, hub: np.ndarray) -> tuple[np.n
         hi = np.searchsorted(size[heads], n, side="right")
         for j in range(lo, hi):
             m = size[heads[j]]
-            need = needed_overlap(int(n), int(m))
+            # the first l shared shingles have at most l - 1 shared ones before them
+            need = needed_overlap(int(n), int(m)) - (shared_shingles(int(m)) - 1)
             if n - p < need:
                 continue
             last = min(tails[j], i) if m == n else tails[j]
@@ -293,10 +301,15 @@ def list_pairs(size: np.ndarray, pos: np.ndarray, hub: np.ndarray) -> tuple[np.n
 
 
 def _marks(sets: DataFrame) -> np.ndarray:
-    """Bitmap of the reported shingles: one row of 4 KB per block, merged by Spark."""
+    """Bitmap of the reported shingles."""
+    return _bitmap(sets.where("token is not null"))
+
+
+def _bitmap(tokens: DataFrame) -> np.ndarray:
+    """Bitmap of a ``token`` column below ``2 ** MARK_BITS``: one row of 4 KB per block, merged by Spark."""
     block = F.shiftright("token", _BLOCK_BITS)
     bit = F.col("token").bitwiseAND((1 << _BLOCK_BITS) - 1)
-    rows = sets.where("token is not null").groupBy(block.alias("block")).agg(F.bitmap_construct_agg(bit).alias("bits")).collect()
+    rows = tokens.groupBy(block.alias("block")).agg(F.bitmap_construct_agg(bit).alias("bits")).collect()
     out = np.zeros(1 << (MARK_BITS - 3), np.uint8)
     size = 1 << (_BLOCK_BITS - 3)
     for r in rows:  # at most 2 ** (MARK_BITS - _BLOCK_BITS) of them
@@ -310,6 +323,53 @@ def marked(bitmap: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
 
 
+class PairCounts:
+    """Per pair: in how many lists it occurred, and the least number of shingles its sets must share."""
+
+    def __init__(self):
+        self.parts, self.size = [], 0
+
+    def add(self, token: np.ndarray, pair: np.ndarray, least: np.ndarray) -> None:
+        """Occurrences of pairs in lists; several of one pair in one list (several sizes) count once."""
+        if not len(pair):
+            return
+        order = np.lexsort((least, pair, token))
+        token, pair, least = token[order], pair[order], least[order]
+        first = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (pair[1:] != pair[:-1])))
+        self.parts.append((pair[first], np.ones(len(first), np.int64), least[first]))
+        self.size += len(first)
+        if self.size > 1 << 21:
+            self.parts = [self.result()]
+            self.size = len(self.parts[0][0])
+
+    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.parts:
+            return (np.zeros(0, np.int64),) * 3
+        pair, shared, least = (np.concatenate(c) for c in zip(*self.parts))
+        order = np.argsort(pair, kind="stable")
+        head = np.flatnonzero(np.diff(pair[order], prepend=-1))
+        return pair[order][head], np.add.reduceat(shared[order], head), np.minimum.reduceat(least[order], head)
+
+
+def id_bitmap(ids: DataFrame) -> np.ndarray:
+    """Bitmap (``2 ** MARK_BITS`` bits, bounded) of the ``sid`` values of a table, by their first bytes."""
+    bits = F.conv(F.hex(F.substring("sid", 1, 4)), 16, 10).cast("long").bitwiseAND((1 << MARK_BITS) - 1)
+    return _bitmap(ids.select(bits.alias("token")))
+
+
+def only(texts: DataFrame, bitmap: np.ndarray, inside: bool = True) -> DataFrame:
+    """The rows of ``texts(sid, text)`` whose id the bitmap holds (or does not hold).  It may hold a few
+    more ids than were put in; it keeps whole texts out of the joins that do not need them."""
+    held = texts.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches):
+        for b in batches:
+            at = np.frombuffer(b"".join(s[:4] for s in b.column(0).to_pylist()), ">u4").astype(np.uint64)
+            yield b.filter(pa.array(marked(held.value, at) == inside))
+
+    return texts.select("sid", "text").mapInArrow(run, "sid binary, text string")
+
+
 def _candidates(labelled: DataFrame, buckets: int, bitmap: np.ndarray) -> DataFrame:
     """Pairs ``(hub, other)`` of hubs that may have linked members, from the prefix index over ``labelled(hub, text)``."""
     spark = labelled.sparkSession
@@ -379,30 +439,29 @@ def _candidates(labelled: DataFrame, buckets: int, bitmap: np.ndarray) -> DataFr
             head = np.flatnonzero(np.diff(token.astype(np.int64), prepend=-1))
             length = np.diff(np.append(head, len(token)))
             short = np.repeat(length <= SHORT_LIST, length)
-            found, width = np.zeros(0, np.int64), len(label)
+            found, width = PairCounts(), len(label)
             for step in range(1, min(SHORT_LIST, int(length.max(initial=0)))):
                 i = np.flatnonzero(short[:-step] & (token[:-step] == token[step:]))
                 j = i + step
                 low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
                 reach = np.minimum(size[i] - pos[i], size[j] - pos[j])
-                ok = (hub[i] != hub[j]) & (DEN * low >= NUM * high) & (reach >= needed_overlap(low, high))
-                i, j = i[ok], j[ok]
-                found = np.unique(np.concatenate([found, np.minimum(hub[i], hub[j]) * width + np.maximum(hub[i], hub[j])]))
-            waiting, held_back = [], 0
+                ok = (hub[i] != hub[j]) & (DEN * low >= NUM * high) & (reach >= needed_overlap(low, high) - (shared_shingles(low) - 1))
+                i, j, low = i[ok], j[ok], low[ok]
+                one = np.unique(np.stack([token[i].astype(np.int64), np.minimum(hub[i], hub[j]) * width + np.maximum(hub[i], hub[j]), low]), axis=1)
+                found.add(one[0], one[1], shared_shingles(one[2]))
             for k in np.flatnonzero(length > SHORT_LIST).tolist():
                 part = slice(head[k], head[k] + length[k])
                 h = hub[part]
-                a, b = list_pairs(size[part], pos[part], h)
-                waiting.append(np.unique(np.minimum(h[a], h[b]) * width + np.maximum(h[a], h[b])))
-                held_back += len(waiting[-1])
-                if held_back > 1 << 20:
-                    found, waiting, held_back = np.unique(np.concatenate([found, *waiting])), [], 0
-            found = np.unique(np.concatenate([found, *waiting]))
-            if not len(found):
+                n = size[part]
+                a, b = list_pairs(n, pos[part], h)
+                found.add(token[part][a].astype(np.int64), np.minimum(h[a], h[b]) * width + np.maximum(h[a], h[b]),
+                          shared_shingles(np.minimum(n[a], n[b])))
+            pair, shared, least = found.result()
+            if not len(pair):
                 return None
             label = label.view("V16").ravel()
-            return pa.RecordBatch.from_arrays([pa.array([bytes(z) for z in label[k]], pa.binary()) for k in (found // width, found % width)],
-                                              names=["hub", "other"])
+            return pa.RecordBatch.from_arrays([*[pa.array([bytes(z) for z in label[k]], pa.binary()) for k in (pair // width, pair % width)],
+                                               pa.array(shared), pa.array(least)], names=["hub", "other", "shared", "least"])
 
         for b in batches:
             bucket = b.column(0).to_pylist()
@@ -419,7 +478,9 @@ def _candidates(labelled: DataFrame, buckets: int, bitmap: np.ndarray) -> DataFr
     ddl = "bucket long, token binary, owner binary, pos binary, hubs binary, sizes binary"
     lists = labelled.select("hub", "text").mapInArrow(index, ddl)
     dealt = lists.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(meet, "hub binary, other binary").distinct()
+    pairs = dealt.mapInArrow(meet, "hub binary, other binary, shared long, least long")
+    return (pairs.groupBy("hub", "other").agg(F.sum("shared").alias("shared"), F.min("least").alias("least"))
+            .where("shared >= least").select("hub", "other"))
 
 
 def least_ids(rows: DataFrame) -> DataFrame:
@@ -434,15 +495,22 @@ def join(docs: DataFrame, text: str = "text") -> DataFrame:
     texts = sets.where("text is not null and sid is not null").select("sid", "text")
     # texts of one set may come once per batch: any of them will do, the set is the same
     alone = least_ids(rows).select("sid", F.col("sid").alias("hub"))
-    stars = write_shared(verify(write_shared(_hub_pairs(sets), "jaccard-hubs"), alone, texts), "jaccard-stars")
+    pairs = write_shared(_hub_pairs(sets), "jaccard-hubs")
+    wanted = pairs.select(F.explode(F.array("hub", "other")).alias("sid"))
+    stars = write_shared(verify(pairs, alone, only(texts, id_bitmap(wanted))), "jaccard-stars")
     hubs = stars.groupBy(F.col("v").alias("sid")).agg(F.min("u").alias("hub"))
     up = hubs.select(F.col("sid").alias("hub"), F.col("hub").alias("top"))
     hubs = hubs.join(up, "hub", "left").select("sid", F.coalesce("top", "hub").alias("hub"))
     members = write_shared(least_ids(rows).join(hubs, "sid", "left").select("sid", F.coalesce("hub", "sid").alias("hub"), "low"), "jaccard-members")
-    labelled = texts.join(members, "sid").select("hub", "text")
+    families = id_bitmap(members.where("hub <> sid").select(F.explode(F.array("sid", "hub")).alias("sid")))
+    # a set outside all families is its own hub and needs no join
+    labelled = (only(texts, families).join(members, "sid").select("hub", "text")
+                .unionByName(only(texts, families, inside=False).select(F.col("sid").alias("hub"), "text")))
     total = rows.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-total // (BUCKET_TOKENS * DEN // (DEN - NUM))))
-    links = verify(write_shared(_candidates(labelled, buckets, _marks(sets)), "jaccard-candidates"), members, texts)
+    pairs = write_shared(_candidates(labelled, buckets, _marks(sets)), "jaccard-candidates")
+    paired = members.join(pairs.select(F.explode(F.array("hub", "other")).alias("hub")).distinct(), "hub", "left_semi")
+    links = verify(pairs, members, only(texts, id_bitmap(paired)))
     roots = components(stars.unionByName(links))
     named = members.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select("sid", "low", F.coalesce("root", "sid").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))

@@ -107,7 +107,7 @@ def test_list_pairs_keeps_every_possible_pair():
         want = set()
         for i in range(n):
             for j in range(i):
-                need = jaccard_join.needed_overlap(int(size[i]), int(size[j]))
+                need = jaccard_join.needed_overlap(int(size[i]), int(size[j])) - jaccard_join.shared_shingles(int(min(size[i], size[j]))) + 1
                 if hub[i] != hub[j] and 100 * min(size[i], size[j]) >= 75 * max(size[i], size[j]) and min(size[i] - pos[i], size[j] - pos[j]) >= need:
                     want.add((j, i))
         a, b = jaccard_join.list_pairs(size, pos, hub)
