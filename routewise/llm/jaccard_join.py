@@ -61,6 +61,7 @@ _BLOCK_BITS = 15  # bits of one row of Spark's bitmap aggregate
 BUCKET_TOKENS = 1 << 20
 #: Lists up to this length are paired together in arrays, longer ones block by block.
 SHORT_LIST = 32
+LIST_ROWS = 1 << 15
 #: Members of a hub, and partner hubs, per verification block aimed at.
 BLOCK_MEMBERS, BLOCK_PARTNERS = 512, 256
 
@@ -214,8 +215,14 @@ class Family:
 def verify(pairs: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
     """Links ``(u, v)`` between members of paired hubs, at least one for each ``pairs(hub, other)``
     that has a link; ``members(sid, hub)`` names every set's hub."""
+    # the larger family holds still in its blocks, the members of the smaller one stream past it
+    count = members.groupBy("hub").agg(F.count(F.lit(1)).alias("m"))
+    pairs = (pairs.join(count, "hub").join(count.select(F.col("hub").alias("other"), F.col("m").alias("om")), "other")
+             .select(F.when(F.col("m") >= F.col("om"), F.col("hub")).otherwise(F.col("other")).alias("hub"),
+                     F.when(F.col("m") >= F.col("om"), F.col("other")).otherwise(F.col("hub")).alias("other")))
+    pairs = write_shared(pairs, "jaccard-pairs")
     sizes = (pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("q"))
-             .join(members.groupBy("hub").agg(F.count(F.lit(1)).alias("m")), "hub")
+             .join(count, "hub")
              .select("hub", F.ceil(F.col("q") / BLOCK_PARTNERS).alias("zs"), F.ceil(F.col("m") / BLOCK_MEMBERS).alias("ms")))
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     none = F.lit(None).cast("binary").alias("other")
@@ -338,7 +345,7 @@ class PairCounts:
         first = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (pair[1:] != pair[:-1])))
         self.parts.append((pair[first], np.ones(len(first), np.int64), least[first]))
         self.size += len(first)
-        if self.size > 1 << 21:
+        if self.size > 1 << 18:
             self.parts = [self.result()]
             self.size = len(self.parts[0][0])
 
@@ -438,17 +445,24 @@ def _candidates(labelled: DataFrame, buckets: int, bitmap: np.ndarray) -> DataFr
             token, hub, size, pos = token[at], hub[at], size[at], pos[at]
             head = np.flatnonzero(np.diff(token.astype(np.int64), prepend=-1))
             length = np.diff(np.append(head, len(token)))
-            short = np.repeat(length <= SHORT_LIST, length)
             found, width = PairCounts(), len(label)
-            for step in range(1, min(SHORT_LIST, int(length.max(initial=0)))):
-                i = np.flatnonzero(short[:-step] & (token[:-step] == token[step:]))
-                j = i + step
-                low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-                reach = np.minimum(size[i] - pos[i], size[j] - pos[j])
-                ok = (hub[i] != hub[j]) & (DEN * low >= NUM * high) & (reach >= needed_overlap(low, high) - (shared_shingles(low) - 1))
-                i, j, low = i[ok], j[ok], low[ok]
-                one = np.unique(np.stack([token[i].astype(np.int64), np.minimum(hub[i], hub[j]) * width + np.maximum(hub[i], hub[j]), low]), axis=1)
-                found.add(one[0], one[1], shared_shingles(one[2]))
+            brief = np.flatnonzero(length <= SHORT_LIST)
+            cut = np.flatnonzero(np.diff(np.cumsum(length[brief]) // LIST_ROWS, prepend=-1))
+            for first, last in zip(cut.tolist(), [*cut[1:].tolist(), len(brief)]):
+                lists = brief[first:last]
+                rows = np.arange(length[lists].sum()) + np.repeat(head[lists] - (np.cumsum(length[lists]) - length[lists]), length[lists])
+                t, h, n, p = token[rows], hub[rows], size[rows], pos[rows]
+                hits = []
+                for step in range(1, int(length[lists].max())):
+                    i = np.flatnonzero(t[:-step] == t[step:])
+                    j = i + step
+                    low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+                    reach = np.minimum(n[i] - p[i], n[j] - p[j])
+                    ok = (h[i] != h[j]) & (DEN * low >= NUM * high) & (reach >= needed_overlap(low, high) - (shared_shingles(low) - 1))
+                    i, j = i[ok], j[ok]
+                    hits.append((t[i].astype(np.int64), np.minimum(h[i], h[j]) * width + np.maximum(h[i], h[j]), shared_shingles(low[ok])))
+                if hits:
+                    found.add(*(np.concatenate(c) for c in zip(*hits)))
             for k in np.flatnonzero(length > SHORT_LIST).tolist():
                 part = slice(head[k], head[k] + length[k])
                 h = hub[part]

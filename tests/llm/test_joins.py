@@ -73,6 +73,7 @@ def test_jaccard_equals_all_pairs(spark, seed, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BUCKET_TOKENS", 256)
     monkeypatch.setattr(jaccard_join, "BLOCK_MEMBERS", 3)
     monkeypatch.setattr(jaccard_join, "SHORT_LIST", 4 * seed)
+    monkeypatch.setattr(jaccard_join, "LIST_ROWS", 16)
     monkeypatch.setattr(jaccard_join, "BLOCK_PARTNERS", 2)
     rows = _corpus(seed, families=14)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
