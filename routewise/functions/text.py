@@ -122,7 +122,7 @@ def redundancy_from_words(w, blank) -> Column:
     n = F.size(w).cast("double")
     word_level = (n - F.size(F.array_distinct(w))) / n
     # characters that occur again later in the word; removing them leaves the distinct ones
-    per_word = F.transform(w, lambda x: (F.length(x) - F.length(F.regexp_replace(x, "(?s)(.)(?=.*\\1)", ""))) / F.length(x))
+    per_word = F.transform(w, lambda x: (F.length(x) - F.length(F.regexp_replace(x, "(?s)(.)(?=.*?\\1)", ""))) / F.length(x))
     char_level = F.aggregate(per_word, F.lit(0.0), lambda acc, x: acc + x) / n
     return F.when(blank, F.lit(1.0)).otherwise(F.greatest(word_level, char_level))
 

@@ -141,8 +141,8 @@ lines AS (
   SELECT t_threshold AS report, 0 AS part, 0 AS o, 0 AS k, printf('%s: %d', label_case, count(*)) AS line FROM lab GROUP BY t_threshold, label_case
   UNION ALL SELECT DISTINCT t_threshold, 1, 0, 0, 'Total Label Counts and Complexity Scores:' FROM lab
   UNION ALL SELECT t_threshold, 2, label, unnest([0, 1, 2]), unnest([printf('Label %d: %d', label, count(*)),
-     printf('Average complexity score: %.4f', round(avg(query_complexity_score), 4)),
-     printf('Median complexity score: %.4f', round(median(query_complexity_score), 4))]) FROM lab GROUP BY t_threshold, label)
+     printf('Average complexity score: %.4f', round(avg(query_complexity_score) + 1e-9, 4)),
+     printf('Median complexity score: %.4f', round(median(query_complexity_score) + 1e-9, 4))]) FROM lab GROUP BY t_threshold, label)
 SELECT report, (row_number() OVER (PARTITION BY report ORDER BY part, o, k, line))::INTEGER AS line_no, line FROM lines""")
 def a8_cases(spark, sf_dir):
     """The labelling report per discrepancy threshold: cases, then label counts with mean and median complexity."""

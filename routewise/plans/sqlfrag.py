@@ -84,7 +84,7 @@ def redundancy(t: str) -> str:
     w = words(t)
     n = f"len({w})::DOUBLE"
     word_level = f"(({n} - len(list_distinct({w}))) / {n})"
-    per_word = f"list_transform({w}, lambda q: (length(q) - len(list_distinct(string_split(q, ''))))::DOUBLE / length(q))"
+    per_word = f"list_transform({w}, lambda q: (length(q) - list_unique(string_split(q, '')))::DOUBLE / length(q))"
     char_level = f"(list_reduce(list_prepend(0e0, {per_word}), lambda a, b: a + b) / {n})"
     return f"(CASE WHEN {blank(t)} THEN 1e0 ELSE greatest({word_level}, {char_level}) END)"
 

@@ -65,8 +65,9 @@ def render_case_report(cases: DataFrame, labels: DataFrame) -> DataFrame:
         "report", F.lit(0).cast("bigint").alias("_o"), F.lit(0).alias("_k"), F.lit("Total Label Counts and Complexity Scores:").alias("line"),
         F.lit(1).alias("_part"))
     texts = F.array(F.format_string("Label %d: %d", "evaluation_model_label", "n"),
-                    F.format_string("Average complexity score: %.4f", F.round("avg_value", 4)),
-                    F.format_string("Median complexity score: %.4f", F.round("median_value", 4)))
+                    # ties of the last place are rounded up whatever the double below them
+                    F.format_string("Average complexity score: %.4f", F.round(F.col("avg_value") + 1e-9, 4)),
+                    F.format_string("Median complexity score: %.4f", F.round(F.col("median_value") + 1e-9, 4)))
     tail = labels.select(F.col("t_threshold").alias("report"), F.col("evaluation_model_label").cast("bigint").alias("_o"),
                          F.posexplode(texts).alias("_k", "line")).withColumn("_part", F.lit(2))
     every = head.unionByName(mid).unionByName(tail)
