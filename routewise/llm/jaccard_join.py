@@ -54,8 +54,10 @@ SHINGLE = 5
 NUM, DEN = 75, 100
 SKETCH = 16
 _SKETCH_BITS = 4
-#: The bitmap of shingles put last has ``2 ** MARK_BITS`` bits (broadcast: 16 MB).
-MARK_BITS = 27
+#: The bitmap of shingles put last has ``2 ** MARK_BITS`` bits (broadcast: 8 MB), bitmaps of set ids
+#: ``2 ** ID_BITS`` (2 MB).
+MARK_BITS = 26
+ID_BITS = 24
 _BLOCK_BITS = 15  # bits of one row of Spark's bitmap aggregate
 #: Prefix shingles per bucket aimed at.
 BUCKET_TOKENS = 1 << 20
@@ -309,17 +311,17 @@ def list_pairs(size: np.ndarray, pos: np.ndarray, hub: np.ndarray) -> tuple[np.n
 
 def _marks(sets: DataFrame) -> np.ndarray:
     """Bitmap of the reported shingles."""
-    return _bitmap(sets.where("token is not null"))
+    return _bitmap(sets.where("token is not null"), MARK_BITS)
 
 
-def _bitmap(tokens: DataFrame) -> np.ndarray:
-    """Bitmap of a ``token`` column below ``2 ** MARK_BITS``: one row of 4 KB per block, merged by Spark."""
+def _bitmap(tokens: DataFrame, width: int) -> np.ndarray:
+    """Bitmap of a ``token`` column below ``2 ** width``: one row of 4 KB per block, merged by Spark."""
     block = F.shiftright("token", _BLOCK_BITS)
     bit = F.col("token").bitwiseAND((1 << _BLOCK_BITS) - 1)
     rows = tokens.groupBy(block.alias("block")).agg(F.bitmap_construct_agg(bit).alias("bits")).collect()
-    out = np.zeros(1 << (MARK_BITS - 3), np.uint8)
+    out = np.zeros(1 << (width - 3), np.uint8)
     size = 1 << (_BLOCK_BITS - 3)
-    for r in rows:  # at most 2 ** (MARK_BITS - _BLOCK_BITS) of them
+    for r in rows:  # at most 2 ** (width - _BLOCK_BITS) of them
         part = np.frombuffer(bytes(r["bits"]), np.uint8)[:size]
         out[r["block"] * size: r["block"] * size + len(part)] = part
     return out
@@ -359,35 +361,40 @@ class PairCounts:
 
 
 def id_bitmap(ids: DataFrame) -> np.ndarray:
-    """Bitmap (``2 ** MARK_BITS`` bits, bounded) of the ``sid`` values of a table, by their first bytes."""
-    bits = F.conv(F.hex(F.substring("sid", 1, 4)), 16, 10).cast("long").bitwiseAND((1 << MARK_BITS) - 1)
-    return _bitmap(ids.select(bits.alias("token")))
+    """Bitmap (``2 ** ID_BITS`` bits, bounded) of the ``sid`` values of a table, by their first bytes."""
+    bits = F.conv(F.hex(F.substring("sid", 1, 4)), 16, 10).cast("long").bitwiseAND((1 << ID_BITS) - 1)
+    return _bitmap(ids.select(bits.alias("token")), ID_BITS)
 
 
-def only(texts: DataFrame, bitmap: np.ndarray, inside: bool = True) -> DataFrame:
-    """The rows of ``texts(sid, text)`` whose id the bitmap holds (or does not hold).  It may hold a few
-    more ids than were put in; it keeps whole texts out of the joins that do not need them."""
+def _first_bytes(ids: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(s[:4] for s in ids.to_pylist()), ">u4").astype(np.uint64)
+
+
+def only(texts: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """The rows of ``texts(sid, text)`` whose id the bitmap holds.  It may hold a few more ids than were put in; it keeps whole texts out of the joins that do not need them."""
     held = texts.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches):
         for b in batches:
-            at = np.frombuffer(b"".join(s[:4] for s in b.column(0).to_pylist()), ">u4").astype(np.uint64)
-            yield b.filter(pa.array(marked(held.value, at) == inside))
+            yield b.filter(pa.array(marked(held.value, _first_bytes(b.column(0)))))
 
     return texts.select("sid", "text").mapInArrow(run, "sid binary, text string")
 
 
-def _candidates(labelled: DataFrame, buckets: int, bitmap: np.ndarray) -> DataFrame:
-    """Pairs ``(hub, other)`` of hubs that may have linked members, from the prefix index over ``labelled(hub, text)``."""
+def _candidates(labelled: DataFrame, buckets: int, bitmap: np.ndarray, families: np.ndarray) -> DataFrame:
+    """Pairs ``(hub, other)`` of hubs that may have linked members, from the prefix index over ``labelled(sid, hub, text)``;
+    a row without a hub is its own, unless the ``families`` bitmap holds its id (it then comes with its hub)."""
     spark = labelled.sparkSession
-    late = spark.sparkContext.broadcast(bitmap)
+    late, known = spark.sparkContext.broadcast(bitmap), spark.sparkContext.broadcast(families)
 
     def index(batches):
         bits = late.value
         for b in batches:
             token, owner, pos, hubs, sizes = [], [], [], [], []
-            hub = b.column(0).to_pylist()
-            for lo, _, data, offs in string_chunks(b.column(1)):
+            alone = np.array([h is None for h in b.column(1).to_pylist()])
+            b = b.filter(pa.array(~(alone & marked(known.value, _first_bytes(b.column(0))))))
+            hub = [h or s for s, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            for lo, _, data, offs in string_chunks(b.column(2)):
                 for i, s in enumerate(shingle_sets(data, offs), lo):
                     if not len(s):
                         continue
@@ -490,7 +497,7 @@ def _candidates(labelled: DataFrame, buckets: int, bitmap: np.ndarray) -> DataFr
             yield done
 
     ddl = "bucket long, token binary, owner binary, pos binary, hubs binary, sizes binary"
-    lists = labelled.select("hub", "text").mapInArrow(index, ddl)
+    lists = labelled.select("sid", "hub", "text").mapInArrow(index, ddl)
     dealt = lists.repartition("bucket").sortWithinPartitions("bucket")
     pairs = dealt.mapInArrow(meet, "hub binary, other binary, shared long, least long")
     return (pairs.groupBy("hub", "other").agg(F.sum("shared").alias("shared"), F.min("least").alias("least"))
@@ -518,11 +525,11 @@ def join(docs: DataFrame, text: str = "text") -> DataFrame:
     members = write_shared(least_ids(rows).join(hubs, "sid", "left").select("sid", F.coalesce("hub", "sid").alias("hub"), "low"), "jaccard-members")
     families = id_bitmap(members.where("hub <> sid").select(F.explode(F.array("sid", "hub")).alias("sid")))
     # a set outside all families is its own hub and needs no join
-    labelled = (only(texts, families).join(members, "sid").select("hub", "text")
-                .unionByName(only(texts, families, inside=False).select(F.col("sid").alias("hub"), "text")))
+    labelled = (only(texts, families).join(members, "sid").select("sid", "hub", "text")
+                .unionByName(texts.select("sid", F.lit(None).cast("binary").alias("hub"), "text")))
     total = rows.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-total // (BUCKET_TOKENS * DEN // (DEN - NUM))))
-    pairs = write_shared(_candidates(labelled, buckets, _marks(sets)), "jaccard-candidates")
+    pairs = write_shared(_candidates(labelled, buckets, _marks(sets), families), "jaccard-candidates")
     paired = members.join(pairs.select(F.explode(F.array("hub", "other")).alias("hub")).distinct(), "hub", "left_semi")
     links = verify(pairs, members, only(texts, id_bitmap(paired)))
     roots = components(stars.unionByName(links))

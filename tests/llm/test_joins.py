@@ -70,6 +70,7 @@ def _corpus(seed, families=6, passages=2):
 @pytest.mark.parametrize("seed", range(3))
 def test_jaccard_equals_all_pairs(spark, seed, monkeypatch):
     monkeypatch.setattr(jaccard_join, "MARK_BITS", 18)
+    monkeypatch.setattr(jaccard_join, "ID_BITS", 16)
     monkeypatch.setattr(jaccard_join, "BUCKET_TOKENS", 256)
     monkeypatch.setattr(jaccard_join, "BLOCK_MEMBERS", 3)
     monkeypatch.setattr(jaccard_join, "SHORT_LIST", 4 * seed)
