@@ -38,7 +38,7 @@ def _text_runs(texts: list) -> Iterator[tuple[int, int]]:
     lo, size = 0, 0
     for i, t in enumerate(texts):
         size += 0 if t is None else len(t)
-        if size >= CHUNK_BYTES:
+        if size >= CHUNK_BYTES // 4:  # n-gram arrays hold some 100 bytes per character
             yield lo, i + 1
             lo, size = i + 1, 0
     if lo < len(texts):
