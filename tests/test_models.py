@@ -76,3 +76,24 @@ def test_confidence_scorecard_equals_the_row_wise_sweep(spark):
     assert len(slow) == len(fast) == 20
     for a, b in zip(slow, fast):
         assert a.asDict() == pytest.approx(b.asDict())
+
+
+def test_queries_fit_the_whole_forest_and_return_its_results(spark, monkeypatch):
+    """The fits are run small here; what the queries ask for is the operator's default."""
+    from routewise.plans import q_models as Q
+    asked, real = [], MD.label_forest
+    monkeypatch.setattr(MD, "label_forest", lambda *a, cfg=MD.ForestConfig(), **k: asked.append(cfg) or real(*a, cfg=CFG, **k))
+    rows = Q.k7_predictions(spark, "/root/testdata/sf0.001").collect()
+    assert len({r["t_threshold"] for r in rows}) == 7 and len(rows) == len({(r["id"], r["t_threshold"]) for r in rows})
+    for r in rows:
+        p = [r[c] for c in RT.PROBA_COLS]
+        assert sum(p) == pytest.approx(1, abs=1e-5) and min(p) >= 0 and r["predicted_model_label"] in (1, 2, 3)
+    assert Q.a10(spark, "/root/testdata/sf0.001").first()["n"] == len(rows) // 7
+    assert asked == [MD.ForestConfig()] * 8
+
+
+def test_historical_scorecard_is_accurate(spark):
+    from routewise.plans import q_models as Q
+    r = Q.k12_scorecard(spark, "/root/testdata/sf0.01").first()
+    assert r["n_base"] + r["n_large"] + r["n_xl"] == r["n"] == 80
+    assert r["routing_accuracy"] >= 75
