@@ -185,3 +185,26 @@ def test_pipeline_edges(spark, edge_docs):
 
 def test_every_operator_is_registered():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries()) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("attr", ["style='overflow:hidden'", "title='the hidden cost'", "data-id='menu-3'", "class='content no-sidebar'", "id=page class='site has-sidebar'",
+                                  "class='post-with-comments'", "id=discussion", "class='sidebar main-text'"])
+def test_html_wrappers_keep_their_text(attr):
+    page = f"<body><div {attr}><p>The text of this page is in the wrapper.</p><p>Here is <a href='/hidden-gems'>a link</a> too.</p></div><p>foot</p></body>"
+    assert html_text.extract(page, WEIGHTS).startswith("The text of this page is in the wrapper.\nHere is a link too.")
+    assert "gone" not in html_text.extract(f"<p>one two three four</p><div {attr} HIDDEN><p>gone</p></div>", WEIGHTS)
+
+
+def test_html_named_parts_of_an_article_stay():
+    page = "<body><h1>Title</h1><p>one two three four five six</p><section id='discussion'><p>we discuss it</p></section></body>"
+    assert html_text.extract(page, WEIGHTS).endswith("four five six\nwe discuss it")
+
+
+def test_html_section_costs_are_learned(spark):
+    rows = [(i, f"<body><article><div class='promo'><p>{'good words ' * 30}</p></div></article><div class='related'><p>{'other words ' * 30}</p></div></body>") for i in range(3)]
+    weights = html_text.fit_weights(spark.createDataFrame(rows, "page_id long, html string"))
+    assert weights["class promo"] < 1 < weights["class related"]
+    page = "<p>one two three four five</p><div class={}><p>six seven</p></div><p>eight nine</p>"
+    w = WEIGHTS | {k: v for k, v in weights.items() if k.startswith("class ")}
+    assert html_text.extract(page.format("promo"), w) == "one two three four five\nsix seven\neight nine"
+    assert html_text.extract(page.format("related"), w) == "one two three four five\neight nine"
