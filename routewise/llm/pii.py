@@ -6,7 +6,12 @@ calendar dates) and replaced by a keyed permutation within their own format:
 the free symbols of a value form one number below ``size`` and an alternating
 Feistel network with cycle walking permutes ``0 .. size - 1``; check digits are
 computed anew.  Equal values get equal pseudonyms in every document, and
-``decrypt=True`` restores the text.  Numbers that do not validate stay.
+``decrypt=True`` restores the text.  Numbers that do not validate stay.  A
+candidate that does not validate is tried at each of its shorter ends, the
+longest first, and as the kinds that follow; then the search goes on one symbol
+after its start, so values beside or inside it are found too.  A pseudonym that
+would let an overlapping failed candidate validate is permuted once more, so
+that decryption finds the same values.
 
 Kinds: email, secret (value of a token/password/key assignment), card, iban,
 ipv4, phone, ssn, date.
@@ -19,6 +24,7 @@ outputs replace inputs of the same name.
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import re
@@ -47,7 +53,15 @@ _FIND = re.compile(
     r"|(?P<ssn>(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d))"
     r"|(?P<phone>(?<![\w+.-])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}(?![\w-]|\.\d))"
-    r"|(?P<iban>(?<!\w)[A-Z]{2}\d\d(?: ?[A-Z0-9]){11,30}(?!\w))", re.ASCII)
+    r"|(?P<iban>(?<!\w)[A-Z]{2}\d\d(?: ?[A-Z0-9]){11,30}(?!\w|\.\d))", re.ASCII)
+#: Kinds that may fail, in the order of their alternatives, each by itself.
+_ONE = {k: re.compile(p, re.ASCII) for k, p in re.findall(r"\|\(\?P<(ipv4|ssn|card|phone|iban)>(.*?)\)(?=\|\(\?P<|$)", _FIND.pattern)}
+#: Length of an IBAN by country.
+_IBAN_SIZE = {c: int(n) for c, n in (x.split(":") for x in (
+    "AD:24 AE:23 AL:28 AT:20 AZ:28 BA:20 BE:16 BG:22 BH:22 BI:27 BR:29 BY:28 CH:21 CR:22 CY:28 CZ:24 DE:22 DJ:27 DK:18 DO:28 EE:20 EG:29 ES:24 "
+    "FI:18 FK:18 FO:18 FR:27 GB:22 GE:22 GI:23 GL:18 GR:27 GT:28 HR:21 HU:28 IE:22 IL:23 IQ:23 IS:26 IT:27 JO:30 KW:30 KZ:20 LB:28 LC:32 LI:21 "
+    "LT:20 LU:20 LV:21 LY:25 MC:27 MD:24 ME:22 MK:19 MN:20 MR:27 MT:31 MU:30 NI:28 NL:18 NO:15 OM:23 PK:24 PL:28 PS:29 PT:25 QA:29 RO:24 RS:22 "
+    "RU:33 SA:24 SC:31 SD:18 SE:24 SI:19 SK:24 SM:27 SO:23 ST:25 SV:28 TL:23 TN:24 TR:26 UA:29 VA:22 VG:24 XK:20").split())}
 _HINT = re.compile(r"[0-9@=:]")
 _HEX = re.compile(r"[0-9a-f]+")
 _FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
@@ -137,7 +151,7 @@ def _iban_number(s: str) -> int:
 
 def _iban(v, key, back):
     s = v.replace(" ", "")
-    if not 15 <= len(s) <= 34 or _iban_number(s) % 97 != 1:
+    if not 15 <= len(s) <= 34 or len(s) != _IBAN_SIZE.get(s[:2], len(s)) or _iban_number(s) % 97 != 1:
         return None
     body = _symbols(s[4:], "iban" + s[:2], key, back)
     check = 98 - _iban_number(s[:2] + "00" + body) % 97
@@ -205,22 +219,83 @@ def pseudonymize(text: str | None, key: bytes = DEFAULT_KEY, decrypt: bool = Fal
     """The text with every validated value replaced, and ``(start, end, kind)`` of each in the new text."""
     if not text or not _HINT.search(text):
         return text, []
+    found, failed = _find(text, key)
+    new = _permute(text, found, failed, key, decrypt)
     out, spans, at, size = [], [], 0, 0
-    for m in _FIND.finditer(text):
-        kind = m.lastgroup
-        v = m[kind]
-        new = _RULES[kind](v, key, decrypt)
-        if new is None:
-            continue
-        start, end = m.span(kind)
-        out += [text[at:start], new]
+    for (start, end, kind), v in zip(found, new):
+        out += [text[at:start], v]
         size += start - at
-        spans.append((size, size + len(new), kind))
-        size += len(new)
+        spans.append((size, size + len(v), kind))
+        size += len(v)
         at = end
     return "".join([*out, text[at:]]), spans
 
 
+def _ends(kind: str, text: str, start: int, end: int):
+    """The end of a candidate and its shorter group boundaries, longest first."""
+    yield end
+    if kind in ("card", "iban"):
+        least = 13 if kind == "card" else 15
+        size = sum(c.isalnum() for c in text[start:end])
+        for i in range(end - 1, start, -1):
+            if text[i].isalnum():
+                size -= 1
+            elif size >= least:
+                yield i
+
+
+def _find(text: str, key: bytes) -> tuple[list, list]:
+    """Spans ``(start, end, kind)`` of the values that validate, and of the candidates that do not."""
+    found, failed, at = [], [], 0
+    while m := _FIND.search(text, at):
+        kind = m.lastgroup
+        start, end = m.span(kind)
+        at = start + 1
+        others = iter(list(_ONE)[list(_ONE).index(kind) + 1:] if kind in _ONE else _ONE)
+        while kind:
+            good = None
+            for e in _ends(kind, text, start, end):
+                if _RULES[kind](text[start:e], key, False) is not None:
+                    good = e
+                    break
+                failed.append((start, e, kind))
+            if good:
+                found.append((start, good, kind))
+                at = good
+                break
+            for kind in others:
+                if n := _ONE[kind].match(text, start):
+                    end = n.end()
+                    break
+            else:
+                kind = None
+    return found, failed
+
+
+def _permute(text: str, found: list, failed: list, key: bytes, back: bool) -> list:
+    """New values of the spans.  Failed candidates overlap only values of constant
+    length.  They must fail in the new text too: a value is walked on until they do,
+    from left to right, and decryption undoes it from right to left."""
+    new, now, near = [""] * len(found), None, []
+    if failed:
+        failed = sorted(failed)
+        starts = [f[0] for f in failed]
+        longest = max(e - s for s, e, _ in failed)
+        near = [[f for f in failed[bisect.bisect_left(starts, s - longest):bisect.bisect_left(starts, e)] if f[1] > s] for s, e, _ in found]
+        if any(near):
+            now = list(text)
+    for i in range(len(found) - 1, -1, -1) if back else range(len(found)):
+        start, end, kind = found[i]
+        v = _RULES[kind](text[start:end], key, back)
+        if now and len(v) == end - start:
+            now[start:end] = v
+            while near[i] and any(_RULES[k]("".join(now[s:e]), key, False) is not None for s, e, k in near[i]):
+                v = _RULES[kind](v, key, back)
+                now[start:end] = v
+        new[i] = v
+    return new
+
+
 def replace(docs: DataFrame, keep: list, text: str = "text", key: bytes = DEFAULT_KEY, decrypt: bool = False) -> DataFrame:
     """``keep`` columns of every row with ``text`` replaced, plus ``n_pii`` and ``pii``
     (spans: start, end in the new text, kind)."""
