@@ -1,8 +1,14 @@
 """Packing: lexical retrieval.
 
-Documents become token ids plus a separator and are dealt to shards by a hash
-of id and text (about ``SHARD_DOCS`` documents each).  A shard builds a BM25
-inverted index over its documents' tokens.  A seed document opens a window of
+Documents become token ids plus a separator.  Document counts of terms and the
+mean length are those of the whole corpus (one number per vocabulary id).
+Documents are dealt to shards of about ``SHARD_DOCS`` by lexical keys: of a
+document's ``KEY_TERMS`` strongest corpus-wide BM25 terms, its key is the one
+that most documents have among theirs and that still fits a shard.  Keys whose
+documents mostly have another key next are put together while they fit.  Where
+all terms are hotter than a shard, the coldest is split by the next, and a pair
+of terms of more than a shard by a hash.
+A shard builds a BM25 inverted index over its documents' tokens.  A seed document opens a window of
 ``window`` tokens; the unused documents that score highest for the seed's
 strongest terms are appended until the window is full.  The document that
 crosses the window's end is cut there, and its rest is the next seed, so
@@ -25,12 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import ship, string_chunks
+from .common import ship, string_chunks, write_shared
 
 ship(__name__)
 
 WINDOW = 1024
 SHARD_DOCS = 1024
+KEY_TERMS = 16
 SHARD_TOKENS = 4_000_000
 QUERY_TERMS = 16
 NEIGHBOURS = 12
@@ -40,10 +47,90 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", p
 _DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+class Corpus:
+    """Number of documents, documents per term and mean length of all data."""
+
+    def __init__(self, n: int, df: np.ndarray, mean: float):
+        self.n, self.df, self.mean = n, df, mean
+        self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        self.useful = (df > 1) & (df <= max(2, n // 2))
+
+    def strongest(self, ids: np.ndarray) -> np.ndarray:
+        """The terms of one document (with its separator) with the highest gains, padded with -1."""
+        term, tf = np.unique(ids, return_counts=True)
+        good = self.useful[term]
+        term, tf = term[good].astype(np.int64), tf[good]
+        gain = self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / self.mean))
+        out = np.full(KEY_TERMS, -1, np.int64)
+        term = term[np.lexsort((term, -gain))[:KEY_TERMS]]
+        out[:len(term)] = term
+        return out
+
+
+def keys(strongest: np.ndarray, member: np.ndarray) -> tuple[int, int]:
+    """A document's key and the next term for it: the most frequent that fit a shard, then the
+    least frequent of the others (-1: none)."""
+    t = strongest[(strongest >= 0) & (member[strongest] > 1)]
+    if not len(t):
+        return -1, -1
+    size = member[t]
+    t = t[np.lexsort((t, np.where(size <= SHARD_DOCS, -size, size)))]
+    return int(t[0]), int(t[1]) if len(t) > 1 else -1
+
+
+class Deal:
+    """Shards of keys: ``first`` counts documents per key, ``links`` has ``(key, next, documents)``
+    with the commonest next term of every key, ``pairs`` the key and next term of more than a shard."""
+
+    def __init__(self, n: int, first: np.ndarray, links: list, pairs: dict):
+        rest = first.copy()
+        for (a, _), c in pairs.items():
+            rest[a] -= c
+        self.base, self.parts, self.pairs = np.zeros(len(first), np.int64), np.ones(len(first), np.int64), {}
+        group, size = list(range(len(first))), rest.tolist()
+
+        def root(t):
+            while group[t] != t:
+                group[t] = t = group[group[t]]
+            return t
+
+        for a, b, _ in sorted(links, key=lambda x: (-x[2], x[0])):
+            if b >= 0 and first[b] and (u := root(a)) != (v := root(b)) and size[u] + size[v] <= SHARD_DOCS:
+                group[u], size[v] = v, size[u] + size[v]
+        shard, full, home = 0, 0, {}
+        for t in np.flatnonzero(first).tolist():
+            g = root(t)
+            if g not in home:
+                if size[g] > SHARD_DOCS:
+                    continue
+                if full + size[g] > SHARD_DOCS:
+                    shard, full = shard + 1, 0
+                home[g], full = shard, full + size[g]
+            self.base[t] = home[g]
+        shard += full > 0
+        for t in np.flatnonzero(rest > SHARD_DOCS).tolist():
+            self.base[t], self.parts[t] = shard, -(-int(rest[t]) // SHARD_DOCS)
+            shard += int(self.parts[t])
+        for pair, c in sorted(pairs.items()):
+            self.pairs[pair] = (shard, -(-c // SHARD_DOCS))
+            shard += self.pairs[pair][1]
+        self.n = max(shard, -(-n // SHARD_DOCS), 1)
+
+    def of(self, pair: tuple[int, int], deal: int) -> int:
+        """Shard of a document by its keys; a hash of it decides where they do not."""
+        t, second = pair
+        if t < 0:
+            return deal % self.n
+        if pair in self.pairs:
+            base, parts = self.pairs[pair]
+            return base + deal % parts
+        return int(self.base[t]) + ((second + 1) * 0x9E3779B1 >> 7) % int(self.parts[t])
+
+
 class ShardIndex:
-    """BM25 postings of one shard, by term and by document."""
+    """BM25 postings of one shard, by term and by document; the corpus is the shard itself unless given."""
 
-    def __init__(self, docs: list):
+    def __init__(self, docs: list, corpus: Corpus | None = None):
         n = len(docs)
         size = np.fromiter(map(len, docs), np.int64, n)
         key = np.repeat(np.arange(n, dtype=np.uint64) << np.uint64(32), size) | np.concatenate(docs).astype(np.uint64)
@@ -52,9 +139,9 @@ class ShardIndex:
         tf = np.diff(np.append(head, len(key))).astype(np.float64)
         doc, term = (key[head] >> np.uint64(32)).astype(np.int64), (key[head] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         df = np.bincount(term)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        gain = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / max(size.mean(), 1)))
-        useful = (df[term] > 1) & (df[term] <= max(2, n // 2))
+        corpus = corpus or Corpus(n, df, max(size.mean(), 1))
+        gain = corpus.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / corpus.mean))
+        useful = (df[term] > 1) & corpus.useful[term]
         doc, term, gain = doc[useful], term[useful], gain[useful]
         self.n = n
         self.by_doc = np.searchsorted(doc, np.arange(n + 1))
@@ -79,9 +166,9 @@ class ShardIndex:
         return best[np.lexsort((best, -score[best]))].tolist()
 
 
-def plan(docs: list, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+def plan(docs: list, window: int = WINDOW, corpus: Corpus | None = None) -> list[list[tuple[int, int, int]]]:
     """Sequences of ``(document, start, length)`` over the token arrays of one shard."""
-    index = ShardIndex(docs)
+    index = ShardIndex(docs, corpus)
     unused = np.ones(len(docs), bool)
     sequences, now, room, queue, fresh = [], [], window, [], 0
     seed = None
@@ -136,7 +223,6 @@ def pack(docs: DataFrame, vocabulary_path: str, window: int = WINDOW, separator:
     vocabulary = bpe.load_vocabulary(vocabulary_path)
     narrow = "<u2" if vocabulary["size"] <= 1 << 16 else "<u4"
     v = spark.sparkContext.broadcast(vocabulary)
-    shards = max(1, -(-docs.count() // SHARD_DOCS))
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("deal"), F.col(text).alias("text"))
 
     def encode(batches):
@@ -150,7 +236,7 @@ def pack(docs: DataFrame, vocabulary_path: str, window: int = WINDOW, separator:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["doc_id", "deal", "ids"])
 
     def fill(batches):
-        shard, count, held, tokens = None, 0, [], 0
+        shard, count, held, tokens, corpus = None, 0, [], 0, Corpus(*counted.value)
 
         def close():
             nonlocal count, held, tokens
@@ -158,7 +244,7 @@ def pack(docs: DataFrame, vocabulary_path: str, window: int = WINDOW, separator:
                 return None
             arrays = [np.append(np.frombuffer(ids, narrow).astype(np.uint32), np.uint32(separator)) for _, ids in held]
             rows = []
-            for sequence in plan(arrays, window):
+            for sequence in plan(arrays, window, corpus):
                 offset = 0
                 for d, start, size in sequence:
                     rows.append((held[d][0], start, size, zlib.crc32(arrays[d][start:start + size].astype("<u4").tobytes()),
@@ -180,7 +266,64 @@ def pack(docs: DataFrame, vocabulary_path: str, window: int = WINDOW, separator:
         if (done := close()) is not None:
             yield done
 
-    ids = src.mapInArrow(encode, "doc_id long, deal long, ids binary")
-    dealt = ids.select(F.pmod("deal", F.lit(shards)).cast("long").alias("shard"), "doc_id", "ids", "deal")
-    return (dealt.repartition("shard").sortWithinPartitions("shard", "deal", "doc_id").select("shard", "doc_id", "ids")
+    def arrays_of(column):
+        for ids in column:
+            yield np.append(np.frombuffer(ids.as_py(), narrow).astype(np.uint32), np.uint32(separator))
+
+    def terms(batches):
+        df, n, tokens = np.zeros(max(vocabulary_size, separator + 1), np.int64), 0, 0
+        for b in batches:
+            for ids in arrays_of(b.column(2)):
+                df[np.unique(ids)] += 1
+                n, tokens = n + 1, tokens + len(ids)
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(df[at], [n, tokens]))], names=["term", "n"])
+
+    def members(batches):
+        corpus, of = Corpus(*counted.value), np.zeros(len(counted.value[1]), np.int64)
+        for b in batches:
+            for ids in arrays_of(b.column(2)):
+                top = corpus.strongest(ids)
+                of[top[top >= 0]] += 1
+        at = np.flatnonzero(of)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(of[at])], names=["term", "n"])
+
+    def picks(batches):
+        corpus = Corpus(*counted.value)
+        for b in batches:
+            top = np.array([keys(corpus.strongest(ids), common.value) for ids in arrays_of(b.column(2))], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(top[:, 0]), pa.array(top[:, 1])], names=["a", "b"])
+
+    def hand_out(batches):
+        corpus, deal = Corpus(*counted.value), Deal(*shared.value)
+        for b in batches:
+            own = [keys(corpus.strongest(ids), common.value) for ids in arrays_of(b.column(2))]
+            to = np.array([(deal.of(k, h % (1 << 63)), k[0]) for k, h in zip(own, b.column(1).to_pylist())], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(to[:, 0]), pa.array(to[:, 1]), b.column(0), b.column(2), b.column(1)],
+                                             names=["shard", "key", "doc_id", "ids", "deal"])
+
+    ids = write_shared(src.mapInArrow(encode, "doc_id long, deal long, ids binary"), "packing-ids")
+    vocabulary_size = vocabulary["size"]
+
+    def per_term(rows):  # at most one row per vocabulary id
+        return {r["term"]: r["n"] for r in rows.groupBy("term").agg(F.sum("n").alias("n")).collect()}
+
+    def dense(count):
+        out = np.zeros(max(vocabulary_size, separator + 1), np.int64)
+        out[list(count)] = list(count.values())
+        return out
+
+    count = per_term(ids.mapInArrow(terms, "term long, n long"))
+    n, tokens = count.pop(-1, 0), count.pop(-2, 0)
+    counted = spark.sparkContext.broadcast((n, dense(count), max(tokens / max(n, 1), 1)))
+    common = spark.sparkContext.broadcast(dense(per_term(ids.mapInArrow(members, "term long, n long"))))
+    picked = write_shared(ids.mapInArrow(picks, "a long, b long").where("a >= 0").groupBy("a", "b").count(), "packing-picks")
+    first = dense(per_term(picked.select(F.col("a").alias("term"), F.col("count").alias("n"))))
+    # at most one row per vocabulary id, and one per SHARD_DOCS documents
+    links = [(r["a"], -r["top"]["b"], r["top"]["count"]) for r in picked.where("b >= 0").groupBy("a").agg(
+        F.max(F.struct("count", (-F.col("b")).alias("b"))).alias("top")).collect()]
+    pairs = {(r["a"], r["b"]): r["count"] for r in picked.where(F.col("count") > SHARD_DOCS).collect()}
+    shared = spark.sparkContext.broadcast((n, first, links, pairs))
+    dealt = ids.mapInArrow(hand_out, "shard long, key long, doc_id long, ids binary, deal long")
+    return (dealt.repartition("shard").sortWithinPartitions("shard", "key", "deal", "doc_id").select("shard", "doc_id", "ids")
             .mapInArrow(fill, _DDL))

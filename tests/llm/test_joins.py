@@ -1,5 +1,6 @@
 """Jaccard join, packing, exact and approximate search."""
 
+from collections import Counter
 import random
 import re
 import zlib
@@ -197,6 +198,63 @@ def test_packing_joins_related_documents():
     assert first == [0, 2, 4]
 
 
+def _shard_neighbours(docs, shard_docs, k=5):
+    """Share of the k best corpus-wide BM25 neighbours that are in a document's own shard, and the same for shards dealt at random."""
+    n = len(docs)
+    df = np.zeros(max(int(d.max()) for d in docs) + 1, np.int64)
+    for d in docs:
+        df[np.unique(d)] += 1
+    corpus = packing.Corpus(n, df, float(np.mean([len(d) for d in docs])))
+    top = [corpus.strongest(d) for d in docs]
+    member = np.bincount([t for x in top for t in x if t >= 0], minlength=len(df))
+    own = [packing.keys(x, member) for x in top]
+    pairs = Counter(k for k in own if k[0] >= 0)
+    first = np.zeros(len(df), np.int64)
+    for (a, _), c in pairs.items():
+        first[a] += c
+    links = {a: (a, b, c) for (a, b), c in sorted(pairs.items(), key=lambda x: x[1])}
+    deal = packing.Deal(n, first, list(links.values()), {p: c for p, c in pairs.items() if c > shard_docs})
+    shard = np.array([deal.of(k, i * 7919) for i, k in enumerate(own)])
+    index, hits, total = packing.ShardIndex(docs, corpus), 0, 0
+    for seed in range(0, n, max(1, n // 200)):
+        unused = np.ones(n, bool)
+        unused[seed] = False
+        best = index.neighbours(seed, unused)[:k]
+        hits, total = hits + int((shard[best] == shard[seed]).sum()), total + len(best)
+    return hits / total, float(np.mean(np.bincount(shard)[shard] / n)), np.bincount(shard)
+
+
+@pytest.mark.parametrize("n", [200, 800, 3200])
+def test_packing_deals_related_documents_together(n, monkeypatch):
+    """Topics of ten documents each; neighbours share the shard at every size."""
+    monkeypatch.setattr(packing, "SHARD_DOCS", 100)
+    rng = np.random.default_rng(n)
+    docs = []
+    for i in range(n):
+        topic = 5000 + 30 * (i % (n // 10))
+        docs.append(np.concatenate([rng.integers(0, 3000, 60), rng.integers(topic, topic + 30, 25)]).astype(np.uint32))
+    share, chance, sizes = _shard_neighbours(docs, 100)
+    assert share > 0.6 and (n < 800 or share > 3 * chance) and sizes.max() <= 300
+
+
+def test_packing_splits_hot_terms(monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_DOCS", 100)
+    rng = np.random.default_rng(1)
+    same = np.concatenate([np.arange(9000, 9030), np.arange(30)]).astype(np.uint32)
+    docs = [same] * 900 + [rng.integers(0, 3000, 60).astype(np.uint32) for _ in range(1200)]
+    _, _, sizes = _shard_neighbours(docs, 100)
+    assert sizes.max() <= 300
+
+
+def test_packing_query_shards_keep_related_documents(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_DOCS", 20)
+    few = table(spark, SF001, "documents").limit(150).select("doc_id", "text")
+    docs = few.union(spark.createDataFrame([(10 ** 6 + i, "zebra quagga " * 30) for i in range(8)], "doc_id long, text string"))
+    got = packing.pack(docs, vocabulary_path()).collect()
+    assert len({p["sequence_id"] >> 32 for p in got}) > 1
+    assert len({p["sequence_id"] >> 32 for p in got if p["doc_id"] >= 10 ** 6}) == 1
+
+
 # ---- search ----
 
 def _vectors(spark, rows):
