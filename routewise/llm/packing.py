@@ -10,7 +10,8 @@ all terms are hotter than a shard, the coldest is split by the next, and a pair
 of terms of more than a shard by a hash.
 A shard builds a BM25 inverted index over its documents' tokens.  A seed document opens a window of
 ``window`` tokens; the unused documents that score highest for the seed's
-strongest terms are appended until the window is full.  The document that
+terms are appended until the window is full or none scores above zero; only
+then the next unused document follows.  The document that
 crosses the window's end is cut there, and its rest is the next seed, so
 windows of a shard are full; what is left at a shard's end goes into sequences
 of powers of two, which need no padding.
@@ -39,7 +40,9 @@ WINDOW = 1024
 SHARD_DOCS = 1024
 KEY_TERMS = 16
 SHARD_TOKENS = 4_000_000
-QUERY_TERMS = 16
+#: All terms of a seed are looked up.
+QUERY_TERMS = None
+#: Neighbours given at once; a window asks again until it is full.
 NEIGHBOURS = 12
 K1, B = 1.2, 0.75
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
@@ -144,23 +147,25 @@ class ShardIndex:
         useful = (df[term] > 1) & corpus.useful[term]
         doc, term, gain = doc[useful], term[useful], gain[useful]
         self.n = n
+        self.scored: tuple = (-1, None)  # the last seed and its scores
         self.by_doc = np.searchsorted(doc, np.arange(n + 1))
         self.doc_term, self.doc_gain = term, gain
         order = np.argsort(term, kind="stable")
         self.post_doc, self.post_gain = doc[order], gain[order]
         self.by_term = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(df)))])
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> list[int]:
-        """Unused documents with the highest BM25 score for the seed's strongest terms, best first."""
-        lo, hi = self.by_doc[seed], self.by_doc[seed + 1]
-        if lo == hi:
-            return []
-        terms, gain = self.doc_term[lo:hi], self.doc_gain[lo:hi]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.lexsort((terms, -gain))[:QUERY_TERMS]]
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 score of every document for the seed's terms."""
+        terms = self.doc_term[self.by_doc[seed]:self.by_doc[seed + 1]]
         at, size = self.by_term[terms], self.by_term[terms + 1] - self.by_term[terms]
         take = np.arange(size.sum()) + np.repeat(at - (np.cumsum(size) - size), size)
-        score = np.bincount(self.post_doc[take], self.post_gain[take], self.n) * unused
+        return np.bincount(self.post_doc[take], self.post_gain[take], self.n)
+
+    def neighbours(self, seed: int, unused: np.ndarray) -> list[int]:
+        """The next unused documents with the highest BM25 score for the seed's terms, best first."""
+        if self.scored[0] != seed:
+            self.scored = (seed, self.scores(seed))
+        score = self.scored[1] * unused
         best = np.argpartition(-score, min(NEIGHBOURS, self.n - 1))[:NEIGHBOURS]
         best = best[score[best] > 0]
         return best[np.lexsort((best, -score[best]))].tolist()
@@ -180,9 +185,9 @@ def plan(docs: list, window: int = WINDOW, corpus: Corpus | None = None) -> list
         else:
             if seed is not None and unused.any():
                 queue = index.neighbours(seed, unused)
-                seed = None
                 if queue:
                     continue
+                seed = None
             while fresh < len(docs) and not unused[fresh]:
                 fresh += 1
             if fresh == len(docs):

@@ -198,6 +198,17 @@ def test_packing_joins_related_documents():
     assert first == [0, 2, 4]
 
 
+def test_packing_asks_until_no_neighbour_is_left():
+    """30 documents share one weak term each with the seed's 40; every other one is unrelated."""
+    strong = np.repeat(np.arange(100, 120, dtype=np.uint32), 3)
+    seed = np.concatenate([strong, np.arange(200, 220, dtype=np.uint32)])
+    docs = [seed, strong]
+    for i in range(30):
+        docs += [np.array([3000 + 2 * i, 3001 + 2 * i, 5000 + i % 5], np.uint32), np.array([200 + i % 20, 400 + i], np.uint32)]
+    first = [d for d, _, _ in packing.plan(docs, len(seed) + len(strong) + 60)[0]]
+    assert first[:2] == [0, 1] and sorted(first[2:]) == list(range(3, 62, 2))
+
+
 def _shard_neighbours(docs, shard_docs, k=5):
     """Share of the k best corpus-wide BM25 neighbours that are in a document's own shard, and the same for shards dealt at random."""
     n = len(docs)
