@@ -302,6 +302,24 @@ def test_topk_equals_all_pairs(spark, monkeypatch, chunk):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == _plain_topk(rows, 10, 6)
 
 
+@pytest.mark.parametrize("times,pivots,run", [(1, 2048, 2048), (2, 2048, 7), (11, 2048, 7), (12, 3, 5), (25, 2048, 2048)])
+def test_topk_repeated_query_ids(spark, monkeypatch, times, pivots, run):
+    """Rows of the query's own id never take the place of others."""
+    monkeypatch.setattr(topk, "PIVOTS", pivots)
+    monkeypatch.setattr(topk, "BOUND_ROWS", run)
+    rng = np.random.default_rng(times)
+    x = np.concatenate([np.tile(rng.normal(size=(1, 4)) * 9, (times, 1)), rng.normal(size=(2, 4)) * 9, rng.normal(size=(40, 4))]).astype(np.float32)
+    ids = [0] * times + [0, 50] + list(range(1, 41))
+    rows = [(i, [float(c) for c in v], 0, "x", 1, 2, 0.0) for i, v in zip(ids, x)]
+    q = np.floor(x.astype(np.float64) * topk.SCALE)
+    want = []
+    for query in (0, 50):
+        score = sorted((-int(q[a] @ q[b]), ids[b]) for a in range(len(ids)) for b in range(len(ids)) if ids[a] == query != ids[b])
+        want += [(query, n + 1, i, -s) for n, (s, i) in enumerate(score[:10])]
+    got = topk.top_k(_vectors(spark, rows), F.col("id") % 50 == 0, k=10).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == want
+
+
 def test_topk_few_candidates_and_repeats(spark):
     rows = _rows([[1, 0, 0], [0.5, 0, 0], [0.5, 0, 0]])
     got = topk.top_k(_vectors(spark, rows), F.col("id") == 0, k=10).collect()
