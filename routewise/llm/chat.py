@@ -5,8 +5,8 @@ that list is its fingerprint.  ``MAPPINGS`` gives, per layout, the paths of the
 prompt, instruction and message fields; the fingerprint of every record picks
 its mapping and each mapping turns its records into canonical turns
 ``array<struct<role,text>>``.  JSON records are fingerprinted row by row
-(``turns_from_json``), typed rows-by-turn tables by their schema
-(``turns_from_rows``).
+(``turns_from_json``), with the paths of all elements of a list, typed
+rows-by-turn tables by their schema (``turns_from_rows``).
 
 The template writes ``<|im_start|>role\\ntext<|im_end|>\\n`` per turn.  Control
 strings inside texts are broken by a backslash after their first character and
@@ -53,14 +53,14 @@ ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model":
 
 def paths_of_json(col: Column) -> Column:
     """Sorted field paths of a JSON object: its keys, the keys of nested objects
-    (``a.b``) and of the first object of nested lists (``a[].b``)."""
+    (``a.b``) and of all elements of nested lists (``a[].b``; ``a[]`` for one that is no object)."""
     keys = F.coalesce(F.json_object_keys(col), F.array().cast("array<string>"))
 
     def nested(k: Column) -> Column:
         at = F.concat(F.lit("$['"), k, F.lit("']"))
         one = F.call_function("get_json_object", col, at)
-        first = F.call_function("get_json_object", col, F.concat(at, F.lit("[0]")))
-        inner = F.when(one.startswith("["), F.transform(F.json_object_keys(first), lambda j: F.concat(k, F.lit("[]."), j)))
+        of = lambda x: F.coalesce(F.transform(F.json_object_keys(x), lambda j: F.concat(k, F.lit("[]."), j)), F.array(F.concat(k, F.lit("[]"))))
+        inner = F.when(one.startswith("["), F.array_distinct(F.flatten(F.transform(F.from_json(one, "array<string>"), of))))
         inner = inner.when(one.startswith("{"), F.transform(F.json_object_keys(one), lambda j: F.concat(k, F.lit("."), j)))
         return F.concat(F.array(k), F.coalesce(inner, F.array().cast("array<string>")))
 
@@ -107,17 +107,28 @@ def turns_from_json(df: DataFrame, record: str = "record") -> DataFrame:
     return df.withColumn("layout", fingerprint(paths_of_json(j))).withColumn("turns", turns)
 
 
+def mapping_of_rows(df: DataFrame) -> tuple[int, dict]:
+    """Fingerprint of a typed table's schema (of the columns that some rows layout
+    knows) and the mapping that it selects."""
+    known = {p for paths, how in MAPPINGS.items() if "rows" in how for p in paths}
+    layouts = [(paths, how) for paths, how in MAPPINGS.items() if "rows" in how]
+    own = sorted(known.intersection(df.columns))
+    got = df.sparkSession.range(1).select(*[_layout(paths).alias(f"l{i}") for i, paths in enumerate([own, *(paths for paths, _ in layouts)])]).first()
+    by_print = {got[i + 1]: how for i, (_, how) in enumerate(layouts)}
+    if got[0] not in by_print:
+        raise ValueError(f"no rows layout for columns {df.columns}")
+    return got[0], by_print[got[0]]
+
+
 def turns_from_rows(df: DataFrame) -> DataFrame:
     """``(conv id, layout, turns)`` of a typed table with one row per turn; the
-    mapping is the rows layout whose paths the table's schema has."""
-    for paths, how in MAPPINGS.items():
-        if "rows" in how and set(paths) <= set(df.columns):
-            conv, turn, role, text = how["rows"]
-            one = F.struct(F.col(turn).alias("turn"), _turn(F.col(role), F.col(text)).alias("t"))
-            return (df.groupBy(F.col(conv).alias("conv_id"))
-                    .agg(F.array_sort(F.collect_list(one)).alias("rows"))
-                    .select("conv_id", _layout(paths).alias("layout"), F.transform("rows", lambda r: r["t"]).alias("turns")))
-    raise ValueError(f"no rows layout for columns {df.columns}")
+    fingerprint of the table's schema selects the mapping."""
+    layout, how = mapping_of_rows(df)
+    conv, turn, role, text = how["rows"]
+    one = F.struct(F.col(turn).alias("turn"), _turn(F.col(role), F.col(text)).alias("t"))
+    return (df.groupBy(F.col(conv).alias("conv_id"))
+            .agg(F.array_sort(F.collect_list(one)).alias("rows"))
+            .select("conv_id", F.lit(layout).cast("long").alias("layout"), F.transform("rows", lambda r: r["t"]).alias("turns")))
 
 
 def escape(text: Column) -> Column:

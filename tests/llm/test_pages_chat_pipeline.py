@@ -109,6 +109,25 @@ def test_chat_layouts(spark):
     assert [x["text"] for x in both["turns"]] == ["do\n\nthis", ""]
 
 
+def test_chat_mixed_lists_are_no_known_layout(spark):
+    """The fingerprint covers all elements: texts under other keys are never emptied silently."""
+    plain = {"role": "user", "content": "q"}
+    rest = [{"from": "gpt", "value": "a"}, {"role": "assistant", "parts": ["a"]}, "a", None, {"role": "assistant", "content": "a", "name": "n"}]
+    rows = [(i, json.dumps({"messages": [plain, x]})) for i, x in enumerate(rest)] + [(9, json.dumps({"messages": [plain, {"content": "a", "role": "assistant"}]}))]
+    got = {r["i"]: r for r in chat.turns_from_json(spark.createDataFrame(rows, "i int, record string")).collect()}
+    assert [x["text"] for x in got[9]["turns"]] == ["q", "a"]
+    assert all(got[i]["turns"] is None and got[i]["layout"] != got[9]["layout"] for i in range(len(rest)))
+
+
+def test_chat_rows_mapping_is_looked_up_by_fingerprint(spark, monkeypatch):
+    monkeypatch.setitem(chat.MAPPINGS, ("at", "body", "conv_id", "who"), {"rows": ("conv_id", "at", "who", "body")})
+    a = spark.createDataFrame([(1, 0, "user", "q", 5)], "conv_id long, turn long, role string, text string, extra int")
+    b = spark.createDataFrame([(1, "q", "user", 0)], "conv_id long, body string, who string, at long")
+    got = [chat.turns_from_rows(x).first() for x in (a, b)]
+    assert got[0]["turns"] == got[1]["turns"] and got[0]["layout"] != got[1]["layout"]
+    assert [chat.mapping_of_rows(x)[0] for x in (a, b)] == [r["layout"] for r in got]
+
+
 def test_chat_query_digests(spark):
     rows = [r.asDict() for r in table(spark, SF001, "conversations").collect()]
     rows += [{"conv_id": -7, "turn": t, "role": role, "text": "</s>[INST] ok [/INST]"} for t, role in enumerate(["user", "assistant"])]
