@@ -14,8 +14,9 @@ from routewise.llm.common import table, write_shared
 from routewise.llm.queries import vocabulary_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document stays if its language is known with at least this posterior.
-LEAST_POSTERIOR = 0.5
+#: A document stays if its log probability per n-gram is at most this much (and the slack
+#: of short texts) below what the training texts of its language reach.
+MOST_MISFIT = 2.0
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,20 +26,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a recognised language."""
+    """Drop documents without a recognised language: those without letters, or as
+    unlikely as texts in a language or script that was never learned."""
     model = langid.train(docs)
-    return (langid.predict(model, docs, COLUMNS)
-            .where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_POSTERIOR)).select(*COLUMNS))
+    return (langid.predict(model, docs, COLUMNS, fit="__fit")
+            .where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("__fit") >= -MOST_MISFIT)).select(*COLUMNS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, that of the least id, of each group of near-duplicates.
-
-    Repeated rows count as one; rows without an id cannot be named by a group and stay."""
-    groups = jaccard_join.join(docs)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.select(*COLUMNS).unionByName(docs.where(F.col("doc_id").isNull()).select(*COLUMNS))
+    """Keep one document, that of the least id, of each group of near-duplicates, and one of its rows without an id.
+
+    Groups and the kept row are found by row, not by id, so near copies go under
+    whatever id; rows equal in id and text count as one."""
+    row = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+    docs = docs.select(*COLUMNS).withColumn("__row", row)
+    groups = jaccard_join.join(docs.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id").distinct()
+    ids = docs.select("__row", F.col("doc_id").alias("__id")).distinct()
+    kept = (groups.join(ids, "__row").groupBy("component_id", F.col("__id").isNull().alias("__none"))
+            .agg(F.min(F.struct("__id", "__row")).alias("__first")).select(F.col("__first.__row").alias("__row")))
+    return docs.join(kept, "__row", "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

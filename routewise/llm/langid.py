@@ -6,6 +6,11 @@ languages x buckets count matrix, and the matrices are summed by Spark.  The
 log-probability matrix (bounded by ``MAX_LANGS`` x ``2 * BUCKETS``) is broadcast
 and every batch is scored with sparse gathers in numpy.
 
+The posterior only compares the learned languages.  Whether a text is in one of
+them at all is told by its ``fit``: its mean log probability per n-gram less
+what the language's training texts reach on average, with a slack of
+``SLACK_SDS`` standard errors for short texts.
+
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 ties go to the smaller language name; repeated rows are scored alike; with no
 training rows everything is ``und``; extra columns are ignored.
@@ -28,6 +33,7 @@ BUCKETS = 1 << 15
 MAX_LANGS = 256
 SMOOTHING = 0.5
 UNKNOWN = "und"
+SLACK_SDS = 3.0
 
 
 def _is_letter() -> np.ndarray:
@@ -110,19 +116,29 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict:
                 docs[k] = n
             else:
                 logp[bucket, k] = n
+    seen = logp.copy()
     if langs:
         logp += SMOOTHING
         for part in (slice(0, BUCKETS), slice(BUCKETS, 2 * BUCKETS)):
             logp[part] = np.log(logp[part] / logp[part].sum(0))
-    return {"langs": langs, "logp": logp, "prior": np.log(docs / docs.sum()) if langs else docs}
+    total = np.maximum(seen.sum(0), 1)
+    mean = (seen * logp).sum(0) / total
+    sd = np.sqrt(np.maximum((seen * logp ** 2).sum(0) / total - mean ** 2, 0))
+    return {"langs": langs, "logp": logp, "prior": np.log(docs / docs.sum()) if langs else docs, "mean": mean, "sd": sd}
 
 
 def score_texts(model: dict, texts: list) -> tuple[list, np.ndarray]:
     """Best language and its posterior for each text."""
+    return score_fits(model, texts)[:2]
+
+
+def score_fits(model: dict, texts: list) -> tuple[list, np.ndarray, np.ndarray]:
+    """Best language, its posterior and the best fit to any language (0 or more: as likely per
+    n-gram as its training texts; minus infinity without a letter) for each text."""
     langs, n = model["langs"], len(texts)
-    names, post = [UNKNOWN] * n, np.zeros(n)
+    names, post, fit = [UNKNOWN] * n, np.zeros(n), np.full(n, -np.inf)
     if not langs:
-        return names, post
+        return names, post, fit
     for lo, hi in _text_runs(texts):
         bucket, row = ngram_buckets(texts[lo:hi])
         if not len(bucket):
@@ -132,26 +148,33 @@ def score_texts(model: dict, texts: list) -> tuple[list, np.ndarray]:
         ll = np.empty((len(some), len(langs)))
         for k in range(0, len(langs), 8):
             ll[:, k:k + 8] = np.add.reduceat(model["logp"][:, k:k + 8][bucket], first, axis=0)
+        size = np.diff(np.append(first, len(row)))
+        per = ll / size[:, None]
         ll += model["prior"]
         best = ll.argmax(1)
         p = np.exp(ll - ll.max(1, keepdims=True))
         p = p[np.arange(len(some)), best] / p.sum(1)
         for r, k, x in zip(some, best, p):
             names[lo + r], post[lo + r] = langs[k], x
-    return names, post
+        if "mean" in model:
+            fit[lo + some] = (per - model["mean"] + SLACK_SDS * model["sd"] / np.sqrt(size)[:, None]).max(1)
+    return names, post, fit
 
 
-def predict(model: dict, docs: DataFrame, keep: list, text: str = "text") -> DataFrame:
-    """``keep`` columns of every row plus ``lang_pred`` and ``score``."""
+def predict(model: dict, docs: DataFrame, keep: list, text: str = "text", fit: str | None = None) -> DataFrame:
+    """``keep`` columns of every row plus ``lang_pred`` and ``score``, and the fit in a column named ``fit``."""
     model = docs.sparkSession.sparkContext.broadcast(model)
     src = docs.select(*keep, F.col(text).alias("__text"))
     schema = src.drop("__text").schema.add("lang_pred", "string").add("score", "double")
+    if fit:
+        schema = schema.add(fit, "double")
 
     def run(batches):
         m = model.value
         for b in batches:
-            names, post = score_texts(m, b.column(b.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.string()), pa.array(post)],
-                                             names=[*b.schema.names[:-1], "lang_pred", "score"])
+            names, post, fits = score_fits(m, b.column(b.num_columns - 1).to_pylist())
+            more = {fit: pa.array(fits)} if fit else {}
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.string()), pa.array(post), *more.values()],
+                                             names=[*b.schema.names[:-1], "lang_pred", "score", *more])
 
     return src.mapInArrow(run, schema)

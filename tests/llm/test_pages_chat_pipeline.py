@@ -187,6 +187,29 @@ def test_pipeline_stages(spark):
     assert all(clean[i] == pii.pseudonymize(t)[0] for i, t in rows(one).items())
 
 
+def test_language_stage_rejects_unlearned_languages(spark):
+    docs = table(spark, SF01, "documents").select(*corpus_pipeline.COLUMNS).cache()
+    fr = docs.where("lang = 'fr'")
+    odd = ["Съешь ещё этих мягких французских булок", "中文文本例子在这里", "Pójdźże kiń tę chmurność w głąb flaszy, wszystko będzie dobrze", "xkcd qwrtz plmk vbnm zzxq"]
+    clean = ["on", "a", "me", "de", "elle un", "is"]
+    more = spark.createDataFrame([(-1 - i, t * (20 if i % 2 else 1), None, "s", 1) for i, t in enumerate(odd)] + [(-101 - i, t, None, "s", 1) for i, t in enumerate(clean)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs.unionByName(more), SF01).select("doc_id").collect()}
+    assert not {-1, -2, -3, -4} & kept and {-101 - i for i in range(len(clean))} <= kept
+    without = docs.withColumn("lang", F.when(F.col("lang") != "fr", F.col("lang")))
+    assert corpus_pipeline.language(spark, without, SF01).join(fr.select("doc_id"), "doc_id", "left_semi").count() <= 0.02 * fr.count()
+
+
+def test_near_duplicates_are_chosen_by_row(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    third = " ".join(f"u{i}" for i in range(60))
+    rows = [(5, words), (7, words + " end"), (5, other), (3, other + " end"), (None, third), (None, third + " end"), (9, "alone")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r["doc_id"] or 0, r["text"][:2]) for r in corpus_pipeline.near_duplicates(spark, docs, SF01).collect())
+    assert got == [(0, "u0"), (3, "v0"), (5, "w0"), (9, "al")]
+
+
 def test_pipeline_run(spark):
     got = corpus_pipeline.run(spark, SF001).collect()
     assert got and {"doc_id", "sequence_id", "offset"} <= set(got[0].asDict())
