@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_text, jaccard_join, langid, packing, pii, quality_mil, topk, vptree
+from . import bpe, chat, html_text, jaccard_join, langid, packing, pii, prefix_trie, quality_mil, spelling, topk, toxicity, vptree
 from .common import id_crc, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -67,9 +67,25 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), ["doc_id"], vocabulary_path())
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), id_crc() % 5 != 0)
+    scored = toxicity.score(model, docs, ["doc_id"])
+    return scored.select("doc_id", (id_crc() % 5 == 0).alias("held_out"), "score",
+                         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(*prefix_trie.rebuilt(prefix_trie.turns_of(table(spark, sf_dir, "conversations"))))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality, op2_jaccard_join, op3_pii, op4_packing, op5_html, op6_langid, op7_chat,
-                                    op8_topk, op9_vptree, op10_bpe)}
+                                    op8_topk, op9_vptree, op10_bpe, op11_toxicity, op12_prefix_trie, op13_spelling)}
 
 
 _OP2 = r"""
