@@ -8,7 +8,7 @@ a logistic unit weighs the features.
 
 Training has two bounded parts.  Rates are summed by Spark over at most
 ``COUNT_PER_CLASS`` labelled ids of each class, as integers, so the order of tasks
-changes nothing.  The weights are fitted on at most ``FIT_PER_CLASS`` texts of each
+changes nothing.  The weights are fitted, in one task, on at most ``FIT_PER_CLASS`` texts of each
 class; a text's own share is taken out of the ratios that scale its features, since
 an n-gram that only it holds would else tell its label.  Scoring is linear in the
 counts: the sum of one table entry per n-gram, over the whole text, in windows of
@@ -130,45 +130,49 @@ def ratios(rate: np.ndarray, docs: np.ndarray, own: np.ndarray | float = 0.0, la
     return np.log((rate[1] + SMOOTHING * share[1]) / docs[1]) - np.log((rate[0] + SMOOTHING * share[0]) / docs[0])
 
 
-def _features(chosen: DataFrame) -> list:
-    """At most ``FIT_PER_CLASS`` texts per class: ``(label, buckets, counts, code points)``, in a fixed order."""
-    def run(batches):
-        for b in batches:
-            out = []
-            for t in b.column(1).to_pylist():
-                t = normal(t)
-                found = [np.unique(g, return_counts=True) for g, _ in ngrams([t])]
-                g, back = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
-                n = np.bincount(back, np.concatenate([f[1] for f in found]), len(g))
-                out.append((g.astype("<u4").tobytes(), n.astype("<u4").tobytes(), len(t)))
-            cols = list(zip(*out)) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64())],
-                                             names=["y", "g", "n", "size"])
+def features(text: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """Distinct buckets of a text's n-grams, their counts, and its code points."""
+    t = normal(text)
+    found = [np.unique(g, return_counts=True) for g, _ in ngrams([t])]
+    g, back = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+    return g.astype(np.int32), np.bincount(back, np.concatenate([f[1] for f in found]), len(g)), len(t)
 
+
+def _fitted(chosen: DataFrame, rate: np.ndarray, docs: np.ndarray) -> dict | None:
+    """Fit in one task on at most ``FIT_PER_CLASS`` texts per class; only the table comes back."""
     order = ("__rank", "doc_id", F.xxhash64("text"))
-    picked = [chosen.where(F.col("y") == k).orderBy(*order).limit(FIT_PER_CLASS).select("doc_id", "text", "y") for k in (0, 1)]
-    got = []
-    for k in (0, 1):
-        rows = picked[k].mapInArrow(run, "y int, g binary, n binary, size long").collect()
-        rows = sorted(rows, key=lambda r: (r["size"], bytes(r["g"]), bytes(r["n"])))
-        got += [(r["y"], np.frombuffer(r["g"], "<u4"), np.frombuffer(r["n"], "<u4"), r["size"]) for r in rows]
-    return got
+    picked = [chosen.where(F.col("y") == k).orderBy(*order).limit(FIT_PER_CLASS).select("y", "text") for k in (0, 1)]
+    known = chosen.sparkSession.sparkContext.broadcast((rate, docs))  # BUCKETS x 2 numbers
+
+    def run(batches):
+        texts = sorted((y, t or "") for b in batches for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        texts = [(y, *features(t)) for y, t in texts]
+        if not 0 < sum(t[0] for t in texts) < len(texts):
+            return
+        m = fit(texts, *known.value)
+        at = np.flatnonzero(m["table"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1, -2], at])), pa.array(np.concatenate([[m["bias"], m["clean"]], m["table"][at]]))],
+                                         names=["bucket", "value"])
+
+    got = picked[0].unionByName(picked[1]).coalesce(1).mapInArrow(run, "bucket long, value double").toArrow()  # at most BUCKETS + 2 rows
+    known.destroy()
+    if not got.num_rows:
+        return None
+    bucket, value = got.column("bucket").to_numpy(), got.column("value").to_numpy()
+    table = np.zeros(BUCKETS)
+    table[bucket[bucket >= 0]] = value[bucket >= 0]
+    return {"table": table, "bias": float(value[bucket == -1][0]), "clean": float(value[bucket == -2][0])}
 
 
 def fit(texts: list, rate: np.ndarray, docs: np.ndarray, seed: int = 0) -> dict:
-    """Adam on the log loss (classes balanced) over mini-batches of texts."""
+    """Adam on the log loss (classes balanced) over mini-batches of ``(label, buckets, counts, size)``."""
     rng = np.random.default_rng(seed)
     y = np.array([t[0] for t in texts], float)
-    used, place = np.unique(np.concatenate([t[1] for t in texts]), return_inverse=True)
-    cut = np.cumsum([0] + [len(t[1]) for t in texts])
     rate = rate / UNIT
-    at, value = [], []
-    for i, (label, g, n, size) in enumerate(texts):
-        own = n * (UNIT // size) / UNIT
-        at.append(place[cut[i]: cut[i + 1]])
-        value.append(SCALE * n / size * ratios(rate[:, g], docs, own, label))
+    at = [g for _, g, _, _ in texts]
+    value = [(SCALE * n / size * ratios(rate[:, g], docs, n * (UNIT // size) / UNIT, label)).astype(np.float32) for label, g, n, size in texts]
     weight = np.where(y == 1, len(y) / max(2 * y.sum(), 1), len(y) / max(2 * (1 - y).sum(), 1))
-    w, m1, m2 = np.zeros((3, len(used) + 1))
+    w, m1, m2 = np.zeros((3, BUCKETS + 1))
     step, total = 0, EPOCHS * -(-len(y) // BATCH)
     for _ in range(EPOCHS):
         order = rng.permutation(len(y))
@@ -185,8 +189,7 @@ def fit(texts: list, rate: np.ndarray, docs: np.ndarray, seed: int = 0) -> dict:
             m1 += 0.1 * (grad - m1)
             m2 += 0.001 * (grad * grad - m2)
             w -= RATE * (1 - (step - 1) / total) * (m1 / (1 - 0.9 ** step)) / (np.sqrt(m2 / (1 - 0.999 ** step)) + 1e-8)
-    table = np.zeros(BUCKETS)
-    table[used] = SCALE * w[:-1] * ratios(rate[:, used], docs)
+    table = SCALE * w[:-1] * ratios(rate, docs)
     clean = [float(n @ table[g]) / size for label, g, n, size in texts if label == 0]
     return {"table": table, "bias": float(w[-1]), "clean": float(np.mean(clean))}
 
@@ -204,10 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, usable, label: str = "toxic") -> d
     chosen = docs.select("doc_id", "text").join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id")
     chosen = write_shared(chosen, "toxicity-texts")
     rate, n = _counts(chosen.select("doc_id", "text", "y"))
-    texts = _features(chosen)
-    if not 0 < sum(t[0] for t in texts) < len(texts):
-        return share
-    return fit(texts, rate, n)
+    return _fitted(chosen, rate, n) or share
 
 
 def score_texts(model: dict, texts: list) -> np.ndarray:
