@@ -109,24 +109,6 @@ def readability_grade(c) -> Column:
     return F.when(n_words > 0, grade).otherwise(F.lit(0.0))
 
 
-def redundancy(c) -> Column:
-    """1 for blank; else the larger of word-level repetition
-    ``(n - n_unique) / n`` and the mean per-word character repetition
-    ``(len(w) - distinct_chars(w)) / len(w)``."""
-    return redundancy_from_words(words(c), is_blank(c))
-
-
-def redundancy_from_words(w, blank) -> Column:
-    """S11 from an already split word array and blank flag (compute them once)."""
-    w, blank = col_(w), col_(blank)
-    n = F.size(w).cast("double")
-    word_level = (n - F.size(F.array_distinct(w))) / n
-    # characters that occur again later in the word; removing them leaves the distinct ones
-    per_word = F.transform(w, lambda x: (F.length(x) - F.length(F.regexp_replace(x, "(?s)(.)(?=.*?\\1)", ""))) / F.length(x))
-    char_level = F.aggregate(per_word, F.lit(0.0), lambda acc, x: acc + x) / n
-    return F.when(blank, F.lit(1.0)).otherwise(F.greatest(word_level, char_level))
-
-
 def is_trash(response, redundancy_col, length_col, runtime_col) -> Column:
     """Blank, or (redundancy > 0.85 and words > 100 and runtime > 1000 ms)."""
     return is_blank(response) | (

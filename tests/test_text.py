@@ -1,10 +1,13 @@
 """Hand-made rows: Unicode, blanks, URLs, keywords, scaling and lookups."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from routewise.functions import numeric as N
 from routewise.functions import text as T
+from routewise.functions import wordstats as W
 
 
 def one(spark, col, value, schema="v string"):
@@ -22,9 +25,9 @@ def test_emoji_length(spark):
 @pytest.mark.parametrize("blank", ["", "   ", "\t\n", None])
 def test_blank_response(spark, blank):
     df = spark.createDataFrame([(blank, "instr", "", "Instruction: instr")], "r string, i string, x string, q string")
-    r = df.select(T.redundancy("r").alias("red"), T.is_blank("r").alias("b"), T.word_count("r").alias("n"),
+    r = df.select(W.redundancy("r").alias("red"), T.is_blank("r").alias("b"), T.word_count("r").alias("n"),
                   T.is_repetition("i", "x", "q", "r").alias("rep"),
-                  T.is_trash("r", T.redundancy("r"), T.word_count("r"), F.lit(0.0)).alias("trash")).first()
+                  T.is_trash("r", W.redundancy("r"), T.word_count("r"), F.lit(0.0)).alias("trash")).first()
     assert r["red"] == 1.0 and r["b"] and r["n"] == 0 and not r["rep"] and r["trash"]
 
 
@@ -89,8 +92,27 @@ def test_unknown_category_weight(spark):
 
 def test_redundancy_values(spark):
     # words: "aa aa b" -> word level 1/3; char level mean(1/2, 1/2, 0) = 1/3
-    assert one(spark, T.redundancy("v"), "aa aa b") == pytest.approx(1 / 3)
-    assert one(spark, T.redundancy("v"), "abc def") == 0.0
+    assert one(spark, W.redundancy("v"), "aa aa b") == pytest.approx(1 / 3)
+    assert one(spark, W.redundancy("v"), "abc def") == 0.0
+
+
+def test_word_dictionary(spark):
+    """Word splitting agrees with the native expression on all white space; a full dictionary starts afresh."""
+    spaces = [chr(i) for i in range(0x3100) if re.match(r"\s", chr(i)) or i in (0x1c, 0x1f, 0x200b, 0x180e)]
+    rows = [("a" + c + "bb" + c + c + "a",) for c in spaces] + [(None,), ("",), (" \n ",), ("x" * 50000 + " y",), ("\U0001F600\U0001F600 é",)]
+    df = spark.createDataFrame(rows, "v string")
+    w = T.words("v")
+    got = df.select(W.word_stats("v").alias("s"), F.size(w).alias("n"), F.size(F.array_distinct(w)).alias("d"),
+                    F.aggregate(F.transform(w, lambda x: (F.length(x) - F.size(F.array_distinct(F.split(x, "")))) / F.length(x)),
+                                F.lit(0.0), lambda a, x: a + x).alias("r")).collect()
+    assert all((r["s"]["length"], r["s"]["distinct"], r["s"]["repeated"]) == (r["n"], r["d"], r["r"]) for r in got)
+
+
+def test_word_dictionary_is_bounded(monkeypatch):
+    monkeypatch.setattr(W, "REMEMBERED", 3)
+    known = W.Repetition()
+    words = ["aa", "bbb", "c", "dd", "aa", "eé", "bbb"]
+    assert [known[x] for x in words] == [1 / 2, 2 / 3, 0, 1 / 2, 1 / 2, 0, 2 / 3] and len(known) <= 3
 
 
 def test_readability_definition(spark):
