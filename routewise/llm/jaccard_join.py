@@ -54,6 +54,8 @@ SHINGLE = 5
 NUM, DEN = 75, 100
 SKETCH = 16
 _SKETCH_BITS = 4
+#: Sketch values that a set shares with the hub whose family it joins.
+RELATED = 6
 #: The bitmap of shingles put last has ``2 ** MARK_BITS`` bits (broadcast: 8 MB), bitmaps of set ids
 #: ``2 ** ID_BITS`` (2 MB).
 MARK_BITS = 26
@@ -184,7 +186,14 @@ def _hub_pairs(sets: DataFrame) -> DataFrame:
     return (keys.join(hubs, "value").where((F.col("sid") != F.col("hub.sid"))
                                            & (DEN * F.least("n", "hub.n") >= NUM * F.greatest("n", "hub.n")))
             .groupBy(F.col("hub.sid").alias("hub"), F.col("sid").alias("other")).agg(F.count(F.lit(1)).alias("shared"))
-            .where("shared > 1").select("hub", "other"))
+            .where("shared > 1"))
+
+
+def _families(pairs: DataFrame) -> DataFrame:
+    """``sid, fam``: the hub that a set resembles most (at least ``RELATED`` sketch values), linked or not."""
+    near = pairs.where(F.col("shared") >= RELATED).groupBy(F.col("other").alias("sid")).agg(F.max_by("hub", F.struct("shared", "hub")).alias("fam"))
+    up = near.select(F.col("sid").alias("fam"), F.col("fam").alias("top"))
+    return near.join(up, "fam", "left").select("sid", F.coalesce("top", "fam").alias("fam"))
 
 
 class Family:
@@ -203,8 +212,8 @@ class Family:
             lack.append(np.flatnonzero(gone))
             add.append(y[~same])
         row = np.arange(len(members))
-        self.lack, self.lack_row = np.concatenate(lack), np.repeat(row, [len(x) for x in lack])
-        self.add, self.add_row = np.concatenate(add), np.repeat(row, [len(x) for x in add])
+        self.lack, self.lack_row = np.concatenate([np.zeros(0, np.int64), *lack]), np.repeat(row, [len(x) for x in lack])
+        self.add, self.add_row = np.concatenate([np.zeros(0, np.uint64), *add]), np.repeat(row, [len(x) for x in add])
 
     def overlaps(self, z: np.ndarray) -> np.ndarray:
         """Intersection size of ``z`` with every member, derived from its intersection with the hub."""
@@ -214,6 +223,23 @@ class Family:
                 + np.bincount(self.add_row[_contains(z, self.add)], minlength=n))
 
 
+class Labels:
+    """Labels joined so far within a block."""
+
+    def __init__(self):
+        self.up = {}
+
+    def root(self, x):
+        while (y := self.up.get(x, x)) != x:
+            x = y
+        return x
+
+    def join(self, a, b) -> bool:
+        a, b = self.root(a), self.root(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
 def verify(pairs: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
     """Links ``(u, v)`` between members of paired hubs, at least one for each ``pairs(hub, other)``
     that has a link; ``members(sid, hub)`` names every set's hub."""
@@ -222,46 +248,68 @@ def verify(pairs: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
     pairs = (pairs.join(count, "hub").join(count.select(F.col("hub").alias("other"), F.col("m").alias("om")), "other")
              .select(F.when(F.col("m") >= F.col("om"), F.col("hub")).otherwise(F.col("other")).alias("hub"),
                      F.when(F.col("m") >= F.col("om"), F.col("other")).otherwise(F.col("hub")).alias("other")))
-    pairs = write_shared(pairs, "jaccard-pairs")
+    return _past_blocks(write_shared(pairs, "jaccard-pairs"), members.select("sid", "hub", F.col("hub").alias("label")), members, texts)
+
+
+def verify_families(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between the hubs' groups of one family, of ``members(sid, hub, fam)``: the sets
+    that are not linked to the family's hub stream past all of its members."""
+    pairs = members.where("hub <> fam").select(F.col("fam").alias("hub"), F.col("hub").alias("other")).distinct()
+    return _past_blocks(write_shared(pairs, "jaccard-relatives"), members.select("sid", F.col("fam").alias("hub"), F.col("hub").alias("label")),
+                        members.select("sid", "hub"), texts)
+
+
+def _past_blocks(pairs: DataFrame, held: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links ``(u, v)`` of ``pairs(hub, other)``: blocks of ``held(sid, hub, label)``, past which the
+    ``members(sid, hub)`` of the partners stream.  Per block, a link is given only where it joins two labels."""
+    count = held.groupBy("hub").agg(F.count(F.lit(1)).alias("m"))
     sizes = (pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("q"))
              .join(count, "hub")
              .select("hub", F.ceil(F.col("q") / BLOCK_PARTNERS).alias("zs"), F.ceil(F.col("m") / BLOCK_MEMBERS).alias("ms")))
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     none = F.lit(None).cast("binary").alias("other")
-    own = (members.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("sid"), "ms").alias("mc"), "zs", "sid")
-           .select("hub", "mc", upto("zs").alias("zc"), "sid", none))
-    centre = sizes.select("hub", upto("ms").alias("mc"), "zs").select("hub", "mc", upto("zs").alias("zc"), F.col("hub").alias("sid"), none)
+    own = (held.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("sid"), "ms").alias("mc"), "zs", "sid", "label")
+           .select("hub", "mc", upto("zs").alias("zc"), "sid", none, "label"))
+    centre = sizes.select("hub", upto("ms").alias("mc"), "zs").select("hub", "mc", upto("zs").alias("zc"), F.col("hub").alias("sid"), none,
+                                                                     F.lit(None).cast("binary").alias("label"))
     partner = (pairs.join(sizes, "hub").select("hub", "other", F.pmod(F.xxhash64("other"), "zs").alias("zc"), "ms")
                .join(members.select("sid", F.col("hub").alias("other")), "other")
-               .select("hub", upto("ms").alias("mc"), "zc", "sid", "other"))
+               .select("hub", upto("ms").alias("mc"), "zc", "sid", "other", F.col("other").alias("label")))
     rows = own.unionByName(centre).unionByName(partner).join(texts.select("sid", "text"), "sid")
-    rows = (rows.select("hub", "mc", "zc", "sid", "other", "text").repartition("hub", "mc", "zc")
+    rows = (rows.select("hub", "mc", "zc", "sid", "other", "label", "text").repartition("hub", "mc", "zc")
             .sortWithinPartitions("hub", "mc", "zc", F.col("other").isNotNull(), "other", "sid"))
 
     def run(batches):
-        key, held, family, names, done = None, {}, None, [], set()
+        key, held, family = None, {}, None
         for b in batches:
             u, v = [], []
             tokens = []
-            for _, _, data, offs in string_chunks(b.column(5)):
+            for _, _, data, offs in string_chunks(b.column(6)):
                 tokens += shingle_sets(data, offs)
-            hub, mc, zc, sid, other = (b.column(c).to_pylist() for c in range(5))
+            hub, mc, zc, sid, other, label = (b.column(c).to_pylist() for c in range(6))
             for i, z in enumerate(tokens):
                 if (hub[i], mc[i], zc[i]) != key:
-                    key, held, family, done = (hub[i], mc[i], zc[i]), {}, None, set()
+                    key, held, family = (hub[i], mc[i], zc[i]), {}, None
                 if other[i] is None:
-                    held[sid[i]] = z
+                    if sid[i] == key[0] and not held.get(None):
+                        held[None] = (z, None)
+                    if label[i] is not None:
+                        held[sid[i]] = (z, label[i])
                     continue
                 if family is None:
-                    names = list(held)
-                    family = Family(held[key[0]], list(held.values()))
-                if other[i] in done:
+                    hub_set = held.pop(None)[0]
+                    names, of = list(held), [x for _, x in held.values()]
+                    kinds = {x: k for k, x in enumerate(dict.fromkeys(of))}
+                    kind = np.array([kinds[x] for x in of], np.int64)
+                    family, joined = Family(hub_set, [x for x, _ in held.values()]), Labels()
+                # one label in the block, and joined with this one already
+                if len(kinds) == 1 and joined.root(of[0]) == joined.root(label[i]):
                     continue
                 hit = np.flatnonzero(family.overlaps(z) >= needed_overlap(family.size, len(z)))
-                if len(hit):
-                    u.append(names[hit[0]])
-                    v.append(sid[i])
-                    done.add(other[i])
+                for at in hit[np.unique(kind[hit], return_index=True)[1]].tolist():
+                    if joined.join(of[at], label[i]):
+                        u.append(names[at])
+                        v.append(sid[i])
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
 
     return rows.mapInArrow(run, "u binary, v binary")
@@ -278,7 +326,7 @@ def _contains(a: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 def list_pairs(size: np.ndarray, pos: np.ndarray, hub: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (positions in the list) of one shingle's list that pass the size and
-    position bounds and belong to different hubs.  Skips blocks of equal size by their bounds."""
+    position bounds and belong to different families (``hub``).  Skips blocks of equal size by their bounds."""
     order = np.lexsort((pos, size))
     size, pos, hub = size[order], pos[order], hub[order]
     heads = np.flatnonzero(np.diff(size, prepend=-1))
@@ -382,7 +430,7 @@ def only(texts: DataFrame, bitmap: np.ndarray) -> DataFrame:
 
 
 def _candidates(labelled: DataFrame, buckets: int, bitmap: np.ndarray, families: np.ndarray) -> DataFrame:
-    """Pairs ``(hub, other)`` of hubs that may have linked members, from the prefix index over ``labelled(sid, hub, text)``;
+    """Pairs ``(hub, other)`` of hubs of different families that may have linked members, from the prefix index over ``labelled(sid, hub, fam, text)``;
     a row without a hub is its own, unless the ``families`` bitmap holds its id (it then comes with its hub)."""
     spark = labelled.sparkSession
     late, known = spark.sparkContext.broadcast(bitmap), spark.sparkContext.broadcast(families)
@@ -393,8 +441,9 @@ def _candidates(labelled: DataFrame, buckets: int, bitmap: np.ndarray, families:
             token, owner, pos, hubs, sizes = [], [], [], [], []
             alone = np.array([h is None for h in b.column(1).to_pylist()])
             b = b.filter(pa.array(~(alone & marked(known.value, _first_bytes(b.column(0))))))
-            hub = [h or s for s, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-            for lo, _, data, offs in string_chunks(b.column(2)):
+            # 32 bytes: the family, then the hub
+            hub = [(f or s) + (h or s) for s, h, f in zip(*(b.column(c).to_pylist() for c in range(3)))]
+            for lo, _, data, offs in string_chunks(b.column(3)):
                 for i, s in enumerate(shingle_sets(data, offs), lo):
                     if not len(s):
                         continue
@@ -409,7 +458,7 @@ def _candidates(labelled: DataFrame, buckets: int, bitmap: np.ndarray, families:
             if not hubs:
                 continue
             token, owner, pos = np.concatenate(token), np.concatenate(owner).astype(np.uint32), np.concatenate(pos).astype(np.uint32)
-            hubs = np.array(hubs, "V16")
+            hubs = np.array(hubs, "V32")
             sizes = np.array(sizes, np.uint32)
             bucket = ((token >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -430,19 +479,21 @@ def _candidates(labelled: DataFrame, buckets: int, bitmap: np.ndarray, families:
         def close():
             parts = list(zip(*held))
             token = np.concatenate([np.frombuffer(x, "<u4") for x in parts[0]])
-            hubs = np.frombuffer(b"".join(parts[3]), "V16")
+            hubs = np.frombuffer(b"".join(parts[3]), "V32")
             sizes = np.frombuffer(b"".join(parts[4]), np.uint32).astype(np.int64)
-            count = [len(x) // 16 for x in parts[3]]
+            count = [len(x) // 32 for x in parts[3]]
             shift = np.cumsum(count) - count
             owner = np.concatenate([np.frombuffer(x, "<u2" if c <= 1 << 16 else "<u4").astype(np.int64) + s
                                     for x, c, s in zip(parts[1], count, shift)])
             pos = np.concatenate([np.frombuffer(x, np.uint32) for x in parts[2]]).astype(np.int64)
-            label, hub_no = np.unique(hubs.view([("a", "<u8"), ("b", "<u8")]), return_inverse=True)
+            label, hub_no = np.unique(hubs.view([(c, "<u8") for c in "abcd"]), return_inverse=True)
+            # hubs are numbered by family: the family of each hub is that of the run it lies in
+            fam_no = np.cumsum(np.append(True, label[["a", "b"]][1:] != label[["a", "b"]][:-1])[: len(label)])
             hub, size = hub_no[owner], sizes[owner]
             order = np.argsort(token, kind="stable")
             token, hub, size, pos = token[order], hub[order], size[order], pos[order]
             head = np.flatnonzero(np.diff(token.astype(np.int64), prepend=-1))
-            mixed = np.maximum.reduceat(hub, head) != np.minimum.reduceat(hub, head)
+            mixed = np.maximum.reduceat(fam_no[hub], head) != np.minimum.reduceat(fam_no[hub], head)
             at = np.flatnonzero(np.repeat(mixed, np.diff(np.append(head, len(token)))))
             # the first position per shingle, hub and size decides
             at = at[np.lexsort((pos[at], size[at], hub[at], token[at]))]
@@ -465,7 +516,7 @@ def _candidates(labelled: DataFrame, buckets: int, bitmap: np.ndarray, families:
                     j = i + step
                     low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
                     reach = np.minimum(n[i] - p[i], n[j] - p[j])
-                    ok = (h[i] != h[j]) & (DEN * low >= NUM * high) & (reach >= needed_overlap(low, high) - (shared_shingles(low) - 1))
+                    ok = (fam_no[h[i]] != fam_no[h[j]]) & (DEN * low >= NUM * high) & (reach >= needed_overlap(low, high) - (shared_shingles(low) - 1))
                     i, j = i[ok], j[ok]
                     hits.append((t[i].astype(np.int64), np.minimum(h[i], h[j]) * width + np.maximum(h[i], h[j]), shared_shingles(low[ok])))
                 if hits:
@@ -474,13 +525,13 @@ def _candidates(labelled: DataFrame, buckets: int, bitmap: np.ndarray, families:
                 part = slice(head[k], head[k] + length[k])
                 h = hub[part]
                 n = size[part]
-                a, b = list_pairs(n, pos[part], h)
+                a, b = list_pairs(n, pos[part], fam_no[h])
                 found.add(token[part][a].astype(np.int64), np.minimum(h[a], h[b]) * width + np.maximum(h[a], h[b]),
                           shared_shingles(np.minimum(n[a], n[b])))
             pair, shared, least = found.result()
             if not len(pair):
                 return None
-            label = label.view("V16").ravel()
+            label = label.view("V16").reshape(-1, 2)[:, 1]
             return pa.RecordBatch.from_arrays([*[pa.array([bytes(z) for z in label[k]], pa.binary()) for k in (pair // width, pair % width)],
                                                pa.array(shared), pa.array(least)], names=["hub", "other", "shared", "least"])
 
@@ -497,7 +548,7 @@ def _candidates(labelled: DataFrame, buckets: int, bitmap: np.ndarray, families:
             yield done
 
     ddl = "bucket long, token binary, owner binary, pos binary, hubs binary, sizes binary"
-    lists = labelled.select("sid", "hub", "text").mapInArrow(index, ddl)
+    lists = labelled.select("sid", "hub", "fam", "text").mapInArrow(index, ddl)
     dealt = lists.repartition("bucket").sortWithinPartitions("bucket")
     pairs = dealt.mapInArrow(meet, "hub binary, other binary, shared long, least long")
     return (pairs.groupBy("hub", "other").agg(F.sum("shared").alias("shared"), F.min("least").alias("least"))
@@ -518,20 +569,28 @@ def join(docs: DataFrame, text: str = "text") -> DataFrame:
     alone = least_ids(rows).select("sid", F.col("sid").alias("hub"))
     pairs = write_shared(_hub_pairs(sets), "jaccard-hubs")
     wanted = pairs.select(F.explode(F.array("hub", "other")).alias("sid"))
-    stars = write_shared(verify(pairs, alone, only(texts, id_bitmap(wanted))), "jaccard-stars")
+    near = write_shared(_families(pairs), "jaccard-families")
+    stars = write_shared(verify(pairs.select("hub", "other"), alone, only(texts, id_bitmap(wanted))), "jaccard-stars")
     hubs = stars.groupBy(F.col("v").alias("sid")).agg(F.min("u").alias("hub"))
     up = hubs.select(F.col("sid").alias("hub"), F.col("hub").alias("top"))
     hubs = hubs.join(up, "hub", "left").select("sid", F.coalesce("top", "hub").alias("hub"))
-    members = write_shared(least_ids(rows).join(hubs, "sid", "left").select("sid", F.coalesce("hub", "sid").alias("hub"), "low"), "jaccard-members")
-    families = id_bitmap(members.where("hub <> sid").select(F.explode(F.array("sid", "hub")).alias("sid")))
+    members = least_ids(rows).join(hubs, "sid", "left").select("sid", F.coalesce("hub", "sid").alias("hub"), "low")
+    # a family is a set of hubs: all members of a hub have the family of the hub
+    members = (members.join(near.select(F.col("sid").alias("hub"), "fam"), "hub", "left").select("sid", "hub", F.coalesce("fam", "hub").alias("fam"), "low"))
+    members = write_shared(members, "jaccard-members")
+    labels = members.where("hub <> sid or fam <> hub")
+    families = id_bitmap(labels.select(F.explode(F.array("sid", "hub", "fam")).alias("sid")))
+    texts_of_families = only(texts, families)
     # a set outside all families is its own hub and needs no join
-    labelled = (only(texts, families).join(members, "sid").select("sid", "hub", "text")
-                .unionByName(texts.select("sid", F.lit(None).cast("binary").alias("hub"), "text")))
+    labelled = (texts_of_families.join(members, "sid").select("sid", "hub", "fam", "text")
+                .unionByName(texts.select("sid", F.lit(None).cast("binary").alias("hub"), F.lit(None).cast("binary").alias("fam"), "text")))
     total = rows.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-total // (BUCKET_TOKENS * DEN // (DEN - NUM))))
     pairs = write_shared(_candidates(labelled, buckets, _marks(sets), families), "jaccard-candidates")
     paired = members.join(pairs.select(F.explode(F.array("hub", "other")).alias("hub")).distinct(), "hub", "left_semi")
-    links = verify(pairs, members, only(texts, id_bitmap(paired)))
+    links = verify(pairs, members.select("sid", "hub"), only(texts, id_bitmap(paired)))
+    related = members.join(members.where("hub <> fam").select("fam").distinct(), "fam", "left_semi")
+    links = links.unionByName(verify_families(related.select("sid", "hub", "fam"), texts_of_families))
     roots = components(stars.unionByName(links))
     named = members.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select("sid", "low", F.coalesce("root", "sid").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))

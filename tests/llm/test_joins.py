@@ -82,6 +82,33 @@ def test_jaccard_equals_all_pairs(spark, seed, monkeypatch):
     assert _joined(df) == _plain_components(rows)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_jaccard_family_near_the_threshold(spark, seed, monkeypatch):
+    """Members edited so much that some link with the text they come from, some only with one another, and
+    most with nothing: the family is solved in blocks, and the index gives none of its pairs."""
+    monkeypatch.setattr(jaccard_join, "MARK_BITS", 18)
+    monkeypatch.setattr(jaccard_join, "BLOCK_MEMBERS", 20)
+    monkeypatch.setattr(jaccard_join, "BLOCK_PARTNERS", 10)
+    given = []
+    monkeypatch.setattr(jaccard_join, "_candidates", lambda *a, plain=jaccard_join._candidates: given.append(plain(*a)) or given[-1])
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(5000)}" for _ in range(260)]
+
+    def edited(text, n):
+        text = list(text)
+        for _ in range(n):
+            text[rng.randrange(len(text))] = f"e{rng.randrange(10**6)}"
+        return text
+
+    texts = [base, *[edited(base, rng.choice([3, 6, 8, 9, 10, 12])) for _ in range(80)]]
+    texts += [edited(texts[rng.randrange(40, 80)], 2) for _ in range(12)]  # linked with a member that is linked with nothing else
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    want = _plain_components(rows)
+    assert 5 < len({c for _, _, c in want}) < 70
+    assert _joined(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == want
+    assert given[0].count() <= 20
+
+
 def test_jaccard_edges(spark, edge_docs, no_docs):
     rows = [(r["doc_id"], r["text"]) for r in edge_docs.collect()]
     assert _joined(edge_docs) == _plain_components([(d, t) for d, t in rows])
