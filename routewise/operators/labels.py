@@ -93,16 +93,13 @@ def case_distribution(labelled: DataFrame, by=("t_threshold",)) -> DataFrame:
     return labelled.groupBy(*by, "label_case").agg(F.count(F.lit(1)).alias("n"))
 
 
-def label_distribution(labelled: DataFrame, value: str = "query_complexity_score", label: str = "evaluation_model_label",
-                       exact_median: bool = True) -> DataFrame:
+def label_distribution(labelled: DataFrame, value: str = "query_complexity_score", label: str = "evaluation_model_label") -> DataFrame:
     """Count, mean and median of ``value`` per label, ordered by label.
 
-    The median is exact: grouped order statistics (histogram narrowing), so
+    The median is exact: grouped order statistics (two scans), so
     no group's values are sorted or mapped in a single task; the median table
     has one row per label (bounded by the label set) and is broadcast."""
     stats = labelled.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("avg_value"))
-    if not exact_median:
-        return stats.join(labelled.groupBy(label).agg(F.percentile_approx(value, 0.5).alias("median_value")), label)
     meds = rowindex.grouped_quantiles(labelled, label, value, [0.5])
     spark = labelled.sparkSession
     med_df = spark.createDataFrame([(g if g is None else int(g), float(v)) for (g, _), v in meds.items()],

@@ -5,12 +5,12 @@ no implicit order, so every table carries a ``row_idx`` and position is the rank
 of ``row_idx`` (NULLs first; rows of equal key in the order of their place in
 the materialized table).  Nothing sorts a whole column in one task:
 
-* ``order_statistics`` finds exact order statistics by histogram narrowing:
-  each pass is one scan plus an aggregate of at most ``buckets`` rows per open
-  range (all requested ranks share the pass) and repeats until every range
-  holds few rows, which ``row_number`` over a window partitioned by range
-  finishes.  A bucket whose min equals its max is resolved at once, so a hot
-  value costs nothing.  Quantiles and the quantile filter build on it.
+* ``order_statistics`` finds exact order statistics in two scans: a mergeable
+  KLL sketch bounds the value of every requested rank, then one exact pass counts the
+  values outside these ranges and groups the few inside by value (so a hot value costs
+  one row), and a window over the small table picks the ranks.  If a rank is not
+  in its range after all, histogram narrowing finds it.  Quantiles and the quantile
+  filter build on it.
 * ``among_first`` turns "the first k rows" into a row predicate: the k-th key,
   then, only among rows of that key, the k'-th place.  Splits, heads and row
   ranges are filters by it: exact sizes, no ranking, one path for every size.
@@ -30,31 +30,38 @@ from ..functions.text import col_
 from ..session import materialize
 
 _FINISH_ROWS = 200_000
+#: Size of the quantile sketches: ranks within some 0.13 % of the rows.
+SKETCH_K = 4096
+INF = float("inf")
 #: Groups whose order statistics may be asked for at once (one driver row each).
 MAX_GROUPS = 10_000
 PLACE = "__place"
 
 
 def grouped_order_statistics(df: DataFrame, group, column, ks_by_group: dict | None = None, qs=None,
-                             buckets: int = 1024, finish_rows: int = _FINISH_ROWS, ks_fn=None):
+                             buckets: int = 1024, finish_rows: int = _FINISH_ROWS, ks_fn=None, sketch_k: int = SKETCH_K):
     """Exact order statistics per group.
 
     Either ``ks_by_group`` ({group value: [1-based ranks]}), ``qs``
     (quantiles, ranks derived from each group's count) or ``ks_fn`` (count ->
     ranks) is given.  Returns
-    ``{(g, k): value}`` and the per-group counts.  Job count: one statistics
-    job, one histogram job per narrowing pass (all groups and ranks share it),
-    one final ranking job over the small candidate ranges.  Infinities and NaN
-    (ordered last) are counted apart, so every pass narrows a finite range."""
+    ``{(g, k): value}`` and the per-group counts.  Two scans: one for counts,
+    ends and a mergeable quantile sketch per group, one that counts exactly around
+    the value ranges in which the sketch puts the ranks.  A group of at most
+    ``finish_rows`` rows needs no ranges.  A rank that its range turns out not to
+    hold is found by narrowing histograms.  Infinities and NaN (ordered last) are
+    counted apart."""
     g_col = F.lit(0) if group is None else col_(group)
     vals = df.select(g_col.alias("g"), col_(column).alias("v")).where(F.col("v").isNotNull())
     floating = isinstance(vals.schema["v"].dataType, (T.DoubleType, T.FloatType))
-    inf = float("inf")
-    low, high, odd = ((F.col("v") == F.lit(-inf), F.col("v") == F.lit(inf), F.isnan("v")) if floating else [F.lit(False)] * 3)
+    low, high, odd = ((F.col("v") == F.lit(-INF), F.col("v") == F.lit(INF), F.isnan("v")) if floating else [F.lit(False)] * 3)
     finite = F.when(~(low | high | odd), F.col("v"))
-    got = (vals.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min(finite).alias("lo"), F.max(finite).alias("hi"),
-                                 F.count_if(low).alias("n_low"), F.count_if(high).alias("n_high"), F.count_if(odd).alias("n_odd"))
-           .limit(MAX_GROUPS + 1).collect())
+    summary = vals.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min(finite).alias("lo"), F.max(finite).alias("hi"),
+                                    F.count_if(low).alias("n_low"), F.count_if(high).alias("n_high"), F.count_if(odd).alias("n_odd"),
+                                    F.kll_sketch_agg_double(finite.cast("double"), F.lit(sketch_k)).alias("sketch"))
+    # the sketches stay in the table; only counts come to the driver
+    summary = materialize(summary)
+    got = summary.drop("sketch").limit(MAX_GROUPS + 1).collect()
     if len(got) > MAX_GROUPS:
         raise ValueError(f"more than {MAX_GROUPS} groups")
     stats = {r["g"]: r for r in got}
@@ -68,7 +75,7 @@ def grouped_order_statistics(df: DataFrame, group, column, ks_by_group: dict | N
                 j = math.floor((r["n"] - 1) * q)
                 ks.update({j + 1, min(j + 2, r["n"])})
             ks_by_group[gv] = sorted(ks)
-    out, state = {}, {}
+    out, pending = {}, {}
     for gv, ks in ks_by_group.items():
         for k in map(int, ks):
             r = stats.get(gv)
@@ -76,15 +83,109 @@ def grouped_order_statistics(df: DataFrame, group, column, ks_by_group: dict | N
                 raise ValueError(f"k={k} outside 1..{r['n'] if r else 0} for group {gv!r}")
             inner = r["n"] - r["n_low"] - r["n_high"] - r["n_odd"]
             if k <= r["n_low"]:
-                out[(gv, k)] = -inf
-            elif k <= r["n_low"] + inner:
-                state[(gv, k)] = (k - r["n_low"], inner, r["lo"], r["hi"])
+                out[(gv, k)] = -INF
+            elif k > r["n_low"] + inner:
+                out[(gv, k)] = INF if k <= r["n"] - r["n_odd"] else float("nan")
+            elif r["lo"] == r["hi"]:
+                out[(gv, k)] = r["lo"]
             else:
-                out[(gv, k)] = inf if k <= r["n"] - r["n_odd"] else float("nan")
+                pending[(gv, k)] = k - r["n_low"]
+    counts = {gv: r["n"] for gv, r in stats.items()}
+    if not pending:
+        return out, counts
+    sizes = {gv: r["n"] - r["n_low"] - r["n_high"] - r["n_odd"] for gv, r in stats.items()}
+    inside = vals.where(finite.isNotNull())
+    small = {key: r for key, r in pending.items() if sizes[key[0]] <= finish_rows}
+    if small:
+        ends = {gv: [(stats[gv]["lo"], stats[gv]["hi"])] for gv, _ in small}
+        out |= _pick(inside, ends, small, whole=True)
+    large = {key: r for key, r in pending.items() if key not in small}
+    if large:
+        out |= _pick(inside, _sketch_ranges(summary, large, sizes, sketch_k), large, whole=False)
+    missed = {key: r for key, r in large.items() if key not in out}
+    if missed:
+        out |= _narrowed(inside, stats, sizes, missed, buckets, finish_rows)
+    return out, counts
+
+
+def _sketch_ranges(summary: DataFrame, ranks: dict, sizes: dict, sketch_k: int) -> dict:
+    """Per group, disjoint ascending ranges of values that hold the ranks with the sketch's confidence."""
+    eps = 2.0 * 2.296 / sketch_k ** 0.9021  # twice the sketch's 99 % rank error
+    pairs: dict = {}
+    for (gv, _), r in sorted(ranks.items(), key=lambda x: x[1]):
+        pairs.setdefault(gv, []).append((max(0.0, (r - 1) / sizes[gv] - eps), min(1.0, r / sizes[gv] + eps)))
+    at = None
+    for gv, ps in pairs.items():  # ranks must be literals
+        mine, q = F.col("g").eqNullSafe(F.lit(gv)), F.kll_sketch_get_quantile_double("sketch", F.array(*[F.lit(x) for p in ps for x in p]))
+        at = F.when(mine, q) if at is None else at.when(mine, q)
+    rows = summary.select("g", at.alias("q"), "lo", "hi").where(F.col("q").isNotNull()).collect()  # at most MAX_GROUPS rows
+    out = {}
+    for r in rows:
+        merged = []
+        for (a, b), x, y in zip(pairs[r["g"]], r["q"][0::2], r["q"][1::2]):
+            a, b = (float(r["lo"]) if a == 0.0 else x), (float(r["hi"]) if b == 1.0 else y)
+            if merged and a <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+            else:
+                merged.append((a, b))
+        out[r["g"]] = merged
+    return out
+
+
+def _pick(vals: DataFrame, ranges: dict, ranks: dict, whole: bool) -> dict:
+    """Values of the ``ranks`` (among each group's finite values) that lie inside the group's ``ranges``,
+    from one scan that counts the values between the ranges and groups those inside them.
+
+    ``whole``: the single range of each group holds all its values."""
+    v = F.col("v").cast("double")
+    part = None
+    numbers = {gv: i for i, gv in enumerate(ranges)}
+    for gv, rs in ranges.items():
+        at = F.lit(2 * len(rs))
+        for i, (a, b) in reversed(list(enumerate(rs))):
+            at = F.when(v < F.lit(float(a)), 2 * i).when(v <= F.lit(float(b)), 2 * i + 1).otherwise(at)
+        mine = F.col("g").eqNullSafe(F.lit(gv))
+        part = F.when(mine, F.struct(F.lit(numbers[gv]).alias("g"), at.alias("at"))) if part is None else \
+            part.when(mine, F.struct(F.lit(numbers[gv]).alias("g"), at.alias("at")))
+    rows = vals.select(part.alias("part"), "v").where(F.col("part").isNotNull()).select("part.g", "part.at", "v")
+    # distinct values with counts: few rows, whatever their ties
+    counts = rows.groupBy("g", "at", F.when(F.col("at") % 2 == 1, F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    before: dict = {}
+    if not whole:
+        counts = materialize(counts)
+        total = {(r["g"], r["at"]): r["n"] for r in counts.groupBy("g", "at").agg(F.sum("n").alias("n")).collect()}
+        for gv, i in numbers.items():
+            acc = 0
+            for at in range(2 * len(ranges[gv]) + 1):
+                before[(i, at)] = acc
+                acc += total.get((i, at), 0)
+    want: dict = {}
+    for (gv, k), r in ranks.items():
+        i = numbers[gv]
+        for j in range(len(ranges[gv])):
+            at = 2 * j + 1
+            start = before.get((i, at), 0)
+            if whole or start < r <= before[(i, at + 1)]:
+                want.setdefault((i, at, r - start), []).append((gv, k))
+    if not want:
+        return {}
+    upto = (counts.where(F.col("at") % 2 == 1)
+            .withColumn("upto", F.sum("n").over(Window.partitionBy("g", "at").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))))
+    hit = F.lit(False)
+    for i, at, rel in want:
+        hit = hit | ((F.col("g") == i) & (F.col("at") == at) & (F.col("upto") >= rel) & (F.col("upto") - F.col("n") < rel))
+    out = {}
+    for r in upto.where(hit).collect():
+        for (i, at, rel), keys in want.items():
+            if (i, at) == (r["g"], r["at"]) and r["upto"] - r["n"] < rel <= r["upto"]:
+                out |= {key: r["v"] for key in keys}
+    return out
 
-    def band(gv, a, b):
-        return (F.col("g").eqNullSafe(F.lit(gv))) & F.col("v").between(F.lit(a), F.lit(b))
 
+def _narrowed(vals: DataFrame, stats: dict, sizes: dict, ranks: dict, buckets: int, finish_rows: int) -> dict:
+    """Fallback for ranks that the sketch's ranges did not hold: histograms of ``buckets`` rows narrow
+    each rank's range, a scan per pass, until it holds few rows or one value."""
+    state = {key: (r, sizes[key[0]], stats[key[0]]["lo"], stats[key[0]]["hi"]) for key, r in ranks.items()}
     while True:
         open_ranges = sorted({(key[0], s[2], s[3]) for key, s in state.items() if s[2] != s[3] and s[1] > finish_rows},
                              key=lambda r: (str(r[0]), r[1]))
@@ -97,7 +198,8 @@ def grouped_order_statistics(df: DataFrame, group, column, ks_by_group: dict | N
             half = float(b) / 2 - float(a) / 2
             inner = F.least(F.floor((F.col("v").cast("double") / F.lit(2.0) - F.lit(float(a) / 2)) / F.lit(half) * F.lit(buckets)),
                             F.lit(buckets - 1)).cast("bigint") + F.lit(i * buckets)
-            bucket = F.when(band(gv, a, b), inner) if bucket is None else bucket.when(band(gv, a, b), inner)
+            band = (F.col("g").eqNullSafe(F.lit(gv))) & F.col("v").between(F.lit(a), F.lit(b))
+            bucket = F.when(band, inner) if bucket is None else bucket.when(band, inner)
         rows = (vals.select(bucket.alias("b"), "v").where(F.col("b").isNotNull()).groupBy("b")
                 .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
                 .orderBy("b").collect())
@@ -119,26 +221,11 @@ def grouped_order_statistics(df: DataFrame, group, column, ks_by_group: dict | N
                 acc += r["n"]
         if not moved:  # neighbouring doubles that share a bucket: nothing lies between them
             break
-    out |= {key: s[2] for key, s in state.items() if s[2] == s[3]}
-    pending = {key: s for key, s in state.items() if key not in out}
-    if pending:
-        ranges = sorted({(key[0], s[2], s[3]) for key, s in pending.items()}, key=lambda r: (str(r[0]), r[1]))
-        rid = None
-        for i, (gv, a, b) in enumerate(ranges):
-            rid = F.when(band(gv, a, b), F.lit(i)) if rid is None else rid.when(band(gv, a, b), F.lit(i))
-        want = {(ranges.index((key[0], s[2], s[3])), s[0]): key for key, s in pending.items()}
-        # distinct values with counts: a range of few rows, whatever its ties
-        counts = (vals.select(rid.alias("rid"), "v").where(F.col("rid").isNotNull()).groupBy("rid", "v")
-                  .agg(F.count(F.lit(1)).alias("n")))
-        upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("rid").orderBy("v")))
-        pick = F.lit(False)
-        for (i, rel) in want:
-            pick = pick | ((F.col("rid") == i) & (F.col("upto") >= rel) & (F.col("upto") - F.col("n") < rel))
-        for r in upto.where(pick).collect():
-            for (i, rel), key in want.items():
-                if i == r["rid"] and r["upto"] - r["n"] < rel <= r["upto"]:
-                    out[key] = r["v"]
-    return out, {gv: r["n"] for gv, r in stats.items()}
+    out = {key: s[2] for key, s in state.items() if s[2] == s[3]}
+    for key, (rel, _, a, b) in state.items():
+        if key not in out:
+            out |= _pick(vals.where(F.col("v").between(F.lit(a), F.lit(b))), {key[0]: [(a, b)]}, {key: rel}, whole=True)
+    return out
 
 
 def order_statistics(df: DataFrame, column, ks, **kw) -> dict:
@@ -180,19 +267,6 @@ def exact_quantile(df: DataFrame, column, q: float) -> float | None:
     return exact_quantiles(df, column, [q])[q]
 
 
-def quantile_filter(df: DataFrame, column, percentile: float, approx: bool = False) -> DataFrame:
-    """Keep rows with ``column <= quantile(column, percentile / 100)`` (ties kept).
-
-    ``approx=True`` uses ``percentile_approx`` (bounded sketch) in one pass.
-    """
-    c = col_(column)
-    if approx:
-        thr = df.select(F.percentile_approx(c, percentile / 100.0, 100000)).scalar()
-        return df.where(c <= thr)
-    thr = exact_quantile(df, c, percentile / 100.0)
-    return df.where(c <= F.lit(thr))
-
-
 def python_round(x: float) -> int:
     """Python's ``round`` (half to even), as used for the split size."""
     return round(x)

@@ -23,16 +23,24 @@ def merge_scores(template: DataFrame, files: DataFrame, key=SCORE_KEY, default:
     the files are dropped.  One union + one aggregate (``max_by`` is a
     partial-aggregatable function, so a hot key costs one row per map task).
     """
-    t = template.select(*key, F.lit(default).cast("double").alias("score"),
-                        F.lit(None).cast("bigint").alias("_ord"), F.lit(True).alias("_tpl"))
-    f = files.select(*key, F.col("score").cast("double").alias("score"),
-                     F.col("row_idx").cast("bigint").alias("_ord"), F.lit(False).alias("_tpl"))
-    u = t.unionByName(f)
-    g = u.groupBy(*key).agg(
-        F.bool_or("_tpl").alias("_in_template"),
-        F.max("_ord").alias("_last"),
-        F.max_by(F.struct("score"), F.col("_ord")).alias("_file"),
-        F.max(F.when(F.col("_tpl"), F.col("score"))).alias("_default"))
+    return merge_lines(score_lines(template, key, default).unionByName(score_lines(files, key)), key)
+
+
+def score_lines(rows: DataFrame, key=SCORE_KEY, default: float | None = None) -> DataFrame:
+    """Template rows (with ``default``) or score-file rows as lines of one table: ``key, score, line`` (no line: template)."""
+    if default is None:
+        return rows.select(*key, F.col("score").cast("double").alias("score"), F.coalesce(F.col("row_idx").cast("bigint"), F.lit(-2**63)).alias("line"))
+    return rows.select(*key, F.lit(default).cast("double").alias("score"), F.lit(None).cast("bigint").alias("line"))
+
+
+def merge_lines(lines: DataFrame, key=SCORE_KEY) -> DataFrame:
+    """C1 over one table of template and file lines: one aggregate."""
+    template = F.col("line").isNull()
+    g = lines.groupBy(*key).agg(
+        F.bool_or(template).alias("_in_template"),
+        F.max("line").alias("_last"),
+        F.max_by(F.struct("score"), F.col("line")).alias("_file"),
+        F.max(F.when(template, F.col("score"))).alias("_default"))
     return (g.where("_in_template")
              .select(*key, F.when(F.col("_last").isNotNull(), F.col("_file.score"))
                      .otherwise(F.col("_default")).alias("score")))

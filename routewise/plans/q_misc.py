@@ -85,8 +85,7 @@ SELECT term, sum(cnt)::BIGINT AS total, count(*)::BIGINT AS df FROM tf GROUP BY
 ORDER BY total DESC, term ASC LIMIT 500""")
 def r5(spark, sf_dir):
     """The k most frequent terms (ties by term): a bounded top-k."""
-    q = FT.with_query(FX.fx_queries(spark, sf_dir)).withColumn("_doc", F.col("id"))
-    v = MD.vocabulary(MD.term_counts(q, "_doc", "query"), 500)
+    v = MD.heavy_terms(FT.with_query(FX.fx_queries(spark, sf_dir)), "query", 500)
     return v.select("term", F.col("total").cast("bigint"), F.col("df").cast("bigint"))
 
 

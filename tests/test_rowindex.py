@@ -25,6 +25,37 @@ def test_order_statistics_with_narrowing(values):
     assert {k: got[k] for k in ks} == {k: srt[k - 1] for k in ks}
 
 
+@pytest.mark.parametrize("column", ["skewed", "odd", "even", "long"])
+def test_order_statistics_read_the_table_twice(spark, column):
+    """Whatever the values, two scans: one for the sketch, one around its ranges."""
+    rng = np.random.default_rng(3)
+    n = 20_000
+    v = {"skewed": np.where(rng.random(n) < 0.4, 3.0, rng.pareto(0.3, n)), "odd": np.where(rng.random(n) < 0.3, np.inf, -1 / rng.random(n)),
+         "even": rng.random(n), "long": rng.integers(-2**62, 2**62, n)}[column]
+    v = [x.item() for x in v] + ([float("nan"), float("-inf")] if column == "odd" else [])
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    df = spark.createDataFrame([(x,) for x in v], "v " + ("long" if column == "long" else "double")).repartition(4)
+    ks = [1, 2, 777, n // 2, n // 2 + 1, int(n * 0.8), n - 1, n]
+    got = RI.order_statistics(df.mapInPandas(seen, df.schema), "v", ks, finish_rows=100)
+    srt = sorted(v, key=lambda x: (x != x, x))
+    assert {k: got[k] for k in ks} == {k: srt[k - 1] for k in ks} and read.value == 2 * len(v)
+
+
+def test_order_statistics_beyond_the_sketch(spark, values, monkeypatch):
+    """Ranges that do not hold the ranks: narrowing finds them."""
+    pdf, df = values
+    monkeypatch.setattr(RI, "_sketch_ranges", lambda summary, ranks, sizes, k: {g: [(-5.0, -4.0)] for g, _ in ranks})
+    srt = np.sort(pdf["v"].to_numpy())
+    got = RI.order_statistics(df, "v", [3, 2500, 4990], buckets=8, finish_rows=50)
+    assert {k: got[k] for k in got} == {k: srt[k - 1] for k in (3, 2500, 4990)}
+
+
 @pytest.mark.parametrize("q", [0.0, 0.2, 0.33, 0.5, 0.8, 1.0])
 def test_exact_quantile_matches_pandas(values, q):
     pdf, df = values
@@ -48,7 +79,7 @@ def test_grouped_quantiles(values):
 def test_quantile_filter_keeps_ties(values):
     pdf, df = values
     thr = pdf["v"].quantile(0.8)
-    assert RI.quantile_filter(df, "v", 80).count() == int((pdf["v"] <= thr).sum())
+    assert df.where(F.col("v") <= RI.exact_quantile(df, "v", 0.8)).count() == int((pdf["v"] <= thr).sum())
 
 
 def test_ordered_split(values):
