@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
+from ..functions.numeric import category_weight
 from ..operators import features as FT
 from ..operators import labels as LB
 from ..operators import routing as RT
@@ -57,14 +58,18 @@ def test_split(spark: SparkSession, sf_dir: str, cfg: config.SplitConfig = confi
             filtered.where("NOT is_train").drop("is_kept", "is_train"))
 
 
-def calculated_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K11 with the category given: complexity of the test rows scaled by the train rows' ranges
-    (a zero range scales to 0, as in Step 6): ``id, query_complexity_score, calculated_complexity_score``."""
+def calculated_complexity(spark: SparkSession, sf_dir: str, predicted: DataFrame | None = None) -> DataFrame:
+    """Complexity of the test rows scaled by the train rows' ranges (a zero range scales to 0, as in
+    Step 6): ``id, query_complexity_score, calculated_complexity_score``.  The category of the test
+    rows is given, or ``predicted(id, predicted_category)``; its weight follows from it."""
     _, train, test = test_split(spark, sf_dir)
     feats = FT.with_category(FT.with_query_features(FT.with_query(FX.fx_queries(spark, sf_dir)), FX.KEYWORDS)).select(
         "id", "category", *FT.FEATURES)
     tr = materialize(feats.join(train.select("id"), "id"))
     te = feats.join(test.select("id", "query_complexity_score"), "id")
+    if predicted is not None:
+        te = te.join(predicted, "id").withColumn("category", F.col("predicted_category"))
+        te = te.withColumn("category_weight", category_weight("category"))
     return FT.with_complexity(te, stats_from=tr, name="calculated_complexity_score").select(
         "id", "query_complexity_score", "calculated_complexity_score")
 

@@ -71,27 +71,33 @@ def a5(spark, sf_dir):
     return BT.prompt_batches(q, key="doc_id")
 
 
-_REPLY = """concat('Here are the categories: ', string_agg(CASE WHEN doc_id % 50 = 7 THEN concat('{"id":"', id, '","category":}')
-                 ELSE concat('{"id":"', id, '","category":', category_no::VARCHAR, '}') END, ', ' ORDER BY doc_id), ' Thanks.')"""
-
-
-@register("A6_reply_parser", sql=Q.FIXTURE_SQL.rstrip() + f""",
-rep AS (SELECT doc_id // {config.PROMPT_BATCH_SIZE} AS batch_no, {_REPLY} AS reply FROM fx_queries GROUP BY 1),
-objs AS (SELECT batch_no, unnest(regexp_extract_all(reply, '\\{{[^{{}}]*\\}}')) AS obj FROM rep)
+_REPLY_OBJECT = r"""CASE WHEN doc_id % 50 = 7 THEN concat('{"id":"', id, '","category":}')
+  WHEN doc_id % 20 = 3 THEN concat('{"id":"', id, '","note":"braces } in { strings, \\"quoted\\" } and \\\\","category":', CAST(category_no AS VARCHAR(9)), '}')
+  WHEN doc_id % 20 = 9 THEN concat('{"id":"', id, '","why":{"words":{"n":1},"s":"}"},"category":', CAST(category_no AS VARCHAR(9)), '}')
+  ELSE concat('{"id":"', id, '","category":', CAST(category_no AS VARCHAR(9)), '}') END"""
+
+
+@register("A6_reply_parser", sql=Q.FIXTURE_SQL.rstrip() + rf""",
+rep AS (SELECT doc_id // {config.PROMPT_BATCH_SIZE} AS batch_no,
+               concat('Here are the categories: ', string_agg({_REPLY_OBJECT}, ', ' ORDER BY doc_id), ' Thanks.') AS reply FROM fx_queries GROUP BY 1),
+piece AS (SELECT batch_no, unnest(p) AS piece, generate_subscripts(p, 1) AS no
+          FROM (SELECT batch_no, regexp_extract_all(reply, '\\.|["{{}}]|[^"{{}}\\]+') AS p FROM rep) z),
+quoted AS (SELECT *, sum(CASE WHEN piece = '"' THEN 1 ELSE 0 END) OVER (PARTITION BY batch_no ORDER BY no) % 2 = 1 AS in_string FROM piece),
+deep AS (SELECT *, sum(CASE WHEN in_string THEN 0 WHEN piece = '{{' THEN 1 WHEN piece = '}}' THEN -1 ELSE 0 END) OVER (PARTITION BY batch_no ORDER BY no) AS depth FROM quoted),
+numbered AS (SELECT *, sum(CASE WHEN piece = '{{' AND NOT in_string AND depth = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY batch_no ORDER BY no) AS obj_no FROM deep),
+objs AS (SELECT batch_no, obj_no, string_agg(piece, '' ORDER BY no) AS obj FROM numbered
+         WHERE depth > 0 OR (piece = '}}' AND NOT in_string) GROUP BY batch_no, obj_no)
 SELECT batch_no, obj, id, category, coalesce(id IS NOT NULL AND category IS NOT NULL, false) AS is_valid FROM (
   SELECT batch_no, obj,
          CASE WHEN json_valid(obj) THEN nullif(regexp_extract(obj, '"id":"([^"]*)"', 1), '') END AS id,
          CASE WHEN json_valid(obj) THEN TRY_CAST(regexp_extract(obj, '"category":(-?[0-9]+)', 1) AS INTEGER) END AS category
   FROM objs) z""")
 def a6(spark, sf_dir):
-    """Replies built per request batch from the queries (every 50th object is
-    malformed), parsed back into rows; malformed objects stay as rejects."""
+    """Replies built per request batch from the queries, parsed back into rows.  Some objects hold
+    braces and quotes in strings, some nested objects; every 50th is malformed and stays as a reject."""
     q = FX.fx_queries(spark, sf_dir)
-    obj = F.when(F.col("doc_id") % 50 == 7, F.concat(F.lit('{"id":"'), "id", F.lit('","category":}'))) \
-           .otherwise(F.concat(F.lit('{"id":"'), "id", F.lit('","category":'), F.col("category_no").cast("string"),
-                               F.lit("}")))
     rep = (q.groupBy(F.floor(F.col("doc_id") / config.PROMPT_BATCH_SIZE).cast("bigint").alias("batch_no"))
-             .agg(F.array_sort(F.collect_list(F.struct("doc_id", obj.alias("o")))).alias("objs"))
+             .agg(F.array_sort(F.collect_list(F.struct("doc_id", F.expr(_REPLY_OBJECT.replace("\\", "\\\\")).alias("o")))).alias("objs"))
              .select("batch_no", F.concat(F.lit("Here are the categories: "),
                                          F.array_join(F.transform("objs", lambda x: x["o"]), ", "),
                                          F.lit(" Thanks.")).alias("reply")))

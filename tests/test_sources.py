@@ -1,5 +1,7 @@
 """Sources and sinks: JSONL round trip, report render/parse, reply parsing, batches, merge."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +120,43 @@ def test_checkpoint_folder_must_be_named_on_a_cluster(monkeypatch):
     sc = SimpleNamespace(getCheckpointDir=lambda: None, getConf=Conf, master="spark://host:7077")
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=Conf()))
+
+
+def _objects(text):
+    """Outermost objects, character by character."""
+    out, depth, quoted, start, i = [], 0, False, 0, 0
+    while i < len(text):
+        c = text[i]
+        if c == "\\":
+            i += 2
+            continue
+        if quoted:
+            quoted = c != '"'
+        elif c == '"':
+            quoted = depth > 0
+        elif c == "{":
+            start = start if depth else i
+            depth += 1
+        elif c == "}" and depth:
+            depth -= 1
+            if not depth:
+                out.append(text[start:i + 1])
+        i += 1
+    return out, text[start + 1:] if depth else ""
+
+
+def test_reply_objects(spark):
+    """Nested objects, braces and escaped quotes in strings, prose quotes, stray braces, empty texts."""
+    import random
+
+    from routewise.sources import batches as BT
+    rng = random.Random(0)
+    texts = ['5" tall {"id":"a","category":1} and {"x":{"y":"}"},"z":"\\"}"}', "{ never closed {\"id\":\"b\",\"category\":2} \" {}", "", None, "}{}}{", "\\", '{"a":"\\\\"} {"b":1}',
+             "{" * 50 + "}" * 50, '{"long":"' + "x{" * 20000 + '"}']
+    texts += ["".join(rng.choices(['{', '}', '"', "\\", "a", " ", '\\"', "é"], k=rng.randint(1, 30))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string")
+    got = {r["n"]: r["o"] for r in df.select("n", BT.objects_in("t").alias("o")).collect()}
+    flat = re.compile(r'\{(?:[^{}"]|"(?:[^"\\]|\\.)*")*\}', re.S)
+    for i, t in enumerate(texts):
+        whole, rest = _objects(t or "")
+        assert got[i] == whole + flat.findall(rest), t
