@@ -56,7 +56,12 @@ def pairwise_win_rates(cmp: DataFrame, col: str = "cmp_results") -> DataFrame:
     """Decode the JSON map and aggregate outcome rates per model pair (rows without comparisons count nowhere)."""
     kv = cmp.select(F.explode(F.from_json(F.col(col), "map<string,string>")).alias("pair", "outcome"))
     parts = F.split("pair", ",")
-    return (kv.groupBy(parts.getItem(0).alias("model_a"), parts.getItem(1).alias("model_b"))
-              .agg(F.count(F.lit(1)).cast("bigint").alias("n"),
-                   *[F.avg((F.col("outcome") == o).cast("double")).alias(name)
-                     for o, name in zip(OUTCOMES, ("a_win_rate", "b_win_rate", "same_good_rate", "same_bad_rate"))]))
+    return win_rates(kv.select(parts.getItem(0).alias("model_a"), parts.getItem(1).alias("model_b"), "outcome"))
+
+
+def win_rates(compared: DataFrame) -> DataFrame:
+    """Outcome rates per model pair of ``compared(model_a, model_b, outcome)``."""
+    return (compared.groupBy("model_a", "model_b")
+            .agg(F.count(F.lit(1)).cast("bigint").alias("n"),
+                 *[F.avg((F.col("outcome") == o).cast("double")).alias(name)
+                   for o, name in zip(OUTCOMES, ("a_win_rate", "b_win_rate", "same_good_rate", "same_bad_rate"))]))

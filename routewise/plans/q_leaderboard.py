@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..operators import leaderboard as LBD
+from ..session import scratch_path
 from ..sources import fixtures as FX
+from ..sources import rawrows as RR
 from ..sources.jsonl import CANDIDATE_SCHEMA
 from . import sqlfrag as Q
 from .catalog import register
@@ -80,3 +82,50 @@ def g4(spark, sf_dir):
     r = LBD.pairwise_win_rates(cmp)
     return r.select("model_a", "model_b", "n", *[_r6(c) for c in ("a_win_rate", "b_win_rate", "same_good_rate",
                                                                    "same_bad_rate")])
+
+
+def _raw_rows(spark, sf_dir):
+    """Raw source lines written to the shared folder: absent scores have no key, every thirteenth row has no
+    comparisons."""
+    cand = FX.fx_candidates(spark, sf_dir).withColumn("candidates", F.transform(
+        "candidates", lambda c: c.withField("scores", F.map_filter(c["scores"], lambda k, v: v.isNotNull()))))
+    cmp = LBD.encode_comparisons(label_inputs_wide(spark, sf_dir), list(config.MODELS))
+    number = F.substring_index("id", "/", -1).cast("bigint")
+    cmp = cmp.withColumn("cmp_results", F.when(number % 13 != 0, F.col("cmp_results")))
+    path = scratch_path(spark, "raw-lines")
+    RR.write_lines(cand.join(cmp, "id"), path)
+    return RR.read_lines(spark, path)
+
+
+@register("G1_raw_lines", sql=Q.FIXTURE_SQL.rstrip() + """
+SELECT split, model, metric, count(score)::BIGINT AS n, round(avg(score), 6) AS mean_score
+FROM (SELECT *, CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'val' ELSE 'test' END AS split FROM fx_scores) s
+WHERE score IS NOT NULL GROUP BY split, model, metric""")
+def g1_raw(spark, sf_dir):
+    """Metric means per split from raw JSON lines, whatever keys their score objects hold."""
+    s = RR.candidate_scores(_raw_rows(spark, sf_dir))
+    return s.groupBy("split", "model", "metric").agg(F.count("score").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
+
+
+@register("G4_raw_lines", sql=Q.FIXTURE_SQL.rstrip() + Q.label_wide_cte() + """,
+kv AS (""" + "\nUNION ALL ".join(f"SELECT '{a}' AS model_a, '{b}' AS model_b, {_outcome_sql(a, b)} AS outcome FROM lw JOIN fx_queries USING (id) WHERE doc_id % 13 <> 0"
+                                  for a, b in _PAIRS) + """)
+SELECT model_a, model_b, count(*)::BIGINT AS n,
+       round(avg(CASE WHEN outcome = 'A is better' THEN 1e0 ELSE 0e0 END), 6) AS a_win_rate,
+       round(avg(CASE WHEN outcome = 'B is better' THEN 1e0 ELSE 0e0 END), 6) AS b_win_rate
+FROM kv GROUP BY model_a, model_b""")
+def g4_raw(spark, sf_dir):
+    """Pairwise win rates from raw JSON lines, with and without comparisons."""
+    r = LBD.win_rates(RR.comparisons(_raw_rows(spark, sf_dir)))
+    return r.select("model_a", "model_b", "n", _r6("a_win_rate"), _r6("b_win_rate"))
+
+
+@register("S18_raw_lines", sql=Q.FIXTURE_SQL.rstrip() + """
+SELECT id, model, round(sum(CASE WHEN metric = 'bart' THEN coalesce(score, 0e0) ELSE 0e0 END), 6) AS bart,
+       round(sum(CASE WHEN metric = 'bleu' THEN coalesce(score, -1e0) ELSE 0e0 END), 6) AS bleu
+FROM fx_scores GROUP BY id, model""")
+def s18_raw(spark, sf_dir):
+    """Scores by key with a default where a candidate's score object lacks it, summed per model."""
+    c = RR.candidates(_raw_rows(spark, sf_dir), ("id",))
+    return c.groupBy("id", "model").agg(F.round(F.sum(RR.score_or_default("scores", "bart")), 6).alias("bart"),
+                                        F.round(F.sum(RR.score_or_default("scores", "bleu", -1.0)), 6).alias("bleu"))
