@@ -78,18 +78,8 @@ def _classes() -> np.ndarray:
 
 def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Code points of UTF-8 bytes and the byte position of each."""
-    at = np.flatnonzero((data & 0xC0) != 0x80)
-    cp = data[at].astype(np.uint32)
-    padded = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.uint32)
-    for low, high, mask, more in ((0xC0, 0xE0, 0x1F, 1), (0xE0, 0xF0, 0x0F, 2), (0xF0, 0x100, 0x07, 3)):
-        hit = np.flatnonzero((cp >= low) & (cp < high)) if more == 1 else np.flatnonzero((data[at] >= low) & (data[at] < high))
-        if len(hit):
-            pos = at[hit]
-            v = data[pos].astype(np.uint32) & mask
-            for k in range(1, more + 1):
-                v = (v << 6) | (padded[pos + k] & 0x3F)
-            cp[hit] = v
-    return cp, at
+    cp = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+    return cp, np.flatnonzero((data & 0xC0) != 0x80)
 
 
 def word_starts(cp: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -147,7 +147,7 @@ class ShardIndex:
         useful = (df[term] > 1) & corpus.useful[term]
         doc, term, gain = doc[useful], term[useful], gain[useful]
         self.n = n
-        self.scored: tuple = (-1, None)  # the last seed and its scores
+        self.scored: tuple = (-1, None)  # the last seed and the rest of its neighbours, best first
         self.by_doc = np.searchsorted(doc, np.arange(n + 1))
         self.doc_term, self.doc_gain = term, gain
         order = np.argsort(term, kind="stable")
@@ -164,11 +164,15 @@ class ShardIndex:
     def neighbours(self, seed: int, unused: np.ndarray) -> list[int]:
         """The next unused documents with the highest BM25 score for the seed's terms, best first."""
         if self.scored[0] != seed:
-            self.scored = (seed, self.scores(seed))
-        score = self.scored[1] * unused
-        best = np.argpartition(-score, min(NEIGHBOURS, self.n - 1))[:NEIGHBOURS]
-        best = best[score[best] > 0]
-        return best[np.lexsort((best, -score[best]))].tolist()
+            score = self.scores(seed)
+            score[~unused] = 0
+            found = np.flatnonzero(score)
+            # all of them in order, once per seed; asked again, the walk goes on
+            self.scored = (seed, found[np.argsort(-score[found], kind="stable")])
+        best = self.scored[1]
+        free = np.flatnonzero(unused[best])[:NEIGHBOURS]
+        self.scored = (seed, best[free[-1] + 1:] if len(free) else best[:0])
+        return best[free].tolist()
 
 
 def plan(docs: list, window: int = WINDOW, corpus: Corpus | None = None) -> list[list[tuple[int, int, int]]]:
@@ -230,15 +234,30 @@ def pack(docs: DataFrame, vocabulary_path: str, window: int = WINDOW, separator:
     v = spark.sparkContext.broadcast(vocabulary)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("deal"), F.col(text).alias("text"))
 
+    vocabulary_size = vocabulary["size"]
+    names = ["doc_id", "deal", "ids", "term", "n"]
+
     def encode(batches):
+        """Ids of every document; a last row lists the task's documents per term, its documents (-1) and tokens (-2)."""
+        df, n, tokens = np.zeros(max(vocabulary_size, separator + 1), np.int64), 0, 0
         for b in batches:
             out = []
             for _, _, data, offs in string_chunks(b.column(2)):
                 ids, size = bpe.encode_buffer(v.value, data, offs)
                 at = np.concatenate([[0], np.cumsum(size)]).tolist()
-                raw, w = ids.astype(narrow).tobytes(), int(narrow[2])
-                out += [raw[w * x: w * y] for x, y in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["doc_id", "deal", "ids"])
+                ids, w = ids.astype(narrow), int(narrow[2])
+                raw = ids.tobytes()
+                for x, y in zip(at[:-1], at[1:]):
+                    out.append(raw[w * x: w * y])
+                    df[np.unique(ids[x:y])] += 1
+                    # the separator is a term of every document
+                    df[separator] += not (ids[x:y] == separator).any()
+                n, tokens = n + len(size), tokens + len(ids) + len(size)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary()), pa.nulls(len(out), pa.list_(pa.int64())),
+                                              pa.nulls(len(out), pa.list_(pa.int64()))], names=names)
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
+                                          pa.array([[*at.tolist(), -1, -2]]), pa.array([[*df[at].tolist(), n, tokens]])], names=names)
 
     def fill(batches):
         shard, count, held, tokens, corpus = None, 0, [], 0, Corpus(*counted.value)
@@ -275,28 +294,15 @@ def pack(docs: DataFrame, vocabulary_path: str, window: int = WINDOW, separator:
         for ids in column:
             yield np.append(np.frombuffer(ids.as_py(), narrow).astype(np.uint32), np.uint32(separator))
 
-    def terms(batches):
-        df, n, tokens = np.zeros(max(vocabulary_size, separator + 1), np.int64), 0, 0
-        for b in batches:
-            for ids in arrays_of(b.column(2)):
-                df[np.unique(ids)] += 1
-                n, tokens = n + 1, tokens + len(ids)
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(df[at], [n, tokens]))], names=["term", "n"])
-
-    def members(batches):
-        corpus, of = Corpus(*counted.value), np.zeros(len(counted.value[1]), np.int64)
+    def strongest(batches):
+        corpus = Corpus(*counted.value)
         for b in batches:
-            for ids in arrays_of(b.column(2)):
-                top = corpus.strongest(ids)
-                of[top[top >= 0]] += 1
-        at = np.flatnonzero(of)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(of[at])], names=["term", "n"])
+            out = [[t for t in corpus.strongest(ids).tolist() if t >= 0] for ids in arrays_of(b.column(2))]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], names=["terms"])
 
     def picks(batches):
-        corpus = Corpus(*counted.value)
         for b in batches:
-            top = np.array([keys(corpus.strongest(ids), common.value) for ids in arrays_of(b.column(2))], np.int64).reshape(-1, 2)
+            top = np.array([keys(np.array(t, np.int64), common.value) for t in b.column(0).to_pylist()], np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(top[:, 0]), pa.array(top[:, 1])], names=["a", "b"])
 
     def hand_out(batches):
@@ -307,8 +313,8 @@ def pack(docs: DataFrame, vocabulary_path: str, window: int = WINDOW, separator:
             yield pa.RecordBatch.from_arrays([pa.array(to[:, 0]), pa.array(to[:, 1]), b.column(0), b.column(2), b.column(1)],
                                              names=["shard", "key", "doc_id", "ids", "deal"])
 
-    ids = write_shared(src.mapInArrow(encode, "doc_id long, deal long, ids binary"), "packing-ids")
-    vocabulary_size = vocabulary["size"]
+    written = write_shared(src.mapInArrow(encode, "doc_id long, deal long, ids binary, term array<long>, n array<long>"), "packing-ids")
+    ids = written.where("term is null").select("doc_id", "deal", "ids")
 
     def per_term(rows):  # at most one row per vocabulary id
         return {r["term"]: r["n"] for r in rows.groupBy("term").agg(F.sum("n").alias("n")).collect()}
@@ -318,11 +324,12 @@ def pack(docs: DataFrame, vocabulary_path: str, window: int = WINDOW, separator:
         out[list(count)] = list(count.values())
         return out
 
-    count = per_term(ids.mapInArrow(terms, "term long, n long"))
+    count = per_term(written.where("term is not null").select(F.inline(F.arrays_zip("term", "n"))))
     n, tokens = count.pop(-1, 0), count.pop(-2, 0)
     counted = spark.sparkContext.broadcast((n, dense(count), max(tokens / max(n, 1), 1)))
-    common = spark.sparkContext.broadcast(dense(per_term(ids.mapInArrow(members, "term long, n long"))))
-    picked = write_shared(ids.mapInArrow(picks, "a long, b long").where("a >= 0").groupBy("a", "b").count(), "packing-picks")
+    top = write_shared(ids.mapInArrow(strongest, "terms array<long>"), "packing-terms")
+    common = spark.sparkContext.broadcast(dense(per_term(top.select(F.explode("terms").alias("term"), F.lit(1).cast("long").alias("n")))))
+    picked = write_shared(top.mapInArrow(picks, "a long, b long").where("a >= 0").groupBy("a", "b").count(), "packing-picks")
     first = dense(per_term(picked.select(F.col("a").alias("term"), F.col("count").alias("n"))))
     # at most one row per vocabulary id, and one per SHARD_DOCS documents
     links = [(r["a"], -r["top"]["b"], r["top"]["count"]) for r in picked.where("b >= 0").groupBy("a").agg(
