@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from .. import config
 from ..functions.numeric import category_name
 from ..operators import labels as LB
+from ..operators import routing as RT
 from ..operators import rowindex as RI
 from ..session import materialize, scratch_path
 from ..sources import batches as BT
@@ -17,7 +18,7 @@ from ..sources import reports as RP
 from ..sources import templates as TP
 from . import sqlfrag as Q
 from .catalog import register
-from .flagship import router_base, routing_sweep
+from .flagship import router_base, routing_sweep, split_marks, sweep
 from .q_routing import _BASE, _SWEEP
 
 
@@ -120,12 +121,61 @@ body AS (SELECT t_threshold, (round(prob_threshold * 10)::INTEGER * 100 + k + 10
      printf('Number of queries routed to XL: %d', n_xl)]) AS line FROM card) z)
 SELECT t_threshold, 0 AS line_no, printf('--- Evaluating Model for t-threshold: %s ---', t_threshold) AS line
 FROM (SELECT DISTINCT t_threshold FROM card) h
-UNION ALL SELECT t_threshold, line_no, line FROM body"""
+UNION ALL SELECT t_threshold, line_no, line FROM body
+UNION ALL SELECT t_threshold, unnest([1, 2, 3]), unnest(['Filtered out the top 20% most complex queries.',
+    printf('Final split: %d queries for training, %d queries for testing.', (SELECT count(*) FROM train), (SELECT count(*) FROM test)),
+    printf('Average Maximum Probability per Query: %.4f', round(avg(greatest(proba_base, proba_large, proba_xl)) + 1e-9, 4))]) FROM pj GROUP BY t_threshold"""
 
 
 @register("A8_sweep_report", sql=_A8_SQL)
 def a8(spark, sf_dir):
-    return RP.render_sweep_report(routing_sweep(spark, sf_dir))
+    """The sweep report with its head: filter, split sizes and the average largest probability per threshold."""
+    marked = materialize(split_marks(spark, sf_dir))
+    test = marked.where("is_kept AND NOT is_train").drop("is_kept", "is_train")
+    proba = FX.fx_proba(spark, sf_dir).select("id", "t_threshold", *RT.PROBA_COLS)
+    avg_max = RT.avg_max_probability(test.select("id").join(proba, "id"), keys=("t_threshold",))
+    return (RP.render_sweep_report(sweep(test, proba))
+            .unionByName(RP.render_sweep_head(avg_max, RP.split_sizes(marked))))
+
+
+@register("A8_testing_report", sql=_SWEEP + f""",
+top AS (SELECT t_threshold, evaluation_model_label AS y, {Q.ARGMAX} AS p FROM pj),
+cls AS (SELECT t.t_threshold, c AS cls, count(*) FILTER (WHERE y = c) AS support, count(*) FILTER (WHERE p = c) AS predicted,
+          count(*) FILTER (WHERE y = c AND p = c) AS tp
+        FROM top t JOIN (SELECT t_threshold, y AS c FROM top UNION SELECT t_threshold, p FROM top) u USING (t_threshold) GROUP BY t.t_threshold, c),
+pr AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted::DOUBLE ELSE 0e0 END AS pc,
+              CASE WHEN support > 0 THEN tp / support::DOUBLE ELSE 0e0 END AS rc FROM cls),
+f AS (SELECT *, CASE WHEN pc + rc > 0 THEN 2e0 * pc * rc / (pc + rc) ELSE 0e0 END AS f1 FROM pr),
+acc AS (SELECT t_threshold, avg(CASE WHEN y = p THEN 1e0 ELSE 0e0 END) AS a, count(*) AS n FROM top GROUP BY t_threshold)
+SELECT t_threshold, unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS line_no, unnest([printf('--- Testing Model for t-threshold: %s ---', t_threshold),
+    'Filtered out the top 20% most complex queries.',
+    printf('Total queries removed: %d. Remaining for training/testing: %d.', (SELECT count(*) FROM base) - (SELECT count(*) FROM filt), (SELECT count(*) FROM filt)),
+    printf('Final split: %d queries for training, %d queries for testing.', (SELECT count(*) FROM train), (SELECT count(*) FROM test)),
+    printf('Loaded %d queries for testing.', (SELECT count(*) FROM test)), 'EVALUATION MODEL EVALUATION',
+    printf('Model Label Prediction Accuracy: %.2f%%', round(a * 100 + 1e-9, 2)), 'Classification Report:']) AS line FROM acc
+UNION ALL SELECT t_threshold, 7 + row_number() OVER (PARTITION BY t_threshold ORDER BY cls),
+    printf('%d %.2f %.2f %.2f %d', cls, round(pc + 1e-9, 2), round(rc + 1e-9, 2), round(f1 + 1e-9, 2), support) FROM f
+UNION ALL SELECT t_threshold, 8 + (SELECT count(*) FROM f g WHERE g.t_threshold = acc.t_threshold), printf('accuracy %.2f %d', round(a + 1e-9, 2), n) FROM acc
+UNION ALL SELECT t_threshold, 9 + count(*), printf('macro avg %.2f %.2f %.2f %d', round(avg(pc) + 1e-9, 2), round(avg(rc) + 1e-9, 2), round(avg(f1) + 1e-9, 2), sum(support)::BIGINT)
+  FROM f GROUP BY t_threshold
+UNION ALL SELECT t_threshold, 10 + count(*), printf('weighted avg %.2f %.2f %.2f %d', round(sum(pc * support) / sum(support) + 1e-9, 2),
+    round(sum(rc * support) / sum(support) + 1e-9, 2), round(sum(f1 * support) / sum(support) + 1e-9, 2), sum(support)::BIGINT) FROM f GROUP BY t_threshold""")
+def a8_testing(spark, sf_dir):
+    """The testing report per discrepancy threshold: sizes, label accuracy and the class report of the arg-max labels."""
+    marked = materialize(split_marks(spark, sf_dir))
+    test = marked.where("is_kept AND NOT is_train").drop("is_kept", "is_train")
+    proba = FX.fx_proba(spark, sf_dir).select("id", "t_threshold", *RT.PROBA_COLS)
+    joined = RT.join_predictions(LB.with_label_sweep(test), proba, ["id", "t_threshold"])
+    top = joined.select("t_threshold", "evaluation_model_label", RT.argmax_label(*RT.PROBA_COLS).alias("routed_to"))
+    return RP.render_testing_report(RT.classification_report(top, ("t_threshold",)), RP.split_sizes(marked))
+
+
+@register("A8_case_ids", sql=_BASE + ",\n" + Q.grid_values("dtg", "t_threshold, dt", Q.DT_ROWS) + f"""
+SELECT t_threshold, {Q.label_case('dt')} AS label_case, id FROM base CROSS JOIN dtg""")
+def a8_case_ids(spark, sf_dir):
+    """The query ids of every labelling case: the table that goes with the case report (its lists are not
+    gathered into lines, since a case may hold a third of all queries)."""
+    return LB.with_label_sweep(router_base(spark, sf_dir)).select("t_threshold", "label_case", "id")
 
 
 @register("A7_report_parser", sql=_SWEEP + f""",

@@ -10,6 +10,8 @@ comes out of a single aggregate.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,60 @@ HEADER = "--- Evaluating Model for t-threshold: {} ---"
 PROB_HEADER = "Evaluating Probability Threshold: {}"
 
 
+FILTERED = "Filtered out the top {}% most complex queries."
+REMOVED = "Total queries removed: {}. Remaining for training/testing: {}."
+SPLIT = "Final split: {} queries for training, {} queries for testing."
+AVG_MAX = "Average Maximum Probability per Query: {}"
+TEST_HEADER = "--- Testing Model for t-threshold: {} ---"
+LOADED = "Loaded {} queries for testing."
+TEST_TITLE = "EVALUATION MODEL EVALUATION"
+LABEL_ACCURACY = "Model Label Prediction Accuracy: {}%"
+CLASS_TITLE = "Classification Report:"
+
+
+@dataclass(frozen=True)
+class SplitSizes:
+    """Rows removed by the complexity filter, and train and test rows of the rest."""
+
+    n_removed: int
+    n_train: int
+    n_test: int
+    percent_removed: int = 20
+
+
+def split_sizes(marked: DataFrame, percent_removed: int = 20) -> SplitSizes:
+    """Sizes of a table with ``is_kept`` and ``is_train`` (one aggregate)."""
+    r = marked.agg(F.count_if(~F.col("is_kept")).alias("a"), F.count_if(F.col("is_train")).alias("b"),
+                   F.count_if(F.col("is_kept") & ~F.col("is_train")).alias("c")).first()
+    return SplitSizes(r["a"], r["b"], r["c"], percent_removed)
+
+
+def render_sweep_head(avg_max: DataFrame, sizes: SplitSizes) -> DataFrame:
+    """What the sweep report says before its cells, per row of ``avg_max(t_threshold, avg_max_proba)``."""
+    lines = F.array(F.lit(FILTERED.format(sizes.percent_removed)), F.lit(SPLIT.format(sizes.n_train, sizes.n_test)),
+                    # ties of the last place are rounded up whatever the double below them
+                    F.format_string(AVG_MAX.replace("{}", "%.4f"), F.round(F.col("avg_max_proba") + 1e-9, 4)))
+    return avg_max.select("t_threshold", F.posexplode(lines).alias("k", "line")).select("t_threshold", (F.col("k") + 1).alias("line_no"), "line")
+
+
+def render_testing_report(classes: DataFrame, sizes: SplitSizes) -> DataFrame:
+    """``(t_threshold, line_no, line)`` of the testing report from ``classes(t_threshold, class,
+    precision, recall, f1, support)`` with its summary rows (E4): sizes, label accuracy, then one line per class."""
+    two = lambda c: F.round(F.col(c) + 1e-9, 2)
+    acc = classes.where(F.col("class") == "accuracy").select("t_threshold", "f1")
+    head = F.array(F.format_string(TEST_HEADER.replace("{}", "%s"), "t_threshold"), F.lit(FILTERED.format(sizes.percent_removed)),
+                   F.lit(REMOVED.format(sizes.n_removed, sizes.n_train + sizes.n_test)), F.lit(SPLIT.format(sizes.n_train, sizes.n_test)),
+                   F.lit(LOADED.format(sizes.n_test)), F.lit(TEST_TITLE),
+                   F.format_string(LABEL_ACCURACY.replace("%", "%%").replace("{}", "%.2f"), F.round(F.col("f1") * 100 + 1e-9, 2)), F.lit(CLASS_TITLE))
+    top = acc.select("t_threshold", F.posexplode(head).alias("line_no", "line"))
+    order = F.when(F.col("class") == "accuracy", 1).when(F.col("class") == "macro avg", 2).when(F.col("class") == "weighted avg", 3).otherwise(0)
+    text = F.when(F.col("class") == "accuracy", F.format_string("%s %.2f %d", "class", two("f1"), "support")).otherwise(
+        F.format_string("%s %.2f %.2f %.2f %d", "class", two("precision"), two("recall"), two("f1"), "support"))
+    place = Window.partitionBy("t_threshold").orderBy(order, "class")  # a line per class
+    body = classes.select("t_threshold", (F.row_number().over(place) + 7).alias("line_no"), text.alias("line"))
+    return top.unionByName(body)
+
+
 def render_sweep_report(card: DataFrame) -> DataFrame:
     """Sweep rows -> ``(t_threshold, line_no, line)``; numbers with 2 decimals."""
     lines = [F.format_string(PROB_HEADER.replace("{}", "%.1f"), F.col("prob_threshold"))]
