@@ -14,13 +14,14 @@ the materialized table).  Nothing sorts a whole column in one task:
 * ``among_first`` turns "the first k rows" into a row predicate: the k-th key,
   then, only among rows of that key, the k'-th place.  Splits, heads and row
   ranges are filters by it: exact sizes, no ranking, one path for every size.
-* ``with_row_number`` range-partitions by the key, counts each partition and adds
-  the offsets to the ranks within partitions.
+* ``with_row_number`` deals rows to ranges of the key (hot keys cut by a hash), counts
+  each range and adds the offsets to the ranks within ranges.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -335,20 +336,71 @@ def first_rows(df: DataFrame, key: str, n: int) -> DataFrame:
     return row_range(df, key, 0, n)
 
 
-def with_row_number(df: DataFrame, key: str = "row_idx", name: str = "row_no", rows_per_partition: int = 1_000_000) -> DataFrame:
-    """1-based position of each row in ``key`` order (NULLs first).
-
-    The rows are range-partitioned by ``key`` (about ``rows_per_partition`` each, at
-    least one partition per core) and written; partition counts become offsets
-    (one driver row per partition), ranks run within partitions."""
-    spark = df.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, math.ceil(df.count() / rows_per_partition))
-    ranged = materialize(df.repartitionByRange(parts, F.col(key).asc_nulls_first()).withColumn("__part", F.spark_partition_id()))
-    counts = {r["__part"]: r["count"] for r in ranged.groupBy("__part").count().collect()}
+def _below(v: Column, bounds: list, lo: int, hi: int) -> Column:
+    """How many of the ascending ``bounds`` are at most ``v``, by halving."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(v < F.lit(bounds[mid]), _below(v, bounds, lo, mid)).otherwise(_below(v, bounds, mid + 1, hi))
+
+
+def range_parts(df: DataFrame, key: str, rows_per_partition: int, least: int) -> tuple[Column, int]:
+    """A column that numbers ranges of ``key`` (NULLs first, ascending) of about ``rows_per_partition`` rows
+    each, and their number; it needs a column ``__tie``.
+
+    The bounds come from one scan of the key (a mergeable quantile sketch), so every plan can
+    compute a row's range from the row alone.  A value that fills several ranges is cut by the
+    hash ``__tie``, and so are NULLs: a hot key is no single range."""
+    v = F.col(key).cast("double")
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(v.isNull()).alias("nulls"), F.count_if(F.isnan(v)).alias("odd")).first()
+    parts = max(least, math.ceil(row["n"] / rows_per_partition), 1)
+    known = row["n"] - row["nulls"] - row["odd"]
+    bounds: list = []
+    if known:
+        sketch = df.where(v.isNotNull() & ~F.isnan(v)).agg(F.kll_sketch_agg_double(v, F.lit(SKETCH_K)).alias("s"))
+        cuts = F.array(*[F.lit(i / parts) for i in range(1, parts)]) if parts > 1 else None
+        bounds = sketch.select(F.kll_sketch_get_quantile_double("s", cuts).alias("q")).first()["q"] if cuts is not None else []
+    share = F.shiftrightunsigned(F.col("__tie"), 33)  # 31 bits
+
+    def cut(first: int, pieces: int) -> Column:
+        return F.lit(first) + F.shiftright(share * F.lit(pieces).cast("long"), 31).cast("int")
+
+    pieces_of_null = max(1, math.ceil(row["nulls"] / max(row["n"], 1) * parts))
+    out = F.when(v.isNull(), cut(0, pieces_of_null))
+    distinct = sorted(set(bounds))
+    start, hot, now = [pieces_of_null], [], pieces_of_null
+    for b in distinct:
+        times = bounds.count(b)
+        if times > 1:
+            hot.append((b, now + 1, times))
+            now += times
+        now += 1
+        start.append(now)
+    for b, first, times in hot:
+        out = out.when(v == F.lit(b), cut(first, times))
+    # NaN is larger than all bounds
+    place = _below(v, distinct, 0, len(distinct))
+    return out.otherwise(F.element_at(F.lit(start).cast("array<int>"), place + 1)), now + 1
+
+
+def with_row_number(df: DataFrame, key: str = "row_idx", name: str = "row_no", rows_per_partition: int = 1_000_000, tie: Sequence[str] | None = None,
+                    keep_range: bool = False) -> DataFrame:
+    """1-based position of each row in the order of the numeric ``key`` (NULLs first; rows of equal
+    key by a hash of the ``tie`` columns, by default of all).
+
+    Rows go to ranges of about ``rows_per_partition`` rows (at least one per core), where a window ranks
+    them; the ranges' sizes, counted from key and tie alone, become offsets (one driver row per range).
+    So whole rows cross one exchange and are written nowhere.  ``keep_range``: keep the range in ``__part``."""
+    least = df.sparkSession.sparkContext.defaultParallelism
+    tied = df.withColumn("__tie", F.xxhash64(*(tie or df.columns)))
+    part, n = range_parts(tied.select(key, "__tie"), key, rows_per_partition, least)
+    marked = tied.withColumn("__part", part)
+    counts = {r["__part"]: r["count"] for r in marked.select("__part").groupBy("__part").count().collect()}
     offsets, acc = [], 0
-    for p in range(parts):
+    for p in range(n):
         offsets.append(acc)
         acc += counts.get(p, 0)
     before = F.element_at(F.lit(offsets).cast("array<bigint>"), F.col("__part") + 1)
-    rank = F.row_number().over(Window.partitionBy("__part").orderBy(F.col(key).asc_nulls_first()))
-    return ranged.withColumn(name, before + rank).drop("__part")
+    order = Window.partitionBy("__part").orderBy(F.col(key).asc_nulls_first(), F.shiftrightunsigned("__tie", 33), "__tie")
+    out = marked.withColumn(name, before + F.row_number().over(order)).drop("__tie")
+    return out if keep_range else out.drop("__part")

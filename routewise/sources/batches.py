@@ -2,7 +2,9 @@
 
 A5 groups consecutive rows (by position in ``row_idx`` order) into requests
 of ``PROMPT_BATCH_SIZE`` rows; each group is bounded by the batch size, so
-``collect_list`` never gathers more than that many lines.  A6 turns free
+``collect_list`` never gathers more than that many lines.  Whole rows cross one
+exchange, by ranges of the key; only the batches that cross a range's edge are
+gathered once more.  A6 turns free
 reply text into ``(id, category)`` rows: every outermost ``{...}`` object (nested ones
 and braces in strings belong to it) is parsed with an explicit schema, and rows that
 fail to parse are kept with ``is_valid = false`` (a rejects output, nothing is dropped).
@@ -26,14 +28,18 @@ FLAT_OBJECT = r'\{(?:[^{}"]|"(?:[^"\\]|\\.)*")*\}'
 def prompt_batches(rows: DataFrame, key: str = "row_idx", size: int = config.PROMPT_BATCH_SIZE,
                    template: str = config.CATEGORY_PROMPT) -> DataFrame:
     """A5: ``(batch_no, n_rows, prompt)``; prompt = template + newline-joined JSON lines."""
-    pos = with_row_number(rows, key, "row_no")
+    pos = with_row_number(rows, key, "row_no", tie=["id"], keep_range=True)
     line = F.to_json(F.struct("id", "instruction", "input", "output"))
-    grouped = (pos.withColumn("batch_no", F.floor((F.col("row_no") - 1) / F.lit(size)).cast("bigint"))
-                  .groupBy("batch_no")
-                  .agg(F.count(F.lit(1)).alias("n_rows"),
-                       F.array_sort(F.collect_list(F.struct(F.col("row_no"), line.alias("line")))).alias("lines")))
+    # complete within a range of rows, but for the batches that cross its edges
+    parts = (pos.withColumn("batch_no", F.floor((F.col("row_no") - 1) / F.lit(size)).cast("bigint"))
+                .groupBy("__part", "batch_no")
+                .agg(F.count(F.lit(1)).alias("n_rows"),
+                     F.array_sort(F.collect_list(F.struct(F.col("row_no"), line.alias("line")))).alias("lines")))
+    crossing = (parts.where(F.col("n_rows") < size).groupBy("batch_no")
+                .agg(F.sum("n_rows").alias("n_rows"), F.array_sort(F.flatten(F.collect_list("lines"))).alias("lines")))
+    batches = parts.where(F.col("n_rows") == size).select("batch_no", "n_rows", "lines").unionByName(crossing)
     body = F.array_join(F.transform("lines", lambda x: x["line"]), "\n")
-    return grouped.select("batch_no", F.col("n_rows").cast("bigint").alias("n_rows"),
+    return batches.select("batch_no", F.col("n_rows").cast("bigint").alias("n_rows"),
                           F.concat(F.lit(template + "\n"), body).alias("prompt"))
 
 

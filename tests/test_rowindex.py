@@ -1,5 +1,7 @@
 """Exact order statistics, quantiles, splits and row numbers against numpy/pandas."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -153,3 +155,35 @@ def test_empty_table(spark):
     assert RI.first_rows(df, "row_idx", 3).count() == 0
     assert [t.count() for t in RI.ordered_split(df)] == [0, 0]
     assert RI.with_row_number(df, "row_idx").count() == 0
+
+
+@pytest.mark.parametrize("rows_per_partition", [3, 40, 10**6])
+def test_row_number_splits_a_hot_key(spark, rows_per_partition):
+    """A key holding half of all rows is ranked in several ranges; positions are complete and in order."""
+    keys = [7] * 300 + list(range(-100, 100)) + [None] * 60 + [2**62, -2**62, 2**62 + 1]
+    df = spark.createDataFrame([(k, f"r{i}") for i, k in enumerate(keys)], "row_idx long, name string").repartition(5)
+    got = RI.with_row_number(df, "row_idx", rows_per_partition=rows_per_partition, keep_range=True).collect()
+    assert sorted(r["row_no"] for r in got) == list(range(1, len(keys) + 1))
+    in_order = [r["row_idx"] for r in sorted(got, key=lambda r: r["row_no"])]
+    assert in_order == sorted(keys, key=lambda k: (k is not None, k or 0))
+    if rows_per_partition == 40:
+        of = {}
+        for r in got:
+            of.setdefault(r["__part"], []).append(r["row_idx"])
+        assert max(map(len, of.values())) < 150 and sum(7 in x for x in of.values()) > 3 and sum(None in x for x in of.values()) > 1
+
+
+def test_prompt_batches_move_texts_once(spark):
+    """Batches of three over ranges of a few rows: equal to plain chunks; whole rows cross one exchange and are not checkpointed."""
+    from routewise.sources import batches as BT
+    rows = [(i // 3, f"q{i:03d}", "say", "x" * 50, "y") for i in range(100)]
+    df = spark.createDataFrame(rows, "row_idx long, id string, instruction string, input string, output string").repartition(3)
+    got = sorted(BT.prompt_batches(df, size=3, template="T").select("batch_no", "n_rows", "prompt").collect())
+    assert [r["batch_no"] for r in got] == list(range(34)) and [r["n_rows"] for r in got] == [3] * 33 + [1]
+    ids = [x for r in got for x in re.findall('"id":"(q[0-9]+)"', r["prompt"])]
+    assert [int(x[1:]) // 3 for x in ids] == [i // 3 for i in range(100)] and len(set(ids)) == 100
+    out = BT.prompt_batches(df, size=3)
+    out.collect()
+    p = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    moved = [x for x in p.splitlines() if "Exchange hashpartitioning(__part" in x]
+    assert sum("ReusedExchange" not in x for x in moved) == 1 and sum("ReusedExchange" in x for x in moved) == 1
