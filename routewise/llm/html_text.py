@@ -66,6 +66,8 @@ _SECTION_WORDS = frozenset(
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login "
     "comment comments reply replies respond disqus discussion "
     "share sharing social related recommended recommendations trending search complementary contentinfo".split())
+#: Elements that begin or hold the article.
+_MARKS = frozenset(["h1", "main", "article"])
 #: Words that also name parts of articles: they cost nothing until labelled pages show that they do.
 _OPEN_WORDS = frozenset("discussion related recommended recommendations search notice notices alert social share sharing trending".split())
 _SECTION_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
@@ -189,7 +191,7 @@ def fit_weights(pages: DataFrame, html: str = "html") -> dict:
 
     rows = (src.mapInArrow(count, "tag string, out long, in long").groupBy("tag")
             .agg(F.sum("out").alias("out"), F.sum("in").alias("in"))
-            .orderBy(F.desc(F.col("in") + F.col("out")), "tag").limit(1000).collect())
+            .where(F.col("in") + F.col("out") > 0).collect())
     prior = lambda word: PRIOR_WORDS * math.exp(_unseen(word))
     return {r["tag"]: max(0.0, math.log((r["out"] + prior(r["tag"][6:])) / (r["in"] + PRIOR_WORDS))) if r["tag"].startswith("class ")
             else max(LEAST_COST, math.log((r["out"] + 0.5) / (r["in"] + 0.5))) for r in rows}
@@ -200,7 +202,11 @@ def _unseen(word: str) -> float:
 
 
 def _sections(seq: list, weights: dict) -> list:
-    """The sequence without the sections whose words cost more than they score."""
+    """The sequence without the sections whose words cost more than they score.
+
+    A section of more than half of the words may be a wrapper of the whole page that such a word names
+    by the way: it stays if it holds the page's first heading, article or main element, or if there is none."""
+    first = next((i for i, (kind, value, _) in enumerate(seq) if kind == "tag" and value in _MARKS), None)
     words = [0]
     for kind, value, _ in seq:
         words.append(words[-1] + (len(value.split()) if kind == "text" else 0))
@@ -213,7 +219,7 @@ def _sections(seq: list, weights: dict) -> list:
     out, i = [], 0
     while i < len(seq):
         kind, value, inside = seq[i]
-        if kind == "open" and 2 * (words[ends[i]] - words[i]) <= words[-1]:
+        if kind == "open" and (2 * (words[ends[i]] - words[i]) <= words[-1] or first is not None and not i < first < ends[i]):
             if max(weights.get("class " + w, _unseen(w)) for w in value.split()) >= 1:
                 i = ends[i]
                 out.append(("cut", "", inside))

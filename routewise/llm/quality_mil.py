@@ -8,8 +8,9 @@ unit scores the weighted sum (Ilse, Tomczak and Welling 2018).  Only document
 labels are used.
 
 The model is fitted on a bounded sample of labelled rows (at most
-``SAMPLE_PER_CLASS`` of each class, chosen by a hash of the id; a training bag
-keeps at most ``TRAIN_PASSAGES`` evenly spaced passages); class weights restore
+``SAMPLE_PER_CLASS`` ids of each class, chosen by a hash of the id, and where ids
+repeat at most ``4 * SAMPLE_PER_CLASS`` texts, in the order of id and content; all
+passages of a text count); class weights restore
 the labelled proportions.  Scoring reads every passage of every text.
 
 Defined results: null and empty texts are one all-zero passage; repeated rows
@@ -35,7 +36,6 @@ WIDTH = HASHED + SHAPE
 HIDDEN = 24
 ATTENTION = 16
 SAMPLE_PER_CLASS = 1500
-TRAIN_PASSAGES = 128
 EPOCHS = 60
 RATE = 0.01
 THRESHOLD = 0.3
@@ -184,12 +184,10 @@ def train(docs: DataFrame, labels: DataFrame, usable) -> dict:
             for lo, hi, data, offs in string_chunks(b.column(1)):
                 x, bag = encode(data, offs)
                 for part in np.split(x, np.flatnonzero(np.diff(bag)) + 1):
-                    if len(part) > TRAIN_PASSAGES:
-                        part = part[np.linspace(0, len(part) - 1, TRAIN_PASSAGES).astype(int)]
                     out.append(part.astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.binary())], names=["doc_id", "q", "x"])
 
-    got = sorted(chosen.mapInArrow(bags, "doc_id long, q int, x binary").limit(4 * SAMPLE_PER_CLASS).collect(),
+    got = sorted(chosen.mapInArrow(bags, "doc_id long, q int, x binary").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("x")).limit(4 * SAMPLE_PER_CLASS).collect(),
                  key=lambda r: (r["doc_id"], r["x"]))
     y = np.array([r["q"] for r in got], float)
     if not 0 < y.sum() < len(y):

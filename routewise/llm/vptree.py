@@ -1,7 +1,7 @@
 """Approximate nearest neighbours: a vantage-point tree per shard.
 
 Unit vectors are dealt to shards by a hash of the id; each shard (at most
-``SHARD_ROWS`` rows at once) builds a vantage-point tree.  All queries walk
+``MOST_ROWS`` rows at once) builds a vantage-point tree.  All queries walk
 every shard's tree together: at a node they measure the vantage point, go to
 the nearer side first and enter the other side only if
 ``slack * |distance - radius| <= current k-th distance``.  ``slack = 1`` is the
@@ -13,8 +13,8 @@ holds one shard; the queries stream past it in blocks of ``QUERY_BLOCK``.
 
 Defined results: vectors that are null, empty, zero, of another length than
 most, or hold null or non-finite components take no part; ties go to the
-smaller id; repeated rows are candidates of their own; a query never meets rows
-of its own id; empty tables give no rows; extra columns are ignored.
+smaller id; repeated rows are candidates of their own, a repeated query row is a query of
+its own with its own ranks; a query never meets rows of its own id; empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, write_shared
 from .topk import matrix, usable
 
 ship(__name__)
 
-SHARD_ROWS = 4096
+#: Rows per shard of a small table, and the most that one shard holds (at 64 components some 100 MB).
+SHARD_ROWS, MOST_ROWS = 4096, 1 << 16
 QUERY_BLOCK = 1024
 LEAF = 64
 SLACK = 1.25
@@ -98,13 +99,15 @@ def search(tree, unit: np.ndarray, ids: np.ndarray, queries: np.ndarray, qids: n
 def nearest(data: DataFrame, is_query, k: int = 5, slack: float = SLACK, vec: str = "embedding", ident: str = "vec_id") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row where ``is_query`` (a column of ``id``), the k nearest others found."""
     rows = usable(data, vec, ident).where(F.exists("v", lambda x: x != 0))
-    asked = rows.where(is_query)
-    shards = max(1, -(-rows.count() // SHARD_ROWS))
-    # query blocks meet shards: every query visits each shard once, after the shard's rows
-    q = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "v")
+    # every query row has its own place: rows of one id are queries of their own
+    asked = write_shared(rows.where(is_query).withColumn("place", F.monotonically_increasing_id()), "vptree-queries")
+    n = rows.count()
+    # as few shards as memory allows, since every query visits each; of small tables enough for every core
+    shards = max(1, -(-n // MOST_ROWS), min(-(-n // SHARD_ROWS), data.sparkSession.sparkContext.defaultParallelism))
+    q = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "place", "v")
     # the row number keeps many rows of one id from meeting in one shard
     d = rows.select(F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard"),
-                    F.lit(0).alias("kind"), "id", "v")
+                    F.lit(0).alias("kind"), "id", F.lit(0).cast("long").alias("place"), "v")
 
     def solve(batches):
         shard, did, dv, trees = None, [], [], None
@@ -112,14 +115,14 @@ def nearest(data: DataFrame, is_query, k: int = 5, slack: float = SLACK, vec: st
         def plant():
             x, ids = np.concatenate(dv), np.concatenate(did)
             out = []
-            for lo in range(0, len(ids), SHARD_ROWS):
-                part, own = scaled(x[lo:lo + SHARD_ROWS]), ids[lo:lo + SHARD_ROWS]
+            for lo in range(0, len(ids), MOST_ROWS):
+                part, own = scaled(x[lo:lo + MOST_ROWS]), ids[lo:lo + MOST_ROWS]
                 norm = np.sqrt((part * part).sum(1))
                 unit = part / norm[:, None]
                 out.append((build(unit, np.random.default_rng(len(own))), part, norm, unit, own))
             return out
 
-        def ask(qi, qs):
+        def ask(qi, places, qs):
             qs = scaled(qs)
             qnorm = np.sqrt((qs * qs).sum(1))
             for tree, x, norm, unit, ids in trees:
@@ -127,10 +130,11 @@ def nearest(data: DataFrame, is_query, k: int = 5, slack: float = SLACK, vec: st
                 a, place = np.nonzero(got >= 0)
                 r = got[a, place]
                 cos = (qs[a] * x[r]).sum(1) / (qnorm[a] * norm[r])
-                yield pa.RecordBatch.from_arrays([pa.array(qi[a]), pa.array(ids[r]), pa.array(cos)], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(qi[a]), pa.array(places[a]), pa.array(ids[r]), pa.array(cos)], names=["query_id", "place", "vec_id", "score"])
 
         for b in batches:
-            s, kind, ids, v = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), matrix(b.column(3))
+            s, kind, ids, places = (b.column(c).to_numpy() for c in range(4))
+            v = matrix(b.column(4))
             cut = np.flatnonzero((np.diff(s) != 0) | (np.diff(kind) != 0)) + 1
             for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(s)]):
                 if s[lo] != shard:
@@ -141,10 +145,11 @@ def nearest(data: DataFrame, is_query, k: int = 5, slack: float = SLACK, vec: st
                 elif did:
                     trees = trees or plant()
                     for at in range(lo, hi, QUERY_BLOCK):
-                        yield from ask(ids[at:min(hi, at + QUERY_BLOCK)], v[at:min(hi, at + QUERY_BLOCK)])
+                        some = slice(at, min(hi, at + QUERY_BLOCK))
+                        yield from ask(ids[some], places[some], v[some])
 
     both = q.unionByName(d).repartition("shard").sortWithinPartitions("shard", "kind", "id")
-    found = both.mapInArrow(solve, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = both.mapInArrow(solve, "query_id long, place long, vec_id long, score double")
+    order = Window.partitionBy("place").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))

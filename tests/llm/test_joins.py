@@ -339,14 +339,31 @@ def test_topk_repeated_query_ids(spark, monkeypatch, times, pivots, run):
     ids = [0] * times + [0, 50] + list(range(1, 41))
     rows = [(i, [float(c) for c in v], 0, "x", 1, 2, 0.0) for i, v in zip(ids, x)]
     q = np.floor(x.astype(np.float64) * topk.SCALE)
-    want = []
-    for query in (0, 50):
-        score = sorted((-int(q[a] @ q[b]), ids[b]) for a in range(len(ids)) for b in range(len(ids)) if ids[a] == query != ids[b])
-        want += [(query, n + 1, i, -s) for n, (s, i) in enumerate(score[:10])]
+    want = []  # every query row has ranks of its own
+    for a in range(len(ids)):
+        if ids[a] % 50 == 0:
+            score = sorted((-int(q[a] @ q[b]), ids[b]) for b in range(len(ids)) if ids[a] != ids[b])
+            want += [(ids[a], n + 1, i, -s) for n, (s, i) in enumerate(score[:10])]
+    want.sort()
     got = topk.top_k(_vectors(spark, rows), F.col("id") % 50 == 0, k=10).collect()
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == want
 
 
+@pytest.mark.parametrize("top", [1e4, 1e5, 1e8, 1e20])
+def test_topk_large_components(spark, top):
+    """Components beyond what doubles multiply exactly, beside ordinary ones."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(40, 4)), rng.normal(size=(30, 4)) * top])
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    ints = [[int(np.floor(1024 * c)) for c in v] for _, v in rows]
+    want = []
+    for i in range(0, 70, 10):
+        best = sorted((-sum(a * b for a, b in zip(ints[i], ints[j])), j) for j in range(70) if j != i)[:6]
+        want += [(i, n + 1, j, max(-2**63 + 1, min(2**63 - 1, -s))) for n, (s, j) in enumerate(best)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("id") % 10 == 0, k=6).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == want
+
+
 def test_topk_few_candidates_and_repeats(spark):
     rows = _rows([[1, 0, 0], [0.5, 0, 0], [0.5, 0, 0]])
     got = topk.top_k(_vectors(spark, rows), F.col("id") == 0, k=10).collect()
@@ -391,6 +408,29 @@ def test_vptree_recall(spark):
     assert np.mean([len({j for j, _ in best} & set(got[q])) / 5 for q, best in want.items()]) >= 0.9
 
 
+def test_vptree_recall_over_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(vptree, "MOST_ROWS", 80)
+    monkeypatch.setattr(vptree, "SHARD_ROWS", 60)
+    monkeypatch.setattr(vptree, "LEAF", 8)
+    rows = table(spark, SF01, "embeddings").orderBy("vec_id").collect()
+    want = _plain_nearest([r["vec_id"] for r in rows], np.array([r["embedding"] for r in rows], float), 50, 5)
+    got = {}
+    for r in op9_vptree(spark, SF01).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert len(rows) > 5 * 80 and set(got) == set(want) and all(len(v) == 5 for v in got.values())
+    assert np.mean([len({j for j, _ in best} & set(got[q])) / 5 for q, best in want.items()]) >= 0.9
+
+
+def test_vptree_repeated_query_rows(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40, 4))
+    rows = _rows(np.concatenate([x[:1], x[:1], x]))
+    rows = [(0, *r[1:]) for r in rows[:2]] + [(i, *r[1:]) for i, r in enumerate(rows[2:])]
+    got = vptree.nearest(_vectors(spark, rows), F.col("id") == 0, k=5, slack=1.0).collect()
+    assert sorted(r["rank"] for r in got) == sorted([1, 2, 3, 4, 5] * 3)
+    assert all(len({r["vec_id"] for r in got if r["rank"] == k}) == 1 for k in range(1, 6)) and len({r["vec_id"] for r in got}) == 5
+
+
 def test_vptree_edges(spark):
     assert vptree.nearest(_vectors(spark, []), F.col("id") == 0).count() == 0
     got = vptree.nearest(_vectors(spark, _rows([[1e30, 0, 0], [1e-30, 0, 0], [0, 1, 0]])), F.col("id") == 0).orderBy("rank").collect()

@@ -250,3 +250,16 @@ def test_html_section_costs_are_learned(spark):
     w = WEIGHTS | {k: v for k, v in weights.items() if k.startswith("class ")}
     assert html_text.extract(page.format("promo"), w) == "one two three four five\nsix seven\neight nine"
     assert html_text.extract(page.format("related"), w) == "one two three four five\neight nine"
+
+
+@pytest.mark.parametrize("n", [1, 5, 20, 200])
+def test_html_drops_comments_of_any_length(n):
+    """Comments go even where they hold most of the page's words; a wrapper that only names them stays."""
+    comments = "".join(f"<div class='comment'><p>Great post number {i}, thanks for sharing this with all of us</p></div>" for i in range(n))
+    body = "Only eleven words are in this article, no more than that."
+    for page in (f"<body><nav>a b</nav><article><p>{body}</p></article><div class='comments'>{comments}</div></body>",
+                 f"<body><div><h1>T</h1><p>{body}</p></div><section id='comments'>{comments}</section></body>"):
+        text = html_text.extract(page, {})
+        assert body in text and "Great post" not in text
+    wrapped = html_text.extract(f"<body><div class='comments-page'><h1>T</h1><p>{body * 9}</p></div></body>", {})
+    assert body in wrapped
