@@ -29,6 +29,23 @@ def test_label_router_learns_and_survives_saving(spark, rows, tmp_path):
     assert a == b
 
 
+def test_forest_as_a_table_gives_the_models_predictions(spark, rows):
+    """Nodes walked by joins: the same probabilities for every row, also for rows of unknown words and a forest of one leaf."""
+    from routewise.operators import foresttable as FTB
+    router = MD.fit_label_router(rows, "query", ["x", "flat"], k=50, cfg=CFG)
+    more = rows.unionByName(rows.limit(5).select(F.concat(F.lit("n"), "id").alias("id"), F.lit("unknown words").alias("query"), F.lit(-9.0).alias("x"), "flat", "evaluation_model_label"))
+    scored = router.transform(more).cache()
+    leaf = MD.fit_label_router(rows.withColumn("evaluation_model_label", F.lit(2)), "query", ["flat"], k=50, cfg=MD.ForestConfig(3, 2))
+    nodes = FTB.forest_nodes(router.forest.stages[-1], "a").unionByName(FTB.forest_nodes(leaf.forest.stages[-1], "b"))
+    assert nodes.where("forest = 'a' and feature is null and left is not null").count() == 0 and nodes.where("forest = 'b'").count() == 3
+    both = F.explode(F.array(F.lit("a"), F.lit("b")))
+    got = FTB.walk(FTB.sparse_values(scored).withColumn("forest", both), nodes, scored.select("id").withColumn("forest", both)).collect()
+    want = {r["id"]: [r[c] for c in RT.PROBA_COLS] for r in scored.collect()}
+    assert len(got) == 2 * len(want)
+    for r in got:
+        assert r["probability"] == (pytest.approx(want[r["id"]], abs=1e-12) if r["forest"] == "a" else [0.0, 1.0])
+
+
 def test_shared_text_encoder_gives_the_same_router(rows):
     tfidf = MD.fit_tfidf(rows, "query", 50)
     a, b = (MD.fit_label_router(rows, "query", ["x"], k=50, cfg=CFG, tfidf=t).transform(rows).select("id", "proba_xl").collect() for t in (tfidf, None))
@@ -88,6 +105,8 @@ def test_queries_fit_the_whole_forest_and_return_its_results(spark, monkeypatch)
     for r in rows:
         p = [r[c] for c in RT.PROBA_COLS]
         assert sum(p) == pytest.approx(1, abs=1e-5) and min(p) >= 0 and r["predicted_model_label"] in (1, 2, 3)
+    walked = Q.k7(spark, "/root/testdata/sf0.001").collect()  # no forest is fitted anew
+    assert len(walked) == len(rows) and all(r["walk_agrees"] and r["sums_to_one"] for r in walked)
     assert Q.a10(spark, "/root/testdata/sf0.001").first()["n"] == len(rows) // 7
     assert asked == [MD.ForestConfig()] * 8
 
