@@ -136,5 +136,74 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+# CRC-32 in SQL: the table of its polynomial, then one step per byte
+_CRC_TABLE = """crc AS MATERIALIZED (SELECT list(v ORDER BY b) AS tab FROM (
+  SELECT b, list_reduce([b, 0, 1, 2, 3, 4, 5, 6, 7], lambda a, i: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS v FROM range(256) r(b)) z)"""
+_CRC = "(4294967295 - list_reduce(list_prepend(4294967295, {bytes}), lambda a, x: xor(a // 256, tab[1 + xor(a % 256, x)])))"
+
+_OP12 = f"""
+WITH {_CRC_TABLE},
+t AS MATERIALIZED (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id),
+c AS MATERIALIZED (
+  SELECT conv_id, n, conv_id - conv_id % 5 AS base,
+    {_CRC.format(bytes="list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda z: CAST(ascii(z) AS BIGINT))")} % 9 AS h FROM n, crc),
+r AS (
+  SELECT c.conv_id, t.pos, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.pos < c.h
+  UNION ALL
+  SELECT c.conv_id, t.pos - c.h + least(c.h, coalesce(b.n, 0)), t.role, t.text FROM c JOIN t USING (conv_id) LEFT JOIN n b ON b.conv_id = c.base WHERE t.pos >= c.h),
+l AS (SELECT conv_id, list(md5(length(role) || ':' || role || text) ORDER BY pos) AS l, list(strlen(text) ORDER BY pos) AS bytes FROM r GROUP BY conv_id),
+p AS (SELECT c.conv_id, coalesce(l, []) AS l, coalesce(bytes, []) AS bytes, unnest(generate_series(0, len(coalesce(l, [])))) AS d FROM c LEFT JOIN l USING (conv_id)),
+k AS MATERIALIZED (
+  SELECT conv_id, d, md5(array_to_string(l[1:d], ',')) AS k, CASE WHEN d > 0 THEN md5(array_to_string(l[1:d - 1], ',')) END AS up,
+    CASE WHEN d > 0 THEN bytes[d] ELSE 0 END AS bytes, d = len(l) AS ends FROM p),
+node AS MATERIALIZED (
+  SELECT d, k, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM k GROUP BY d, k),
+child AS (SELECT d - 1 AS d, up AS k, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+linked AS MATERIALIZED (SELECT node.*, coalesce(child.n, 0) AS n_children FROM node LEFT JOIN child ON child.d = node.d AND child.k = node.k),
+below AS (
+  SELECT a.d, a.k, sum(CASE WHEN x.n_children = 0 THEN 1 ELSE 0 END) AS leaves, sum((x.n_convs - 1) * x.bytes) AS saved
+  FROM linked x JOIN k a ON a.conv_id = x.conv_id AND a.d <= x.d GROUP BY a.d, a.k)
+SELECT x.conv_id, x.d AS depth, u.conv_id AS parent_conv_id, x.n_convs, x.n_children, CAST(leaves AS BIGINT) AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, x.ends_sha256
+FROM linked x JOIN below ON below.d = x.d AND below.k = x.k LEFT JOIN node u ON u.d = x.d - 1 AND u.k = x.up
+"""
+
+# near words agree in one of the spellings with one letter left out: blanked (replaced) or cut (inserted, deleted)
+_OP13 = f"""
+WITH {_CRC_TABLE},
+run AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+hashed AS (
+  SELECT run, {_CRC.format(bytes="flatten(list_transform(string_split(id || ':' || run, ''), lambda z: CASE WHEN unicode(z) < 128 THEN [CAST(unicode(z) AS BIGINT)] ELSE [195, CAST(unicode(z) - 64 AS BIGINT)] END))")} AS h
+  FROM run, crc WHERE length(run) >= 7),
+v AS MATERIALIZED (
+  SELECT word, count(*) AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed) z
+  WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+cut AS MATERIALIZED (
+  SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM v) z),
+near AS MATERIALIZED (
+  SELECT DISTINCT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN v b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN v b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, max(near_n) AS most FROM near GROUP BY word),
+form AS MATERIALIZED (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * v.n THEN (SELECT min(near) FROM near x WHERE x.word = v.word AND x.near_n = most) END AS form
+  FROM v LEFT JOIN best USING (word)),
+lead AS (
+  WITH RECURSIVE w AS (
+    SELECT word, word AS root, form AS next, 0 AS step FROM form
+    UNION ALL SELECT w.word, w.next, f.form, step + 1 FROM w JOIN form f ON f.word = w.next)
+  SELECT word, arg_max(root, step) AS root FROM w GROUP BY word)
+SELECT f.word, f.form, lead.root, f.n, f.n_near, g.n AS form_n FROM form f JOIN lead USING (word) LEFT JOIN v g ON g.word = f.form
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_join": _OP2, "op7_chat": _OP7, "op8_topk": _OP8}
+    return {"op2_jaccard_join": _OP2, "op7_chat": _OP7, "op8_topk": _OP8, "op12_prefix_trie": _OP12, "op13_spelling": _OP13}
