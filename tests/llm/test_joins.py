@@ -409,7 +409,6 @@ def test_vptree_recall(spark):
 
 
 def test_vptree_recall_over_several_shards(spark, monkeypatch):
-    monkeypatch.setattr(vptree, "MOST_ROWS", 80)
     monkeypatch.setattr(vptree, "SHARD_ROWS", 60)
     monkeypatch.setattr(vptree, "LEAF", 8)
     rows = table(spark, SF01, "embeddings").orderBy("vec_id").collect()
@@ -417,7 +416,7 @@ def test_vptree_recall_over_several_shards(spark, monkeypatch):
     got = {}
     for r in op9_vptree(spark, SF01).collect():
         got.setdefault(r["query_id"], []).append(r["vec_id"])
-    assert len(rows) > 5 * 80 and set(got) == set(want) and all(len(v) == 5 for v in got.values())
+    assert len(rows) > 5 * 60 and set(got) == set(want) and all(len(v) == 5 for v in got.values())
     assert np.mean([len({j for j, _ in best} & set(got[q])) / 5 for q, best in want.items()]) >= 0.9
 
 

@@ -226,7 +226,7 @@ def test_pipeline_edges(spark, edge_docs):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries()) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries()) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("attr", ["style='overflow:hidden'", "title='the hidden cost'", "data-id='menu-3'", "class='content no-sidebar'", "id=page class='site has-sidebar'",
