@@ -86,14 +86,17 @@ def g4(spark, sf_dir):
 
 def _raw_rows(spark, sf_dir):
     """Raw source lines written to the shared folder: absent scores have no key, every thirteenth row has no
-    comparisons."""
-    cand = FX.fx_candidates(spark, sf_dir).withColumn("candidates", F.transform(
-        "candidates", lambda c: c.withField("scores", F.map_filter(c["scores"], lambda k, v: v.isNotNull()))))
+    comparisons.  Narrow rows are joined; the candidates are built behind the join."""
     cmp = LBD.encode_comparisons(label_inputs_wide(spark, sf_dir), list(config.MODELS))
     number = F.substring_index("id", "/", -1).cast("bigint")
     cmp = cmp.withColumn("cmp_results", F.when(number % 13 != 0, F.col("cmp_results")))
+    q = FX.fx_queries(spark, sf_dir).select("doc_id", "id")
+    # as many tasks as read the queries: joined rows are narrow, the lines made of them are not
+    rows = FX.with_candidates(q.join(cmp, "id").repartition(q.rdd.getNumPartitions()))
+    rows = rows.withColumn("candidates", F.transform(
+        "candidates", lambda c: c.withField("scores", F.map_filter(c["scores"], lambda k, v: v.isNotNull()))))
     path = scratch_path(spark, "raw-lines")
-    RR.write_lines(cand.join(cmp, "id"), path)
+    RR.write_lines(rows.select("id", "split", "candidates", "cmp_results"), path)
     return RR.read_lines(spark, path)
 
 
