@@ -68,6 +68,17 @@ def test_score_merge_hashes_its_lines(spark):
     assert {r["id"]: r["score"] for r in m.collect()} == {"a": None, "b": None, "c": 0.0}
 
 
+def test_wide_score_merge_gives_the_same_lines(spark):
+    rng = random.Random(8)
+    pick = lambda: (rng.choice([None, "a", "b", "c"]), rng.choice("mn"), rng.randint(1, 2), rng.choice("xyz"))
+    key = "id string, model string, resp_no int, metric string"
+    tpl = spark.createDataFrame([k for k in (pick() for _ in range(40)) if k[3] != "z"], key)
+    lines = [(*pick(), rng.choice([None, 0.0, -1.5, 2.0]), i if i % 9 else None) for i in range(60)]
+    files = spark.createDataFrame([r for r in lines if r[5] is not None], key + ", score double, row_idx bigint")
+    a, b = SC.merge_scores(tpl, files), SC.merge_scores(tpl, files, last_values=["x", "y"])
+    assert "SortAggregate" not in plan(b) and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
 def test_candidates_are_built_in_the_row(spark):
     q = spark.createDataFrame([(1, "doc/1"), (43, "doc/43"), (43, "doc/43"), (None, None)], "doc_id bigint, id string")
     c = FX.with_candidates(q)
