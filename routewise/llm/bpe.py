@@ -1,13 +1,15 @@
 """Byte-level BPE: batched numpy merge rounds.
 
 Texts are split into words by the vocabulary's pattern, evaluated on arrays of
-character classes; equal words of a batch are encoded once.  The symbols of all
-new words lie in one flat array, and every round looks up all neighbouring
-pairs by binary search over sorted pair keys, finds each word's lowest rank and
-merges that pair everywhere in the word, until no word has a known pair.
+character classes; equal words of a batch are encoded once.  New words of up to
+32 bytes stand in columns, one row per place; a round merges every word's
+leftmost pair of lowest rank and looks up the two pairs beside it in a hash
+table of pair keys.  The symbols of longer words lie in one flat array; a round
+finds each word's lowest rank and merges that pair everywhere in the word.
+Rounds end when no word has a known pair.
 
 Words are keyed by a 64-bit hash; a worker keeps at most ``CACHE_WORDS`` encoded
-words.  The vocabulary file's path is a parameter; the driver reads it once and
+words, one per slot of a table by the hash's low bits.  The vocabulary file's path is a parameter; the driver reads it once and
 broadcasts its arrays (bounded by the vocabulary).
 
 Defined results: null counts as empty (no ids, empty decoded text); texts of any
@@ -31,7 +33,11 @@ from .common import ship, span_hashes, string_chunks, worker_cache
 
 ship(__name__)
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
+SLOTS = 1 << 20
+#: Words of up to so many bytes are merged together in columns.
+COLUMNS = (8, 16, 32)
+_NONE = np.int32(1 << 25)  # rank of no pair; ranks times 32 fit 32 bits
 _OTHER, _LETTER, _NUMBER, _SPACE = 0, 1, 2, 3
 # The code points with the White_Space property.
 _WHITE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -62,11 +68,50 @@ def load_vocabulary(path: str) -> dict:
     for token, i in special.items():
         pieces[i] = token.encode()
     length = np.fromiter(map(len, pieces), np.int64, size)
-    return {"size": size, "key": key[order], "rank": order.astype(np.int64), "merged": np.array([vocab[x + y] for x, y in merges], np.int64)[order],
-            "byte": np.array([vocab[c] for c in byte_symbols()], np.int64), "special": special,
+    pairs = pair_table(key[order], order)
+    byte = np.array([vocab[c] for c in byte_symbols()], np.int64)
+    return {"size": size, "pairs": pairs, "byte_pairs": find_pairs(pairs, (byte[:, None] * size + byte).ravel()).reshape(256, 256),
+            "product": np.array([vocab[x + y] for x, y in merges], np.int32), "key": key[order], "rank": order.astype(np.int64), "merged": np.array([vocab[x + y] for x, y in merges], np.int64)[order],
+            "byte": byte, "special": special,
             "bytes": np.frombuffer(b"".join(pieces), np.uint8), "start": np.cumsum(length) - length, "length": length}
 
 
+def _home(key: np.ndarray, bits: int) -> np.ndarray:
+    return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def pair_table(key: np.ndarray, rank: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Hash table of pair keys (sorted): bits of a home slot, key per slot (-1: none), rank per slot.
+
+    A pair lies in the first free slot from its home on; the table goes on past the last home, so no walk wraps."""
+    bits = max(4, (8 * len(key)).bit_length())
+    home = _home(key, bits)
+    order = np.argsort(home, kind="stable")
+    # in the order of homes, each takes its home or the slot after the one before
+    place = np.arange(len(key))
+    slot = np.maximum.accumulate(home[order] - place) + place
+    of_slot = np.full((1 << bits) + len(key) + 1, -1, np.int64)
+    at = np.full(len(of_slot), _NONE)
+    of_slot[slot], at[slot] = key[order], rank[order]
+    return bits, of_slot, at
+
+
+def find_pairs(table: tuple[int, np.ndarray, np.ndarray], key: np.ndarray) -> np.ndarray:
+    """Rank of every pair key."""
+    bits, of_slot, at = table
+    slot = _home(key, bits)
+    there = of_slot[slot]
+    found = np.where(there == key, at[slot], _NONE)
+    walk = np.flatnonzero((there != key) & (there >= 0))
+    while len(walk):
+        slot[walk] += 1
+        there = of_slot[slot[walk]]
+        hit = there == key[walk]
+        found[walk[hit]] = at[slot[walk[hit]]]
+        walk = walk[~hit & (there >= 0)]
+    return found
+
+
 def _classes() -> np.ndarray:
     def build():
         major = {"L": _LETTER, "N": _NUMBER}
@@ -119,27 +164,59 @@ def word_starts(cp: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-def merge_words(v: dict, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of many words (byte spans): flat ids and ids per word."""
-    size = ends - starts
+def _merge_columns(v: dict, data: np.ndarray, starts: np.ndarray, size: np.ndarray, height: int):
+    """Ids of words of 1 to ``height`` (at most 32) bytes, a column per word: yields ``(words, symbols, ids per word)``."""
+    word, size = np.arange(len(starts)), size.copy()
+    k = np.arange(height + 1)[:, None]
+    byte = data[np.minimum(starts + k, len(data) - 1)]
+    sym = np.where(k < size, v["byte"][byte], -1).astype(np.int32)
+    # rank of the pair that begins at a place, times 32, plus the place: the least is the leftmost of lowest rank
+    first = np.where(k[1:] < size, v["byte_pairs"][byte[:-1], byte[1:]], _NONE)
+    none = _NONE << 5
+    best = (first << 5) + k[:-1].astype(np.int32)
+    while len(word):
+        top = int(size.max())
+        low = best[:max(top - 1, 1)].min(axis=0)
+        done = low >= none
+        if done.any():
+            yield word[done], sym[:top, done], size[done]
+            live = np.flatnonzero(~done)
+            if not len(live):
+                return
+            word, size, low = word[live], size[live], low[live]
+            top = int(size.max())
+            sym, best = sym[:top + 1].take(live, axis=1), best[:top].take(live, axis=1)
+        at, col = (low & 31).astype(np.intp), np.arange(len(word))
+        mid = v["product"][low >> 5]
+        behind = at < k[1:top]
+        sym[1:top] = np.where(behind, sym[2:top + 1], sym[1:top])
+        best[1:top - 1] = np.where(behind[:-1], best[2:top] - 1, best[1:top - 1])
+        best[top - 1] = none + 31
+        sym[at, col] = mid
+        size -= 1
+        mid = mid.astype(np.int64)
+        right = sym[at + 1, col]
+        has = right >= 0
+        pair = np.full(len(word), none)
+        pair[has] = find_pairs(v["pairs"], mid[has] * v["size"] + right[has]) << 5
+        best[at, col] = pair + at
+        has = np.flatnonzero(at)
+        before = at[has] - 1
+        best[before, has] = (find_pairs(v["pairs"], sym[before, has] * np.int64(v["size"]) + mid[has]) << 5) + before
+
+
+def _merge_flat(v: dict, data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words of any length: flat ids and ids per word."""
     n = len(starts)
-    word = np.repeat(np.arange(n), size)
+    word = np.repeat(np.arange(n, dtype=np.int32), size)
     sym = v["byte"][data[np.arange(len(word)) + np.repeat(starts - (np.cumsum(size) - size), size)]]
-    none = np.int64(1 << 40)
-    slot = np.zeros(len(sym), np.int64)
-    rank = np.full(len(sym), none)
+    rank = np.full(len(sym), _NONE)
 
     def look(at):
-        """Rank of the pairs that begin at the given symbols, by binary search."""
+        """Rank of the pairs that begin at the given symbols."""
         at = at[at < len(sym) - 1]
         at = at[word[at] == word[at + 1]]
-        key = sym[at] * v["size"] + sym[at + 1]
-        order = np.argsort(key)  # sorted queries walk the keys in order
-        found = np.empty(len(key), np.int64)
-        found[order] = np.searchsorted(v["key"], key[order])
-        np.minimum(found, len(v["key"]) - 1, out=found)
-        slot[at] = found
-        rank[at] = np.where(v["key"][found] == key, v["rank"][found], none)
+        rank[at] = find_pairs(v["pairs"], sym[at] * v["size"] + sym[at + 1])
 
     look(np.arange(len(sym)))
     done_sym, done_word = [], []
@@ -147,12 +224,12 @@ def merge_words(v: dict, data: np.ndarray, starts: np.ndarray, ends: np.ndarray)
         heads = np.flatnonzero(np.diff(word, prepend=-1))
         low = np.minimum.reduceat(rank, heads)
         size = np.diff(np.append(heads, len(word)))
-        live = low < none
+        live = low < _NONE
         if not live.all():
             stay = np.repeat(live, size)
             done_sym.append(sym[~stay])
             done_word.append(word[~stay])
-            sym, word, slot, rank = sym[stay], word[stay], slot[stay], rank[stay]
+            sym, word, rank = sym[stay], word[stay], rank[stay]
             low, size = low[live], size[live]
             if not len(sym):
                 break
@@ -162,14 +239,14 @@ def merge_words(v: dict, data: np.ndarray, starts: np.ndarray, ends: np.ndarray)
         if len(chain) < len(pos):
             nth = np.arange(len(pos)) - np.repeat(chain, np.diff(np.append(chain, len(pos))))
             pos = pos[nth % 2 == 0]
-        sym[pos] = v["merged"][slot[pos]]
+        sym[pos] = v["product"][rank[pos]]
         fresh = np.zeros(len(sym), bool)
         fresh[pos] = True
         fresh[pos[pos > 0] - 1] = True
         stay = np.ones(len(sym), bool)
         stay[pos + 1] = False
-        rank[pos] = none
-        sym, word, slot, rank = sym[stay], word[stay], slot[stay], rank[stay]
+        rank[pos] = _NONE
+        sym, word, rank = sym[stay], word[stay], rank[stay]
         look(np.flatnonzero(fresh[stay]))
     if not done_sym:
         return np.zeros(0, np.int64), np.zeros(n, np.int64)
@@ -178,35 +255,60 @@ def merge_words(v: dict, data: np.ndarray, starts: np.ndarray, ends: np.ndarray)
     return sym[order], np.bincount(word, minlength=n)
 
 
+def merge_words(v: dict, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of many words (non-empty byte spans): flat ids and ids per word."""
+    size = ends - starts
+    count, found = np.zeros(len(starts), np.int64), []
+    group = np.searchsorted(COLUMNS, size)
+    for g, height in enumerate(COLUMNS):
+        own = np.flatnonzero(group == g)
+        for word, sym, n in _merge_columns(v, data, starts[own], size[own], height):
+            count[own[word]] = n
+            found.append((own[word], sym, n))
+    own = np.flatnonzero(group == len(COLUMNS))
+    flat, n = _merge_flat(v, data, starts[own], size[own])
+    count[own] = n
+    ids = np.zeros(count.sum(), np.int64)
+    start = np.cumsum(count) - count
+    ids[np.arange(len(flat)) + np.repeat(start[own] - (np.cumsum(n) - n), n)] = flat
+    for word, sym, n in found:
+        place = np.arange(len(sym))[:, None]
+        inside = place < n
+        ids[(start[word] + place)[inside]] = sym[inside]
+    return ids, count
+
+
 class WordCache:
-    """Encoded words of one worker, by word hash."""
+    """Encoded words of one worker: one per slot, the slot by the low bits of the word's hash."""
 
     def __init__(self):
-        self.key = np.zeros(0, np.uint64)
-        self.start = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.key = np.zeros(SLOTS, np.uint64)
+        self.start = np.zeros(SLOTS, np.int64)
+        self.size = np.zeros(SLOTS, np.int32)  # 0: empty, words have ids
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.used = self.words = 0
 
     def lookup(self, v: dict, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size in ``ids`` for sorted distinct ``key`` of the given spans."""
-        at = np.searchsorted(self.key, key)
-        known = np.zeros(len(key), bool)
-        inside = at < len(self.key)
-        known[inside] = self.key[at[inside]] == key[inside]
-        fresh = ~known
-        if fresh.any():
-            if len(self.key) > CACHE_WORDS:
-                self.__init__()
-                return self.lookup(v, data, starts, ends, key)
-            ids, size = merge_words(v, data, starts[fresh], ends[fresh])
-            start = len(self.ids) + np.cumsum(size) - size
-            self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
-            put = at[fresh]
-            self.key = np.insert(self.key, put, key[fresh])
-            self.start = np.insert(self.start, put, start)
-            self.size = np.insert(self.size, put, size)
-            at = np.searchsorted(self.key, key)
-        return self.start[at], self.size[at]
+        """Start and size in ``ids`` of the given spans, by their hashes ``key``."""
+        if self.words > CACHE_WORDS:
+            self.__init__()
+        slot = (key & np.uint64(SLOTS - 1)).astype(np.int64)
+        start, size = self.start[slot], self.size[slot]
+        fresh = np.flatnonzero((self.key[slot] != key) | (size == 0))
+        if len(fresh):
+            new, one, back = np.unique(key[fresh], return_index=True, return_inverse=True)
+            ids, count = merge_words(v, data, starts[fresh[one]], ends[fresh[one]])
+            at = self.used + np.cumsum(count) - count
+            self.used += len(ids)
+            self.words += len(new)
+            if self.used > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(2 * self.used - len(self.ids), np.uint32)])
+            self.ids[self.used - len(ids):self.used] = ids
+            start[fresh], size[fresh] = at[back], count[back]
+            # of new words with the same slot one stays
+            put, last = np.unique(slot[fresh[one]], return_index=True)
+            self.key[put], self.start[put], self.size[put] = new[last], at[last], count[last]
+        return start, size.astype(np.int64)
 
 
 def _encode_plain(v: dict, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,11 +319,8 @@ def _encode_plain(v: dict, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nd
     ends = np.searchsorted(at, offsets[1:][np.diff(offsets) > 0])
     first = at[word_starts(cp, ends)]
     last = np.append(first[1:], len(data))
-    h = span_hashes(data, first, last)
-    key, one, back = np.unique(h, return_index=True, return_inverse=True)
     cache = worker_cache(("bpe_words", v["size"], int(v["key"][:64].sum())), WordCache)
-    start, size = cache.lookup(v, data, first[one], last[one], key)
-    start, size = start[back], size[back]
+    start, size = cache.lookup(v, data, first, last, span_hashes(data, first, last))
     total = np.cumsum(size)
     ids = cache.ids[np.arange(total[-1]) + np.repeat(start - (total - size), size)]
     row = np.searchsorted(offsets, first, side="right") - 1

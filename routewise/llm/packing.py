@@ -40,6 +40,8 @@ WINDOW = 1024
 SHARD_DOCS = 1024
 KEY_TERMS = 16
 SHARD_TOKENS = 4_000_000
+#: Tokens whose terms are counted at once inside a task.
+CHUNK_TOKENS = 1 << 19
 #: All terms of a seed are looked up.
 QUERY_TERMS = None
 #: Neighbours given at once; a window asks again until it is full.
@@ -50,6 +52,36 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", p
 _DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def term_counts(ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct terms of documents of ``size`` tokens that lie one after another: document, term and count, sorted."""
+    bits = max(1, int(ids.max(initial=0)).bit_length())
+    kind = np.uint32 if max(1, len(size)) << bits <= 1 << 32 else np.uint64
+    key = np.repeat(np.arange(len(size), dtype=kind) << kind(bits), size)
+    key |= ids.astype(kind)
+    key.sort()
+    head = np.flatnonzero(np.append(np.ones(min(1, len(key)), bool), key[1:] != key[:-1]))
+    tf = np.diff(np.append(head, len(key)))
+    key = key[head]
+    return (key >> kind(bits)).astype(np.int64), (key & kind((1 << bits) - 1)).astype(np.int64), tf
+
+
+def token_chunks(column: pa.Array, narrow: str, separator: int):
+    """Ids of a binary column's rows, each with its separator: flat ids and ids per row, about ``CHUNK_TOKENS`` at once."""
+    col, width = column.cast(pa.large_binary()), int(narrow[2])
+    if not len(col):
+        return
+    bufs = col.buffers()
+    at = np.frombuffer(bufs[1], np.int64)[col.offset:col.offset + len(col) + 1]
+    data = np.frombuffer(bufs[2], np.uint8) if bufs[2] is not None else np.zeros(0, np.uint8)
+    lo = 0
+    while lo < len(col):
+        hi = int(np.searchsorted(at, at[lo] + width * CHUNK_TOKENS, side="right")) - 1
+        hi = min(max(hi, lo + 1), len(col))
+        size = np.diff(at[lo:hi + 1]) // width
+        yield np.insert(data[at[lo]:at[hi]].view(narrow).astype(np.uint32), np.cumsum(size), np.uint32(separator)), size + 1
+        lo = hi
+
+
 class Corpus:
     """Number of documents, documents per term and mean length of all data."""
 
@@ -58,27 +90,43 @@ class Corpus:
         self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
         self.useful = (df > 1) & (df <= max(2, n // 2))
 
-    def strongest(self, ids: np.ndarray) -> np.ndarray:
-        """The terms of one document (with its separator) with the highest gains, padded with -1."""
-        term, tf = np.unique(ids, return_counts=True)
+    def strongest_of(self, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """A row per document (with its separator): the terms with the highest gains, padded with -1."""
+        doc, term, tf = term_counts(ids, size)
         good = self.useful[term]
-        term, tf = term[good].astype(np.int64), tf[good]
-        gain = self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / self.mean))
-        out = np.full(KEY_TERMS, -1, np.int64)
-        term = term[np.lexsort((term, -gain))[:KEY_TERMS]]
-        out[:len(term)] = term
+        doc, term, tf = doc[good], term[good], tf[good]
+        loss = -(self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / self.mean)))
+        out = np.full((len(size), KEY_TERMS), -1, np.int64)
+        ends = np.searchsorted(doc, np.arange(len(size) + 1)).tolist()
+        for d, (lo, hi) in enumerate(zip(ends[:-1], ends[1:])):
+            own, at = loss[lo:hi], None
+            if hi - lo > KEY_TERMS:
+                at = np.flatnonzero(own <= np.partition(own, KEY_TERMS - 1)[KEY_TERMS - 1])
+                own = own[at]
+            best = np.argsort(own, kind="stable")[:KEY_TERMS]  # terms ascend
+            out[d, :len(best)] = term[lo:hi][best if at is None else at[best]]
         return out
 
+    def strongest(self, ids: np.ndarray) -> np.ndarray:
+        """The terms of one document (with its separator) with the highest gains, padded with -1."""
+        return self.strongest_of(ids, np.array([len(ids)]))[0]
 
-def keys(strongest: np.ndarray, member: np.ndarray) -> tuple[int, int]:
-    """A document's key and the next term for it: the most frequent that fit a shard, then the
+
+def keys_of(strongest: np.ndarray, member: np.ndarray) -> np.ndarray:
+    """Each document's key and the next term for it: the most frequent that fit a shard, then the
     least frequent of the others (-1: none)."""
-    t = strongest[(strongest >= 0) & (member[strongest] > 1)]
-    if not len(t):
-        return -1, -1
-    size = member[t]
-    t = t[np.lexsort((t, np.where(size <= SHARD_DOCS, -size, size)))]
-    return int(t[0]), int(t[1]) if len(t) > 1 else -1
+    size, none = member[strongest], np.iinfo(np.int64).max
+    size = np.where((strongest >= 0) & (size > 1), size, 0)
+    rank = np.where(size <= SHARD_DOCS, SHARD_DOCS - size, size) * len(member) + strongest
+    rank[size == 0] = none
+    rank = np.sort(rank, axis=1)[:, :2]
+    return np.where(rank == none, -1, rank % len(member))
+
+
+def keys(strongest: np.ndarray, member: np.ndarray) -> tuple[int, int]:
+    """Key and next term of one document."""
+    a, b = keys_of(strongest[None], member)[0].tolist()
+    return a, b
 
 
 class Deal:
@@ -136,21 +184,19 @@ class ShardIndex:
     def __init__(self, docs: list, corpus: Corpus | None = None):
         n = len(docs)
         size = np.fromiter(map(len, docs), np.int64, n)
-        key = np.repeat(np.arange(n, dtype=np.uint64) << np.uint64(32), size) | np.concatenate(docs).astype(np.uint64)
-        key.sort()
-        head = np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0)
-        tf = np.diff(np.append(head, len(key))).astype(np.float64)
-        doc, term = (key[head] >> np.uint64(32)).astype(np.int64), (key[head] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        doc, term, tf = term_counts(np.concatenate(docs), size)
         df = np.bincount(term)
         corpus = corpus or Corpus(n, df, max(size.mean(), 1))
         gain = corpus.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / corpus.mean))
         useful = (df[term] > 1) & corpus.useful[term]
         doc, term, gain = doc[useful], term[useful], gain[useful]
         self.n = n
-        self.scored: tuple = (-1, None)  # the last seed and the rest of its neighbours, best first
+        self.kept = n
+        # the last seed, the best of its neighbours still to give, best first, and the others with their scores, not yet in order
+        self.scored: tuple = (-1, None, None, None)
         self.by_doc = np.searchsorted(doc, np.arange(n + 1))
         self.doc_term, self.doc_gain = term, gain
-        order = np.argsort(term, kind="stable")
+        order = np.argsort(term.astype(np.uint16) if len(df) <= 1 << 16 else term, kind="stable")
         self.post_doc, self.post_gain = doc[order], gain[order]
         self.by_term = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(df)))])
 
@@ -161,17 +207,32 @@ class ShardIndex:
         take = np.arange(size.sum()) + np.repeat(at - (np.cumsum(size) - size), size)
         return np.bincount(self.post_doc[take], self.post_gain[take], self.n)
 
+    def forget(self, unused: np.ndarray) -> None:
+        """Drop the postings of used documents, once a fifth of those left is used."""
+        left = int(np.count_nonzero(unused))
+        if left < 0.8 * self.kept:
+            stay = unused[self.post_doc]
+            self.by_term = np.concatenate([[0], np.cumsum(stay)])[self.by_term]
+            self.post_doc, self.post_gain, self.kept = self.post_doc[stay], self.post_gain[stay], left
+
     def neighbours(self, seed: int, unused: np.ndarray) -> list[int]:
         """The next unused documents with the highest BM25 score for the seed's terms, best first."""
         if self.scored[0] != seed:
             score = self.scores(seed)
             score[~unused] = 0
             found = np.flatnonzero(score)
-            # all of them in order, once per seed; asked again, the walk goes on
-            self.scored = (seed, found[np.argsort(-score[found], kind="stable")])
-        best = self.scored[1]
+            self.scored = (seed, found[:0], found, -score[found])
+        _, best, found, loss = self.scored
         free = np.flatnonzero(unused[best])[:NEIGHBOURS]
-        self.scored = (seed, best[free[-1] + 1:] if len(free) else best[:0])
+        while len(free) < NEIGHBOURS and len(found):
+            # the first in order at once, the others only if the seed asks again
+            now = np.ones(len(found), bool)
+            if not len(best) and len(found) > NEIGHBOURS:
+                now = loss <= np.partition(loss, NEIGHBOURS - 1)[NEIGHBOURS - 1]
+            best = np.append(best, found[now][np.argsort(loss[now], kind="stable")])
+            found, loss = found[~now], loss[~now]
+            free = np.flatnonzero(unused[best])[:NEIGHBOURS]
+        self.scored = (seed, best[free[-1] + 1:] if len(free) else best[:0], found, loss)
         return best[free].tolist()
 
 
@@ -188,6 +249,7 @@ def plan(docs: list, window: int = WINDOW, corpus: Corpus | None = None) -> list
             d = queue.pop(0)
         else:
             if seed is not None and unused.any():
+                index.forget(unused)
                 queue = index.neighbours(seed, unused)
                 if queue:
                     continue
@@ -247,11 +309,11 @@ def pack(docs: DataFrame, vocabulary_path: str, window: int = WINDOW, separator:
                 at = np.concatenate([[0], np.cumsum(size)]).tolist()
                 ids, w = ids.astype(narrow), int(narrow[2])
                 raw = ids.tobytes()
-                for x, y in zip(at[:-1], at[1:]):
-                    out.append(raw[w * x: w * y])
-                    df[np.unique(ids[x:y])] += 1
-                    # the separator is a term of every document
-                    df[separator] += not (ids[x:y] == separator).any()
+                out += [raw[w * x: w * y] for x, y in zip(at[:-1], at[1:])]
+                _, term, _ = term_counts(ids, size)
+                df += np.bincount(term, minlength=len(df))
+                # the separator is a term of every document
+                df[separator] += len(size) - np.count_nonzero(term == separator)
                 n, tokens = n + len(size), tokens + len(ids) + len(size)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary()), pa.nulls(len(out), pa.list_(pa.int64())),
                                               pa.nulls(len(out), pa.list_(pa.int64()))], names=names)
@@ -290,25 +352,27 @@ def pack(docs: DataFrame, vocabulary_path: str, window: int = WINDOW, separator:
         if (done := close()) is not None:
             yield done
 
-    def arrays_of(column):
-        for ids in column:
-            yield np.append(np.frombuffer(ids.as_py(), narrow).astype(np.uint32), np.uint32(separator))
-
     def strongest(batches):
         corpus = Corpus(*counted.value)
         for b in batches:
-            out = [[t for t in corpus.strongest(ids).tolist() if t >= 0] for ids in arrays_of(b.column(2))]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], names=["terms"])
+            for ids, size in token_chunks(b.column(2), narrow, separator):
+                top = corpus.strongest_of(ids, size)
+                at = np.concatenate([[0], np.cumsum(np.count_nonzero(top >= 0, axis=1))])
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(top[top >= 0]))], names=["terms"])
 
     def picks(batches):
         for b in batches:
-            top = np.array([keys(np.array(t, np.int64), common.value) for t in b.column(0).to_pylist()], np.int64).reshape(-1, 2)
+            size = b.column(0).value_lengths().to_numpy(zero_copy_only=False)
+            terms = np.full((len(size), KEY_TERMS), -1, np.int64)
+            terms[np.arange(KEY_TERMS) < size[:, None]] = b.column(0).flatten().to_numpy(zero_copy_only=False)
+            top = keys_of(terms, common.value)
             yield pa.RecordBatch.from_arrays([pa.array(top[:, 0]), pa.array(top[:, 1])], names=["a", "b"])
 
     def hand_out(batches):
         corpus, deal = Corpus(*counted.value), Deal(*shared.value)
         for b in batches:
-            own = [keys(corpus.strongest(ids), common.value) for ids in arrays_of(b.column(2))]
+            own = [k for ids, size in token_chunks(b.column(2), narrow, separator)
+                   for k in map(tuple, keys_of(corpus.strongest_of(ids, size), common.value).tolist())]
             to = np.array([(deal.of(k, h % (1 << 63)), k[0]) for k, h in zip(own, b.column(1).to_pylist())], np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(to[:, 0]), pa.array(to[:, 1]), b.column(0), b.column(2), b.column(1)],
                                              names=["shard", "key", "doc_id", "ids", "deal"])

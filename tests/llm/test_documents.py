@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from routewise.llm import bpe, langid, pii, quality_mil
-from routewise.llm.common import components, id_crc, string_chunks, table
+from routewise.llm.common import components, id_crc, string_chunks, table, worker_cache
 from routewise.llm.queries import op1_quality, op6_langid, op10_bpe, vocabulary_path
 
 SF001, SF01 = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -202,6 +202,37 @@ def test_bpe_equals_library(library):
     assert _encode(texts) == [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
+def test_bpe_merges_words_in_columns(library, monkeypatch):
+    """Words of every size up to and beyond the columns; few slots, so that words push each other out."""
+    monkeypatch.setattr(bpe, "SLOTS", 64)
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 300)
+    monkeypatch.setattr(bpe, "worker_cache", lambda key, build: build() if isinstance(key, tuple) else worker_cache(key, build))
+    rng = random.Random(8)
+    letters = ["th", "e", "in", "a", "aa", "tion", "x", "\u00e9", "q", "ing", "\u4e2d"]
+    words = ["".join(rng.choices(letters, k=60))[:n] for n in range(1, 50) for _ in range(30)] + ["a" * n for n in range(1, 70)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 40))) for _ in range(300)] + words
+    assert _encode(texts) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    v = bpe.load_vocabulary(vocabulary_path())
+    cache = bpe.WordCache()
+    for k in range(0, len(words), 50):
+        some = [w.encode() for w in words[k:k + 50] * 2]
+        data = np.frombuffer(b"".join(some), np.uint8)
+        ends = np.cumsum([len(w) for w in some])
+        starts = np.append(0, ends[:-1])
+        start, size = cache.lookup(v, data, starts, ends, bpe.span_hashes(data, starts, ends))
+        ids, count = bpe.merge_words(v, data, starts, ends)
+        assert size.tolist() == count.tolist()
+        assert np.concatenate([cache.ids[a:a + n] for a, n in zip(start, size)]).tolist() == ids.tolist()
+        assert np.count_nonzero(cache.size) <= 64 and cache.words <= 350
+
+
+def test_bpe_pair_table_finds_every_pair():
+    v = bpe.load_vocabulary(vocabulary_path())
+    assert bpe.find_pairs(v["pairs"], v["key"]).tolist() == v["rank"].tolist()
+    none = np.setdiff1d(np.arange(0, v["size"] ** 2, 9973), v["key"])
+    assert (bpe.find_pairs(v["pairs"], none) == bpe._NONE).all()
+
+
 @given(st.lists(st.text(), min_size=1, max_size=6))
 @settings(max_examples=150, deadline=None)
 def test_bpe_any_text(texts):

@@ -293,6 +293,61 @@ def test_packing_query_shards_keep_related_documents(spark, monkeypatch):
     assert len({p["sequence_id"] >> 32 for p in got if p["doc_id"] >= 10 ** 6}) == 1
 
 
+def test_packing_takes_terms_of_many_documents_at_once():
+    """Strongest terms and keys of a batch, whatever its cuts, equal those of every document on its own."""
+    rng = np.random.default_rng(5)
+    docs = [np.append(rng.zipf(1.3, int(n)) % 900 + 1, 0).astype(np.uint32) for n in rng.integers(0, 300, 400)] + [np.zeros(1, np.uint32)] * 3
+    n, size = len(docs), np.array([len(d) for d in docs])
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=901)
+    doc, term, tf = packing.term_counts(np.concatenate(docs), size)
+    assert [(a, b, c) for a, b, c in zip(doc.tolist(), term.tolist(), tf.tolist())] == [
+        (i, t, c) for i, d in enumerate(docs) for t, c in sorted(Counter(d.tolist()).items())]
+    corpus = packing.Corpus(n, df, float(size.mean()))
+    want = []
+    for d in docs:
+        t, f = np.unique(d, return_counts=True)
+        t, f = t[corpus.useful[t]], f[corpus.useful[t]]
+        gain = corpus.idf[t] * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(d) / corpus.mean))
+        want.append([x for _, x in sorted(zip((-gain).round(9).tolist(), t.tolist()))][:packing.KEY_TERMS])
+    top = corpus.strongest_of(np.concatenate(docs), size)
+    assert [[t for t in row if t >= 0] for row in top.tolist()] == want
+    member = np.bincount(top[top >= 0], minlength=901)
+    two = []
+    for row in want:
+        fit = sorted((t for t in row if member[t] > 1), key=lambda t: (-member[t] if member[t] <= packing.SHARD_DOCS else member[t], t))
+        two.append([*fit, -1, -1][:2])
+    assert packing.keys_of(top, member).tolist() == two
+    raw = pa.array([d[:-1].astype("<u2").tobytes() for d in docs], pa.binary())
+    parts = list(packing.token_chunks(raw.slice(3), "<u2", 0))
+    assert np.concatenate([ids for ids, _ in parts]).tolist() == np.concatenate(docs[3:]).tolist()
+    assert np.concatenate([k for _, k in parts]).tolist() == size[3:].tolist()
+
+
+def test_packing_keys_of_hot_terms(monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_DOCS", 10)
+    member = np.array([0, 1, 5, 10, 11, 900, 5])
+    rows = np.array([[1, 2, 3, 4], [5, 4, -1, -1], [2, 6, 0, -1], [1, -1, -1, -1]])
+    assert packing.keys_of(rows, member).tolist() == [[3, 2], [4, 5], [2, 6], [-1, -1]]
+
+
+def test_packing_reads_postings_of_unused_documents_only(monkeypatch):
+    """Used documents leave the postings while a shard is planned; sequences are those of the whole postings."""
+    rng = np.random.default_rng(6)
+    docs = [rng.integers(0, 400, rng.integers(5, 60)).astype(np.uint32) for _ in range(300)]
+    read, scores = [], packing.ShardIndex.scores
+
+    def counted(index, seed):
+        read.append(len(index.post_doc))
+        return scores(index, seed)
+
+    monkeypatch.setattr(packing.ShardIndex, "scores", counted)
+    got = packing.plan(docs, 100)
+    lean, read = read, []
+    monkeypatch.setattr(packing.ShardIndex, "forget", lambda index, unused: None)
+    assert packing.plan(docs, 100) == got
+    assert len(lean) == len(read) and sum(lean) < 0.65 * sum(read) and lean[-1] < 0.1 * read[-1]
+
+
 # ---- search ----
 
 def _vectors(spark, rows):
