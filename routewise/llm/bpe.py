@@ -51,7 +51,7 @@ def byte_symbols() -> list[str]:
 
 
 def load_vocabulary(path: str) -> dict:
-    """Arrays of a byte-level BPE file: pair keys (sorted) with rank and merged id, bytes of every id, special tokens."""
+    """Arrays of a byte-level BPE file: pair keys (sorted) with rank, merged id by rank, bytes of every id, special tokens."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     vocab = spec["model"]["vocab"]
@@ -68,11 +68,8 @@ def load_vocabulary(path: str) -> dict:
     for token, i in special.items():
         pieces[i] = token.encode()
     length = np.fromiter(map(len, pieces), np.int64, size)
-    pairs = pair_table(key[order], order)
-    byte = np.array([vocab[c] for c in byte_symbols()], np.int64)
-    return {"size": size, "pairs": pairs, "byte_pairs": find_pairs(pairs, (byte[:, None] * size + byte).ravel()).reshape(256, 256),
-            "product": np.array([vocab[x + y] for x, y in merges], np.int32), "key": key[order], "rank": order.astype(np.int64), "merged": np.array([vocab[x + y] for x, y in merges], np.int64)[order],
-            "byte": byte, "special": special,
+    return {"size": size, "key": key[order], "rank": order.astype(np.int64), "product": np.array([vocab[x + y] for x, y in merges], np.int32),
+            "byte": np.array([vocab[c] for c in byte_symbols()], np.int64), "special": special,
             "bytes": np.frombuffer(b"".join(pieces), np.uint8), "start": np.cumsum(length) - length, "length": length}
 
 
@@ -112,6 +109,19 @@ def find_pairs(table: tuple[int, np.ndarray, np.ndarray], key: np.ndarray) -> np
     return found
 
 
+def _known(v: dict, what: str) -> tuple:
+    """Name of what a worker keeps for a vocabulary."""
+    return what, v["size"], int(v["key"][:64].sum())
+
+
+def pair_ranks(v: dict) -> tuple[tuple[int, np.ndarray, np.ndarray], np.ndarray]:
+    """The vocabulary's table of pairs and the ranks of all pairs of bytes, built once per worker."""
+    def build():
+        pairs = pair_table(v["key"], v["rank"])
+        return pairs, find_pairs(pairs, (v["byte"][:, None] * v["size"] + v["byte"]).ravel()).reshape(256, 256)
+    return worker_cache(_known(v, "bpe_pairs"), build)
+
+
 def _classes() -> np.ndarray:
     def build():
         major = {"L": _LETTER, "N": _NUMBER}
@@ -166,12 +176,13 @@ def word_starts(cp: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def _merge_columns(v: dict, data: np.ndarray, starts: np.ndarray, size: np.ndarray, height: int):
     """Ids of words of 1 to ``height`` (at most 32) bytes, a column per word: yields ``(words, symbols, ids per word)``."""
+    pairs, byte_pairs = pair_ranks(v)
     word, size = np.arange(len(starts)), size.copy()
     k = np.arange(height + 1)[:, None]
     byte = data[np.minimum(starts + k, len(data) - 1)]
     sym = np.where(k < size, v["byte"][byte], -1).astype(np.int32)
     # rank of the pair that begins at a place, times 32, plus the place: the least is the leftmost of lowest rank
-    first = np.where(k[1:] < size, v["byte_pairs"][byte[:-1], byte[1:]], _NONE)
+    first = np.where(k[1:] < size, byte_pairs[byte[:-1], byte[1:]], _NONE)
     none = _NONE << 5
     best = (first << 5) + k[:-1].astype(np.int32)
     while len(word):
@@ -198,11 +209,11 @@ def _merge_columns(v: dict, data: np.ndarray, starts: np.ndarray, size: np.ndarr
         right = sym[at + 1, col]
         has = right >= 0
         pair = np.full(len(word), none)
-        pair[has] = find_pairs(v["pairs"], mid[has] * v["size"] + right[has]) << 5
+        pair[has] = find_pairs(pairs, mid[has] * v["size"] + right[has]) << 5
         best[at, col] = pair + at
         has = np.flatnonzero(at)
         before = at[has] - 1
-        best[before, has] = (find_pairs(v["pairs"], sym[before, has] * np.int64(v["size"]) + mid[has]) << 5) + before
+        best[before, has] = (find_pairs(pairs, sym[before, has] * np.int64(v["size"]) + mid[has]) << 5) + before
 
 
 def _merge_flat(v: dict, data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,12 +222,13 @@ def _merge_flat(v: dict, data: np.ndarray, starts: np.ndarray, size: np.ndarray)
     word = np.repeat(np.arange(n, dtype=np.int32), size)
     sym = v["byte"][data[np.arange(len(word)) + np.repeat(starts - (np.cumsum(size) - size), size)]]
     rank = np.full(len(sym), _NONE)
+    pairs, _ = pair_ranks(v)
 
     def look(at):
         """Rank of the pairs that begin at the given symbols."""
         at = at[at < len(sym) - 1]
         at = at[word[at] == word[at + 1]]
-        rank[at] = find_pairs(v["pairs"], sym[at] * v["size"] + sym[at + 1])
+        rank[at] = find_pairs(pairs, sym[at] * v["size"] + sym[at + 1])
 
     look(np.arange(len(sym)))
     done_sym, done_word = [], []
@@ -319,7 +331,7 @@ def _encode_plain(v: dict, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nd
     ends = np.searchsorted(at, offsets[1:][np.diff(offsets) > 0])
     first = at[word_starts(cp, ends)]
     last = np.append(first[1:], len(data))
-    cache = worker_cache(("bpe_words", v["size"], int(v["key"][:64].sum())), WordCache)
+    cache = worker_cache(_known(v, "bpe_words"), WordCache)
     start, size = cache.lookup(v, data, first, last, span_hashes(data, first, last))
     total = np.cumsum(size)
     ids = cache.ids[np.arange(total[-1]) + np.repeat(start - (total - size), size)]

@@ -206,7 +206,7 @@ def test_bpe_merges_words_in_columns(library, monkeypatch):
     """Words of every size up to and beyond the columns; few slots, so that words push each other out."""
     monkeypatch.setattr(bpe, "SLOTS", 64)
     monkeypatch.setattr(bpe, "CACHE_WORDS", 300)
-    monkeypatch.setattr(bpe, "worker_cache", lambda key, build: build() if isinstance(key, tuple) else worker_cache(key, build))
+    monkeypatch.setattr(bpe, "worker_cache", lambda key, build: build() if key[0] == "bpe_words" else worker_cache(key, build))
     rng = random.Random(8)
     letters = ["th", "e", "in", "a", "aa", "tion", "x", "\u00e9", "q", "ing", "\u4e2d"]
     words = ["".join(rng.choices(letters, k=60))[:n] for n in range(1, 50) for _ in range(30)] + ["a" * n for n in range(1, 70)]
@@ -228,9 +228,11 @@ def test_bpe_merges_words_in_columns(library, monkeypatch):
 
 def test_bpe_pair_table_finds_every_pair():
     v = bpe.load_vocabulary(vocabulary_path())
-    assert bpe.find_pairs(v["pairs"], v["key"]).tolist() == v["rank"].tolist()
+    pairs, of_bytes = bpe.pair_ranks(v)
+    assert bpe.find_pairs(pairs, v["key"]).tolist() == v["rank"].tolist()
+    assert np.count_nonzero(of_bytes < bpe._NONE) == np.count_nonzero(np.isin(v["key"] // v["size"], v["byte"]) & np.isin(v["key"] % v["size"], v["byte"]))
     none = np.setdiff1d(np.arange(0, v["size"] ** 2, 9973), v["key"])
-    assert (bpe.find_pairs(v["pairs"], none) == bpe._NONE).all()
+    assert (bpe.find_pairs(pairs, none) == bpe._NONE).all()
 
 
 @given(st.lists(st.text(), min_size=1, max_size=6))
