@@ -33,8 +33,8 @@ from .common import ship, span_hashes, string_chunks, worker_cache
 
 ship(__name__)
 
-CACHE_WORDS = 1_000_000
-SLOTS = 1 << 20
+CACHE_WORDS = 500_000
+SLOTS = 1 << 19
 #: Words of up to so many bytes are merged together in columns.
 COLUMNS = (8, 16, 32)
 _NONE = np.int32(1 << 25)  # rank of no pair; ranks times 32 fit 32 bits
