@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, lower_ascii, ship, span_hashes, splitmix, string_chunks, word_spans, worker_cache, write_shared
+from .common import components, lower_ascii, ship, span_hashes, splitmix, string_chunks, tidy, word_spans, worker_cache, write_shared
 
 ship(__name__)
 
@@ -171,7 +171,7 @@ def _sets(docs: DataFrame, text: str) -> DataFrame:
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     ddl = "doc_id long, n long, sid binary, sketch array<long>, text string, token long"
-    return write_shared(src.mapInArrow(run, ddl), "jaccard-sets")
+    return write_shared(src.mapInArrow(tidy(run), ddl), "jaccard-sets")
 
 
 def _hub_pairs(sets: DataFrame) -> DataFrame:
@@ -266,6 +266,7 @@ def _past_blocks(pairs: DataFrame, held: DataFrame, members: DataFrame, texts: D
     sizes = (pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("q"))
              .join(count, "hub")
              .select("hub", F.ceil(F.col("q") / BLOCK_PARTNERS).alias("zs"), F.ceil(F.col("m") / BLOCK_MEMBERS).alias("ms")))
+    sizes = write_shared(sizes, "jaccard-blocks")  # three parts of the rows need it
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     none = F.lit(None).cast("binary").alias("other")
     own = (held.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("sid"), "ms").alias("mc"), "zs", "sid", "label")
@@ -312,7 +313,7 @@ def _past_blocks(pairs: DataFrame, held: DataFrame, members: DataFrame, texts: D
                         v.append(sid[i])
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
 
-    return rows.mapInArrow(run, "u binary, v binary")
+    return rows.mapInArrow(tidy(run), "u binary, v binary")
 
 
 def _contains(a: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -426,7 +427,7 @@ def only(texts: DataFrame, bitmap: np.ndarray) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(marked(held.value, _first_bytes(b.column(0)))))
 
-    return texts.select("sid", "text").mapInArrow(run, "sid binary, text string")
+    return texts.select("sid", "text").mapInArrow(tidy(run), "sid binary, text string")
 
 
 def _candidates(labelled: DataFrame, buckets: int, bitmap: np.ndarray, families: np.ndarray) -> DataFrame:
@@ -548,9 +549,9 @@ def _candidates(labelled: DataFrame, buckets: int, bitmap: np.ndarray, families:
             yield done
 
     ddl = "bucket long, token binary, owner binary, pos binary, hubs binary, sizes binary"
-    lists = labelled.select("sid", "hub", "fam", "text").mapInArrow(index, ddl)
+    lists = labelled.select("sid", "hub", "fam", "text").mapInArrow(tidy(index), ddl)
     dealt = lists.repartition("bucket").sortWithinPartitions("bucket")
-    pairs = dealt.mapInArrow(meet, "hub binary, other binary, shared long, least long")
+    pairs = dealt.mapInArrow(tidy(meet), "hub binary, other binary, shared long, least long")
     return (pairs.groupBy("hub", "other").agg(F.sum("shared").alias("shared"), F.min("least").alias("least"))
             .where("shared >= least").select("hub", "other"))
 
@@ -566,7 +567,8 @@ def join(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = sets.where("token is null").select("doc_id", "n", "sid")
     texts = sets.where("text is not null and sid is not null").select("sid", "text")
     # texts of one set may come once per batch: any of them will do, the set is the same
-    alone = least_ids(rows).select("sid", F.col("sid").alias("hub"))
+    lows = write_shared(least_ids(rows), "jaccard-ids")
+    alone = lows.select("sid", F.col("sid").alias("hub"))
     pairs = write_shared(_hub_pairs(sets), "jaccard-hubs")
     wanted = pairs.select(F.explode(F.array("hub", "other")).alias("sid"))
     near = write_shared(_families(pairs), "jaccard-families")
@@ -574,7 +576,7 @@ def join(docs: DataFrame, text: str = "text") -> DataFrame:
     hubs = stars.groupBy(F.col("v").alias("sid")).agg(F.min("u").alias("hub"))
     up = hubs.select(F.col("sid").alias("hub"), F.col("hub").alias("top"))
     hubs = hubs.join(up, "hub", "left").select("sid", F.coalesce("top", "hub").alias("hub"))
-    members = least_ids(rows).join(hubs, "sid", "left").select("sid", F.coalesce("hub", "sid").alias("hub"), "low")
+    members = lows.join(hubs, "sid", "left").select("sid", F.coalesce("hub", "sid").alias("hub"), "low")
     # a family is a set of hubs: all members of a hub have the family of the hub
     members = (members.join(near.select(F.col("sid").alias("hub"), "fam"), "hub", "left").select("sid", "hub", F.coalesce("fam", "hub").alias("fam"), "low"))
     members = write_shared(members, "jaccard-members")
@@ -588,9 +590,10 @@ def join(docs: DataFrame, text: str = "text") -> DataFrame:
     buckets = max(1, -(-total // (BUCKET_TOKENS * DEN // (DEN - NUM))))
     pairs = write_shared(_candidates(labelled, buckets, _marks(sets), families), "jaccard-candidates")
     paired = members.join(pairs.select(F.explode(F.array("hub", "other")).alias("hub")).distinct(), "hub", "left_semi")
-    links = verify(pairs, members.select("sid", "hub"), only(texts, id_bitmap(paired)))
+    # each in a job of its own: one plan of both holds too much in the driver
+    links = write_shared(verify(pairs, members.select("sid", "hub"), only(texts, id_bitmap(paired))), "jaccard-links")
     related = members.join(members.where("hub <> fam").select("fam").distinct(), "fam", "left_semi")
-    links = links.unionByName(verify_families(related.select("sid", "hub", "fam"), texts_of_families))
+    links = links.unionByName(write_shared(verify_families(related.select("sid", "hub", "fam"), texts_of_families), "jaccard-links"))
     roots = components(stars.unionByName(links))
     named = members.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select("sid", "low", F.coalesce("root", "sid").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, ship, worker_cache
+from .common import CHUNK_BYTES, ship, tidy, worker_cache
 
 ship(__name__)
 
@@ -101,7 +101,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict:
                 names=["lang", "bucket", "n"])
 
     src = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("lang").isNotNull())
-    counts = (src.mapInArrow(count, "lang string, bucket long, n long")
+    counts = (src.mapInArrow(tidy(count), "lang string, bucket long, n long")
               .groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
     got = counts.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("c")).limit(MAX_LANGS + 1).collect()
     if len(got) > MAX_LANGS:
@@ -177,4 +177,4 @@ def predict(model: dict, docs: DataFrame, keep: list, text: str = "text", fit: s
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.string()), pa.array(post), *more.values()],
                                              names=[*b.schema.names[:-1], "lang_pred", "score", *more])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run), schema)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import ship, string_chunks, write_shared
+from .common import ship, string_chunks, tidy, write_shared
 
 ship(__name__)
 
@@ -377,7 +377,7 @@ def pack(docs: DataFrame, vocabulary_path: str, window: int = WINDOW, separator:
             yield pa.RecordBatch.from_arrays([pa.array(to[:, 0]), pa.array(to[:, 1]), b.column(0), b.column(2), b.column(1)],
                                              names=["shard", "key", "doc_id", "ids", "deal"])
 
-    written = write_shared(src.mapInArrow(encode, "doc_id long, deal long, ids binary, term array<long>, n array<long>"), "packing-ids")
+    written = write_shared(src.mapInArrow(tidy(encode), "doc_id long, deal long, ids binary, term array<long>, n array<long>"), "packing-ids")
     ids = written.where("term is null").select("doc_id", "deal", "ids")
 
     def per_term(rows):  # at most one row per vocabulary id
@@ -391,15 +391,15 @@ def pack(docs: DataFrame, vocabulary_path: str, window: int = WINDOW, separator:
     count = per_term(written.where("term is not null").select(F.inline(F.arrays_zip("term", "n"))))
     n, tokens = count.pop(-1, 0), count.pop(-2, 0)
     counted = spark.sparkContext.broadcast((n, dense(count), max(tokens / max(n, 1), 1)))
-    top = write_shared(ids.mapInArrow(strongest, "terms array<long>"), "packing-terms")
+    top = write_shared(ids.mapInArrow(tidy(strongest), "terms array<long>"), "packing-terms")
     common = spark.sparkContext.broadcast(dense(per_term(top.select(F.explode("terms").alias("term"), F.lit(1).cast("long").alias("n")))))
-    picked = write_shared(top.mapInArrow(picks, "a long, b long").where("a >= 0").groupBy("a", "b").count(), "packing-picks")
+    picked = write_shared(top.mapInArrow(tidy(picks), "a long, b long").where("a >= 0").groupBy("a", "b").count(), "packing-picks")
     first = dense(per_term(picked.select(F.col("a").alias("term"), F.col("count").alias("n"))))
     # at most one row per vocabulary id, and one per SHARD_DOCS documents
     links = [(r["a"], -r["top"]["b"], r["top"]["count"]) for r in picked.where("b >= 0").groupBy("a").agg(
         F.max(F.struct("count", (-F.col("b")).alias("b"))).alias("top")).collect()]
     pairs = {(r["a"], r["b"]): r["count"] for r in picked.where(F.col("count") > SHARD_DOCS).collect()}
     shared = spark.sparkContext.broadcast((n, first, links, pairs))
-    dealt = ids.mapInArrow(hand_out, "shard long, key long, doc_id long, ids binary, deal long")
+    dealt = ids.mapInArrow(tidy(hand_out), "shard long, key long, doc_id long, ids binary, deal long")
     return (dealt.repartition("shard").sortWithinPartitions("shard", "key", "deal", "doc_id").select("shard", "doc_id", "ids")
-            .mapInArrow(fill, _DDL))
+            .mapInArrow(tidy(fill), _DDL))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import ship, tidy
 
 ship(__name__)
 
@@ -316,4 +316,4 @@ def replace(docs: DataFrame, keep: list, text: str = "text", key: bytes = DEFAUL
                 [*b.columns[:-1], pa.array(texts, col.type), pa.array([len(s) for s in spans], pa.int32()), pa.array(spans, kind)],
                 names=[*b.schema.names[:-1], text, "n_pii", "pii"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run), schema)

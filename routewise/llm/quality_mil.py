@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, span_hashes, string_chunks, word_spans, worker_cache
+from .common import ship, span_hashes, string_chunks, tidy, word_spans, worker_cache
 
 ship(__name__)
 
@@ -187,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, usable) -> dict:
                     out.append(part.astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.binary())], names=["doc_id", "q", "x"])
 
-    got = sorted(chosen.mapInArrow(bags, "doc_id long, q int, x binary").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("x")).limit(4 * SAMPLE_PER_CLASS).collect(),
+    got = sorted(chosen.mapInArrow(tidy(bags), "doc_id long, q int, x binary").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("x")).limit(4 * SAMPLE_PER_CLASS).collect(),
                  key=lambda r: (r["doc_id"], r["x"]))
     y = np.array([r["q"] for r in got], float)
     if not 0 < y.sum() < len(y):
@@ -212,4 +212,4 @@ def score(model: dict, docs: DataFrame, keep: list, text: str = "text") -> DataF
                     out[lo:hi] = _forward(p, (x - p["mean"]) / p["std"], bag, hi - lo)["y"]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out)], names=[*b.schema.names[:-1], "score"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run), schema)

@@ -1,8 +1,11 @@
 """Jaccard join, packing, exact and approximate search."""
 
 from collections import Counter
+from pathlib import Path
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -10,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from routewise.llm import jaccard_join, packing, topk, vptree
+from routewise.llm import common, jaccard_join, packing, topk, vptree
 from routewise.llm.common import string_chunks, table
 from routewise.llm.queries import op9_vptree, vocabulary_path
 
@@ -489,3 +492,43 @@ def test_vptree_edges(spark):
     assert vptree.nearest(_vectors(spark, []), F.col("id") == 0).count() == 0
     got = vptree.nearest(_vectors(spark, _rows([[1e30, 0, 0], [1e-30, 0, 0], [0, 1, 0]])), F.col("id") == 0).orderBy("rank").collect()
     assert [(r["vec_id"], r["score"]) for r in got] == [(1, 1.0), (2, 0.0)]
+
+
+def test_tasks_give_their_memory_back():
+    """A worker that waits for its next task holds none of what its last one freed."""
+    code = """
+from routewise.llm.common import tidy
+rss = lambda: int(open('/proc/self/statm').read().split()[1]) * 4096 / 1e6
+last = []
+def run(batches):
+    held = [bytes(1000) for _ in range(200_000)]
+    last.append(bytes(1000))  # lies behind them
+    yield len(held)
+before = rss()
+assert list(tidy(run)([])) == [200_000]
+assert rss() < before + 50, (before, rss())
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(jaccard_join.__file__).parents[2])
+
+
+def test_jaccard_plans_stay_small(spark, monkeypatch):
+    """Links of hubs and of families, and the blocks of both, are jobs of their own, and their workers are left tidy."""
+    frame = type(spark.range(0))
+    exchanges, write, apply, names = [], common.write_shared, frame.mapInArrow, set()
+
+    def written(df, name):
+        exchanges.append(str(df._jdf.queryExecution().executedPlan()).count("Exchange "))
+        return write(df, name)
+
+    def applied(df, run, *rest):
+        names.add(run.__name__)
+        return apply(df, run, *rest)
+
+    monkeypatch.setattr(common, "write_shared", written)
+    monkeypatch.setattr(jaccard_join, "write_shared", written)
+    monkeypatch.setattr(frame, "mapInArrow", applied)
+    words = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, words), (2, words + " end"), (3, words.replace("w", "v")), (4, "alone")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.join(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert max(exchanges) <= 12 and names == {"tidied"}
