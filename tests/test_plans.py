@@ -58,3 +58,16 @@ def test_prompt_batches_use_no_single_partition(spark):
     import __spark_entry__ as E
     p = plan(E.queries()["A5_prompt_batches"](spark, SF001))
     assert "SinglePartition" not in p
+
+
+def test_trash_predicate_joins_narrow_rows(spark):
+    """The text of a response is read before the join with the runtimes and does not cross its exchange."""
+    import __spark_entry__ as E
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = plan(E.queries()["S12_trash_predicate"](spark, SF001)).splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    at = [i for i, line in enumerate(lines) if "hashpartitioning" in line]
+    assert at and all("response" not in lines[i + 1] and "text" not in lines[i + 1] for i in at)
