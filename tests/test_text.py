@@ -115,6 +115,16 @@ def test_word_dictionary_is_bounded(monkeypatch):
     assert [known[x] for x in words] == [1 / 2, 2 / 3, 0, 1 / 2, 1 / 2, 0, 2 / 3] and len(known) <= 3
 
 
+def test_word_statistics_from_bytes_equal_the_plain_ones(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(W, "CHUNK_BYTES", 40)
+    texts = [None, "", " ", "a b   c aa", " x aa\x1cbb cc", "éé aa \u3000", "na " * 150, "\x1f", "word\x85two aa", "𝒳𝒳 a", "zz\u2003", "a" * 99, "\xa0", "ñoño b0b \t"]
+    plain = W.text_stats(texts, lambda w: (len(w) - len(set(w))) / len(w), W.split_words)
+    assert W.batch_stats(pa.array(texts), W.Repetition().__getitem__) == plain
+    assert W.batch_stats(pa.array(texts).slice(3, 7), W.Repetition().__getitem__) == tuple(c[3:10] for c in plain)
+    assert W.batch_stats(pa.array([], pa.string()), W.Repetition().__getitem__) == ([], [], [])
+
+
 def test_readability_definition(spark):
     # 2 words, 1 sentence, syllables: "hello" 2 groups (e, o) + "world" 1 = 3
     got = one(spark, T.readability_grade("v"), "Hello world.")
